@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("journeys", "places", "raster", "sky", "assets", "network", "lifecycle", "stars")
 
 
 def load_all() -> None:
