@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 PER_LANG, EXCERPT, DICT_BYTES = 256, 1024, 65536
 CHUNK = 8192
+BUCKETS = 1 << 30
 LEVEL = 6
 #: Texts of up to so many bytes are encoded with the strongest parser, which finds matches of three bytes.
 SHORT = 600
@@ -51,8 +52,13 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT, d
     labelled = labelled.where(F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    if not counts:
+        return []
     at = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
-    cut = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), at, F.lit(excerpt)).alias("excerpt"))
+    # about four times the rows that are wanted pass a threshold on their hash, however many rows there are
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(BUCKETS, -(-4 * per_lang * BUCKETS // n)))))
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(BUCKETS)) < shares[F.col("lang")])
+    cut = hashed.select("lang", "h", F.substring(F.col("text"), at, F.lit(excerpt)).alias("excerpt"))
     first = cut.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))).where(F.col("nth") <= per_lang)
     parts: dict[str, list[bytes]] = {}
     for row in first.orderBy("lang", "nth").toLocalIterator():
