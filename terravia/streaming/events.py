@@ -38,12 +38,12 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def job_states(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """jid, state, updates: each job's state after every batch that touches it; jobs that rest for the time to live are dropped.
+def job_states(events: DataFrame, ttl_ms: int = 86_400_000, late: str = "1 hour") -> DataFrame:
+    """jid, state, updates: each job's state after every batch that touches it; jobs at rest for the time to live, by the events' own clock, are dropped.
 
     The newest event decides, so events that arrive out of order do no harm.
     """
-    rows = events.select(F.col("user_id").alias("jid"), F.unix_millis("ts").alias("at"), "event_id", "event_type")
+    rows = events.withWatermark("ts", late).select(F.col("user_id").alias("jid"), "ts", F.unix_millis("ts").alias("at"), "event_id", "event_type")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,10 +56,10 @@ def job_states(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
             if (int(last["at"]), int(last["event_id"])) > (at, eid):
                 at, eid, name = int(last["at"]), int(last["event_id"]), STATES[last["event_type"]]
         state.update((at, eid, name, n))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(at + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"jid": [key[0]], "state": [name], "updates": [n]})
 
-    return rows.groupBy("jid").applyInPandasWithState(step, "jid long, state string, updates long", "at long, eid long, name string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("jid").applyInPandasWithState(step, "jid long, state string, updates long", "at long, eid long, name string, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def accumulate(stream: DataFrame, path: str, checkpoint: str):

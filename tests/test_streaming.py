@@ -40,7 +40,7 @@ def test_first_seen(spark, parts, tmp_path):
 
 
 def test_job_states(spark, parts, tmp_path):
-    got = drain(S.job_states(S.event_stream(spark, parts, 1)), "jobs", "update", tmp_path)
+    got = drain(S.job_states(S.event_stream(spark, parts, 1), ttl_ms=90 * 86_400_000, late="60 days"), "jobs", "update", tmp_path)
     last = {}
     for r in got.collect():
         if r.updates >= last.get(r.jid, ("", -1))[1]:
