@@ -13,8 +13,8 @@ The result is the one of the merge queue, which the tests check against the libr
 
 A vocabulary is read from a model file on the driver (its path is a parameter) and sent
 to the tasks; its size does not depend on the data. Characters without a piece become
-byte pieces. A worker remembers words it has encoded, up to a bound of entries; past it
-the memory is emptied, so that it never grows with the data.
+byte pieces. A worker remembers words it has encoded, in a younger and an older part of bounded
+numbers of entries, so its memory never grows with the data.
 
 Defined cases: a null text gives null ids and a null text back; an empty one gives no
 ids. Decoding gives the text back, except that a word mark (U+2581) in it comes back as
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters indexed at a time, and words that a worker remembers.
-INDEXED, REMEMBERED = 300_000, 300_000
+INDEXED, REMEMBERED = 300_000, 400_000
 UNKNOWN = -1
 
 
@@ -124,7 +124,7 @@ class Matcher:
             self.codes[k, : self.lengths[k]] = self.code[[ord(c) for c in vocabulary.pieces[i]]]
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, row in self.ids) of every occurrence of every piece, by end position."""
+        """(start, row in self.ids) of every occurrence of every piece, by end position, the longest first."""
         n = len(codes)
         padded = np.zeros(n + 4, dtype=np.uint64)
         padded[:n] = codes
@@ -148,7 +148,8 @@ class Matcher:
         count = b - a
         which = np.repeat(np.arange(len(count)), count)
         at = order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
-        by_end = np.argsort(at + self.lengths[which], kind="stable")
+        long = self.lengths[which]
+        by_end = np.argsort((at + long) * (self.width + 1) - long)
         return at[by_end], which[by_end]
 
     def _ranks(self, values: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +177,7 @@ class Codec:
         self.v, self.indexed, self.remembered = vocabulary, indexed, remembered
         self.matcher = Matcher(vocabulary)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         runs = {len(t): i for t, i in vocabulary.ids.items() if set(t) == {MARK}}
         self.runs, self.longest_run = runs, max(runs)
@@ -204,29 +206,37 @@ class Codec:
         codes = m.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         codes[ends] = 0
         starts, which = m.edges(codes)
-        stops = (starts + m.lengths[which]).tolist()
+        # edges that end at position p are those from first[p] to first[p + 1]
+        first = np.concatenate(([0], np.cumsum(np.bincount(starts + m.lengths[which], minlength=len(text) + 1)))).tolist()
         starts, tokens = starts.tolist(), m.ids[which].tolist()
         last = [UNKNOWN] * (len(text) + 1)
         back = [0] * (len(text) + 1)
-        edge, n_edges, begin = 0, len(stops), 0
+        begin = 0
         single, compatible = self.single, v.compatible
         for word, end in zip(words, ends.tolist(), strict=True):
+            edge = first[begin + 1]
             for stop in range(begin + 1, end + 1):
-                token = single.get(text[stop - 1], UNKNOWN)
-                start = stop - 1
-                while edge < n_edges and stops[edge] == stop:
-                    s, t = starts[edge], tokens[edge]
-                    edge += 1
+                edges_end = first[stop + 1]
+                while edge < edges_end:
+                    s = starts[edge]
+                    t = tokens[edge]
                     if s == begin:
-                        start, token = s, t
+                        break
+                    key = last[s] << 20 | t
+                    if key in pairs:
+                        if pairs[key]:
+                            break
                     else:
-                        key = (last[s] << 20) | t
-                        good = pairs.get(key)
-                        if good is None:
-                            good = pairs[key] = compatible(last[s], t)
+                        pairs[key] = good = compatible(last[s], t)
                         if good:
-                            start, token = s, t
-                last[stop], back[stop] = token, start
+                            break
+                    edge += 1
+                else:  # no longer piece: the character itself
+                    s = stop - 1
+                    t = single.get(text[s], UNKNOWN)
+                last[stop] = t
+                back[stop] = s
+                edge = edges_end
             out, at = [], end
             while at > begin:
                 if last[at] == UNKNOWN:
@@ -246,15 +256,19 @@ class Codec:
         at = 0
         while at < len(split):
             # as many texts at a time as the memory of words can hold
-            end, new, missing = at, set(), set()
-            while end < len(split) and (end == at or len(new) < self.remembered // 2):
+            end, new = at, set()
+            while end < len(split) and (end == at or len(new) < self.remembered):
                 new.update(split[end])
                 end += 1
-            missing = new.difference(self.known)
+            if len(self.known) > self.remembered:  # words in use come back from the older half
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            missing = new.difference(known)
             missing.discard("")
-            if len(self.known) + len(missing) > self.remembered:
-                self.known.clear()
-                missing = new - {""}
+            if older:
+                back = missing.intersection(older)
+                known.update(zip(back, map(older.__getitem__, back), strict=True))
+                missing -= back
             self._learn(list(missing))
             out += [self._joined(parts) for parts in split[at:end]]
             at = end
