@@ -82,7 +82,7 @@ class Encoders:
         return zstandard.ZstdCompressor(dict_data=made, compression_params=params)
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
-        data = _plain(text).strip() if text else b""
+        data = _plain(text).strip() if text and any(map(str.isalpha, text)) else b""
         if not data or not self.langs:
             return UNKNOWN, 0.0, True
         if len(data) <= SHORT:

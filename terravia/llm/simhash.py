@@ -192,9 +192,3 @@ def components(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: i
 
 def op10(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def stage(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id. Rows with a null doc_id all stay."""
-    first = components(docs, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -11,11 +11,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terravia.llm import fingerprint, langid, packing, pii, sentencepiece, simhash
+from terravia.llm import fingerprint, langid, nearcopies, packing, pii, sentencepiece, simhash
 from tests.conftest import SF, SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string"
-TEXTS = [None, "", " \n", "a", "a b", "A b", "one two three", "one two three", "é漢🙂 " * 40, "x" * 70_000, "1234 5678 !!"]
+TEXTS = [None, "", " \n", "a", "a b", "A b", "one two three", "one two three", "é漢🙂 " * 40, "x" * 70_000, "1234 5678 !!", "² ½ Ⅷ"]
 
 
 def docs_of(spark, texts, ids=None):
@@ -109,16 +109,61 @@ def test_simhash_nulls_repeats_empty(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.op10(docs).collect()), key=str)
     assert got == [(7, 7), (7, 7), (9, 9), (None, None)]
     assert simhash.op10(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id or -1 for r in simhash.stage(docs).collect()) == [-1, 7, 9]
+    assert sorted(r.doc_id or -1 for r in nearcopies.stage(docs).collect()) == [-1, 7, 9]
 
 
-def test_simhash_stage_keeps_one_of_a_group(spark):
+# -- near copies
+
+
+def brute_near_copies(rows):
+    """Components of a similarity of 0.8 or more over five-word shingles, every pair compared."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies_made(spark):
     texts = near_copies()
     docs = docs_of(spark, texts)
-    left = simhash.stage(docs)
+    want = brute_near_copies(list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in nearcopies.groups(docs).collect()} == want
+    left = nearcopies.stage(docs)
     assert left.columns == docs.columns
-    want = {c for _, c in brute_simhash(list(enumerate(texts)), 3, 3).values()}
-    assert {r.doc_id for r in left.collect()} == want
+    assert {r.doc_id for r in left.collect()} == set(want.values())
+
+
+def test_near_copies_whole_table(spark):
+    rows = real(spark).select("doc_id", "text").collect()
+    want = brute_near_copies([(r.doc_id, r.text) for r in rows])
+    assert {r.doc_id: r.component_id for r in nearcopies.groups(real(spark)).collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_near_copies_long_text():
+    long = " ".join(f"w{i}" for i in range(100_000))
+    a, b = nearcopies.shingle_set(long), nearcopies.shingle_set(long + " more")
+    assert len(a) == 99_996 and len(b) == 99_997 and set(a) < set(b)
+    assert (nearcopies.band_values([a]) == nearcopies.band_values([b])).mean() > 0.9
+
+
+def test_near_copies_empty(spark):
+    assert nearcopies.groups(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 
 # -- language
@@ -138,7 +183,7 @@ def test_language_held_out(spark):
 def test_language_odd_rows(spark):
     got = {r.doc_id: r for r in langid.op1(docs_of(spark, TEXTS)).collect()}
     for i, t in enumerate(TEXTS):
-        none = not re.search(r"[^\W\d_]", t or "")
+        none = not any(c.isalpha() for c in t or "")
         assert (got[i].lang_pred == "und") == none, t
         assert not none or (got[i].score == 0 and got[i].rejected)
     assert langid.op1(docs_of(spark, TEXTS).limit(0)).count() == 0
