@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravia.llm import langid, packing, pii, quality, simhash
+from terravia.llm import langid, nearcopies, packing, pii, quality
 from terravia.llm.common import fresh_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,7 +21,7 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.stage(docs)
+    return nearcopies.stage(docs)
 
 
 def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
