@@ -50,3 +50,14 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), evaluated above df's own columns.
+
+    A condition on computed columns is otherwise moved below them, with their whole
+    definitions put in its place as often as they refer to each other. A column that is not
+    deterministic holds it where it is.
+    """
+    at = "__at"
+    return df.withColumn(at, F.monotonically_increasing_id()).where(condition & (F.col(at) >= 0)).drop(at)

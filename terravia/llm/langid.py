@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravia.llm.common import filtered
+
 PER_LANG, EXCERPT, DICT_BYTES = 256, 1024, 65536
 CHUNK = 8192
 BUCKETS = 1 << 30
@@ -129,5 +131,5 @@ def op1(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised by a sufficient margin; lang becomes the recognised one."""
     into = "__language"
-    found = identify(docs, into).where(~F.col(f"{into}.rejected"))
+    found = filtered(identify(docs, into), ~F.col(f"{into}.rejected"))
     return found.withColumn("lang", F.col(f"{into}.lang_pred")).select(docs.columns)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravia.llm.common import filtered
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 MIN_WORDS = 20
@@ -137,7 +139,7 @@ def op2(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep, with the failing lines removed; n_chars follows the text."""
     into = "__quality"
-    good = assess(docs, into=into).where(f"{into}.kept")
+    good = filtered(assess(docs, into=into), F.col(f"{into}.kept"))
     new = {"text": F.col(f"{into}.cleaned")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(F.col(f"{into}.cleaned")).cast(docs.schema["n_chars"].dataType)
