@@ -13,7 +13,10 @@ Texts with the same set of shingles are one node from the start, so a group of c
 costs one row. In each bucket first all members are compared with one of them, another
 one in every band. Buckets whose members then lie in one component need no more; in the
 others the pairs of members from different components are compared, so no candidate pair
-is left out and no group is expanded into all its pairs.
+is left out and no group is expanded into all its pairs. Within the join that meets them,
+most pairs under 0.8 are ruled out by bitmaps of parities: two such bitmaps differ in at
+most as many bits as the sets differ in members, and at 0.8 sets differ in at most a
+ninth of their joint sizes. The bound is exact; what it cannot rule out is verified.
 
 Defined cases: words are cut and lower-cased as for SimHash. A text of fewer words than a
 shingle is one shingle; texts without words are copies of each other. Rows with a null
@@ -36,6 +39,8 @@ from terravia.llm.common import kept
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 DISTANCE = 3
+#: Bits of a set's bitmap of parities. Sets of over nine times as many members are never ruled out by it.
+PARITY_BITS = 1024
 #: Hashes whose minima are taken at a time.
 HELD = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,10 +92,21 @@ def band_values(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
     return _mixed(joint + np.arange(bands, dtype=np.uint64)[:, None]).T
 
 
+def parities(hashes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """A bitmap as int64: each member of a set flips one of its bits."""
+    flips = np.bincount((_mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(one: Column, two: Column, bits: int = PARITY_BITS) -> Column:
+    """How many bits two bitmaps differ in."""
+    return sum((F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(1, bits // 64)), F.bit_count(one[0].bitwiseXOR(two[0])))
+
+
 def sketch(text: Column) -> Column:
-    """struct<key, bands>: equal keys for equal sets of shingles; no bands for an empty set."""
+    """struct<key, bands, size, parity>: equal keys for equal sets of shingles; no bands for an empty set."""
 
-    @F.pandas_udf("key binary, bands array<bigint>")
+    @F.pandas_udf("key binary, bands array<bigint>, size int, parity array<bigint>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch]
@@ -99,7 +115,7 @@ def sketch(text: Column) -> Column:
             if some:
                 for i, values in zip(some, band_values([sets[i] for i in some]).view(np.int64), strict=True):
                     bands[i] = values
-            yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": bands})
+            yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": bands, "size": [len(s) for s in sets], "parity": [parities(s) for s in sets]})
 
     return of(text)
 
@@ -132,9 +148,9 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id), a row for each row of docs with a doc_id."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = kept(docs.select("doc_id", simhash.fingerprint(F.col("text"), WORDS).alias("fp"), sketch(F.col("text")).alias("s")).select("doc_id", "fp", "s.key", "s.bands"))
+    rows = kept(docs.select("doc_id", simhash.fingerprint(F.col("text"), WORDS).alias("fp"), sketch(F.col("text")).alias("s")).select("doc_id", "fp", "s.*"))
     firsts = kept(rows.groupBy("key").agg(F.min("doc_id").alias("id")))
-    nodes = kept(rows.join(firsts.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "fp", "bands"))
+    nodes = kept(rows.join(firsts.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "fp", "bands", "size", "parity"))
 
     filed = nodes.select("id", F.explode("bands").alias("bucket"))
     centres = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id")).alias("c")).where("n > 1").select("bucket", F.col("c.id").alias("centre"))
@@ -148,9 +164,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
     found = shared.join(simhash.roots(links).withColumnRenamed("root", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
     mixed = found.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    apart = kept(found.join(mixed, "bucket", "left_semi"))
-    other = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-    crossing = apart.join(other, "bucket").where("id > b AND c <> d").select(F.col("id").alias("a"), "b")
+    apart = kept(found.join(mixed, "bucket", "left_semi").join(nodes.select("id", "size", "parity"), "id"))
+    other = apart.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("id", "c", "size", "parity")))
+    most = (F.col("size") + F.col("size_2")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    unlike = (F.col("id") > F.col("id_2")) & (F.col("c") != F.col("c_2")) & (differing(F.col("parity"), F.col("parity_2")) <= most)
+    crossing = apart.join(other, (apart["bucket"] == other["bucket"]) & unlike).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
     more = verified(docs, pairs(crossing).join(tried, ["a", "b"], "left_anti"))
 
     named = kept(simhash.roots(several.unionByName(links).unionByName(more)))
