@@ -24,11 +24,9 @@ encoded whole.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -183,10 +181,7 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         runs = {len(t): i for t, i in vocabulary.ids.items() if set(t) == {MARK}}
         self.runs, self.longest_run = runs, max(runs)
-        self.single = np.full(0x110000, UNKNOWN, dtype=np.int32)  # by code point
-        for t, i in vocabulary.ids.items():
-            if len(t) == 1:
-                self.single[ord(t)] = i
+        self.single = {t: i for t, i in vocabulary.ids.items() if len(t) == 1}
         self.as_bytes = [p.encode() for p in vocabulary.pieces]
         for byte, i in enumerate(vocabulary.bytes_):
             if i >= 0:
@@ -208,8 +203,7 @@ class Codec:
         text = "".join(f"{MARK}{w}\0" for w in words)
         lengths = np.array([len(w) + 2 for w in words])
         ends = np.cumsum(lengths) - 1
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = m.code[points]
+        codes = m.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         codes[ends] = 0
         starts, which = m.edges(codes)
         # edges that end at position p are those from first[p] to first[p + 1]
@@ -218,8 +212,7 @@ class Codec:
         last = [UNKNOWN] * (len(text) + 1)
         back = [0] * (len(text) + 1)
         begin = 0
-        alone = self.single[points].tolist()
-        compatible, met = v.compatible, pairs.get
+        single, compatible = self.single, v.compatible
         for word, end in zip(words, ends.tolist(), strict=True):
             edge = first[begin + 1]
             for stop in range(begin + 1, end + 1):
@@ -230,15 +223,17 @@ class Codec:
                     if s == begin:
                         break
                     key = last[s] << 20 | t
-                    good = met(key)
-                    if good is None:
+                    if key in pairs:
+                        if pairs[key]:
+                            break
+                    else:
                         pairs[key] = good = compatible(last[s], t)
-                    if good:
-                        break
+                        if good:
+                            break
                     edge += 1
                 else:  # no longer piece: the character itself
                     s = stop - 1
-                    t = alone[s]
+                    t = single.get(text[s], UNKNOWN)
                 last[stop] = t
                 back[stop] = s
                 edge = edges_end
@@ -281,8 +276,6 @@ class Codec:
 
     def _joined(self, parts: list[str]) -> list[int]:
         known, out, marks, lone = self.known, [], 0, self.runs[1]
-        if "" not in parts:  # single spaces only: each mark belongs to its word
-            return list(chain.from_iterable(map(known.__getitem__, parts)))
         for part in parts:
             marks += 1
             if part:
@@ -323,7 +316,6 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, id(shared.value))
-        gc.set_threshold(200_000)  # remembered words make no cycles; looking through them for some takes long
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
