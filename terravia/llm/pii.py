@@ -44,8 +44,8 @@ VALID_IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 TERM = r"\p{L}[\p{L}\p{M}\p{N}_]++"
 
 REACH = 6
-#: Characters on either side of an entity in which its REACH nearest words are looked for.
-AROUND = 120
+#: Matches of a text that are gathered at a time, so that a long list is not copied for each of its members.
+HELD = 128
 GENERALISE, REMOVE = 0.6, 0.85
 
 
@@ -54,15 +54,15 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), m.alias("value")))
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["long"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["long"]).alias("end"), p["value"].alias("value")))).alias("out"),
-        ),
-    )
-    return walked["out"]
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def step(a: Column, p: Column) -> Column:
+        start, end = a["at"] + p["gap"], a["at"] + p["gap"] + p["long"]
+        one, full = F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))), F.size(a["some"]) >= HELD
+        return F.struct(end.alias("at"), F.when(full, one).otherwise(F.concat(a["some"], one)).alias("some"), F.when(full, F.concat(a["out"], F.array(a["some"]))).otherwise(a["out"]).alias("out"))
+
+    lists = F.array().cast("array<array<struct<start:int,end:int,value:string>>>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("some"), lists.alias("out")), step, lambda a: F.flatten(F.concat(a["out"], F.array(a["some"]))))
 
 
 def _digits(value: Column) -> Column:
@@ -102,20 +102,42 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(labelled(i, kind, found) for i, (kind, found) in enumerate(by_kind.items()))))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the words within REACH of each span, outside all spans."""
+def _before(terms: Column, at: Column) -> Column:
+    """How many terms start before a position, by halving."""
+    n = F.size(terms)
+
+    def half(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        less, open_ = F.get(terms, middle)["start"] < at, a["low"] < a["high"]
+        return F.struct(F.when(open_ & less, middle + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~less, middle).otherwise(a["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), F.struct(F.lit(0).alias("low"), n.alias("high")), half, lambda a: a["low"])
+
+
+def _near(text: Column, terms: Column, spans: Column) -> Column:
+    """array<struct<entity, term, start, end>>: the words within REACH of each span, outside all spans. terms: as of matches(text, TERM).
+
+    Of a word that an edge of the span cuts, the part outside is taken for a word if it is one.
+    """
+    word = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+
+    def left(span: Column) -> Column:
+        n = _before(terms, span["start"])
+        last = F.slice(terms, F.greatest(F.lit(1), n - REACH), F.least(n, F.lit(REACH + 1)))
+        cut = F.filter(F.transform(last, lambda m: word(m["start"], F.least(m["end"], span["start"]))), lambda m: m["end"] - m["start"] > 1)
+        return F.slice(cut, F.greatest(F.lit(1), F.size(cut) - (REACH - 1)), F.lit(REACH))
+
+    def right(span: Column) -> Column:
+        n = _before(terms, span["end"])
+        over = F.filter(F.slice(terms, F.greatest(F.lit(1), n), F.least(n, F.lit(1))), lambda m: m["end"] > span["end"])
+        rest = F.transform(over, lambda m: word(m["end"] - F.length(F.regexp_extract(F.substring(text, span["end"] + 1, m["end"] - span["end"]), TERM, 0)), m["end"]))
+        whole = F.transform(F.slice(terms, n + 1, F.lit(REACH)), lambda m: word(m["start"], m["end"]))
+        return F.slice(F.concat(F.filter(rest, lambda m: m["start"] < m["end"]), whole), F.lit(1), F.lit(REACH))
 
-    def side(span: Column, before: bool) -> Column:
-        first = F.greatest(F.lit(0), span["start"] - AROUND) if before else span["end"]
-        piece = F.substring(text, first + 1, (span["start"] - first) if before else F.lit(AROUND))
-        found = matches(piece, TERM)
-        # a word cut by the edge of the piece is left out
-        whole = F.filter(found, lambda m: ((m["start"] > 0) | (first == 0) | F.lit(not before)) & ((m["end"] < F.length(piece)) | F.lit(before) | (F.length(piece) < AROUND)))
-        n = F.size(whole)
-        nearest = F.slice(whole, F.greatest(F.lit(1), n - (REACH - 1)) if before else F.lit(1), F.lit(REACH))
-        return F.transform(nearest, lambda m: F.struct(span["entity"].alias("entity"), F.lower(m["value"]).alias("term"), (first + m["start"]).alias("start"), (first + m["end"]).alias("end")))
+    def side(span: Column, found: Column) -> Column:
+        return F.transform(found, lambda m: F.struct(span["entity"].alias("entity"), F.lower(F.substring(text, m["start"] + 1, m["end"] - m["start"])).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
 
-    around = F.flatten(F.transform(spans, lambda s: F.concat(side(s, True), side(s, False))))
+    around = F.flatten(F.transform(spans, lambda s: F.concat(side(s, left(s)), side(s, right(s)))))
     return F.filter(around, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
 
 
@@ -124,7 +146,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), text.alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t")))
-    return rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, _near(F.col("t"), F.col("base"))).otherwise(F.array()).alias("near"))
+    rows = rows.withColumn("terms", F.when(F.size("base") > 0, matches(F.col("t"), TERM)).otherwise(_none()))
+    return rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, _near(F.col("t"), F.col("terms"), F.col("base"))).otherwise(F.array()).alias("near"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -304,6 +304,31 @@ def test_pii_real_terms(spark):
     assert got == {k: round(v, 9) for k, v in brute_disclosing(rows).items()}
 
 
+def brute_near(text):
+    """(term, start) within six words on either side of each entity, looked for in the whole text."""
+    term, base, out = re.compile(r"[^\W\d_][\w]+"), brute_base(text), set()
+    for s, _, e, _, _ in base:
+        around = [(m.start(), m.end(), m[0]) for m in term.finditer(text[:s])][-6:] + [(e + m.start(), e + m.end(), m[0]) for m in term.finditer(text[e:])][:6]
+        out |= {(w.lower(), x) for x, y, w in around if not any(x < b[2] and b[0] < y for b in base)}
+    return out
+
+
+def test_pii_words_far_off_in_characters(spark):
+    long = ["".join(random.Random(k).choices("abcdefgh", k=45)) for k in range(14)]
+    texts = [
+        "one two" + " " * 300 + "a@b.cd" + " . " * 200 + "three four",
+        " ".join(long[:7]) + " a@b.cd " + " ".join(long[7:]),
+        "漢" * 400 + " +1 555 010 9999 " + "字" * 400,
+        "word4539 1488 0343 6467more x4539 1488 0343 6467é ab4539148803436467_cd",
+        " ".join(f"w{k} a{k}@b.cd 1 2 3" for k in range(700)),
+        "a@b.cd",
+        *(t for t in HARD if t and brute_base(t)),
+    ]
+    got = {r.doc_id: {(w.term, w.start) for w in r.near} for r in pii.found_spans(docs_of(spark, texts)).collect()}
+    assert got == {i: brute_near(t) for i, t in enumerate(texts)}
+    assert len(got[1]) == 12 and {t for t, _ in got[0]} == {"one", "two", "three", "four"}
+
+
 def test_pii_rows_and_columns(spark):
     docs = docs_of(spark, ["mail a@b.cd", "mail a@b.cd", "none", None, "ip 1.2.3.4"], [None, 1, 1, 2, 3])
     out = pii.stage(docs)
