@@ -43,10 +43,10 @@ def road_vertices(edges: DataFrame, kind: str = "road") -> DataFrame:
     return vertices(roads) if not roads.isEmpty() else vertices(edges)
 
 
-def distances(edges: DataFrame, source: str, weights: dict[str, float] | None = None, penalties: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def distances(edges: DataFrame, source: str, weights: dict[str, float] | None = None, penalties: DataFrame | None = None) -> DataFrame:
     """node, cost, prev, eid, hops: the cheapest way from source to every vertex within reach.
 
-    Rounds of relaxation: only vertices that became cheaper are joined to their edges; each
+    Rounds of relaxation until none becomes cheaper: only vertices that did are joined to their edges; each
     round is checkpointed, and what reaches the driver is a count. Ties go to the smaller
     previous vertex, then edge.
     """
@@ -59,7 +59,7 @@ def distances(edges: DataFrame, source: str, weights: dict[str, float] | None =
     spark = edges.sparkSession
     best = spark.createDataFrame([(source, 0.0, None, None, 0)], "node string, cost double, prev string, eid string, hops int").checkpoint()
     front = best
-    for _ in range(max_rounds):
+    while True:
         moved = front.join(steps, front["node"] == steps["src"]).select(
             F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("prev"), steps["eid"].alias("eid"), (F.col("hops") + 1).alias("hops")
         )
@@ -71,14 +71,13 @@ def distances(edges: DataFrame, source: str, weights: dict[str, float] | None =
         best = step.drop("better")
         if front.isEmpty():
             return best
-    raise RuntimeError("paths of more hops than max_rounds")
 
 
-def path(reached: DataFrame, target: str, max_hops: int = 1024) -> DataFrame:
+def path(reached: DataFrame, target: str) -> DataFrame:
     """nth, eid, src, dst of the way to target; as many rounds as it has hops. Empty if out of reach."""
     at = reached.where(F.col("node") == target).select(F.col("node").alias("dst"), F.col("prev").alias("src"), "eid", "hops")
     rows, here = [], at.first()
-    while here is not None and here["src"] is not None and len(rows) < max_hops:
+    while here is not None and here["src"] is not None:
         rows.append((here["hops"], here["eid"], here["src"], here["dst"]))
         here = reached.where(F.col("node") == here["src"]).select(F.col("node").alias("dst"), F.col("prev").alias("src"), "eid", "hops").first()
     return reached.sparkSession.createDataFrame(rows, "nth int, eid string, src string, dst string")

@@ -36,7 +36,7 @@ def shortest_paths(spark, d):
 @register("shortest_path_edges")
 def shortest_path_edges(spark, d):
     _shared(spark)
-    edges = fx.edges(spark, d, small=True)
+    edges = fx.edges(spark, d)
     reached = G.distances(edges, "S1", G.WEIGHTS)
     last = reached.agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
     return G.path(reached, last)
@@ -46,7 +46,7 @@ def shortest_path_edges(spark, d):
 def loop_share(spark, d):
     """How much of the way back equals the way out, when the edges of the way out cost more."""
     _shared(spark)
-    edges = fx.edges(spark, d, small=True)
+    edges = fx.edges(spark, d)
     reached = G.distances(edges, "S1", G.WEIGHTS)
     last = reached.agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
     out = G.path(reached, last)

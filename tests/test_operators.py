@@ -1,5 +1,6 @@
 """Operators on literal rows, and properties that hold whatever the rows."""
 
+import heapq
 import math
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from terravia import fixtures as fx
 from terravia.functions import geodesy, solar, text
 from terravia.operators import assets, graph, journeys, places, raster
-from tests.conftest import SF
+from terravia.plans import network
+from tests.conftest import SF, SMALL
 
 PTS = "track_id string, day string, vidx long, x double, y double, t double, ele double, event_id long"
 
@@ -113,6 +115,42 @@ def test_shortest_path_takes_the_cheaper_of_parallel_edges(spark):
     assert {r.node: r.eid for r in punished.collect()}["a"] == "4"
 
 
+def dijkstra(rows, source, factors=()):
+    """node: cost, over edges travelled both ways."""
+    out, best, heap = {}, {}, [(0.0, source)]
+    for r in rows:
+        c = r["len_m"] * graph.WEIGHTS[r["class"]] * dict(factors).get(r["eid"], 1.0)
+        for a, b in ((r["src"], r["dst"]), (r["dst"], r["src"])):
+            out.setdefault(a, []).append((b, c))
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = cost
+            for b, c in out.get(node, []):
+                heapq.heappush(heap, (cost + c, b))
+    return best
+
+
+def test_paths_go_through_the_whole_network(spark):
+    rows = {r["eid"]: r for r in fx.edges(spark, SMALL).collect()}
+    want = dijkstra(rows.values(), "S1")
+    cost, last = max((c, n) for n, c in want.items())
+    assert {r.node: r.cost for r in graph.distances(fx.edges(spark, SMALL), "S1", graph.WEIGHTS).collect()} == want
+    cost_of = lambda way, f=1.0, hit=(): sum(rows[r.eid]["len_m"] * graph.WEIGHTS[rows[r.eid]["class"]] * (f if r.eid in hit else 1.0) for r in way)
+    out = network.shortest_path_edges(spark, SMALL).collect()
+    assert cost_of(out) == cost and last in {max(out, key=lambda r: r.nth).dst}
+    used = {r.eid for r in out}
+    reached = graph.distances(fx.edges(spark, SMALL), last, graph.WEIGHTS, spark.createDataFrame([(e, 4.0) for e in used], "eid string, factor double"))
+    back = graph.path(reached, "S1").collect()
+    assert cost_of(back, 4.0, used) == dijkstra(rows.values(), last, [(e, 4.0) for e in used])["S1"]
+    assert network.loop_share(spark, SMALL).first().share == len(used & {r.eid for r in back}) / len(used)
+
+
+def test_paths_of_many_hops(spark):
+    chain = spark.createDataFrame([(str(i), f"n{i}", f"n{i + 1}", "trail", 1) for i in range(66)], "eid string, src string, dst string, class string, len_m long")
+    assert graph.distances(chain, "n0").agg(F.max("hops")).first()[0] == 66
+
+
 def test_projection_control_and_range(spark):
     x, y = geodesy.utm(F.col("lon"), F.col("lat"), 10)
     rows = spark.createDataFrame([(-123.0, 0.0), (-60.0, 40.0)], "lon double, lat double").select(x.alias("x"), y.alias("y")).collect()
