@@ -62,7 +62,7 @@ def nearest_spot(spark, d):
 
 
 def _spots(p, even):
-    half = p.where(F.col("vidx") % 2 == (0 if even else 1)).where("vidx < 16")
+    half = p.where(F.col("vidx") % 2 == (0 if even else 1))
     return half.select("track_id", F.col("vidx").alias("nth"), "x", "y", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("L"), F.col("event_id").cast("string"))).otherwise("").alias("label"))
 
 
@@ -87,7 +87,7 @@ def annotate_carry(spark, d):
     ),
 )
 def waypoint_merge(spark, d):
-    p = fx.points(spark, d, by_user=True)
+    p = fx.points(spark, d, by_user=True).where("vidx < 16")
     return P.merge_waypoints(_spots(p, True).drop("label"), _spots(p, False).drop("label"), "track_id", 10000.0)
 
 

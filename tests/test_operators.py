@@ -11,6 +11,7 @@ from terravia import fixtures as fx
 from terravia.functions import geodesy, solar, text
 from terravia.operators import assets, graph, journeys, places, raster
 from terravia.plans import network
+from terravia.plans import places as plans_places
 from tests.conftest import SF, SMALL
 
 PTS = "track_id string, day string, vidx long, x double, y double, t double, ele double, event_id long"
@@ -73,6 +74,25 @@ def test_carry_annotations(spark):
     assert got == [("s", 10.0, "camp"), ("s", 50000.0, ""), ("s", 100.0, "lake"), ("s", 90000.0, "far"), ("u", 1.0, "")]
 
 
+def test_annotations_are_carried_along_whole_tracks(spark):
+    tracks = {}
+    for r in fx.points(spark, SMALL, by_user=True).orderBy("track_id", "vidx").collect():
+        tracks.setdefault(r.track_id, []).append(r)
+    want = []
+    for tid, points in tracks.items():
+        acc = [[r.x, r.y, ""] for r in points if r.vidx % 2]
+        for o in (r for r in points if r.vidx % 2 == 0 and r.event_id % 3 == 0):
+            d2, i = min((((s[0] - o.x) ** 2 + (s[1] - o.y) ** 2, i) for i, s in enumerate(acc)), default=(math.inf, None))
+            if d2 <= places.CARRY_M**2 and not acc[i][2]:
+                acc[i][2] = f"L{o.event_id}"
+            else:
+                acc.append([o.x, o.y, f"L{o.event_id}"])
+        want += [(tid, i, *s) for i, s in enumerate(acc)]
+    got = plans_places.annotate_carry(spark, SMALL).collect()
+    assert max(map(len, tracks.values())) > 16
+    assert sorted((r.track_id, r.pos, r.x, r.y, r.label) for r in got) == sorted(want)
+
+
 def test_cast_shadow_is_the_running_horizon(spark):
     z = [0.0, 100.0, 20.0, 90.0, 0.0, 0.0]
     cells = spark.createDataFrame([(0, j, v) for j, v in enumerate(z)], "row long, col long, v double")
