@@ -44,6 +44,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        names.append(name)
+        taken.add(name.lower())
+    return names
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -59,5 +72,5 @@ def filtered(df: DataFrame, condition: Column) -> DataFrame:
     definitions put in its place as often as they refer to each other. A column that is not
     deterministic holds it where it is.
     """
-    at = "__at"
+    (at,) = unused(df, "at")
     return df.withColumn(at, F.monotonically_increasing_id()).where(condition & (F.col(at) >= 0)).drop(at)

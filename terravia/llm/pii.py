@@ -1,23 +1,27 @@
 """Personal data: patterns, and terms whose co-occurrence gives a protected entity away.
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers.
-Each distinct value found is a protected entity. Words that stand near an entity may
-reveal it even when it is masked. How strongly is estimated from the whole corpus: with
-N documents, n(c) that contain the entity c, n(t) that contain the term t and n(c,t) where
-t stands within REACH words of c, the pointwise mutual information
-log2(N n(c,t) / (n(c) n(t))) is the information about c that t gives, and its share of
-c's own information log2(N / n(c)) is the disclosure. It is 1 where t never appears away
-from c, and near 0 for common words. Only pairs seen in two different texts or more are
-an estimate: exact copies add no evidence. Near an entity, a term whose disclosure
-reaches GENERALISE is replaced by its kind ([NAME], [NUMBER] or [TERM]); from REMOVE on
-it is removed. Documents without a protected entity are left as they are.
+Words that stand near one may reveal it even when it is masked. How strongly is estimated
+from the whole corpus, for protected entities of three levels: the value itself, its
+group (an e-mail's domain, half an IP address, a card's issuer, a phone number without
+its last four digits) and its kind. With N documents, n(c) that contain the entity c, n(t)
+that contain the term t and n(c,t) where t stands within REACH words of c, t gives
+log2(N p / n(c)) bits about c, where p = n(c,t) / n(t) * d / (d + PRIOR) bounds the share
+of t's documents that hold c from below: d is in how many different texts the pair was
+seen, so exact copies add no evidence and a single mention counts for little. The
+disclosure is the share of that in c's own information log2(N / n(c)). Entities that only one
+text contains are judged by their group and kind. Near an entity, a term whose disclosure
+at any level reaches GENERALISE is replaced by its kind ([NAME], [NUMBER] or [TERM]); from
+REMOVE on it is removed. Documents without a protected entity are left as they are.
 
 DataFrame functions only. Positions are found by cutting a text at its matches; patterns
-are written with possessive quantifiers, so that long runs neither backtrack nor recurse.
-Shuffles carry terms and positions, no texts, but in `sanitise`, where only the texts
-that can hold an entity are joined with their spans. Counts are aggregated before each
-shuffle, and pairs are limited to the words near an entity, so a group of copies or a
-frequent entity makes rows in proportion to its mentions.
+are written with possessive quantifiers, so that long runs neither backtrack nor recurse,
+and positions come from running sums (`running`) and are looked up by halving, so that a
+list of addresses takes little more than time in proportion to its length. Shuffles
+carry terms and positions, no texts, but in `sanitise`, where only the texts that can
+hold an entity are joined with their spans. Counts are aggregated before each shuffle, and
+pairs are limited to the words near an entity, so a group of copies or a frequent entity
+makes rows in proportion to its mentions; each join has one row a key on its other side.
 
 Defined cases: a null text is an empty one (no spans; `sanitise` leaves it null). Spans
 count code points, the end excluded; kinds are matched independently and may overlap.
@@ -27,10 +31,12 @@ names pass through `sanitise`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravia.llm.common import kept
+from terravia.llm.common import kept, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # The leftmost match of a run starts at its beginning or where the last match ended.
@@ -44,25 +50,35 @@ VALID_IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 TERM = r"\p{L}[\p{L}\p{M}\p{N}_]++"
 
 REACH = 6
-#: Matches of a text that are gathered at a time, so that a long list is not copied for each of its members.
-HELD = 128
 GENERALISE, REMOVE = 0.6, 0.85
+#: So many texts without a pair are set against those that have it.
+PRIOR = 3
+#: Code points of a text that are looked through to cut a piece out of it.
+BLOCK = 1024
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, joint: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of integers: joint over all up to each. Steps of 1, 2, 4 ...: a fold would copy what it gathers for every value."""
+    powers = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(values))
+    return F.aggregate(powers, values, lambda a, p: F.transform(a, lambda x, i: F.when(i >= p, joint(x, F.get(a, i - p))).otherwise(x)))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>>: the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), m.alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    pairs = bound(found, lambda f: F.zip_with(f, F.slice(gaps, F.lit(1), F.size(f)), lambda m, g: F.struct((F.length(g) + F.length(m)).alias("step"), F.length(m).alias("long"), m.alias("value"))))
 
-    def step(a: Column, p: Column) -> Column:
-        start, end = a["at"] + p["gap"], a["at"] + p["gap"] + p["long"]
-        one, full = F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))), F.size(a["some"]) >= HELD
-        return F.struct(end.alias("at"), F.when(full, one).otherwise(F.concat(a["some"], one)).alias("some"), F.when(full, F.concat(a["out"], F.array(a["some"]))).otherwise(a["out"]).alias("out"))
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda p: p["step"]), lambda x, y: x + y)
+        return F.zip_with(rows, ends, lambda p, end: F.struct((end - p["long"]).alias("start"), end.alias("end"), p["value"].alias("value")))
 
-    lists = F.array().cast("array<array<struct<start:int,end:int,value:string>>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("some"), lists.alias("out")), step, lambda a: F.flatten(F.concat(a["out"], F.array(a["some"]))))
+    return bound(pairs, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -102,43 +118,57 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(labelled(i, kind, found) for i, (kind, found) in enumerate(by_kind.items()))))
 
 
-def _before(terms: Column, at: Column) -> Column:
-    """How many terms start before a position, by halving."""
-    n = F.size(terms)
+def _before(rows: Column, at: Column) -> Column:
+    """How many rows (by start) start before a position, by halving."""
+    n = F.size(rows)
 
     def half(a: Column, _: Column) -> Column:
         middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
-        less, open_ = F.get(terms, middle)["start"] < at, a["low"] < a["high"]
+        less, open_ = F.get(rows, middle)["start"] < at, a["low"] < a["high"]
         return F.struct(F.when(open_ & less, middle + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~less, middle).otherwise(a["high"]).alias("high"))
 
     return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), F.struct(F.lit(0).alias("low"), n.alias("high")), half, lambda a: a["low"])
 
 
-def _near(text: Column, terms: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the words within REACH of each span, outside all spans. terms: as of matches(text, TERM).
+def merged(spans: Column) -> Column:
+    """array<struct<start, end, name>>: spans (by start) that overlap are one, with the first one's name."""
+
+    def joined(reach: Column) -> Column:
+        fresh = lambda s, i: (i == 0) | (s["start"] >= F.get(reach, i - 1))
+        numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["name"].alias("name"), i.alias("i"), fresh(s, i).alias("fresh")))
+        last = lambda f, j: F.coalesce(F.get(f, j + 1)["i"], F.size(reach)) - 1
+        return bound(F.filter(numbered, lambda s: s["fresh"]), lambda f: F.transform(f, lambda s, j: F.struct(s["start"].alias("start"), F.get(reach, last(f, j)).alias("end"), s["name"].alias("name"))))
+
+    return bound(running(F.transform(spans, lambda s: s["end"]), F.greatest), joined)
 
-    Of a word that an edge of the span cuts, the part outside is taken for a word if it is one.
+
+def _near(terms: Column, spans: Column, one: Column) -> Column:
+    """array<struct<entity, term, start, end>>: the words within REACH of each span, outside all spans.
+
+    terms: as of matches(text, TERM); one: as of merged(spans). Of a word that an edge of the
+    span cuts, the part outside is taken for a word if it is one.
     """
-    word = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    word = lambda start, end, value: F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
 
     def left(span: Column) -> Column:
         n = _before(terms, span["start"])
         last = F.slice(terms, F.greatest(F.lit(1), n - REACH), F.least(n, F.lit(REACH + 1)))
-        cut = F.filter(F.transform(last, lambda m: word(m["start"], F.least(m["end"], span["start"]))), lambda m: m["end"] - m["start"] > 1)
+        cut = F.filter(F.transform(last, lambda m: word(m["start"], F.least(m["end"], span["start"]), F.substring(m["value"], F.lit(1), span["start"] - m["start"]))), lambda m: m["end"] - m["start"] > 1)
         return F.slice(cut, F.greatest(F.lit(1), F.size(cut) - (REACH - 1)), F.lit(REACH))
 
     def right(span: Column) -> Column:
         n = _before(terms, span["end"])
         over = F.filter(F.slice(terms, F.greatest(F.lit(1), n), F.least(n, F.lit(1))), lambda m: m["end"] > span["end"])
-        rest = F.transform(over, lambda m: word(m["end"] - F.length(F.regexp_extract(F.substring(text, span["end"] + 1, m["end"] - span["end"]), TERM, 0)), m["end"]))
-        whole = F.transform(F.slice(terms, n + 1, F.lit(REACH)), lambda m: word(m["start"], m["end"]))
+        tail = lambda m: F.regexp_extract(F.substring(m["value"], span["end"] - m["start"] + 1, m["end"] - span["end"]), TERM, 0)
+        rest = F.transform(over, lambda m: word(m["end"] - F.length(tail(m)), m["end"], tail(m)))
+        whole = F.transform(F.slice(terms, n + 1, F.lit(REACH)), lambda m: word(m["start"], m["end"], m["value"]))
         return F.slice(F.concat(F.filter(rest, lambda m: m["start"] < m["end"]), whole), F.lit(1), F.lit(REACH))
 
     def side(span: Column, found: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(span["entity"].alias("entity"), F.lower(F.substring(text, m["start"] + 1, m["end"] - m["start"])).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+        return F.transform(found, lambda m: F.struct(span["entity"].alias("entity"), F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
 
     around = F.flatten(F.transform(spans, lambda s: F.concat(side(s, left(s)), side(s, right(s)))))
-    return F.filter(around, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+    return F.filter(around, lambda w: F.coalesce(F.get(one, _before(one, w["end"]) - 1)["end"] <= w["start"], F.lit(True)))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -146,35 +176,55 @@ def found_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), text.alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t")))
-    rows = rows.withColumn("terms", F.when(F.size("base") > 0, matches(F.col("t"), TERM)).otherwise(_none()))
-    return rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, _near(F.col("t"), F.col("terms"), F.col("base"))).otherwise(F.array()).alias("near"))
+    some = F.size("base") > 0
+    rows = rows.withColumn("terms", F.when(some, matches(F.col("t"), TERM)).otherwise(_none()))
+    rows = rows.withColumn("one", F.when(some, merged(F.col("base"))).otherwise(F.array()))
+    return rows.select("doc_id", "key", "base", F.when(some, _near(F.col("terms"), F.col("base"), F.col("one"))).otherwise(F.array()).alias("near"))
+
+
+def levels(entity: Column) -> Column:
+    """An entity's value, group and kind."""
+    kind, value = F.substring_index(entity, ":", 1), F.substring(entity, F.locate(":", entity) + F.lit(1), F.length(entity))
+    group = (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(value, 1, 6))
+        .otherwise(F.substring(value, F.lit(1), F.length(value) - 4))
+    )
+    return F.array(entity, F.concat(kind, F.lit(" of "), group), kind)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure for the pairs that reach the threshold. found: as of found_spans(docs)."""
     some = found.where(F.size("base") > 0)
-    pairs = some.select("key", F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p"))
-    together = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_ct"), F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("entity", "term", "n_ct")
-    entities = some.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
+    # text, since lists of texts are made distinct by hashing and lists of structs are not
+    joint = F.flatten(F.transform("near", lambda w: F.transform(levels(w["entity"]), lambda x: F.concat(x, F.lit("\0"), w["term"]))))
+    pairs = some.select("key", F.explode(F.array_distinct(joint)).alias("p")).groupBy("p", "key").agg(F.count("*").alias("n"))
+    together = pairs.groupBy("p").agg(F.sum("n").alias("n_ct"), F.count("*").alias("d"))
+    together = together.select(F.substring_index("p", "\0", 1).alias("entity"), F.substring_index("p", "\0", -1).alias("term"), "n_ct", "d")
+    entities = some.select("key", F.explode(F.array_distinct(F.flatten(F.transform("base", lambda s: levels(s["entity"]))))).alias("entity"))
+    entities = entities.groupBy("entity").agg(F.count("*").alias("n_c"), F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").drop("a", "b")
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.select(F.lit(1)).groupBy().agg(F.count("*").alias("n"))
     scored = together.join(entities, "entity").join(terms, "term").join(F.broadcast(total))  # one row
-    share = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_c"))
+    p = F.col("n_ct") / F.col("n_t") * (F.col("d") / (F.col("d") + PRIOR))
+    share = F.log2(F.col("n") * p / F.col("n_c")) / F.log2(F.col("n") / F.col("n_c"))
     return scored.where("n_c < n").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def all_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, key, base, added for each row of docs. added: array<struct<start, kind, end, name>>, name `term` or `removed`."""
     found = kept(found_spans(docs))
-    pairs = disclosing(docs, found, generalise, remove)
-    uses = found.where(F.size("near") > 0).select("doc_id", "key", F.explode(F.array_distinct("near")).alias("w")).select("doc_id", "key", "w.*")
+    pairs = disclosing(docs, found, generalise)
+    some = found.where(F.size("near") > 0)
+    uses = some.select("doc_id", "key", F.explode("near").alias("w")).select("doc_id", "key", "w.term", "w.start", "w.end", F.explode(levels(F.col("w.entity"))).alias("entity"))
     action = F.when(F.max("disclosure") >= remove, "removed").otherwise("term")
     hits = uses.join(pairs, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(action.alias("name"))
-    added = hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "name"))).alias("added"))
+    added = hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "name"))).alias("added"))
     added = added.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    joined = found.drop("near").join(added, found["doc_id"].eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    return joined.select("doc_id", "key", "base", F.coalesce("added", none).alias("added"))
+    joined = some.drop("near").join(added, some["doc_id"].eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "base", F.coalesce("added", none).alias("added"))
+    return joined.unionByName(found.where(F.size("near") == 0).select("doc_id", "key", "base", none.alias("added")))
 
 
 def _listed(spans: Column) -> Column:
@@ -193,38 +243,42 @@ def op3(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(_joint(F.col("base"), F.col("added"))).alias("spans"))
 
 
-def mask(text: Column, spans: Column) -> Column:
-    """text with each span replaced: base kinds by their name, terms by their kind, removed terms by nothing. Overlapping spans become one."""
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end; blocks: the text in blocks of BLOCK code points."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.ceil(end / BLOCK).cast("int") - first), "")
+    return F.when(end > start, F.substring(some, start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def mask(blocks: Column, spans: Column) -> Column:
+    """A text (in blocks) with each span replaced: base kinds by their name, terms by their kind, removed terms by nothing. spans: as of merged()."""
 
     def shown(s: Column) -> Column:
-        word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        kind = F.when(word.rlike(r"^\p{N}"), "[NUMBER]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+        first = F.when(s["name"] == "term", piece(blocks, s["start"], s["start"] + 1))
+        kind = F.when(first.rlike(r"^\p{N}"), "[NUMBER]").when(first.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
         return F.when(s["name"] == "removed", "").when(s["name"] == "term", kind).otherwise(F.concat(F.lit("["), F.upper(s["name"]), F.lit("]")))
 
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), shown(s)))).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    done = F.transform(F.array(walked), lambda w: F.concat(F.array_join(w["out"], ""), F.substring(text, w["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, F.get(done, F.lit(0))).otherwise(text)
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    parts = F.transform(spans, lambda s, i: F.concat(piece(blocks, before(i), s["start"]), shown(s)))
+    tail = piece(blocks, before(F.size(spans)), F.size(blocks) * BLOCK)
+    return F.concat(F.array_join(parts, ""), tail)
 
 
 #: Every entity has one of these.
-MAY_HOLD = "[0-9@]"
+MAY_HOLD = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){11}"
 
 
 def sanitise(docs: DataFrame, into: str = "text") -> DataFrame:
     """docs with the spans masked in column `into`. Texts that cannot hold an entity are not shuffled."""
-    spans = all_spans(docs).where(F.size("base") > 0).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), _joint(F.col("base"), F.col("added")).alias("__spans")).dropDuplicates(["__d", "__k"])
+    d, k, found, blocks = unused(docs, "d", "k", "found", "blocks")
+    one = merged(_joint(F.col("base"), F.col("added")))
+    spans = all_spans(docs).where(F.size("base") > 0).select(F.col("doc_id").alias(d), F.col("key").alias(k), one.alias(found)).dropDuplicates([d, k])
     may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
     held = docs.where(may)
-    joined = held.join(spans, held["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(held["text"]) == F.col("__k")), "left")
-    masked = joined.withColumn(into, F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("__spans"))))
-    return masked.drop("__d", "__k", "__spans").unionByName(docs.where(~may).withColumn(into, F.col("text")))
+    joined = held.join(spans, held["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(held["text"]) == F.col(k)), "left")
+    joined = joined.withColumn(blocks, F.when(F.col(found).isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    masked = joined.withColumn(into, F.when(F.col(found).isNull(), F.col("text")).otherwise(mask(F.col(blocks), F.col(found))))
+    return masked.drop(d, k, found, blocks).unionByName(docs.where(~may).withColumn(into, F.col("text")))
 
 
 def stage(docs: DataFrame) -> DataFrame:

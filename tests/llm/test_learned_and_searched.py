@@ -262,26 +262,55 @@ def test_pii_base_spans(spark):
     check_base(pii.op3(real(spark)).collect(), {r.doc_id: r.text for r in rows})
 
 
+WORD = re.compile(r"[^\W\d_][\w]+")
+
+
+def brute_levels(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    value, group = {"email": (v.lower(), v.lower().split("@")[-1]), "ip": (v, ".".join(v.split(".")[:2])), "card": (d, d[:6]), "phone": (d, d[:-4])}[kind]
+    return f"{kind}:{value}", f"{kind} of {group}", kind
+
+
+def brute_around(text):
+    """(levels of the entity, term, start, end) of the six words on either side of each entity, outside all of them."""
+    base, out = brute_base(text), []
+    for s, _, e, k, v in base:
+        left = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text[:s])][-6:]
+        right = [(e + m.start(), e + m.end(), m[0]) for m in WORD.finditer(text[e:])][:6]
+        out += [(brute_levels(k, v), w.lower(), x, y) for x, y, w in left + right if not any(x < b[2] and b[0] < y for b in base)]
+    return out
+
+
 def brute_disclosing(texts):
     """The same estimate, pair by pair."""
-    n, n_c, n_t, pairs, seen = len(texts), Counter(), Counter(), Counter(), defaultdict(set)
-    term = re.compile(r"[^\W\d_][\w]+")
+    n, n_c, n_t, pairs, seen, holds = len(texts), Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
     for text in texts:
-        base = brute_base(text)
-        norm = [f"{k}:" + (v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)) for _, _, _, k, v in base]
-        n_c.update(set(norm))
-        n_t.update({m[0].lower() for m in term.finditer((text or "").lower())})
-        near = set()
-        for (s, _, e, _, _), c in zip(base, norm, strict=True):
-            a = max(0, s - 120)
-            left = [(a + m.start(), a + m.end(), m[0]) for m in term.finditer(text[a:s]) if m.start() > 0 or a == 0][-6:]
-            right = [(e + m.start(), e + m.end(), m[0]) for m in term.finditer(text[e : e + 120]) if m.end() < len(text[e : e + 120]) or len(text[e : e + 120]) < 120][:6]
-            near |= {(c, w.lower()) for x, y, w in left + right if not any(x < b[2] and b[0] < y for b in base)}
+        mine = {x for _, _, _, k, v in brute_base(text) for x in brute_levels(k, v)}
+        n_c.update(mine)
+        for x in mine:
+            holds[x].add(text)
+        n_t.update({m[0] for m in WORD.finditer((text or "").lower())})
+        near = {(c, w) for three, w, _, _ in brute_around(text) for c in three}
         for p in near:
             pairs[p] += 1
             seen[p].add(text)
-    share = lambda c, t: log2(n * pairs[c, t] / (n_c[c] * n_t[t])) / log2(n / n_c[c])
-    return {(c, t): share(c, t) for c, t in pairs if len(seen[c, t]) > 1 and n_c[c] < n and share(c, t) >= pii.GENERALISE}
+    p = lambda c, t: pairs[c, t] / n_t[t] * len(seen[c, t]) / (len(seen[c, t]) + pii.PRIOR)
+    share = lambda c, t: log2(n * p(c, t) / n_c[c]) / log2(n / n_c[c])
+    return {(c, t): share(c, t) for c, t in pairs if len(holds[c]) > 1 and n_c[c] < n and share(c, t) >= pii.GENERALISE}
+
+
+def brute_spans(texts):
+    """The whole spans column."""
+    told, out = brute_disclosing(texts), []
+    for text in texts:
+        added = defaultdict(float)
+        for three, w, x, y in brute_around(text):
+            best = max((told[c, w] for c in three if (c, w) in told), default=None)
+            if best is not None:
+                added[x, y] = max(added[x, y], best)
+        extra = [(x, 4, y, "removed" if v >= pii.REMOVE else "term", "") for (x, y), v in added.items()]
+        out.append(listed(sorted(brute_base(text) + extra)))
+    return out
 
 
 def test_pii_disclosing_terms(spark):
@@ -292,6 +321,7 @@ def test_pii_disclosing_terms(spark):
     got = {(r.entity, r.term): round(r.disclosure, 9) for r in pii.disclosing(docs, found).collect()}
     want = {k: round(v, 9) for k, v in brute_disclosing(texts).items()}
     assert got == want and ("phone:15550109999", "zorblat") in got and not any(t == "quuxel" or t == "the" for _, t in got)
+    assert [r.spans for r in sorted(pii.op3(docs).collect(), key=lambda r: r.doc_id)] == brute_spans(texts)
     masked = {r.doc_id: r.text for r in pii.stage(docs).collect()}
     assert "Zorblat" not in masked[40] and "+1 555" not in masked[40] and "[PHONE]" in masked[40]
     assert masked[43] == "the card [CARD] of Quuxel"
@@ -299,9 +329,40 @@ def test_pii_disclosing_terms(spark):
 
 
 def test_pii_real_terms(spark):
-    rows = [r.text for r in real(spark).select("text").collect()]
+    rows = sorted(real(spark).select("doc_id", "text").collect())
+    texts = [r.text for r in rows]
     got = {(r.entity, r.term): round(r.disclosure, 9) for r in pii.disclosing(real(spark), pii.found_spans(real(spark))).collect()}
-    assert got == {k: round(v, 9) for k, v in brute_disclosing(rows).items()}
+    assert got == {k: round(v, 9) for k, v in brute_disclosing(texts).items()}
+    spans = {r.doc_id: r.spans for r in pii.op3(real(spark)).collect()}
+    assert [spans[r.doc_id] for r in rows] == brute_spans(texts)
+    added = [x for x in spans.values() if "term:" in x or "removed:" in x]
+    assert len(added) > 20 and all(brute_base(t) or not spans[r.doc_id] for r, t in zip(rows, texts, strict=True))
+    masked = {r.doc_id: r.text for r in pii.stage(real(spark)).collect()}
+    assert all(masked[r.doc_id] == r.text for r in rows if not spans[r.doc_id])
+    for r in rows:
+        if spans[r.doc_id]:
+            assert masked[r.doc_id] == brute_mask(r.text, spans[r.doc_id])
+
+
+def brute_mask(text, spans):
+    out, at = [], 0
+    for part in spans.split(","):
+        name, s, e = part.split(":")
+        s, e = int(s), int(e)
+        if s >= at:
+            word = text[s]
+            out += [text[at:s], "" if name == "removed" else f"[{name.upper()}]" if name != "term" else "[NUMBER]" if word.isnumeric() else "[NAME]" if word.isupper() else "[TERM]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_pii_long_lists_and_texts(spark):
+    """A list of addresses, a megabyte without a space, a megabyte of words around one number."""
+    texts = [" ".join(f"mail w{k} a{k}@b.cd now" for k in range(3000)), "é" * 1_000_000 + "a@b.cd" + "x" * 1_000_000, "word " * 200_000 + "+1 555 010 9999" + " word" * 1000]
+    masked = [r.text for r in sorted(pii.stage(docs_of(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    rows = {r.doc_id: r for r in pii.op3(docs_of(spark, texts)).collect()}
+    assert rows[0].n_email == 3000 and rows[1].n_email == 1 and rows[2].n_phone == 1
+    assert masked[1] == brute_mask(texts[1], rows[1].spans) and masked[2] == brute_mask(texts[2], rows[2].spans) and masked[0] == brute_mask(texts[0], rows[0].spans)
 
 
 def brute_near(text):
@@ -329,6 +390,12 @@ def test_pii_words_far_off_in_characters(spark):
     assert len(got[1]) == 12 and {t for t, _ in got[0]} == {"one", "two", "three", "four"}
 
 
+def test_pii_clashing_names(spark):
+    docs = docs_of(spark, ["mail a@b.cd", "none"]).withColumnsRenamed({"key": "__d", "source": "__spans"}).withColumns({"__k": F.lit(1), "d": F.lit(2), "found": F.lit(3)})
+    out = pii.stage(docs)
+    assert out.columns == docs.columns and {r["__d"] for r in out.collect()} == {"clash"}
+
+
 def test_pii_rows_and_columns(spark):
     docs = docs_of(spark, ["mail a@b.cd", "mail a@b.cd", "none", None, "ip 1.2.3.4"], [None, 1, 1, 2, 3])
     out = pii.stage(docs)
