@@ -30,6 +30,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravia.llm.common import bound, running
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: After the first character of the control strings of common templates.
 CONTROLS = r"(<)(\\*)(\||/?s>|</?SYS>>)|(\[)(\\*)(/?INST\]|/?TOOL|AVAILABLE_TOOLS)"
@@ -90,13 +92,9 @@ def format_chat(turns: DataFrame, visitor: Visitor | None = None, trained: str =
     talks = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "segments"))).alias("turns"))
     # attachments in order, so that placeholders can be numbered
     talks = talks.withColumn("attached", F.filter(F.flatten(F.transform("turns", lambda t: t["segments"])), lambda s: s["uri"].isNotNull() | (s["kind"] != "text")))
-    before = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("firsts")),
-        lambda a, t: F.struct((a["n"] + F.size(F.filter(t["segments"], lambda s: s["kind"] != "text"))).alias("n"), F.concat(a["firsts"], F.array(a["n"])).alias("firsts")),
-    )
+    counts = F.transform("turns", lambda t: F.size(F.filter(t["segments"], lambda s: s["kind"] != "text")))
     several = F.size("attached") > 0
-    talks = talks.withColumn("firsts", F.when(several, before["firsts"]))
+    talks = talks.withColumn("firsts", F.when(several, bound(counts, lambda n: F.zip_with(n, running(n, lambda x, y: x + y), lambda x, y: y - x))))
 
     def content(turn: Column, at: Column) -> Column:
         first = F.coalesce(F.get("firsts", at), F.lit(0))
@@ -110,27 +108,14 @@ def format_chat(turns: DataFrame, visitor: Visitor | None = None, trained: str =
     talks = talks.withColumn("shown", F.transform("turns", lambda t, i: F.struct(F.url_encode(t["role"]).alias("role"), content(t, i).alias("content"), (t["role"] == trained).alias("trained"))))
     heads = F.transform("shown", lambda t: F.struct(F.concat(F.lit(START), t["role"], F.lit("\n")).alias("head"), t["content"].alias("content"), t["trained"].alias("trained")))
     talks = talks.withColumn("pieces", heads).drop("shown")
-    mask = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["content"]) + len(END)).cast("long").alias("at"),
-            F.when(
-                p["trained"],
-                F.concat(
-                    a["spans"],
-                    F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), (a["at"] + F.length(p["head"]) + F.length(p["content"])).alias("end"))),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-    )
+    ends = running(F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["content"]) + len(END)), lambda x, y: x + y)
+    placed = F.zip_with("pieces", ends, lambda p, e: F.struct((e - len(END) - F.length(p["content"])).cast("long").alias("start"), (e - len(END)).cast("long").alias("end"), p["trained"].alias("trained")))
+    mask = F.transform(F.filter(placed, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return talks.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["content"], F.lit(END))), "").alias("formatted"),
-        mask["spans"].alias("loss_mask"),
+        mask.alias("loss_mask"),
         F.transform("attached", lambda s, i: F.struct(i.cast("int").alias("placeholder"), s["kind"].alias("kind"), s["uri"].alias("uri"), s["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate("attached", F.lit(0).cast("long"), lambda a, s: a + s["tokens"]).alias("expanded_tokens"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(path: str) -> None:
+    """Remove a folder of intermediate rows that nothing reads any more."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    if system.get_file_info(name).type == fs.FileType.Directory:
+        system.delete_dir(name)
+
+
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -65,6 +75,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, joint: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of integers: joint over all up to each. Steps of 1, 2, 4 ...: a fold would copy what it gathers for every value."""
+    powers = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(values))
+    return F.aggregate(powers, values, lambda a, p: F.transform(a, lambda x, i: F.when(i >= p, joint(x, F.get(a, i - p))).otherwise(x)))
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition), evaluated above df's own columns.
 

@@ -8,10 +8,12 @@ bounded by `WORST`; likeness is one minus the share of it.
 
 For the query each document is also compared with its successor by doc_id, and with an
 edited text that ends in the successor's beginning. Documents are dealt by doc_id into
-ranges whose bounds come from an approximate quantile of the ids (as many numbers as
-there are ranges reach the driver). The first document of each range is sent to the
+ranges of about RANGE_BYTES of text, a partition each. Their bounds are quantiles of a
+sample of ids, taken by a hash with a chance in proportion to the size of the text: of
+about SAMPLED ids a range, which reach the driver. The first document of each range is sent to the
 preceding range as well, so every range can be walked alone in order; texts are shuffled
-once, and no task sees more than its range.
+once, and no task sees more than its range. Ids are cut between, not within: rows of one
+doc_id, or without one, share a range.
 
 Defined cases: a null text is an empty one; texts of under three bytes have no triplets
 and the digest of zero counts. Order is by doc_id, then text; rows with a null doc_id
@@ -38,26 +40,30 @@ LENGTH_CHARGE = 12
 WORST = BUCKETS // 2
 #: Bytes of text counted at a time.
 HELD = 1 << 22
-MOST_RANGES, ROWS_A_RANGE = 65536, 1024
+#: So many ranges Spark's driver schedules well; beyond, ranges get larger. Ids sampled for each.
+MOST_RANGES, RANGE_BYTES, SAMPLED = 65536, 8 << 20, 16
 
 
 def bucket_counts(datas: list[bytes]) -> np.ndarray:
     """For each text, how many of its byte triplets fall in each bucket."""
     counts = np.zeros((len(datas), BUCKETS), dtype=np.int64)
+    # a triplet belongs to the piece in which it starts
+    pieces = [(i, d[a : a + HELD + 2]) for i, d in enumerate(datas) for a in range(0, max(1, len(d) - 2), HELD)]
     at = 0
-    while at < len(datas):
+    while at < len(pieces):
         size, end = 0, at
-        while end < len(datas) and (end == at or size + len(datas[end]) <= HELD):
-            size += len(datas[end])
+        while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= HELD):
+            size += len(pieces[end][1])
             end += 1
-        lengths = np.array([len(d) for d in datas[at:end]])
-        x = np.frombuffer(b"".join(datas[at:end]), dtype=np.uint8).astype(np.uint32)
+        owners, parts = zip(*pieces[at:end], strict=True)
+        lengths = np.array([len(p) for p in parts])
+        x = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
         if len(x) >= 3:
             h = ((x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))) * np.uint32(MULTIPLIER)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
             owner = np.repeat(np.arange(end - at, dtype=np.int64), lengths)
             whole = owner[:-2] == owner[2:]
             flat = np.bincount((owner[:-2] * BUCKETS + h)[whole], minlength=(end - at) * BUCKETS)
-            counts[at:end] = flat.reshape(end - at, BUCKETS)
+            np.add.at(counts, list(owners), flat.reshape(end - at, BUCKETS))
         at = end
     return counts
 
@@ -103,11 +109,15 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _successive(frame)
 
 
-def _successive(frame: pd.DataFrame, at_once: int = 512) -> Iterator[pd.DataFrame]:
+def _successive(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
     own, missing, ranges = (~frame["guest"]).tolist(), frame["missing"].tolist(), frame["range"].tolist()
-    for a in range(0, len(texts) - 1, at_once):
-        b = min(a + at_once, len(texts) - 1)
+    b = 0
+    while b < len(texts) - 1:
+        a, size = b, 0
+        while b < len(texts) - 1 and (b == a or size < HELD):
+            size += len(texts[b])
+            b += 1
         part = texts[a : b + 1]
         q, n = digests(part)
         rows = [i for i in range(b - a) if own[a + i] and ranges[a + i] == ranges[a + i + 1]]
@@ -129,19 +139,24 @@ def _successive(frame: pd.DataFrame, at_once: int = 512) -> Iterator[pd.DataFram
         )
 
 
-def range_bounds(docs: DataFrame, ranges: int) -> list[int]:
-    """At most ranges - 1 doc_ids that cut the ids into ranges of about as many rows."""
-    shares = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(20 * ranges)).alias("b")).first()["b"] if shares else []
-    return sorted(set(found or []))
+def range_bounds(docs: DataFrame, ranges: int, total: int) -> list[int]:
+    """At most ranges - 1 doc_ids that cut the ids into ranges of about as much text; total: of octet_length(text) + 1 over all."""
+    if ranges < 2:
+        return []
+    share = (F.octet_length("text") + 1) * F.lit(float(SAMPLED * ranges)) / total
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1 << 40)) / float(1 << 40)
+    sample = np.sort(np.array([r[0] for r in docs.where(draw < share).select("doc_id").collect()], dtype=np.int64))
+    at = [len(sample) * i // ranges for i in range(1, ranges)]
+    return sorted(set(sample[at].tolist())) if len(sample) else []
 
 
 def with_successors(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     if ranges is None:
-        ranges = min(MOST_RANGES, max(16, docs.count() // ROWS_A_RANGE))
-    bounds = np.array(range_bounds(docs.where(~F.col("missing")), ranges), dtype=np.int64)
+        ranges = min(MOST_RANGES, max(16, total // RANGE_BYTES))
+    bounds = np.array(range_bounds(docs.where(~F.col("missing")), ranges, total), dtype=np.int64)
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series, missing: pd.Series) -> pd.Series:
@@ -167,8 +182,8 @@ def with_successors(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     place = lambda c, guest: F.struct(F.col(c).alias("range"), F.lit(guest).alias("guest"))
     at = F.when(F.col("host") < 0, F.array(place("own", False))).otherwise(F.array(place("own", False), place("host", True)))
     dealt = placed.select("doc_id", "missing", "text", F.explode(at).alias("at")).select("at.range", "at.guest", "missing", "doc_id", "text")
-    # several small ranges a partition, so that partitions come out even
-    in_order = dealt.repartition(max(16, ranges // 8), "range").sortWithinPartitions("range", "guest", "missing", "doc_id", "text")
+    # the range is the number of the partition: hashing it would put several into one
+    in_order = dealt.repartitionById(len(bounds) + 2, F.col("range")).sortWithinPartitions("range", "guest", "missing", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order.mapInPandas(_walk, schema)
 

@@ -5,9 +5,11 @@ texts. A text is encoded with the dictionary of every language, and the language
 gives the fewest bytes is chosen; where the second best is nearly as small the
 prediction is marked as rejected.
 
+Parts of excerpts that are not in the language of their label are left out.
+
 The dictionaries are fitted on a bounded sample: at most `PER_LANG` texts of a language
-(the ones with the smallest hash of doc_id), `EXCERPT` characters from the middle of
-each. Prediction covers every text from end to end. Before either, texts are lower-cased
+(the ones with the smallest hash of the text), `EXCERPT` characters from the middle of
+each, of which the first DICT_BYTES of a language are its dictionary. Prediction covers every text from end to end. Before either, texts are lower-cased
 and every run of other characters than letters becomes a space. Long texts are encoded
 in pieces of CHUNK bytes, each against the dictionary, so that a text's own beginning
 does not outweigh it.
@@ -29,14 +31,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravia.llm.common import filtered
+from terravia.llm.common import filtered, unused
 
 PER_LANG, EXCERPT, DICT_BYTES = 256, 1024, 65536
 CHUNK = 8192
 BUCKETS = 1 << 30
 LEVEL = 6
-#: Texts of up to so many bytes are encoded with the strongest parser, which finds matches of three bytes.
-SHORT = 600
+#: Bytes of an excerpt that are judged at a time.
+PIECE = 160
 MIN_GAP = 0.004
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -59,23 +61,58 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT, d
     at = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
     # about four times the rows that are wanted pass a threshold on their hash, however many rows there are
     shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(BUCKETS, -(-4 * per_lang * BUCKETS // n)))))
-    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(BUCKETS)) < shares[F.col("lang")])
+    hashed = labelled.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(BUCKETS)) < shares[F.col("lang")])
     cut = hashed.select("lang", "h", F.substring(F.col("text"), at, F.lit(excerpt)).alias("excerpt"))
     first = cut.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))).where(F.col("nth") <= per_lang)
     parts: dict[str, list[bytes]] = {}
     for row in first.orderBy("lang", "nth").toLocalIterator():
         parts.setdefault(row["lang"], []).append(_plain(row["excerpt"]))
-    return [(lang, b" ".join(parts[lang])[:dict_bytes]) for lang in sorted(parts, key=lambda x: (-counts[x], x))]
+    order = sorted(parts, key=lambda x: (-counts[x], x))
+    good = _trusted({lang: parts[lang] for lang in order})
+    return [(lang, b" ".join(good[lang])[:dict_bytes]) for lang in order]
+
+
+def _trusted(parts: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+    """The excerpts in pieces, without those that are not in the language of their label: each half of the sample is judged by the other half.
+
+    Labels can be wrong, and texts quote passages of other languages; such a piece would pull
+    all texts that share it after it. Pieces stay where the other half has none of their
+    language, or where none of a language would be left.
+    """
+    judges = [Encoders([(lang, b" ".join(some[1 - h :: 2])) for lang, some in parts.items() if some[1 - h :: 2]]) for h in (0, 1)]
+
+    def pieces(excerpt: bytes) -> Iterator[bytes]:
+        words, size = [], 0
+        for word in excerpt.split():
+            words.append(word)
+            size += len(word) + 1
+            if size >= PIECE:
+                yield b" ".join(words)
+                words, size = [], 0
+        if words:
+            yield b" ".join(words)
+
+    def stays(lang: str, judge: Encoders, piece: bytes) -> bool:
+        if lang not in judge.langs:
+            return True
+        sizes = judge.sizes(piece)
+        return min(sizes) == sizes[judge.langs.index(lang)]
+
+    kept = {lang: [b" ".join(p for p in pieces(e) if stays(lang, judges[i % 2], p)) for i, e in enumerate(some)] for lang, some in parts.items()}
+    return {lang: [e for e in some if e] or parts[lang] for lang, some in kept.items()}
+
+
+def parameters() -> zstandard.ZstdCompressionParameters:
+    """The same for texts of all sizes, so that their scores compare; matches of three bytes, found by a binary tree, tell short texts apart."""
+    return zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2)
 
 
 class Encoders:
-    """One pair of compressors a language; made once in each task."""
+    """A compressor for each language; made once in each task."""
 
     def __init__(self, model: list[tuple[str, bytes]]):
         self.langs = [lang for lang, _ in model]
-        self.usual = [self._compressor(d, zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False)) for _, d in model]
-        fine = {"strategy": zstandard.STRATEGY_BTULTRA, "min_match": 3, "search_log": 8, "target_length": 256, "window_log": 17, "hash_log": 16, "chain_log": 17}
-        self.fine = [self._compressor(d, zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **fine)) for _, d in model]
+        self.by_lang = [self._compressor(d, parameters()) for _, d in model]
 
     @staticmethod
     def _compressor(content: bytes, params: zstandard.ZstdCompressionParameters) -> zstandard.ZstdCompressor:
@@ -83,15 +120,16 @@ class Encoders:
         made.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=made, compression_params=params)
 
+    def sizes(self, data: bytes) -> list[int]:
+        """Bytes that the data takes with each dictionary."""
+        pieces = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.by_lang]
+
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         data = _plain(text).strip() if text and any(map(str.isalpha, text)) else b""
         if not data or not self.langs:
             return UNKNOWN, 0.0, True
-        if len(data) <= SHORT:
-            sizes = [len(c.compress(data)) for c in self.fine]
-        else:
-            pieces = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-            sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.usual]
+        sizes = self.sizes(data)
         ranked = sorted(range(len(sizes)), key=sizes.__getitem__)
         best, gap = ranked[0], 1.0
         if len(ranked) > 1:
@@ -130,6 +168,6 @@ def op1(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised by a sufficient margin; lang becomes the recognised one."""
-    into = "__language"
+    (into,) = unused(docs, "language")
     found = filtered(identify(docs, into), ~F.col(f"{into}.rejected"))
     return found.withColumn("lang", F.col(f"{into}.lang_pred")).select(docs.columns)

@@ -7,20 +7,24 @@ Two texts are linked if the Jaccard similarity of their sets of word shingles re
 * bands of minima. A pair at 0.8 is commonly 7 to 14 of 64 fingerprint bits apart, and
   Hamming balls of that radius cannot be enumerated, so each text also has BANDS * ROWS
   minima of its shingles' hashes; texts that share a whole band are candidates. A pair at
-  0.8 shares one with a probability of 0.9996, a more similar pair with a greater one.
+  exactly 0.8 shares none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7; a more
+  similar pair with a far smaller one.
 
 Texts with the same set of shingles are one node from the start, so a group of copies
 costs one row. In each bucket first all members are compared with one of them, another
 one in every band. Buckets whose members then lie in one component need no more; in the
 others the pairs of members from different components are compared, so no candidate pair
-is left out and no group is expanded into all its pairs. Within the join that meets them,
+is left out and no group is expanded into all its pairs. Pairs whose sizes alone keep them
+under 0.8 are not looked at, and within the join that meets the members of different components
 most pairs under 0.8 are ruled out by bitmaps of parities: two such bitmaps differ in at
 most as many bits as the sets differ in members, and at 0.8 sets differ in at most a
-ninth of their joint sizes. The bound is exact; what it cannot rule out is verified.
+ninth of their joint sizes. Both bounds are exact; what they cannot rule out is verified.
 
 Defined cases: words are cut and lower-cased as for SimHash. A text of fewer words than a
 shingle is one shingle; texts without words are copies of each other. Rows with a null
-doc_id take no part; rows that share a doc_id are one node. Empty tables give none.
+doc_id take no part. Rows that share a doc_id are judged by their own texts. Of a group the
+row with the smallest doc_id stays, of several such the one with the smallest hash of its
+text, and of rows that repeat both the first by their other columns. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -30,14 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravia.llm import simhash
-from terravia.llm.common import kept
+from terravia.llm.common import kept, unused
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 40, 5
 DISTANCE = 3
 #: Bits of a set's bitmap of parities. Sets of over nine times as many members are never ruled out by it.
 PARITY_BITS = 1024
@@ -129,11 +133,13 @@ def shingles(text: Column) -> Column:
     return of(text)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = kept(docs.join(ids, "doc_id", "left_semi").select("doc_id", shingles(F.col("text")).alias("s")))
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts reach the similarity. rows: row, doc_id, copy; one of equal rows of docs is enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(rows.select("row", "doc_id", "copy"), "row")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").join(ids, ["doc_id", "copy"])
+    texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "copy").orderBy("row"))).where("nth = 1")
+    sets = kept(texts.select("row", shingles(F.col("text")).alias("s")))
+    one, two = sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), sets.select(F.col("row").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     return both.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b").distinct()
 
@@ -145,37 +151,57 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(simhash.links(groups, DISTANCE))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id), a row for each row of docs with a doc_id."""
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = kept(docs.select("doc_id", simhash.fingerprint(F.col("text"), WORDS).alias("fp"), sketch(F.col("text")).alias("s")).select("doc_id", "fp", "s.*"))
-    firsts = kept(rows.groupBy("key").agg(F.min("doc_id").alias("id")))
-    nodes = kept(rows.join(firsts.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "fp", "bands", "size", "parity"))
+def similar_sizes(one: Column, two: Column) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return F.least(one, two) >= SIMILARITY * F.greatest(one, two)
 
-    filed = nodes.select("id", F.explode("bands").alias("bucket"))
-    centres = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id")).alias("c")).where("n > 1").select("bucket", F.col("c.id").alias("centre"))
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, copy (a hash of the text), root (a number for the group) for each row of docs with a doc_id."""
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    marks = docs.select("doc_id", F.xxhash64("text").alias("copy"), simhash.fingerprint(F.col("text"), WORDS).alias("fp"), sketch(F.col("text")).alias("s"))
+    rows = kept(marks.select(F.monotonically_increasing_id().alias("row"), "doc_id", "copy", "fp", "s.*"))
+    # a node is the first row of each set of shingles
+    firsts = kept(rows.groupBy("key").agg(F.min("row").alias("id")))
+    nodes = kept(rows.join(firsts.select("key", F.col("id").alias("row")), ["key", "row"], "left_semi").select(F.col("row").alias("id"), "fp", "bands", "size", "parity"))
+
+    filed = nodes.select("id", "size", F.explode("bands").alias("bucket"))
+    lead = F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id", "size"))
+    centres = filed.groupBy("bucket").agg(F.count("*").alias("n"), lead.alias("c")).where("n > 1").select("bucket", F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size"))
     shared = kept(filed.join(centres, "bucket"))
-    near = shared.select(F.col("id").alias("a"), F.col("centre").alias("b")).unionByName(_fingerprint_pairs(nodes.select("id", "fp")))
-    # nodes of one doc_id with several texts link those
-    several = firsts.join(rows.select("key", F.col("doc_id").alias("b")), "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    to_centre = shared.where(similar_sizes(F.col("size"), F.col("centre_size"))).select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    near = to_centre.unionByName(_fingerprint_pairs(nodes.select("id", "fp")))
     pairs = lambda p: kept(p.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     tried = pairs(near)
-    links = kept(verified(docs, tried))
+    links = kept(verified(docs, rows, tried))
 
     found = shared.join(simhash.roots(links).withColumnRenamed("root", "c"), "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))
     mixed = found.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
     apart = kept(found.join(mixed, "bucket", "left_semi").join(nodes.select("id", "size", "parity"), "id"))
     other = apart.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("id", "c", "size", "parity")))
     most = (F.col("size") + F.col("size_2")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
-    unlike = (F.col("id") > F.col("id_2")) & (F.col("c") != F.col("c_2")) & (differing(F.col("parity"), F.col("parity_2")) <= most)
+    unlike = (F.col("id") > F.col("id_2")) & (F.col("c") != F.col("c_2")) & similar_sizes(F.col("size"), F.col("size_2")) & (differing(F.col("parity"), F.col("parity_2")) <= most)
     crossing = apart.join(other, (apart["bucket"] == other["bucket"]) & unlike).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-    more = verified(docs, pairs(crossing).join(tried, ["a", "b"], "left_anti"))
+    more = verified(docs, rows, pairs(crossing).join(tried, ["a", "b"], "left_anti"))
 
-    named = kept(simhash.roots(several.unionByName(links).unionByName(more)))
-    return rows.select("doc_id").join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    named = kept(simhash.roots(links.unionByName(more)))
+    placed = rows.select("doc_id", "copy", "key").join(firsts, "key").join(named, "id", "left")
+    return placed.select("doc_id", "copy", F.coalesce("root", "id").alias("root"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id), a row for each row of docs with a doc_id."""
+    rooted = kept(_rooted(docs))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near copies: the one with the smallest doc_id. Rows with a null doc_id all stay."""
-    first = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs with one row of each group of near copies. Rows with a null doc_id all stay."""
+    d, k, nth = unused(docs, "d", "k", "nth")
+    first = _rooted(docs).groupBy("root").agg(F.min(F.struct("doc_id", "copy")).alias("m")).select(F.col("m.doc_id").alias(d), F.col("m.copy").alias(k))
+    stay = docs.join(first, (docs["doc_id"] == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(k)))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    once = stay.withColumn(nth, F.row_number().over(Window.partitionBy(d, k).orderBy(order))).where(F.col(nth) == 1)
+    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

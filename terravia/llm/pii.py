@@ -31,12 +31,10 @@ names pass through `sanitise`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravia.llm.common import kept, unused
+from terravia.llm.common import bound, kept, running, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # The leftmost match of a run starts at its beginning or where the last match ended.
@@ -57,17 +55,6 @@ PRIOR = 3
 BLOCK = 1024
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(values: Column, joint: Callable[[Column, Column], Column]) -> Column:
-    """Running sums or maxima of integers: joint over all up to each. Steps of 1, 2, 4 ...: a fold would copy what it gathers for every value."""
-    powers = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(values))
-    return F.aggregate(powers, values, lambda a, p: F.transform(a, lambda x, i: F.when(i >= p, joint(x, F.get(a, i - p))).otherwise(x)))
-
-
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>>: the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -206,7 +193,10 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE
     entities = entities.groupBy("entity").agg(F.count("*").alias("n_c"), F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").drop("a", "b")
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.select(F.lit(1)).groupBy().agg(F.count("*").alias("n"))
-    scored = together.join(entities, "entity").join(terms, "term").join(F.broadcast(total))  # one row
+    # of kinds there are as many as KINDS; the others are met by their key, so that no task holds all pairs of a kind
+    kind = F.col("entity").isin(*KINDS)
+    counted = together.where(kind).join(F.broadcast(entities.where(kind)), "entity").unionByName(together.where(~kind).join(entities.where(~kind), "entity"))
+    scored = counted.join(terms, "term").join(F.broadcast(total))  # one row
     p = F.col("n_ct") / F.col("n_t") * (F.col("d") / (F.col("d") + PRIOR))
     share = F.log2(F.col("n") * p / F.col("n_c")) / F.log2(F.col("n") / F.col("n_c"))
     return scored.where("n_c < n").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)

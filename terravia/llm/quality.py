@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravia.llm.common import filtered
+from terravia.llm.common import filtered, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -32,7 +32,8 @@ MAX_LOST = 0.5
 BOILERPLATE_WORDS = 25
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATOR = r"(?:^|[ \t])[|>»›•·](?:[ \t\r]|$)"
-CLOSED = r"[.!?:;,…\"'”’»)\]][ \t\r]*$"
+#: Closing marks of Latin, Chinese and Japanese, Arabic, Indic, Ethiopic, Armenian, Khmer and Burmese script.
+CLOSED = r"[.!?:;,…\"'”’»)\]。！？：；，、．｡」』】）؟؛،۔।॥።፧։។၊။][ \t\r]*$"
 BOILERPLATE = (
     r"(?i)(?:all rights reserved|cookie (?:policy|settings)|accept (?:all )?cookies|privacy policy|terms of (?:use|service)"
     r"|enable javascript|subscribe to our|sign up for our|newsletter|click here|read more$|share on (?:facebook|twitter)"
@@ -40,6 +41,10 @@ BOILERPLATE = (
 )
 
 
+#: Names of columns on the way.
+USED = {f"__{c}" for c in ("lines", "words", "n", "chars", "w1", "w2", "w4", "w8", "worded", "judged", "windows", "failed", "repeat", "lost")}
+
+
 def line_fails(line: Column, n: Column) -> Column:
     """True for a line of n > 0 words that a rule removes; false for any other line."""
     bars = F.regexp_count(line, F.lit(SEPARATOR))
@@ -80,6 +85,10 @@ def _covered(windows: Column) -> Column:
 
 def assess(docs: DataFrame, text: str = "text", into: str = "quality", max_lost: float = MAX_LOST) -> DataFrame:
     """docs with a struct column `into`: the base figures, lost_words, failed_lines, cleaned, base_failed, kept."""
+    # columns of the names used on the way are set aside
+    clashing = [c for c in docs.columns if c.lower() in USED]
+    aside = dict(zip(clashing, unused(docs, *(f"aside_{c}" for c in clashing)), strict=True))
+    docs, text = docs.withColumnsRenamed(aside), aside.get(text, text)
     t = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("__lines", F.transform(F.split(t, "\n", -1), lambda x: F.struct(x.alias("line"), _words(x).alias("words"))))
     step = step.withColumns(
@@ -128,7 +137,8 @@ def assess(docs: DataFrame, text: str = "text", into: str = "quality", max_lost:
         base_failed.alias("base_failed"),
         (~base_failed & ~lost_too_much).alias("kept"),
     )
-    return step.withColumn(into, result).drop("__n", "__chars", "__worded", "__judged", "__windows", "__failed", "__repeat", "__lost")
+    done = step.withColumn(into, result).drop("__n", "__chars", "__worded", "__judged", "__windows", "__failed", "__repeat", "__lost")
+    return done.withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -138,7 +148,7 @@ def op2(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep, with the failing lines removed; n_chars follows the text."""
-    into = "__quality"
+    (into,) = unused(docs, "quality")
     good = filtered(assess(docs, into=into), F.col(f"{into}.kept"))
     new = {"text": F.col(f"{into}.cleaned")}
     if "n_chars" in docs.columns:
@@ -161,7 +171,7 @@ WITH base AS (
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
  judged AS (
   SELECT doc_id, n,
-     ((n < 4 AND NOT regexp_matches(line, '[.!?:;,…"''”’»)\]][ \t\r]*$'))
+     ((n < 4 AND NOT regexp_matches(line, 'CLOSED'))
        OR 2 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > n
        OR 3 * len(regexp_extract_all(line, '!!')) > n
        OR 4 * bars >= greatest(n, 8)
@@ -182,4 +192,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
    (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT lost_words > 0.5 * n_words) AS kept,
    lost_words, failed_lines
 FROM figures
-""".replace("BOILER", BOILERPLATE.replace("'", "''"))
+""".replace("BOILER", BOILERPLATE.replace("'", "''")).replace("CLOSED", CLOSED.replace("'", "''"))

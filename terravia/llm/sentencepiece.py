@@ -13,8 +13,11 @@ The result is the one of the merge queue, which the tests check against the libr
 
 A vocabulary is read from a model file on the driver (its path is a parameter) and sent
 to the tasks; its size does not depend on the data. Characters without a piece become
-byte pieces. A worker remembers words it has encoded, in a younger and an older part of bounded
-numbers of entries, so its memory never grows with the data.
+byte pieces. A worker remembers words it has encoded, in a younger and an older part of
+REMEMBERED bytes each, and no word of over LONG characters; a longer word is indexed and
+relaxed in windows that overlap by the longest piece, so memory grows with a word by some
+bytes a character. A model that is not of the kind described (no merge ranks, another
+normaliser, word marks inside pieces) is refused.
 
 Defined cases: a null text gives null ids and a null text back; an empty one gives no
 ids. Decoding gives the text back, except that a word mark (U+2581) in it comes back as
@@ -25,18 +28,27 @@ encoded whole.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters indexed at a time, and words that a worker remembers.
-INDEXED, REMEMBERED = 300_000, 400_000
+#: Characters indexed at a time, and bytes of words that a worker remembers in each part, by a rough count.
+INDEXED, REMEMBERED = 300_000, 64_000_000
+#: Bytes of text encoded at a time.
+BATCH = 4_000_000
+#: Characters of the longest word that is remembered, and what a remembered word takes beside its text.
+LONG, ENTRY = 4096, 160
+#: Pairs of pieces whose compatibility is remembered.
+MOST_PAIRS = 1_600_000
 UNKNOWN = -1
+PROBE = "ﬁ  Ａ½ x\tthe  end ▁é漢 🙂 "
 
 
 @dataclass
@@ -57,6 +69,9 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(size)]
+        scores = [model.get_score(i) for i in range(size)]
+        if any(x != int(x) for x in scores) or any(MARK in p.lstrip(MARK) for p in pieces):
+            raise ValueError(f"{path}: a BPE model without word marks inside its pieces is needed")
         special = {i for i in range(size) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         order = {s: r for r, s in enumerate(sorted({-model.get_score(i) for i in range(size) if i not in special}))}
         bytes_ = [-1] * 256
@@ -69,6 +84,8 @@ class Vocabulary:
         for text, i in ids.items():
             if len(text) > 1:
                 made.halves[i] = made.last_merge(text)
+        if Codec(made).encode_batch([PROBE]) != [model.encode(PROBE)]:
+            raise ValueError(f"{path}: its normaliser changes texts")
         return made
 
     def last_merge(self, text: str) -> tuple[int, int] | None:
@@ -176,8 +193,11 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, indexed: int = INDEXED, remembered: int = REMEMBERED):
         self.v, self.indexed, self.remembered = vocabulary, indexed, remembered
         self.matcher = Matcher(vocabulary)
+        # a window holds a whole pack of words, or part of a long one
+        self.window = indexed + LONG + 2
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.pairs: dict[int, bool] = {}
         runs = {len(t): i for t, i in vocabulary.ids.items() if set(t) == {MARK}}
         self.runs, self.longest_run = runs, max(runs)
@@ -187,67 +207,76 @@ class Codec:
             if i >= 0:
                 self.as_bytes[i] = bytes([byte])
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words, each behind a mark, and remember them."""
+    def _learn(self, words: list[str], into: dict[str, tuple[int, ...]]) -> None:
+        """Encode words, each behind a mark, and put their ids into a table."""
         at = 0
         while at < len(words):
             end, size = at, 0
             while end < len(words) and (end == at or size + len(words[end]) + 2 <= self.indexed):
                 size += len(words[end]) + 2
                 end += 1
-            self._relax(words[at:end])
+            self._relax(words[at:end], into)
             at = end
 
-    def _relax(self, words: list[str]) -> None:
-        m, v, pairs = self.matcher, self.v, self.pairs
-        text = "".join(f"{MARK}{w}\0" for w in words)
-        lengths = np.array([len(w) + 2 for w in words])
-        ends = np.cumsum(lengths) - 1
-        codes = m.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        codes[ends] = 0
+    def _edges(self, text: str, lo: int, hi: int) -> tuple[list[int], list[int], list[int]]:
+        """Of the edges that end at positions from lo + 1 to hi: where each position's begin in the list, their starts, their pieces."""
+        m = self.matcher
+        left = max(0, lo - m.width)
+        codes = m.code[np.frombuffer(text[left:hi].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         starts, which = m.edges(codes)
-        # edges that end at position p are those from first[p] to first[p + 1]
-        first = np.concatenate(([0], np.cumsum(np.bincount(starts + m.lengths[which], minlength=len(text) + 1)))).tolist()
-        starts, tokens = starts.tolist(), m.ids[which].tolist()
-        last = [UNKNOWN] * (len(text) + 1)
-        back = [0] * (len(text) + 1)
-        begin = 0
+        starts = starts + left
+        ends = starts + m.lengths[which]
+        inside = ends > lo
+        starts, which, ends = starts[inside], which[inside], ends[inside]
+        first = np.concatenate(([0, 0], np.cumsum(np.bincount(ends - lo - 1, minlength=hi - lo))))
+        return first.tolist(), starts.tolist(), m.ids[which].tolist()
+
+    def _relax(self, words: list[str], into: dict[str, tuple[int, ...]]) -> None:
+        v, pairs = self.v, self.pairs
+        text = "".join(f"{MARK}{w}\0" for w in words)
+        ends = np.cumsum([len(w) + 2 for w in words]) - 1
+        spans = list(zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True))
+        last = array("i", [UNKNOWN]) * (len(text) + 1)
+        back = array("i", [0]) * (len(text) + 1)
         single, compatible = self.single, v.compatible
-        for word, end in zip(words, ends.tolist(), strict=True):
-            edge = first[begin + 1]
-            for stop in range(begin + 1, end + 1):
-                edges_end = first[stop + 1]
-                while edge < edges_end:
-                    s = starts[edge]
-                    t = tokens[edge]
-                    if s == begin:
-                        break
-                    key = last[s] << 20 | t
-                    if key in pairs:
-                        if pairs[key]:
-                            break
-                    else:
-                        pairs[key] = good = compatible(last[s], t)
-                        if good:
+        for lo in range(0, len(text), self.window):
+            hi = min(lo + self.window, len(text))
+            first, starts, tokens = self._edges(text, lo, hi)
+            for begin, end in spans:
+                if end <= lo or begin >= hi:
+                    continue
+                for stop in range(max(begin, lo) + 1, min(end, hi) + 1):
+                    edge, edges_end = first[stop - lo], first[stop - lo + 1]
+                    while edge < edges_end:
+                        s = starts[edge]
+                        t = tokens[edge]
+                        if s == begin:
                             break
-                    edge += 1
-                else:  # no longer piece: the character itself
-                    s = stop - 1
-                    t = single.get(text[s], UNKNOWN)
-                last[stop] = t
-                back[stop] = s
-                edge = edges_end
-            out, at = [], end
+                        key = last[s] << 20 | t
+                        if key in pairs:
+                            if pairs[key]:
+                                break
+                        else:
+                            pairs[key] = good = compatible(last[s], t)
+                            if good:
+                                break
+                        edge += 1
+                    else:  # no longer piece: the character itself
+                        s = stop - 1
+                        t = single.get(text[s], UNKNOWN)
+                    last[stop] = t
+                    back[stop] = s
+        for word, (begin, at) in zip(words, spans, strict=True):
+            out = array("i")
             while at > begin:
                 if last[at] == UNKNOWN:
                     data = text[at - 1].encode("utf-8", "surrogatepass")
-                    out += [v.bytes_[b] if v.bytes_[b] >= 0 else v.unknown for b in reversed(data)]
+                    out.extend(v.bytes_[b] if v.bytes_[b] >= 0 else v.unknown for b in reversed(data))
                 else:
                     out.append(last[at])
                 at = back[at]
-            self.known[word] = tuple(reversed(out))
-            begin = end + 1
-        if len(pairs) > 4 * self.remembered:
+            into[word] = tuple(reversed(out))
+        if len(pairs) > MOST_PAIRS:
             pairs.clear()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
@@ -256,30 +285,35 @@ class Codec:
         at = 0
         while at < len(split):
             # as many texts at a time as the memory of words can hold
-            end, new = at, set()
-            while end < len(split) and (end == at or len(new) < self.remembered):
+            end, size, new = at, 0, set()
+            while end < len(split) and (end == at or size < self.remembered):
+                size += len(texts[end]) + ENTRY * len(split[end])
                 new.update(split[end])
                 end += 1
-            if len(self.known) > self.remembered:  # words in use come back from the older half
-                self.known, self.older = {}, self.known
+            if self.held > self.remembered:  # words in use come back from the older half
+                self.known, self.older, self.held = {}, self.known, 0
             known, older = self.known, self.older
+            long = {w: () for w in new if len(w) > LONG}
             missing = new.difference(known)
+            missing.difference_update(long)
             missing.discard("")
+            self.held += sum(map(len, missing)) + ENTRY * len(missing)
             if older:
                 back = missing.intersection(older)
                 known.update(zip(back, map(older.__getitem__, back), strict=True))
                 missing -= back
-            self._learn(list(missing))
-            out += [self._joined(parts) for parts in split[at:end]]
+            self._learn(list(missing), known)
+            self._learn(list(long), long)
+            out += [self._joined(parts, long) for parts in split[at:end]]
             at = end
         return out
 
-    def _joined(self, parts: list[str]) -> list[int]:
+    def _joined(self, parts: list[str], long: dict[str, tuple[int, ...]]) -> list[int]:
         known, out, marks, lone = self.known, [], 0, self.runs[1]
         for part in parts:
             marks += 1
             if part:
-                ids = known[part]
+                ids = known[part] if len(part) <= LONG else long[part]
                 if marks == 1:
                     out += ids
                 else:  # the last mark of a run merges with the word, if any, before marks merge with each other
@@ -317,8 +351,10 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, id(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)) // BATCH
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), whole.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(at, end - at)
                 texts = batch.column(1).to_pylist()
                 ids = [x if t is not None else None for x, t in zip(codec.encode_batch([t or "" for t in texts]), texts, strict=True)]
                 decoded = [None if x is None else codec.decode(x) for x in ids]

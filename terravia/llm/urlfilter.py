@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravia.llm.common import ascii_lower
+from terravia.llm.common import ascii_lower, unused
 
 TOKEN = re.compile("[a-z0-9]+")
 
@@ -151,7 +151,8 @@ def judge(rows: DataFrame, url: str = "url", into: str = "judged", hosts: tuple[
 
     host, path = host_and_path(F.col(url))
     said = verdict(F.col(url), host, path)
-    return rows.withColumn("__said", said).withColumn(into, F.struct(host.alias("host"), path.alias("path"), F.col("__said.rule"), F.col("__said.verdict"))).drop("__said")
+    (at,) = unused(rows, "said")
+    return rows.withColumn(at, said).withColumn(into, F.struct(host.alias("host"), path.alias("path"), F.col(f"{at}.rule"), F.col(f"{at}.verdict"))).drop(at)
 
 
 def op8(pages: DataFrame) -> DataFrame:

@@ -109,7 +109,8 @@ def test_simhash_nulls_repeats_empty(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.op10(docs).collect()), key=str)
     assert got == [(7, 7), (7, 7), (9, 9), (None, None)]
     assert simhash.op10(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id or -1 for r in nearcopies.stage(docs).collect()) == [-1, 7, 9]
+    assert sorted((r.doc_id or -1, r.text) for r in nearcopies.stage(docs).where("text IS NOT NULL").collect()) == [(-1, "same text here now"), (7, "other words are here"), (7, "same text here now")]
+    assert nearcopies.stage(docs).where("text IS NULL").count() == 1
 
 
 # -- near copies
@@ -155,6 +156,15 @@ def test_near_copies_whole_table(spark):
     assert len(set(want.values())) < len(want)
 
 
+def test_near_copies_keep_different_texts_of_one_id(spark):
+    """Two texts under one id stay both; of rows that repeat id and text one stays, and always the same."""
+    docs = docs_of(spark, ["a b c d e f g", "h i j k l m n", "a b c d e f g", "h i j k l m n"], [1, 1, 2, 1]).withColumnRenamed("key", "__d")
+    docs = docs.withColumn("__d", F.when(F.col("lang").isNull(), "first").otherwise("second"))
+    runs = [sorted((r.doc_id, r.text, r["__d"]) for r in nearcopies.stage(docs.repartition(n)).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1] == [(1, "a b c d e f g", "first"), (1, "h i j k l m n", "second")]
+    assert sorted((r.doc_id, r.component_id) for r in nearcopies.groups(docs).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1)]
+
+
 def test_near_copies_long_text():
     long = " ".join(f"w{i}" for i in range(100_000))
     a, b = nearcopies.shingle_set(long), nearcopies.shingle_set(long + " more")
@@ -195,6 +205,28 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_brute_force(spark):
+    """Each text with each dictionary, one after the other."""
+    import zstandard
+
+    docs = real(spark, 250)
+    learned = docs.where(~langid.held_out(F.col("doc_id")))
+    model = langid.fit(learned.select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in langid.op1(docs).collect()}
+    for r in docs.collect():
+        plain = re.sub(r"[\W\d_]+", " ", r.text.lower()).strip().encode()
+        if not plain:
+            continue
+        sizes = {}
+        for lang, content in model:
+            params = langid.parameters()
+            made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(made.compress(plain[k : k + langid.CHUNK])) for k in range(0, len(plain), langid.CHUNK))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[r.doc_id].lang_pred] == best
+        assert got[r.doc_id].rejected == ((second - best) / second < langid.MIN_GAP)
+
+
 def test_language_odd_rows(spark):
     got = {r.doc_id: r for r in langid.op1(docs_of(spark, TEXTS)).collect()}
     for i, t in enumerate(TEXTS):
@@ -433,11 +465,33 @@ def test_tokens_are_the_librarys(spark, tokenizer):
 
 
 def test_tokens_with_little_memory(tokenizer):
-    codec = sentencepiece.Codec(sentencepiece.Vocabulary.read(sentencepiece.MODEL), indexed=50, remembered=40)
+    codec = sentencepiece.Codec(sentencepiece.Vocabulary.read(sentencepiece.MODEL), indexed=50, remembered=4000)
     texts = [" ".join(f"word{i * j} é{i}" for j in range(30)) for i in range(40)]
     assert codec.encode_batch(texts) == tokenizer.encode(texts)
 
 
+def test_tokens_of_long_words_in_windows(tokenizer):
+    r = random.Random(3)
+    codec = sentencepiece.Codec(sentencepiece.Vocabulary.read(sentencepiece.MODEL), indexed=50)
+    codec.window = 61
+    texts = ["".join(r.choices("abcdeingthrstoé漢", k=9000)) for _ in range(3)] + ["thethe" * 2000 + " the end", "x" * 20_000]
+    assert codec.encode_batch(texts) == tokenizer.encode(texts)
+    assert not any(len(w) > sentencepiece.LONG for w in codec.known)
+
+
+def test_tokens_refuse_other_models(monkeypatch):
+    """Unigram scores are no ranks."""
+    import sentencepiece as library
+
+    class Unigram(library.SentencePieceProcessor):
+        def get_score(self, i):
+            return -1.5
+
+    monkeypatch.setattr(library, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError):
+        sentencepiece.Vocabulary.read(sentencepiece.MODEL)
+
+
 def test_tokens_null_and_empty(spark):
     rows = {r.doc_id: r for r in sentencepiece.op4(docs_of(spark, [None, "", "a"])).collect()}
     assert rows[0].ids is None and rows[0].n_tokens is None and rows[0].decoded_sha256 is None
@@ -469,6 +523,13 @@ def test_fingerprints_brute_force(spark, ranges):
     assert got == brute_successors(rows)
 
 
+def test_fingerprints_of_long_texts_in_pieces(monkeypatch):
+    text = "".join(random.Random(6).choices("abc é漢", k=5000))
+    whole = fingerprint.bucket_counts([text.encode(), b"ab", b"", b"abc"])
+    monkeypatch.setattr(fingerprint, "HELD", 100)
+    assert (fingerprint.bucket_counts([text.encode(), b"ab", b"", b"abc"]) == whole).all() and whole[0].sum() == len(text.encode()) - 2
+
+
 def test_fingerprints_tell_edits_from_strangers(spark):
     rows = fingerprint.op6(real(spark)).collect()
     long = [r for r in rows if r.n_chars > 400]
