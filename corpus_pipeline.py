@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terravia.llm import langid, nearcopies, packing, pii, quality
-from terravia.llm.common import fresh_path, table
+from terravia.llm.common import discard, fresh_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,10 +45,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet in the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents, each written as Parquet in the shared folder, read by the next and then removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        docs, before = spark.read.parquet(path), path
     return docs
