@@ -57,11 +57,9 @@ def filled_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def edges(spark: SparkSession, sf_dir: str, small: bool = False) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """eid, src, dst, class, len_m: a network with parallel edges."""
     lines = table(spark, sf_dir, "lineitem")
-    if small:
-        lines = lines.where("l_suppkey < 6 AND l_partkey < 200")
     kinds = F.create_map(*(F.lit(x) for x in ("A", "trail", "N", "road", "R", "4wd")))
     pairs = lines.select("l_suppkey", "l_partkey", "l_returnflag").distinct()
     return pairs.select(
@@ -79,7 +77,30 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and the columns of a composition, some of them out of bounds."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("k"), (664030 + (k * 37) % 20000).cast("double").alias("x0"), (4447820 + (k * 53) % 20000).cast("double").alias("y0"),
+        (6 + k % 20).cast("double").alias("print_w"), (8 + k % 25).cast("double").alias("print_h"), ((k % 5) * 0.125).alias("bleed"),
+        F.when(k % 41 == 0, "poster").when(k % 4 == 3, "wallpaper").otherwise("print").alias("kind"), (60 + k % 600).cast("double").alias("ppi"),
+        F.when(k % 3 == 0, 6.0).otherwise(10.0).alias("native_m"), ((k % 37) / 100).alias("top_clear"), ((k % 56) / 10 + 0.8).alias("track_width_pt"),
+        F.when(k % 53 == 0, "noon").when(k % 2 == 0, "journey").otherwise("archival").alias("light_mode"), (k % 1010).cast("int").alias("edition"),
+        F.concat(F.repeat(F.lit("x"), (k % 210).cast("int")), F.when(k % 29 == 0, "é").otherwise("")).alias("credit"), F.array((k % 260).cast("int"), F.lit(10), F.lit(20)).alias("track_rgb"),
+    )
+    ground = (5 + F.col("k") % 9) * 300.0
+    x1 = F.when(F.col("k") % 31 == 0, float("nan")).when(F.col("k") % 67 == 0, F.col("x0") - 1).otherwise(F.col("x0") + F.col("print_w") * ground)
+    y1 = F.col("y0") + F.col("print_h") * ground * F.when(F.col("k") % 7 == 0, 1.05).otherwise(1.0)
+    return rows.withColumns({"x1": x1, "y1": y1})
+
+
 SQL = {
+    "fx_specs": """fx_specs AS (SELECT *, CASE WHEN k % 31 = 0 THEN 'nan'::DOUBLE WHEN k % 67 = 0 THEN x0 - 1 ELSE x0 + print_w * ((5 + k % 9) * 300.0::DOUBLE) END AS x1, y0 + print_h * ((5 + k % 9) * 300.0::DOUBLE) * CASE WHEN k % 7 = 0 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END AS y1 FROM (
+      SELECT o_orderkey AS k, CAST(664030 + (o_orderkey * 37) % 20000 AS DOUBLE) AS x0, CAST(4447820 + (o_orderkey * 53) % 20000 AS DOUBLE) AS y0, CAST(6 + o_orderkey % 20 AS DOUBLE) AS print_w, CAST(8 + o_orderkey % 25 AS DOUBLE) AS print_h,
+        (o_orderkey % 5) * 0.125::DOUBLE AS bleed, CASE WHEN o_orderkey % 41 = 0 THEN 'poster' WHEN o_orderkey % 4 = 3 THEN 'wallpaper' ELSE 'print' END AS kind, CAST(60 + o_orderkey % 600 AS DOUBLE) AS ppi,
+        CASE WHEN o_orderkey % 3 = 0 THEN 6.0::DOUBLE ELSE 10.0::DOUBLE END AS native_m, (o_orderkey % 37) / 100.0::DOUBLE AS top_clear, (o_orderkey % 56) / 10.0::DOUBLE + 0.8::DOUBLE AS track_width_pt,
+        CASE WHEN o_orderkey % 53 = 0 THEN 'noon' WHEN o_orderkey % 2 = 0 THEN 'journey' ELSE 'archival' END AS light_mode, CAST(o_orderkey % 1010 AS INTEGER) AS edition,
+        repeat('x', CAST(o_orderkey % 210 AS INTEGER)) || CASE WHEN o_orderkey % 29 = 0 THEN 'é' ELSE '' END AS credit, [o_orderkey % 260, 10, 20] AS track_rgb FROM orders))""",
     "fx_points": """fx_points AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t, event_id) - 1 AS vidx FROM (
       SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS track_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS day,
         epoch_us(ts) / 1000000.0::DOUBLE AS t, CAST(664030 + (event_id * 7919) % 62000 AS DOUBLE) AS x, CAST(4447820 + (event_id * 104729) % 77190 AS DOUBLE) AS y,
@@ -96,9 +117,6 @@ SQL = {
     "fx_edges": """fx_edges AS (SELECT l_suppkey || '-' || l_partkey || '-' || l_returnflag AS eid, 'S' || l_suppkey AS src, 'P' || l_partkey AS dst,
       CASE l_returnflag WHEN 'A' THEN 'trail' WHEN 'N' THEN 'road' ELSE '4wd' END AS class, CAST(100 + (l_suppkey * 37 + l_partkey * 101) % 900 AS BIGINT) AS len_m
       FROM (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem))""",
-    "fx_small_edges": """fx_small_edges AS (SELECT l_suppkey || '-' || l_partkey || '-' || l_returnflag AS eid, 'S' || l_suppkey AS src, 'P' || l_partkey AS dst,
-      CASE l_returnflag WHEN 'A' THEN 'trail' WHEN 'N' THEN 'road' ELSE '4wd' END AS class, CAST(100 + (l_suppkey * 37 + l_partkey * 101) % 900 AS BIGINT) AS len_m
-      FROM (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_suppkey < 6 AND l_partkey < 200))""",
     "fx_assets": "fx_assets AS (SELECT source AS bundle, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS sha, n_chars AS bytes, doc_id AS seq FROM documents)",
 }
 

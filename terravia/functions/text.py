@@ -12,7 +12,7 @@ SYMBOL_ICONS = (
     ("summit", "peak"), ("peak", "peak"), ("mountain", "peak"), ("camp", "camp"), ("tent", "camp"), ("shelter", "camp"), ("water", "water"),
     ("spring", "water"), ("river", "water"), ("photo", "camera"), ("camera", "camera"), ("scenic", "camera"), ("view", "camera"), ("star", "star"),
 )
-WAY_CLASSES = {"path": "trail", "footway": "trail", "bridleway": "trail", "track": "4wd"}
+WAY_CLASSES = {"path": "trail", "footway": "trail", "bridleway": "trail", "cycleway": "trail", "track": "4wd"}
 
 
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: Column) -> Column:

@@ -64,17 +64,6 @@ def expired(records: DataFrame, live: DataFrame, key: str, at: str, now: float,
     return records.where(F.col(at) < now - ttl_s).join(live.select(key).distinct(), key, "left_anti")
 
 
-def lru_state(accesses: DataFrame, budget: int) -> DataFrame:
-    """cache, item, kept: whether a byte-budgeted least-recently-used store holds an item at the end of its log.
-
-    Items larger than the budget are refused; of the rest, from the last used backwards,
-    those stay whose sizes together fit.
-    """
-    last = accesses.where(F.col("bytes") <= budget).groupBy("cache", "item").agg(F.max("seq").alias("seq"), F.max_by("bytes", "seq").alias("bytes"))
-    recent = Window.partitionBy("cache").orderBy(F.desc("seq"), "item").rowsBetween(Window.unboundedPreceding, 0)
-    return last.withColumn("kept", F.sum("bytes").over(recent) <= budget).select("cache", "item", "kept")
-
-
 def append_lineage(history: Column, entry: Column, most: int = 100) -> Column:
     """The newest `most` entries, the new one last."""
     longer = F.concat(history, F.array(entry))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravia.shared import kept
+
 WEIGHTS = {"trail": 1.0, "4wd": 1.5, "road": 3.0}
 
 
@@ -55,9 +57,9 @@ def distances(edges: DataFrame, source: str, weights: dict[str, float] | None =
         costs = costs.join(penalties, "eid", "left").withColumn("c", F.col("c") * F.coalesce("factor", F.lit(1.0))).drop("factor")
     steps = both_ways(costs.select("eid", "src", "dst", "c"))
     # of parallel edges the cheapest is enough
-    steps = steps.groupBy("src", "dst").agg(F.min(F.struct("c", "eid")).alias("e")).select("src", "dst", "e.c", "e.eid").checkpoint()
+    steps = kept(steps.groupBy("src", "dst").agg(F.min(F.struct("c", "eid")).alias("e")).select("src", "dst", "e.c", "e.eid"))
     spark = edges.sparkSession
-    best = spark.createDataFrame([(source, 0.0, None, None, 0)], "node string, cost double, prev string, eid string, hops int").checkpoint()
+    best = spark.createDataFrame([(source, 0.0, None, None, 0)], "node string, cost double, prev string, eid string, hops int")
     front = best
     while True:
         moved = front.join(steps, front["node"] == steps["src"]).select(
@@ -66,7 +68,8 @@ def distances(edges: DataFrame, source: str, weights: dict[str, float] | None =
         least = moved.groupBy("node").agg(F.min(F.struct("cost", "prev", "eid", "hops")).alias("m"))
         merged = best.join(least, "node", "full").withColumn("better", F.col("m").isNotNull() & (F.col("cost").isNull() | (F.col("m.cost") < F.col("cost"))))
         pick = lambda c: F.when(F.col("better"), F.col(f"m.{c}")).otherwise(F.col(c)).alias(c)
-        step = merged.select("node", *(pick(c) for c in ("cost", "prev", "eid", "hops")), "better").checkpoint()
+        step = merged.select("node", *(pick(c) for c in ("cost", "prev", "eid", "hops")), "better")
+        step = kept(step)
         front = step.where("better").drop("better")
         best = step.drop("better")
         if front.isEmpty():
@@ -74,13 +77,23 @@ def distances(edges: DataFrame, source: str, weights: dict[str, float] | None =
 
 
 def path(reached: DataFrame, target: str) -> DataFrame:
-    """nth, eid, src, dst of the way to target; as many rounds as it has hops. Empty if out of reach."""
-    at = reached.where(F.col("node") == target).select(F.col("node").alias("dst"), F.col("prev").alias("src"), "eid", "hops")
-    rows, here = [], at.first()
-    while here is not None and here["src"] is not None:
-        rows.append((here["hops"], here["eid"], here["src"], here["dst"]))
-        here = reached.where(F.col("node") == here["src"]).select(F.col("node").alias("dst"), F.col("prev").alias("src"), "eid", "hops").first()
-    return reached.sparkSession.createDataFrame(rows, "nth int, eid string, src string, dst string")
+    """nth, eid, src, dst of the way to target, empty if it is out of reach.
+
+    By pointer doubling: with the vertices up to 2^k hops before the target and each
+    vertex's 2^k-th before it, one join gives those up to 2^(k+1); so a way of n hops takes
+    log n joins and nothing but its length reaches the driver.
+    """
+    end = reached.where(F.col("node") == target).select("hops").first()
+    chain = reached.where(F.col("node") == target).select("node")
+    jump = reached.where("prev IS NOT NULL").select("node", F.col("prev").alias("up"))
+    span = 1
+    while end is not None and span <= end["hops"]:
+        chain = kept(chain.union(chain.join(jump, "node").select("up")))
+        further = jump.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        jump = kept(jump.join(further, "up").select("node", F.col("next").alias("up")))
+        span *= 2
+    on_way = reached.where("prev IS NOT NULL").join(chain, "node", "left_semi")
+    return on_way.select(F.col("hops").alias("nth"), "eid", F.col("prev").alias("src"), F.col("node").alias("dst"))
 
 
 def edge_of_pair(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,6 +107,30 @@ def shared_share(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("eid").distinct().join(b.select("eid").distinct().withColumn("hit", F.lit(1)), "eid", "left").agg((F.count("hit") / F.count("*")).alias("share"))
 
 
+def trip(edges: DataFrame, start: str, goal: str, weights: dict[str, float] | None = None, turned_penalty: float = 4.0, most_shared: float = 0.35, least_4wd: float = 0.4) -> DataFrame:
+    """nth, eid, leg (0 out, 1 back), shape: the way from start to goal and back.
+
+    The way back is looked for with the edges of the way out made dearer. It is a loop if
+    it shares at most most_shared of the edges, else the way out is taken back as it came
+    (out_and_back); a trip of which at least least_4wd of the length is 4wd is called 4wd.
+    """
+    out = kept(path(distances(edges, start, weights), goal))
+    back = kept(path(distances(edges, goal, weights, out.select("eid", F.lit(turned_penalty).alias("factor")).distinct()), start))
+    same = shared_share(back, out).first()["share"]
+    loop = same is not None and same <= most_shared
+    home = back if loop else out.withColumn("nth", out.agg(F.max("nth")).first()[0] + 1 - F.col("nth"))
+    legs = out.select("nth", "eid", F.lit(0).alias("leg")).unionByName(home.select("nth", "eid", F.lit(1).alias("leg")))
+    lengths = legs.join(edges.select("eid", "class", "len_m"), "eid").agg((F.sum(F.when(F.col("class") == "4wd", F.col("len_m")).otherwise(0)) / F.sum("len_m")).alias("s")).first()["s"]
+    shape = "4wd" if lengths is not None and lengths >= least_4wd else "loop" if loop else "out_and_back"
+    return legs.withColumn("shape", F.lit(shape))
+
+
+def within_budget(trips: DataFrame, most: int = 18_000) -> DataFrame:
+    """trips (day, seq, points) in order of day and seq, as long as their points together fit; trips are few."""
+    run = Window.orderBy("day", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return trips.withColumn("total", F.sum("points").over(run)).where(F.col("total") <= most).orderBy("day", "seq")
+
+
 def class_counts(edges: DataFrame, kinds: tuple[str, ...] = ("road", "4wd", "trail")) -> DataFrame:
     domain = edges.sparkSession.createDataFrame([(k,) for k in kinds], "class string")
     return domain.join(edges.groupBy("class").agg(F.count("*").alias("n")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))

@@ -8,7 +8,11 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravia.shared import kept
+
 SPACING_M = 6000.0
+#: Cells of the grid on which points meet regions; a region of ordinary size reaches into some tens.
+REGION_CELL_M = 20000.0
 CARRY_M = 6000.0
 SAME_PLACE_M = 400.0
 
@@ -22,9 +26,23 @@ def inside(x: Column, y: Column, r: str = "") -> Column:
     return x.between(F.col(f"{r}min_x"), F.col(f"{r}max_x")) & y.between(F.col(f"{r}min_y"), F.col(f"{r}max_y"))
 
 
+def _celled(regions: DataFrame, cell_m: float) -> DataFrame:
+    """regions once for each cell of a grid that they reach into."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_m), F.floor(F.col(b) / cell_m)))
+    return regions.withColumn("cx", span("min_x", "max_x")).withColumn("cy", span("min_y", "max_y"))
+
+
+def matched(points: DataFrame, regions: DataFrame, cell_m: float = REGION_CELL_M) -> DataFrame:
+    """points with each region that they lie in. They meet by an equality join on the cells of a grid."""
+    cell = lambda c: F.floor(F.col(c) / cell_m)
+    boxes = _celled(regions.select("region_id", "min_x", "min_y", "max_x", "max_y"), cell_m)
+    keyed = points.withColumns({"cx": cell("x"), "cy": cell("y")})
+    return keyed.join(boxes, ["cx", "cy"]).where(inside(F.col("x"), F.col("y"))).drop("cx", "cy", "min_x", "min_y", "max_x", "max_y")
+
+
 def in_bounds(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """region_id, n: vertices inside each region, 0 included. Regions are a catalogue that is read into one task's memory."""
-    hits = points.select("x", "y").join(F.broadcast(regions), inside(F.col("x"), F.col("y"))).groupBy("region_id").agg(F.count("*").alias("n"))
+    """region_id, n: vertices inside each region, 0 included."""
+    hits = matched(points.select("x", "y"), regions).groupBy("region_id").agg(F.count("*").alias("n"))
     return regions.select("region_id").join(hits, "region_id", "left").select("region_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -34,10 +52,37 @@ def best_region(points: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def outside(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """region_id, tracks_outside: tracks with a vertex strictly outside."""
-    every = points.select("track_id", "x", "y").groupBy("track_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    out = (F.col("x0") < F.col("min_x")) | (F.col("x1") > F.col("max_x")) | (F.col("y0") < F.col("min_y")) | (F.col("y1") > F.col("max_y"))
-    return every.join(F.broadcast(regions)).groupBy("region_id").agg(F.count_if(out).alias("tracks_outside"))
+    """region_id, tracks_outside: tracks with a vertex strictly outside, told from those that lie inside whole."""
+    every = points.groupBy("track_id").agg(F.min("x").alias("x"), F.max("x").alias("x1"), F.min("y").alias("y"), F.max("y").alias("y1"))
+    whole = matched(every, regions).join(regions.select("region_id", "max_x", "max_y"), "region_id").where("x1 <= max_x AND y1 <= max_y").groupBy("region_id").agg(F.count("*").alias("n"))
+    total = every.agg(F.count("*").alias("total"))
+    return regions.select("region_id").join(whole, "region_id", "left").join(F.broadcast(total)).select("region_id", (F.col("total") - F.coalesce("n", F.lit(0))).alias("tracks_outside"))  # one row
+
+
+def routed(points: DataFrame, wanted: DataFrame, regions: DataFrame) -> DataFrame:
+    """upload, region_id, how, error: where each upload belongs. points: upload, x, y; wanted: upload, session (a region it is bound to), asked (a region that was named).
+
+    A session's region stays; a named one stays if a vertex lies in it, else the region
+    with the most vertices takes its place; without either that region is taken. Where no
+    vertex lies in what remains, or a region is unknown, the row says why it is refused.
+    """
+    hits = matched(points.select("upload", "x", "y"), regions).groupBy("upload", "region_id").agg(F.count("*").alias("n"))
+    best = hits.groupBy("upload").agg(F.min(F.struct(-F.col("n"), "region_id")).alias("b")).select("upload", F.col("b.region_id").alias("best"))
+    known = lambda name: regions.select(F.col("region_id").alias(name), F.lit(True).alias(f"{name}_known"))
+    held = lambda name: hits.select("upload", F.col("region_id").alias(name), F.col("n").alias(f"{name}_n"))
+    rows = wanted.join(best, "upload", "left")
+    for name in ("session", "asked"):
+        rows = rows.join(known(name), name, "left").join(held(name), ["upload", name], "left")
+    by_session, by_name = F.col("session").isNotNull(), F.col("session").isNull() & F.col("asked").isNotNull()
+    error = (
+        F.when(by_session & F.col("session_known").isNull(), "unknown_region")
+        .when(by_session & F.col("session_n").isNull(), "outside_session_region")
+        .when(by_name & F.col("asked_known").isNull(), "unknown_region")
+        .when(~by_session & F.col("best").isNull(), "outside_all_regions")
+    )
+    how = F.when(by_session, "session").when(by_name & F.col("asked_n").isNotNull(), "asked").when(by_name, "recovered").otherwise("best")
+    region = F.when(by_session, F.col("session")).when(by_name & F.col("asked_n").isNotNull(), F.col("asked")).otherwise(F.col("best"))
+    return rows.select("upload", F.when(error.isNull(), region).alias("region_id"), F.when(error.isNull(), how).alias("how"), error.alias("error"))
 
 
 def hotspots(cells: DataFrame, bounds: tuple[float, float, float, float], cell_m: float = 1000.0, most: int = 7, spacing_m: float = SPACING_M) -> DataFrame:
@@ -111,14 +156,14 @@ def merge_waypoints(spots: DataFrame, waypoints: DataFrame, key: str, apart_m: f
 def farthest_points(pool: DataFrame, bounds: tuple[float, float, float, float], n: int, inset: float = 0.12) -> DataFrame:
     """nth, id, x, y: from the smallest id on, each time the point farthest from the chosen ones, cells of a 3 x 3 grid once each first.
 
-    One aggregate a round; a row a round reaches the driver.
+    One aggregate a round over the points inside, which are written once; a row a round reaches the driver.
     """
     w, s, e, nb = bounds
     dx, dy = inset * (e - w), inset * (nb - s)
     w, s, e, nb = w + dx, s + dy, e - dx, nb - dy
     inner = pool.where(F.col("x").between(w, e) & F.col("y").between(s, nb))
     third = lambda c, a, b: F.least(F.lit(2), F.greatest(F.lit(0), (3 * (F.col(c) - a) / (b - a)).cast("int")))
-    celled = inner.withColumn("cell", third("x", w, e) * 3 + third("y", s, nb))
+    celled = kept(inner.withColumn("cell", third("x", w, e) * 3 + third("y", s, nb)))
     chosen: list = []
     while len(chosen) < n:
         if not chosen:
@@ -170,3 +215,52 @@ def first_feasible(candidates: DataFrame, key: str) -> DataFrame:
     """The first slot of the first pass that fits. candidates: key, slot, avoids, fits."""
     pass_ = F.when(F.col("avoids"), 0).otherwise(1)
     return candidates.where("fits").groupBy(key).agg(F.min(F.struct(pass_.alias("pass"), "slot")).alias("s")).select(key, "s.pass", "s.slot")
+
+
+def label_candidates(features: DataFrame, width: float, height: float, ranks: dict[str, int], curved: tuple[str, ...] = ("range", "valley"), lines: tuple[str, ...] = ("river",)) -> DataFrame:
+    """id, kind, name, rank, x, y, n, along: where the names of features would stand. features: id, kind, name, vidx, x, y in pixels of the sheet.
+
+    A feature counts as far as its vertices are on the sheet, and stands at their middle;
+    curved kinds of two such vertices at least may be written along them. Of the features
+    of a line kind that share a name the one with the most vertices on the sheet stands
+    for all, at its middle vertex; the smaller id on ties. Unknown kinds and blank names give nothing.
+    """
+    rank = F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv))[F.col("kind")]
+    named = features.withColumns({"name": F.trim(F.coalesce("name", F.lit(""))), "rank": rank}).where((F.col("name") != "") & F.col("rank").isNotNull())
+    inside_ = named.where(F.col("x").between(0, width) & F.col("y").between(0, height))
+    whole = inside_.groupBy("id", "kind", "name", "rank").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("vidx", "x", "y"))).alias("v"))
+    is_line = F.col("kind").isin(*lines)
+    middle = F.get("v", F.floor(F.col("n") / 2).cast("int"))
+    placed = whole.select(
+        "id", "kind", "name", "rank", F.when(is_line, middle["x"]).otherwise(F.col("x")).alias("x"), F.when(is_line, middle["y"]).otherwise(F.col("y")).alias("y"), "n",
+        (F.col("kind").isin(*curved) & (F.col("n") >= 2)).alias("along"),
+    )
+    longest = placed.where(is_line).groupBy("kind", "name").agg(F.min(F.struct(-F.col("n"), "id")).alias("m")).select("kind", "name", F.col("m.id").alias("id"))
+    return placed.where(~is_line).unionByName(placed.where(is_line).join(longest, ["kind", "name", "id"], "left_semi").select(placed.columns))
+
+
+def keep_outs(sheets: DataFrame, key: str) -> DataFrame:
+    """key, part, x0, y0, x1, y1: the boxes of a sheet's furniture that names must keep out of. sheets: key, width, height, trim, and has_title, has_profile, has_bar with their heights."""
+    box = lambda part, has, x0, y0, x1, y1: F.when(F.col(has), F.struct(F.lit(part).alias("part"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+    c = F.col
+    left, right, bottom = c("trim"), c("width") - c("trim"), c("height") - c("trim")
+    stacked = F.coalesce(F.when(c("has_profile"), c("profile_h")), F.lit(0.0))
+    boxes = F.array(
+        box("title", "has_title", left, bottom - stacked - c("title_h"), right, bottom - stacked),
+        box("profile", "has_profile", left, bottom - c("profile_h"), right, bottom),
+        box("bar", "has_bar", left, c("trim"), left + c("bar_w"), c("trim") + c("bar_h")),
+    )
+    return sheets.select(key, F.explode(F.filter(boxes, lambda b: b.isNotNull())).alias("b")).select(key, "b.*")
+
+
+def occurrences(spots: DataFrame, names: DataFrame) -> DataFrame:
+    """spots whose label is among the names, with weight: how often it occurs there."""
+    return spots.drop("weight").join(names.groupBy(F.col("name").alias("label")).agg(F.count("*").alias("weight")), "label")
+
+
+def annotated(spots: DataFrame, group: str, labels: tuple[str, ...], icons: tuple[str, ...]) -> DataFrame:
+    """spots (nth, label, icon) whose missing labels and icons are filled in turn from the lists."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy("nth")) - 1
+    turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("__k"), F.lit(len(values))) + 1).cast("int"))
+    fill = lambda c, values: F.when(F.coalesce(F.col(c), F.lit("")) == "", turn(values)).otherwise(F.col(c))
+    return spots.withColumn("__k", place).withColumns({"label": fill("label", labels), "icon": fill("icon", icons)}).drop("__k")

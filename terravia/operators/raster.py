@@ -8,11 +8,12 @@ stops and classes are literals of fixed size.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import atan, cos, pi, radians, sin, tan
+from math import ceil, cos, floor, pi, radians, sin, tan
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def along_row() -> Window:
     return Window.partitionBy("row").orderBy("col")
 
@@ -52,28 +53,24 @@ def hillshade(cells: DataFrame, res_m: float, azimuth: float = 315.0, altitude:
 
 
 def multidirectional(cells: DataFrame, res_m: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """Light from the sun and, weaker, from four directions beside and across it."""
+    """Light from the sun and, weaker, from four directions beside and across it (fixed values)."""
     lights = ((0.0, 1.0), (-45.0, 0.5), (45.0, 0.5), (-90.0, 0.25), (90.0, 0.25))
     total = sum(w for _, w in lights)
     mixed = sum((lambert(azimuth + turn, altitude) * w for turn, w in lights), F.lit(0.0))
     return slope_aspect(cells, res_m).withColumn("shade", mixed / total)
 
 
-#: Steps of light along the grid, and by what a cell's line is known, for the eight directions that follow it.
-_LINES: dict[int, tuple[str, str]] = {90: ("row", "-col"), 270: ("row", "col"), 180: ("col", "-row"), 0: ("col", "row"), 315: ("row - col", "col"), 135: ("row - col", "-col"), 45: ("row + col", "-col"), 225: ("row + col", "col")}
-
-
-def cast_shadow(cells: DataFrame, res_m: float, azimuth: int = 270, altitude: float = 45.0, ramp_m: float = 40.0) -> DataFrame:
+def cast_shadow(cells: DataFrame, res_m: float, azimuth: float = 270, altitude: float = 45.0, ramp_m: float = 40.0) -> DataFrame:
     """depth below the running horizon of the sun, and shadow (0 to 1) from it.
 
-    The horizon falls by `drop` a step, so it is the running maximum of v + j * drop less
-    j * drop. Azimuths are the four along the grid and the four across; for others take
-    the nearest.
+    Light runs along digital lines: each cell lies on one line, and a line has one cell for
+    each step of the axis that the light follows more. The horizon falls by `drop` a step,
+    so it is the running maximum of v + j * drop less j * drop.
     """
-    line, step = _LINES[min(_LINES, key=lambda a: min((a - azimuth) % 360, (azimuth - a) % 360))]
-    length = res_m * (2**0.5 if "row " in line else 1.0)
-    drop = tan(radians(altitude)) * length
-    with_line = cells.withColumns({"__line": F.expr(line), "__j": F.expr(step)})
+    across, down = round(-sin(radians(azimuth)), 12), round(cos(radians(azimuth)), 12)
+    along, other, step, lean = ("col", "row", across, down / across) if abs(across) >= abs(down) else ("row", "col", down, across / down)
+    drop = tan(radians(altitude)) * res_m * (1 + lean * lean) ** 0.5
+    with_line = cells.withColumns({"__line": F.col(other) - F.rint(F.col(along) * lean), "__j": F.col(along) if step > 0 else -F.col(along)})
     over = Window.partitionBy("__line").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
     horizon = F.max(F.col("v") + F.col("__j") * drop).over(over) - F.col("__j") * drop
     deep = with_line.withColumn("depth", horizon - F.col("v"))
@@ -141,17 +138,37 @@ def sky_occlusion(cells: DataFrame, res_m: float, radii: Sequence[tuple[int, flo
     return out.withColumn("occlusion", total).drop(*(f"__m{r}" for r, _ in radii))
 
 
-def fill_nodata(cells: DataFrame) -> DataFrame:
-    """Nearest value along the row, the earlier column on ties; a row without any takes its column's nearest; else 0."""
+def _last(place: Column, key: str, at: str, down: bool = False) -> Column:
+    """The last place that is not null up to a cell, from the one end or the other. Frames grow from their start: one that ends last would be run through for every cell."""
+    order = Window.partitionBy(key).orderBy(F.desc(at) if down else F.asc(at)).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(place, ignorenulls=True).over(order)
+
+
+def nearest_data(cells: DataFrame) -> DataFrame:
+    """row, col, nearest, d2 for every cell: the value of the nearest cell that has one, by squared distance, then smaller row, then column; null if there is none.
+
+    First the nearest along each column, then, for cells without data, the least of the
+    squares over the columns of the row that are no further off than the best found so far.
+    """
+    up, under = (_last(F.when(F.col("v").isNotNull(), F.struct(F.col("row").alias("p"), "v")), "col", "row", d) for d in (False, True))
+    first = cells.select("row", "col", "v", up.alias("a"), under.alias("b"))
+    upper = F.col("b").isNull() | (F.col("row") - F.col("a.p") <= F.col("b.p") - F.col("row"))
+    flat = first.select("row", "col", "v", F.when(upper, F.col("a")).otherwise(F.col("b")).alias("n")).withColumn("g", F.abs(F.col("row") - F.col("n.p")))
+    side = F.when(F.col("v").isNotNull(), F.col("col"))
+    span = Window.partitionBy("row")
+    flat = flat.withColumns({"left": _last(side, "row", "col"), "right": _last(side, "row", "col", True), "low": F.min("col").over(span), "high": F.max("col").over(span)})
+    bound = F.coalesce(F.least("g", F.col("col") - F.col("left"), F.col("right") - F.col("col")), F.col("high") - F.col("low"))
+    missing = flat.where("v IS NULL").select("row", "col", F.explode(F.sequence(F.greatest(F.col("low"), F.col("col") - bound), F.least(F.col("high"), F.col("col") + bound))).alias("c"))
+    around = flat.where("n IS NOT NULL").select("row", F.col("col").alias("c"), "n", "g")
+    d2 = (F.col("c") - F.col("col")) * (F.col("c") - F.col("col")) + F.col("g") * F.col("g")
+    best = missing.join(around, ["row", "c"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), F.col("n.p").alias("p"), "c", F.col("n.v").alias("v"))).alias("m"))
+    found = flat.where("v IS NULL").select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.col("m.v").alias("nearest"), F.col("m.d2").alias("d2"))
+    return flat.where("v IS NOT NULL").select("row", "col", F.col("v").alias("nearest"), F.lit(0).cast("long").alias("d2")).unionByName(found)
 
-    def nearest(over: Window, at: str, v: str) -> Column:
-        place = F.when(F.col(v).isNotNull(), F.struct(F.col(at).alias("p"), F.col(v).alias("v")))
-        a = F.last(place, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
-        b = F.first(place, ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing))
-        return F.when(b.isNull() | (F.col(at) - a["p"] <= b["p"] - F.col(at)), a["v"]).otherwise(b["v"])
 
-    by_row = cells.withColumn("__r", nearest(along_row(), "col", "v"))
-    return by_row.withColumn("filled", F.coalesce("__r", nearest(along_col(), "row", "__r"), F.lit(0.0))).drop("__r")
+def fill_nodata(cells: DataFrame) -> DataFrame:
+    """Every cell with filled: its own value or that of the nearest cell that has one; 0 where none has."""
+    return nearest_data(cells).select("row", "col", F.coalesce("nearest", F.lit(0.0)).alias("filled"))
 
 
 def ramp(t: Column, stops: Sequence[tuple[float, tuple[int, int, int]]]) -> Column:
@@ -200,9 +217,42 @@ def coarsen(cells: DataFrame, factor: int) -> DataFrame:
     return cells.groupBy(block("row"), block("col")).agg(F.avg("v").alias("v"), F.count("v").alias("n"))
 
 
+def order_statistics(values: DataFrame, ranks: Sequence[int], bins: int = 4096) -> list[float]:
+    """The values (column v, none of them null) of these ranks, from 0. Counts over ever narrower ranges: what a task or the driver holds is bounded by the bins and ranks."""
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    #: By rank: the range that its value lies in, and how many values are below the range.
+    at = dict.fromkeys(ranks, (low, high, 0))
+    while any(lo < hi for lo, hi, _ in at.values()):
+        open_ = sorted({span for span in at.values() if span[0] < span[1]})
+        spans = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (lo, hi, _) in enumerate(open_)))
+        inside = values.select("v", F.explode(F.filter(spans, lambda s: F.col("v").between(s["lo"], s["hi"]))).alias("s"))
+        # halves first, so that a range of all numbers does not overflow
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("v") / 2 - F.col("s.lo") / 2) / (F.col("s.hi") / 2 - F.col("s.lo") / 2) * bins))
+        counts = inside.groupBy(F.col("s.i").alias("i"), bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for rank, span in at.items():
+            if span not in open_:
+                continue
+            below = span[2]
+            for r in sorted((r for r in counts if r["i"] == open_.index(span)), key=lambda r: r["b"]):
+                if rank < below + r["n"]:
+                    at[rank] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+    return [at[r][0] for r in ranks]
+
+
 def percentiles(cells: DataFrame, shares: Sequence[float]) -> DataFrame:
-    """Exact, interpolated, over the data."""
-    return cells.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).select(*(F.get("p", F.lit(i)).alias(f"p{i}") for i in range(len(shares))))
+    """One row, p0, p1 ...: exact, interpolated, over the data; null if there is none."""
+    values = cells.where("v IS NOT NULL").select("v")
+    n = values.count()
+    schema = ", ".join(f"p{i} double" for i in range(len(shares)))
+    if not n:
+        return cells.sparkSession.createDataFrame([(None,) * len(shares)], schema)
+    places = [s * (n - 1) for s in shares]
+    ranks = sorted({r for p in places for r in (floor(p), ceil(p))})
+    found = dict(zip(ranks, order_statistics(values, ranks), strict=True))
+    row = tuple(float(found[floor(p)] + (found[ceil(p)] - found[floor(p)]) * (p - floor(p))) for p in places)
+    return cells.sparkSession.createDataFrame([row], schema)
 
 
 def best_block_window(cells: DataFrame, block: int, high: int, wide: int) -> DataFrame:
@@ -245,6 +295,3 @@ class PassRegistry:
                     cells = cells.transform(run)
         return cells
 
-
-def slope_of(rise: float, run: float) -> float:
-    return atan(rise / run)

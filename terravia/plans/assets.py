@@ -65,15 +65,15 @@ def asset_drift(spark, d):
 
 @register(
     "index_merge",
-    oracle("fx_assets", body="""f AS (SELECT bundle AS name, list(name) AS assets, CASE WHEN max(seq) % 2 = 0 THEN 'dem' END AS terrain FROM fx_assets WHERE seq % 4 = 0 AND bundle <> 'src3' GROUP BY bundle),
-  p AS (SELECT bundle AS name, list(name) AS assets, 'old' AS terrain FROM fx_assets WHERE seq % 4 <> 2 AND bundle <> 'src5' GROUP BY bundle)
+    oracle("fx_assets", body="""f AS (SELECT bundle AS name, list(name) AS assets, CASE WHEN max(seq) % 2 = 0 THEN 'dem' END AS terrain FROM fx_assets WHERE bytes >= 500 AND bundle <> 'src3' GROUP BY bundle),
+  p AS (SELECT bundle AS name, list(name) AS assets, 'old' AS terrain FROM fx_assets WHERE (bytes IS NULL OR bytes < 2000) AND bundle <> 'src5' GROUP BY bundle)
   SELECT coalesce(f.name, p.name) AS name, len(list_distinct(list_concat(coalesce(f.assets, []), coalesce(p.assets, [])))) AS n, coalesce(f.terrain, p.terrain) AS terrain FROM f FULL JOIN p ON f.name = p.name"""),
 )
 def index_merge(spark, d):
     a = fx.assets(spark, d)
     side = lambda rows, terrain: rows.groupBy(F.col("bundle").alias("name")).agg(F.collect_list("name").alias("assets"), terrain.alias("terrain"))
-    fresh = side(a.where("seq % 4 = 0 AND bundle <> 'src3'"), F.when(F.max("seq") % 2 == 0, "dem"))
-    prior = side(a.where("seq % 4 <> 2 AND bundle <> 'src5'"), F.max(F.lit("old")))
+    fresh = side(a.where("bytes >= 500 AND bundle <> 'src3'"), F.when(F.max("seq") % 2 == 0, "dem"))
+    prior = side(a.where("(bytes IS NULL OR bytes < 2000) AND bundle <> 'src5'"), F.max(F.lit("old")))
     return A.merge_index(fresh, prior).select("name", F.size("assets").cast("long").alias("n"), "terrain")
 
 
@@ -105,17 +105,6 @@ def ttl_evict(spark, d):
     return A.expired(e, e.where("event_type = 'purchase' AND value > 250"), "user_id", "t", 1705000000.0, 86400.0).select("event_id", "user_id")
 
 
-@register(
-    "lru_simulation",
-    """WITH l AS (SELECT user_id AS cache, event_id % 13 AS item, max(event_id) AS seq, arg_max(bytes, event_id) AS bytes FROM (SELECT *, 10 + (event_id * 31) % 90 AS bytes FROM events) WHERE bytes <= 95 GROUP BY 1, 2)
-  SELECT cache, item, sum(bytes) OVER (PARTITION BY cache ORDER BY seq DESC, item ROWS UNBOUNDED PRECEDING) <= 250 AS kept FROM l""",
-)
-def lru_simulation(spark, d):
-    i = F.col("event_id")
-    log = fx.table(spark, d, "events").select(F.col("user_id").alias("cache"), (i % 13).alias("item"), i.alias("seq"), (10 + (i * 31) % 90).alias("bytes"))
-    return A.lru_state(log.where("bytes <= 95"), 250)
-
-
 @register(
     "lineage_append",
     """WITH h AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS h FROM orders GROUP BY o_custkey), n AS (SELECT o_custkey, list_append(h, -1) AS h FROM h)
@@ -176,11 +165,11 @@ def symbol_icon(spark, d):
 
 @register(
     "way_class",
-    "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'trail' WHEN 1 THEN 'trail' WHEN 2 THEN 'trail' WHEN 3 THEN '4wd' ELSE 'road' END AS class FROM part",
+    "SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'trail' WHEN 1 THEN 'trail' WHEN 2 THEN 'trail' WHEN 3 THEN '4wd' WHEN 6 THEN 'trail' ELSE 'road' END AS class FROM part",
 )
 def way_class(spark, d):
-    tags = F.array(*map(F.lit, ("path", "footway", "bridleway", "track", "primary", "service")))
-    return fx.table(spark, d, "part").select("p_partkey", T.way_class(F.get(tags, F.col("p_size") % 6)).alias("class"))
+    tags = F.array(*map(F.lit, ("path", "footway", "bridleway", "track", "primary", "service", "cycleway")))
+    return fx.table(spark, d, "part").select("p_partkey", T.way_class(F.get(tags, F.col("p_size") % 7)).alias("class"))
 
 
 CREDITS = [("src1", "Survey One"), ("src", "Other survey")]
@@ -240,12 +229,12 @@ def label_bake(spark, d):
 
 @register(
     "set_ops",
-    """WITH a AS (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT source FROM documents WHERE lang <> 'en')
+    """WITH a AS (SELECT DISTINCT source FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT source FROM documents WHERE lang <> 'en')
   SELECT 'both' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)""",
 )
 def set_ops(spark, d):
     docs = fx.table(spark, d, "documents")
-    a, b = docs.where("doc_id % 2 = 0").select("source").distinct(), docs.where("lang <> 'en'").select("source").distinct()
+    a, b = docs.where("lang = 'en'").select("source").distinct(), docs.where("lang <> 'en'").select("source").distinct()
     sets = {"both": a.intersect(b), "either": a.union(b).distinct(), "first": a.subtract(b), "all": a.unionAll(b)}
     return J.union_all(s.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n") for op, s in sets.items())
 

@@ -122,7 +122,7 @@ def reveal_by_points(spark, d):
 
 
 ACTIVE = """ac AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY track_id ORDER BY vidx ROWS UNBOUNDED PRECEDING), 0) AS active_s FROM
- (SELECT *, least(t - lag(t) OVER (PARTITION BY track_id ORDER BY vidx), 1800.0::DOUBLE) AS gap FROM fx_users))"""
+ (SELECT *, CASE WHEN vidx > 0 THEN least(t - lag(t) OVER (PARTITION BY track_id ORDER BY vidx), 1800.0::DOUBLE) ELSE 0 END AS gap FROM fx_users))"""
 
 
 @register("active_time", oracle("fx_users", body=ACTIVE + " SELECT track_id, vidx, round(active_s, 3) AS active_s FROM ac"))
@@ -233,3 +233,40 @@ def recover_times(spark, d):
 )
 def journey_anchor(spark, d):
     return J.anchor(_users(spark, d)).withColumns({"cx": F.round("cx", 3), "cy": F.round("cy", 3)})
+
+
+CLOCK = """ts AS (SELECT DISTINCT t FROM fx_users), ck AS (SELECT t, coalesce(sum(g) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS a FROM (SELECT t, CASE WHEN lag(t) OVER (ORDER BY t) IS NOT NULL THEN least(t - lag(t) OVER (ORDER BY t), 1800.0::DOUBLE) ELSE 0 END AS g FROM ts))"""
+
+
+@register("clock_times", oracle("fx_users", body=CLOCK + " SELECT t, round(a, 2) AS active_s FROM ck"))
+def clock_times(spark, d):
+    return J.clock(_users(spark, d)).withColumn("active_s", F.round("active_s", 2))
+
+
+@register(
+    "reveal_by_clock",
+    oracle(
+        "fx_users",
+        body=CLOCK + """, fr AS (SELECT CAST(k AS INTEGER) AS frame, (SELECT min(t) FROM ck WHERE a >= (SELECT max(a) FROM ck) * (k / 10.0::DOUBLE) - 1e-6::DOUBLE) AS until FROM (SELECT unnest(range(1, 11)) AS k)),
+  ct AS (SELECT frame, track_id, coalesce(min(vidx) FILTER (t > until AND frame < 10), count(*)) AS shown FROM fr, fx_users GROUP BY frame, track_id)
+  SELECT frame, track_id, shown FROM ct WHERE shown >= 2 OR frame = 10""",
+    ),
+)
+def reveal_by_clock(spark, d):
+    return J.reveal_by_clock(_users(spark, d))
+
+
+@register(
+    "point_at",
+    oracle(
+        "fx_users",
+        body=USER_STEPS + """, sp AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(cum_m) OVER w AS cum1, max(cum_m) OVER (PARTITION BY track_id) AS total FROM arc WINDOW w AS (PARTITION BY track_id ORDER BY vidx)),
+  q AS (SELECT *, least(greatest(k * 100000.0::DOUBLE - 50000.0::DOUBLE, 0), total) AS pos FROM sp, (SELECT unnest(range(0, 40)) AS k) WHERE x1 IS NOT NULL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY track_id, k ORDER BY vidx) AS n FROM q WHERE cum1 >= pos)
+  SELECT track_id, k, round(x + (x1 - x) * ((pos - cum_m) / (cum1 - cum_m)), 1) AS px, round(y + (y1 - y) * ((pos - cum_m) / (cum1 - cum_m)), 1) AS py, round(atan2(y1 - y, x1 - x), 6) AS angle FROM o WHERE n = 1""",
+    ),
+)
+def point_at(spark, d):
+    p = _users(spark, d)
+    wanted = p.select("track_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select("track_id", (F.col("k") * 100000.0 - 50000.0).alias("s"))
+    return J.points_at(p, wanted).select("track_id", ((F.col("s") + 50000.0) / 100000.0).cast("long").alias("k"), F.round("x", 1).alias("px"), F.round("y", 1).alias("py"), F.round("angle", 6).alias("angle"))

@@ -8,34 +8,13 @@ from terravia.fixtures import oracle
 from terravia.operators import graph as G
 
 
-def _shared(spark):
-    """A checkpoint folder: the session's, or one of its own in local mode."""
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='terravia-')}")
-
-
-@register(
-    "shortest_paths",
-    oracle(
-        "fx_small_edges",
-        body="""w AS (SELECT src, dst, min(len_m * CASE class WHEN 'trail' THEN 1.0 WHEN '4wd' THEN 1.5 ELSE 3.0 END::DOUBLE) AS c FROM (SELECT src, dst, class, len_m FROM fx_small_edges UNION ALL SELECT dst, src, class, len_m FROM fx_small_edges) GROUP BY src, dst),
-  reach(node, cost, hops) AS (SELECT 'S1', 0.0::DOUBLE, 0 UNION
-    SELECT node, min(cost), hops FROM (SELECT w.dst AS node, reach.cost + w.c AS cost, hops + 1 AS hops FROM reach JOIN w ON w.src = reach.node WHERE hops < 8) GROUP BY node, hops)
-  SELECT node, min(cost) AS cost FROM reach GROUP BY node""",
-        recursive=True,
-    ),
-)
+@register("shortest_paths")
 def shortest_paths(spark, d):
-    _shared(spark)
-    return G.distances(fx.edges(spark, d, small=True), "S1", G.WEIGHTS).select("node", "cost")
+    return G.distances(fx.edges(spark, d), "S1", G.WEIGHTS).select("node", "cost")
 
 
 @register("shortest_path_edges")
 def shortest_path_edges(spark, d):
-    _shared(spark)
     edges = fx.edges(spark, d)
     reached = G.distances(edges, "S1", G.WEIGHTS)
     last = reached.agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
@@ -45,7 +24,6 @@ def shortest_path_edges(spark, d):
 @register("loop_share")
 def loop_share(spark, d):
     """How much of the way back equals the way out, when the edges of the way out cost more."""
-    _shared(spark)
     edges = fx.edges(spark, d)
     reached = G.distances(edges, "S1", G.WEIGHTS)
     last = reached.agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
@@ -81,3 +59,16 @@ def edge_of_pair(spark, d):
 def network_edges(spark, d):
     ways = fx.points(spark, d, by_user=True).select(F.col("track_id").alias("way"), "vidx", "x", "y", F.lit("road").alias("class"))
     return G.from_ways(ways, -3).select("eid", F.round("len_m", 3).alias("len_m"))
+
+
+@register("trip_shape")
+def trip_shape(spark, d):
+    edges = fx.edges(spark, d)
+    last = G.distances(edges, "S1", G.WEIGHTS).agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
+    return G.trip(edges, "S1", last, G.WEIGHTS)
+
+
+@register("trips_in_budget", "SELECT o_custkey, day, seq FROM (SELECT *, sum(points) OVER (ORDER BY day, seq ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS day, o_custkey AS seq, count(*) AS points FROM orders GROUP BY o_custkey)) WHERE total <= 400")
+def trips_in_budget(spark, d):
+    trips = fx.table(spark, d, "orders").groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("day"), F.count("*").alias("points")).withColumn("seq", F.col("o_custkey"))
+    return G.within_budget(trips, 400).select("o_custkey", "day", "seq")

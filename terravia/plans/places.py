@@ -51,13 +51,13 @@ def hotspot_topk_spaced(spark, d):
 
 @register(
     "nearest_spot",
-    oracle("fx_points", body="""a AS (SELECT event_id AS id, x, y FROM fx_points), b AS (SELECT event_id AS place, x, y FROM fx_points WHERE event_id % 50 = 0),
+    oracle("fx_points", body="""a AS (SELECT event_id AS id, x, y FROM fx_points), b AS (SELECT event_id AS place, x, y FROM fx_points WHERE day IS NULL),
   m AS (SELECT id, place, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM a, b)
   SELECT id, first(place ORDER BY d2, place) AS place, round(sqrt(min(d2)), 3) AS dist_m FROM m WHERE d2 <= 4000000 GROUP BY id"""),
 )
 def nearest_spot(spark, d):
     p = fx.points(spark, d)
-    found = P.nearest(p.select(F.col("event_id").alias("id"), "x", "y"), p.where("event_id % 50 = 0").select(F.col("event_id").alias("place"), "x", "y"), 2000.0)
+    found = P.nearest(p.select(F.col("event_id").alias("id"), "x", "y"), p.where("day IS NULL").select(F.col("event_id").alias("place"), "x", "y"), 2000.0)
     return found.withColumn("dist_m", F.round("dist_m", 3))
 
 
@@ -76,8 +76,8 @@ def annotate_carry(spark, d):
     "waypoint_merge",
     oracle(
         "fx_users",
-        body="""sp AS (SELECT track_id, list(struct_pack(x := x, y := y) ORDER BY vidx) AS s FROM fx_users WHERE vidx % 2 = 0 AND vidx < 16 GROUP BY track_id),
-  wp AS (SELECT track_id, list(struct_pack(x := x, y := y) ORDER BY vidx) AS w FROM fx_users WHERE vidx % 2 = 1 AND vidx < 16 GROUP BY track_id),
+        body="""sp AS (SELECT track_id, list(struct_pack(x := x, y := y) ORDER BY vidx) AS s FROM fx_users WHERE vidx % 2 = 0 GROUP BY track_id),
+  wp AS (SELECT track_id, list(struct_pack(x := x, y := y) ORDER BY vidx) AS w FROM fx_users WHERE vidx % 2 = 1 GROUP BY track_id),
   fold(track_id, i, w, acc) AS (
     SELECT sp.track_id, 0, coalesce(w, []), s FROM sp LEFT JOIN wp USING (track_id)
     UNION ALL
@@ -87,7 +87,7 @@ def annotate_carry(spark, d):
     ),
 )
 def waypoint_merge(spark, d):
-    p = fx.points(spark, d, by_user=True).where("vidx < 16")
+    p = fx.points(spark, d, by_user=True)
     return P.merge_waypoints(_spots(p, True).drop("label"), _spots(p, False).drop("label"), "track_id", 10000.0)
 
 
@@ -160,3 +160,74 @@ def label_place(spark, d):
 def label_first_slot(spark, d):
     c = fx.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("slot"), (F.col("l_returnflag") == "A").alias("avoids"), (F.col("l_quantity") > 25).alias("fits"))
     return P.first_feasible(c, "l_orderkey")
+
+
+@register(
+    "region_routing",
+    oracle(
+        "fx_regions",
+        body="""p AS (SELECT user_id AS k, 640000.0::DOUBLE + (event_id * 7919) % 110000 * CASE WHEN user_id % 3 = 0 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS x, 4440000.0::DOUBLE + (event_id * 104729) % 90000 AS y FROM events),
+  h AS (SELECT k, region_id, count(*) AS n FROM p JOIN fx_regions ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y GROUP BY k, region_id),
+  b AS (SELECT k, first(region_id ORDER BY n DESC, region_id) AS best FROM h GROUP BY k),
+  w AS (SELECT DISTINCT user_id AS k, CASE WHEN user_id % 7 = 1 THEN 'ASIA' END AS session, CASE WHEN user_id % 7 = 2 THEN 'EUROPE' WHEN user_id % 7 = 3 THEN 'MARS' END AS asked FROM events),
+  j AS (SELECT w.*, best, hs.n AS sn, ha.n AS an FROM w LEFT JOIN b USING (k) LEFT JOIN h hs ON hs.k = w.k AND hs.region_id = session LEFT JOIN h ha ON ha.k = w.k AND ha.region_id = asked),
+  e AS (SELECT *, CASE WHEN session IS NOT NULL AND sn IS NULL THEN 'outside_session_region' WHEN session IS NULL AND asked = 'MARS' THEN 'unknown_region' WHEN session IS NULL AND best IS NULL THEN 'outside_all_regions' END AS error FROM j)
+  SELECT k AS upload, error, CASE WHEN error IS NULL THEN CASE WHEN session IS NOT NULL THEN session WHEN an IS NOT NULL THEN asked ELSE best END END AS region_id,
+   CASE WHEN error IS NULL THEN CASE WHEN session IS NOT NULL THEN 'session' WHEN an IS NOT NULL THEN 'asked' WHEN asked IS NOT NULL THEN 'recovered' ELSE 'best' END END AS how FROM e""",
+    ),
+)
+def region_routing(spark, d):
+    e = fx.table(spark, d, "events")
+    k = F.col("user_id")
+    p = e.select(k.alias("upload"), (640000.0 + (F.col("event_id") * 7919) % 110000 * F.when(k % 3 == 0, 0.1).otherwise(1.0)).alias("x"), (4440000.0 + (F.col("event_id") * 104729) % 90000).alias("y"))
+    wanted = e.select(k.alias("upload"), F.when(k % 7 == 1, "ASIA").alias("session"), F.when(k % 7 == 2, "EUROPE").when(k % 7 == 3, "MARS").alias("asked")).distinct()
+    return P.routed(p, wanted, fx.regions(spark, d))
+
+
+RANKS = {"range": 100, "summit": 85, "lake": 66, "river": 40}
+
+
+@register(
+    "label_candidates",
+    oracle(
+        "fx_points",
+        body="""f AS (SELECT track_id AS id, CASE CAST(split_part(track_id, '-', 1) AS INTEGER) % 5 WHEN 0 THEN 'range' WHEN 1 THEN 'summit' WHEN 2 THEN 'lake' WHEN 3 THEN 'river' ELSE 'ridge' END AS kind,
+   CASE WHEN day IS NULL THEN ' ' ELSE 'N' || CAST(split_part(track_id, '-', 1) AS INTEGER) % 50 END AS name, vidx, (x - 664030) / 40 AS x, (4525010 - y) / 40 AS y FROM fx_points WHERE track_id IN (SELECT track_id FROM fx_points GROUP BY track_id HAVING count(*) = count(day))),
+  i AS (SELECT * FROM f WHERE kind <> 'ridge' AND x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1200),
+  g AS (SELECT id, kind, name, avg(x) AS ax, avg(y) AS ay, count(*) AS n, list(x ORDER BY vidx) AS xs, list(y ORDER BY vidx) AS ys FROM i GROUP BY id, kind, name),
+  r AS (SELECT *, row_number() OVER (PARTITION BY kind, name ORDER BY n DESC, id) AS k FROM g)
+  SELECT id, kind, name, CASE kind WHEN 'range' THEN 100 WHEN 'summit' THEN 85 WHEN 'lake' THEN 66 ELSE 40 END AS rank, round(CASE WHEN kind = 'river' THEN xs[n // 2 + 1] ELSE ax END, 3) AS x, round(CASE WHEN kind = 'river' THEN ys[n // 2 + 1] ELSE ay END, 3) AS y, n, kind = 'range' AND n >= 2 AS along
+  FROM r WHERE kind <> 'river' OR k = 1""",
+    ),
+)
+def label_candidates(spark, d):
+    p = fx.points(spark, d)
+    whole = p.groupBy("track_id").agg((F.count("*") == F.count("day")).alias("dated")).where("dated").select("track_id")
+    number = F.substring_index("track_id", "-", 1).cast("int")
+    kind = F.get(F.array(*map(F.lit, ("range", "summit", "lake", "river", "ridge"))), number % 5)
+    f = p.join(whole, "track_id", "left_semi").select(F.col("track_id").alias("id"), kind.alias("kind"), F.when(F.col("day").isNull(), " ").otherwise(F.concat(F.lit("N"), (number % 50).cast("string"))).alias("name"), "vidx", ((F.col("x") - 664030) / 40).alias("x"), ((4525010 - F.col("y")) / 40).alias("y"))
+    return P.label_candidates(f, 1000.0, 1200.0, RANKS).withColumns({"x": F.round("x", 3), "y": F.round("y", 3)})
+
+
+@register(
+    "label_keep_outs",
+    oracle("fx_specs", body="""s AS (SELECT k, print_w * 300 AS w, print_h * 300 AS h, bleed * 300 AS t, k % 2 = 0 AS ti, k % 3 = 0 AS pr, k % 5 = 0 AS ba FROM fx_specs)
+  SELECT k, 'title' AS part, t AS x0, h - t - CASE WHEN pr THEN 90.0::DOUBLE ELSE 0 END - 120.0::DOUBLE AS y0, w - t AS x1, h - t - CASE WHEN pr THEN 90.0::DOUBLE ELSE 0 END AS y1 FROM s WHERE ti
+  UNION ALL SELECT k, 'profile', t, h - t - 90.0::DOUBLE, w - t, h - t FROM s WHERE pr UNION ALL SELECT k, 'bar', t, t, t + 200.0::DOUBLE, t + 30.0::DOUBLE FROM s WHERE ba"""),
+)
+def label_keep_outs(spark, d):
+    s = fx.specs(spark, d).select("k", (F.col("print_w") * 300).alias("width"), (F.col("print_h") * 300).alias("height"), (F.col("bleed") * 300).alias("trim"), (F.col("k") % 2 == 0).alias("has_title"), (F.col("k") % 3 == 0).alias("has_profile"), (F.col("k") % 5 == 0).alias("has_bar"), F.lit(120.0).alias("title_h"), F.lit(90.0).alias("profile_h"), F.lit(200.0).alias("bar_w"), F.lit(30.0).alias("bar_h"))
+    return P.keep_outs(s, "k")
+
+
+@register(
+    "edition_spots",
+    """WITH n AS (SELECT p_type AS label, count(*) AS weight FROM part GROUP BY p_type), s AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 4 > 0 THEN p_type ELSE '' END AS label0, CASE WHEN p_partkey % 3 > 0 THEN 'flag' END AS icon0, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part),
+  a AS (SELECT p_partkey, CASE WHEN label0 = '' THEN ['one', 'two'][r % 2 + 1] ELSE label0 END AS label, coalesce(icon0, ['peak', 'camp', 'star'][r % 3 + 1]) AS icon FROM s)
+  SELECT p_partkey, label, icon, weight FROM a JOIN n USING (label)""",
+)
+def edition_spots(spark, d):
+    part = fx.table(spark, d, "part")
+    spots = part.select("p_partkey", "p_brand", F.col("p_partkey").alias("nth"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).otherwise("").alias("label"), F.when(F.col("p_partkey") % 3 > 0, "flag").alias("icon"))
+    done = P.annotated(spots, "p_brand", ("one", "two"), ("peak", "camp", "star"))
+    return P.occurrences(done, part.select(F.col("p_type").alias("name"))).select("p_partkey", "label", "icon", "weight")

@@ -99,8 +99,9 @@ _MEAN = """rs AS (SELECT *, sum(v) OVER r AS s, count(v) OVER r AS n FROM {t} WI
 @register("valley_percentile", oracle("fx_filled", body=_MEAN.format(t="fx_filled", k=4) + " SELECT round(quantile_cont(greatest(mean - v, 0), 0.99), 3) AS p99, round(stddev_pop(v - mean), 3) AS texture_std FROM mn"))
 def valley_percentile(spark, d):
     m = R.box_mean(_filled(spark, d), 4)
-    deep = F.greatest(F.col("mean") - F.col("v"), F.lit(0.0))
-    return m.agg(F.round(F.percentile(deep, 0.99), 3).alias("p99"), F.round(F.stddev_pop(F.col("v") - F.col("mean")), 3).alias("texture_std"))
+    deep = R.percentiles(m.select(F.greatest(F.col("mean") - F.col("v"), F.lit(0.0)).alias("v")), [0.99])
+    spread = m.agg(F.round(F.stddev_pop(F.col("v") - F.col("mean")), 3).alias("texture_std"))
+    return deep.select(F.round("p0", 3).alias("p99")).join(F.broadcast(spread))  # one row by one row
 
 
 @register("box_mean", oracle("fx_raster", body=_MEAN.format(t="fx_raster", k=2) + " SELECT row, col, round(mean, 4) AS mean FROM mn"))
@@ -137,17 +138,17 @@ def gaussian_blur(spark, d):
 
 @register(
     "nodata_fill",
-    oracle("fx_raster", body="""lr AS (SELECT row, col, v, arg_max(v, col) FILTER (v IS NOT NULL) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS av, max(col) FILTER (v IS NOT NULL) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ac,
-    arg_min(v, col) FILTER (v IS NOT NULL) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bv, min(col) FILTER (v IS NOT NULL) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bc FROM fx_raster)
-  SELECT row, col, CASE WHEN bc IS NULL OR col - ac <= bc - col THEN av ELSE bv END AS filled FROM lr"""),
+    oracle("fx_raster", body="""m AS (SELECT row, col FROM fx_raster WHERE v IS NULL), g AS (SELECT row AS r, col AS c, v FROM fx_raster WHERE v IS NOT NULL)
+  SELECT row, col, v + 0.0::DOUBLE AS filled FROM fx_raster WHERE v IS NOT NULL UNION ALL
+  SELECT row, col, arg_min(v, ((row - r) * (row - r) + (col - c) * (col - c)) * 100000000 + r * 1000 + c) + 0.0::DOUBLE AS filled FROM m, g GROUP BY row, col"""),
 )
 def nodata_fill(spark, d):
-    return R.fill_nodata(fx.raster(spark, d)).select("row", "col", "filled")
+    return R.fill_nodata(fx.raster(spark, d)).select("row", "col", (F.col("filled") + 0.0).alias("filled"))
 
 
-@register("nodata_fraction", oracle("fx_raster", body="SELECT round(avg(CAST(v IS NULL AS INT)), 6) AS share, avg(CAST(v IS NULL AS INT)) > 0.01 AS refused FROM fx_raster WHERE row BETWEEN 0 AND 383"))
+@register("nodata_fraction", oracle("fx_raster", body="SELECT round(avg(CAST(v IS NULL AS INT)), 6) AS share, avg(CAST(v IS NULL AS INT)) > 0.01 AS refused FROM fx_raster"))
 def nodata_fraction(spark, d):
-    probe = R.window(fx.raster(spark, d), 0, 384, 0, 64)
+    probe = fx.raster(spark, d)
     share = F.avg(F.col("v").isNull().cast("int"))
     return probe.agg(F.round(share, 6).alias("share"), (share > 0.01).alias("refused"))
 
@@ -212,6 +213,22 @@ def block_sum_best_window(spark, d):
     return R.best_block_window(_filled(spark, d), 8, 4, 3)
 
 
-@register("sparse_support", oracle("fx_raster", body="SELECT row, col, v FROM fx_raster WHERE v <> 0 AND row < 100"))
+@register("sparse_support", oracle("fx_raster", body="SELECT row, col, v FROM fx_raster WHERE v <> 0"))
 def sparse_support(spark, d):
-    return R.sparse(R.window(fx.raster(spark, d), 0, 100, 0, 64))
+    return R.sparse(fx.raster(spark, d))
+
+
+@register("cast_shadow_any", oracle("fx_filled", body="""ln AS (SELECT *, row - round_even(col * -0.57735026919::DOUBLE, 0) AS line FROM fx_filled),
+  h AS (SELECT row, col, v, max(v + col * 1000.0::DOUBLE * sqrt(1 + 0.57735026919::DOUBLE * 0.57735026919::DOUBLE)) OVER (PARTITION BY line ORDER BY col ROWS UNBOUNDED PRECEDING) - col * 1000.0::DOUBLE * sqrt(1 + 0.57735026919::DOUBLE * 0.57735026919::DOUBLE) - v AS depth FROM ln)
+  SELECT row, col, round(depth, 1) + 0.0::DOUBLE AS depth FROM h"""))
+def cast_shadow_any(spark, d):
+    """The sun stands in the west-south-west, thirty degrees off the grid."""
+    return R.cast_shadow(_filled(spark, d), 1000.0, 240.0, 45.0).select("row", "col", (F.round("depth", 1) + 0.0).alias("depth"))
+
+
+@register("order_statistics", oracle("fx_raster", body="""n AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r FROM fx_raster WHERE v IS NOT NULL)
+  SELECT r AS rank, v FROM n WHERE r IN (0, 1, 777, 5000, 5001)"""))
+def order_statistics(spark, d):
+    ranks = [0, 1, 777, 5000, 5001]
+    values = R.order_statistics(fx.raster(spark, d).where("v IS NOT NULL").select("v"), ranks, 64)
+    return spark.createDataFrame(list(zip(ranks, values, strict=True)), "rank long, v double")

@@ -140,16 +140,19 @@ def solar_positions(spark, d):
 @register(
     "golden_hour",
     oracle(
-        "fx_points",
-        body=_LL + """, pl AS (SELECT event_id, lat, lon, floor(t / 86400) * 86400 - lon * 240 AS start FROM ll WHERE event_id % 200 = 0),
-  mi AS (SELECT event_id, lat, lon, minute, start + minute * 60 AS tt FROM pl, (SELECT unnest(range(0, 1441)) AS minute)), """ + _sun("tt", "lat", "lon", "mi", "event_id, minute, tt") + """,
-  pr AS (SELECT *, lag(alt) OVER (PARTITION BY event_id ORDER BY minute) AS before FROM sun)
-  SELECT event_id, round(coalesce(min(tt) FILTER (minute > 60 AND before >= 12 AND alt < 12), first(tt ORDER BY alt DESC, minute)), 3) AS golden_t FROM pr GROUP BY event_id""",
+        "fx_users",
+        body="""f AS (SELECT track_id, min(event_id) AS e, min(t) AS t FROM fx_users GROUP BY track_id),
+  pl AS (SELECT track_id, 30.0::DOUBLE + (e % 2500) / 100.0::DOUBLE AS lat, -123.0::DOUBLE + (e % 600) / 100.0::DOUBLE AS lon, floor(t / 86400) * 86400 - (-123.0::DOUBLE + (e % 600) / 100.0::DOUBLE) * 240 AS start FROM f),
+  mi AS (SELECT track_id, lat, lon, minute, start + minute * 60 AS tt FROM pl, (SELECT unnest(range(0, 1441)) AS minute)), """ + _sun("tt", "lat", "lon", "mi", "track_id, minute, tt") + """,
+  pr AS (SELECT *, lag(alt) OVER (PARTITION BY track_id ORDER BY minute) AS before FROM sun)
+  SELECT track_id, round(coalesce(min(tt) FILTER (minute > 60 AND before >= 12 AND alt < 12), first(tt ORDER BY alt DESC, minute)), 3) AS golden_t FROM pr GROUP BY track_id""",
     ),
 )
 def golden_hour(spark, d):
-    places = _lonlat(spark, d).where("event_id % 200 = 0").withColumn("midnight", F.floor(F.col("t") / 86400) * 86400.0)
-    return S.golden_hour(places, "event_id", "midnight", "lat", "lon").withColumn("golden_t", F.round("golden_t", 3))
+    """Where and on the day that each recording began."""
+    first = fx.points(spark, d, by_user=True).groupBy("track_id").agg(F.min("event_id").alias("e"), F.min("t").alias("t"))
+    places = first.select("track_id", (30.0 + (F.col("e") % 2500) / 100.0).alias("lat"), (-123.0 + (F.col("e") % 600) / 100.0).alias("lon"), (F.floor(F.col("t") / 86400) * 86400.0).alias("midnight"))
+    return S.golden_hour(places, "track_id", "midnight", "lat", "lon").withColumn("golden_t", F.round("golden_t", 3))
 
 
 @register(

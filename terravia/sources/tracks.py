@@ -7,14 +7,24 @@ Spark's own XML functions, and only opening a KMZ archive runs Python.
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terravia.functions.text import symbol_icon
+from terravia.functions.geodesy import utm
+from terravia.functions.text import iso_seconds, symbol_icon
+from terravia.operators import journeys
+
+
+
+def iso_day(t: str) -> Column:
+    return F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd")
+
 
 _POINT = "STRUCT<_lat: STRING, _lon: STRING, ele: STRING, time: STRING>"
 GPX_SCHEMA = f"""STRUCT<metadata: STRUCT<name: STRING>,
@@ -40,7 +50,10 @@ def sniff(content: Column, name: Column) -> Column:
 
 
 def open_kmz(files: DataFrame) -> DataFrame:
-    """file, content: the KML inside each archive (doc.kml, else the first by name); archives over the caps give no row."""
+    """file, content: the KML inside each archive (doc.kml, else the first by name).
+
+    Archives over the caps, damaged or encrypted ones, and ones packed in an unknown way give no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,7 +66,7 @@ def open_kmz(files: DataFrame) -> DataFrame:
                         good = len(infos) <= MOST_ENTRIES and sum(i.file_size for i in infos) <= MOST_TOTAL and kml and kml[0].file_size <= MOST_MEMBER
                         if good:
                             out.append((name, z.read(kml[0])))
-                except zipfile.BadZipFile:
+                except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, NotImplementedError, RuntimeError, ValueError):
                     continue
             yield pd.DataFrame(out, columns=["file", "content"])
 
@@ -89,41 +102,116 @@ def gpx_waypoints(texts: DataFrame) -> DataFrame:
 
 
 _BARE = r"<(/?)[A-Za-z0-9_]+:([A-Za-z0-9_]+)"
+#: Comments go, and so does the rest of the document around the elements that carry geometry.
+_COMMENT = r"(?s)<!--.*?-->"
+_ELEMENT = r"(?s)<(?:Placemark|Track)[\s>].*?</(?:Placemark|Track)\s*>"
+_LINE = "STRUCT<coordinates: STRING>"
+_TRACK = "STRUCT<when: ARRAY<STRING>, coord: ARRAY<STRING>>"
+_MANY = f"STRUCT<LineString: ARRAY<{_LINE}>, Track: ARRAY<{_TRACK}>, Point: ARRAY<{_LINE}>>"
+PLACEMARK = f"STRUCT<name: STRING, LineString: ARRAY<{_LINE}>, Track: ARRAY<{_TRACK}>, Point: ARRAY<{_LINE}>, MultiGeometry: {_MANY}, MultiTrack: {_MANY}>"
 
 
-def kml_points(texts: DataFrame) -> DataFrame:
-    """file, name, seg, pidx, lon, lat, time, ele from LineString coordinates and gx:Track. A text with a DOCTYPE gives none.
+def _placemarks(texts: DataFrame) -> DataFrame:
+    """file, i, p: each Placemark, parsed as XML. A text with a DOCTYPE gives none. Prefixes are dropped first, so any namespace will do."""
+    safe = texts.where(~F.contains(F.lower("text"), F.lit("<!doctype")))
+    plain = safe.select("file", F.regexp_replace(F.regexp_replace("text", _COMMENT, ""), _BARE, "<$1$2").alias("t"))
+    each = plain.select("file", F.posexplode(F.regexp_extract_all("t", F.lit(_ELEMENT), F.lit(0))).alias("i", "xml"))
+    # a bare track stands for a placemark of its own
+    whole = F.when(F.col("xml").startswith("<Track"), F.concat(F.lit("<Placemark>"), "xml", F.lit("</Placemark>"))).otherwise(F.col("xml"))
+    return each.select("file", "i", F.from_xml(whole, PLACEMARK).alias("p")).where("p IS NOT NULL")
 
-    Prefixes are dropped first, so any namespace will do.
-    """
-    plain = texts.where(~F.contains(F.lower("text"), F.lit("<!doctype"))).select("file", F.regexp_replace("text", _BARE, "<$1$2").alias("t"))
-    blocks = F.regexp_extract_all("t", F.lit(r"(?s)(<LineString[ >].*?</LineString>|<Track[ >].*?</Track>)"), F.lit(1))
-    segs = plain.select("file", F.posexplode(blocks).alias("seg", "xml"))
-    coordinates = F.trim(F.regexp_replace(F.regexp_extract("xml", r"(?s)<coordinates>(.*?)</coordinates>", 1), r"\s*,\s*", ","))
-    lines = segs.where(F.col("xml").startswith("<LineString")).select("file", "seg", F.posexplode(F.split(coordinates, r"\s+")).alias("pidx", "c"), F.lit(None).cast("string").alias("time"), F.lit(",").alias("sep"))
-    whens = F.regexp_extract_all("xml", F.lit(r"(?s)<when>\s*(.*?)\s*</when>"), F.lit(1))
-    coords = F.regexp_extract_all("xml", F.lit(r"(?s)<coord>\s*(.*?)\s*</coord>"), F.lit(1))
-    tracks = segs.where(F.col("xml").startswith("<Track")).select("file", "seg", F.posexplode(F.zip_with(coords, whens, lambda c, w: F.struct(c.alias("c"), w.alias("w")))).alias("pidx", "p"))
-    tracks = tracks.select("file", "seg", "pidx", F.col("p.c").alias("c"), F.col("p.w").alias("time"), F.lit(" ").alias("sep"))
-    part = lambda i: F.get(F.when(F.col("sep") == ",", F.split("c", ",")).otherwise(F.split("c", r"\s+")), F.lit(i)).try_cast("double")
-    return lines.unionByName(tracks).select("file", F.lit("track").alias("name"), "seg", "pidx", part(0).alias("lon"), part(1).alias("lat"), "time", part(2).alias("ele"))
 
+def _of(kind: str, element: str) -> Column:
+    none = F.array().cast(f"array<{element}>")
+    return F.flatten(F.array(F.coalesce(f"p.{kind}", none), F.coalesce(f"p.MultiGeometry.{kind}", none), F.coalesce(f"p.MultiTrack.{kind}", none)))
 
-def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """file, track_id, pidx, lon, lat, time, ele of all the files under a path, whatever their format."""
+
+def _tuples(text: Column) -> Column:
+    """Coordinates as arrays of texts; blanks around commas do not cut a tuple."""
+    joined = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s*,\s*", ",")), r"\s+", " ")
+    return F.transform(F.split(joined, " "), lambda c: F.split(c, ","))
+
+
+def _number(parts: str, i: int) -> Column:
+    return F.get(parts, F.lit(i)).try_cast("double")
+
+
+def kml_points(texts: DataFrame) -> DataFrame:
+    """file, name, seg, pidx, lon, lat, time, ele from the LineStrings and Tracks of Placemarks. Only tuples of a Track that have their time's place are taken."""
+    marks = _placemarks(texts)
+    lines = marks.select("file", F.struct("i", F.lit(0).alias("k")).alias("at"), F.posexplode(_of("LineString", _LINE)).alias("j", "g"))
+    lines = lines.select("file", "at", "j", F.posexplode(_tuples(F.coalesce("g.coordinates", F.lit("")))).alias("pidx", "c")).withColumn("time", F.lit(None).cast("string"))
+    tracks = marks.select("file", F.struct("i", F.lit(1).alias("k")).alias("at"), F.posexplode(_of("Track", _TRACK)).alias("j", "g"))
+    pairs = F.zip_with(F.coalesce("g.coord", F.array().cast("array<string>")), F.coalesce("g.when", F.array().cast("array<string>")), lambda c, w: F.struct(c.alias("c"), w.alias("w")))
+    tracks = tracks.select("file", "at", "j", F.posexplode(F.filter(pairs, lambda p: p["c"].isNotNull())).alias("pidx", "p"))
+    tracks = tracks.select("file", "at", "j", "pidx", F.split(F.trim("p.c"), r"\s+").alias("c"), F.trim("p.w").alias("time"))
+    both = lines.unionByName(tracks)
+    return both.select("file", F.lit("track").alias("name"), F.struct("at.i", "at.k", "j").alias("seg"), "pidx", _number("c", 0).alias("lon"), _number("c", 1).alias("lat"), "time", _number("c", 2).alias("ele"))
+
+
+def kml_waypoints(texts: DataFrame) -> DataFrame:
+    """file, lon, lat, label, icon, weight of the Points of Placemarks; the first MOST_WAYPOINTS of a file."""
+    marks = _placemarks(texts).select("file", "i", F.col("p.name").alias("name"), F.posexplode(_of("Point", _LINE)).alias("j", "g"))
+    parts = marks.select("file", "i", "j", "name", F.get(_tuples(F.coalesce("g.coordinates", F.lit(""))), F.lit(0)).alias("c"))
+    located = parts.select("file", "i", "j", _number("c", 0).alias("lon"), _number("c", 1).alias("lat"), F.substring(F.trim(F.coalesce("name", F.lit(""))), 1, 60).alias("label"), F.lit("flag").alias("icon"), F.lit(3).alias("weight"))
+    first = Window.partitionBy("file").orderBy("i", "j")
+    return located.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST_WAYPOINTS).drop("k", "i", "j")
+
+
+def _texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The GPX and the KML documents under a path, archives opened: file, text."""
     files = read_files(spark, path).withColumn("kind", sniff(F.col("content"), F.col("file")))
     kml = files.where("kind = 'kml'").select("file", "content").unionByName(open_kmz(files.where("kind = 'kmz'").select("file", "content")))
     as_text = lambda df: df.select("file", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    return with_track_ids(gpx_points(as_text(files.where("kind = 'gpx'")))).unionByName(with_track_ids(kml_points(as_text(kml))))
+    return as_text(files.where("kind = 'gpx'")), as_text(kml)
+
+
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """file, track_id, pidx, lon, lat, time, ele of all the files under a path, whatever their format."""
+    gpx, kml = _texts(spark, path)
+    return with_track_ids(gpx_points(gpx)).unionByName(with_track_ids(kml_points(kml)))
+
+
+def read_waypoints(spark: SparkSession, path: str, zone: int) -> DataFrame:
+    """file, x, y, label, icon, weight of all the files under a path, in metres; places that cannot be projected are left out."""
+    gpx, kml = _texts(spark, path)
+    both = gpx_waypoints(gpx).unionByName(kml_waypoints(kml))
+    x, y = utm(F.col("lon"), F.col("lat"), zone)
+    return both.withColumns({"x": x, "y": y}).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("file", "x", "y", "label", "icon", "weight")
+
+
+def ingest(spark: SparkSession, path: str, zone: int, tolerance_m: float = 15.0) -> tuple[DataFrame, DataFrame]:
+    """Files to tracks, and what was dropped on the way.
+
+    Tracks: file, track_id, vidx, day, t, x, y, ele, in metres, simplified; day is that of a
+    track's first time. Counts, one row a file: read, kept and dropped points (those that
+    cannot be placed), tracks and tracks that under two points are left of.
+    """
+    found = read_tracks(spark, path)
+    x, y = utm(F.col("lon"), F.col("lat"), zone)
+    placed = found.withColumns({"x": x, "y": y, "t": iso_seconds(F.col("time")), "key": F.concat_ws("\0", "file", "track_id")})
+    points = placed.select("file", F.col("track_id").alias("name"), F.col("key").alias("track_id"), F.col("pidx").cast("long").alias("vidx"), "x", "y", "t", "ele")
+    good = journeys.clean(points)
+    days = good.where("t IS NOT NULL").groupBy("track_id").agg(F.min_by(iso_day("t"), "vidx").alias("day"))
+    simple = journeys.simplify(good.drop("dropped"), tolerance_m).join(days, "track_id", "left")
+    order = Window.partitionBy("file", "name").orderBy("vidx")
+    tracks = simple.withColumn("n", (F.row_number().over(order) - 1).cast("long")).select("file", F.col("name").alias("track_id"), F.col("n").alias("vidx"), "day", "t", "x", "y", "ele")
+    read = points.groupBy("file").agg(F.count("*").alias("points"), F.count_distinct("name").alias("tracks"))
+    kept = good.groupBy("file").agg(F.count("*").alias("kept"), F.count_distinct("name").alias("kept_tracks"))
+    counts = read.join(kept, "file", "left").select("file", "points", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("points") - F.coalesce("kept", F.lit(0))).alias("dropped"), "tracks", (F.col("tracks") - F.coalesce("kept_tracks", F.lit(0))).alias("dropped_tracks"))
+    return tracks, counts
 
 
 def extent(points: DataFrame) -> DataFrame:
-    return points.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.count_distinct("file").alias("files"))
+    """One row: the box of all points, the number of files, and the name of the first track of the first file."""
+    name = F.min_by(F.regexp_replace("track_id", "-[0-9]+$", ""), F.struct("file", "track_id"))
+    return points.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.count_distinct("file").alias("files"), name.alias("name"))
 
 
 def to_gpx(points: DataFrame) -> DataFrame:
-    """file, text: GPX of the tracks of each file (track_id, vidx, lon, lat)."""
-    point = F.concat(F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('"/>'))
+    """file, text: GPX of the tracks of each file (track_id, vidx, lon, lat, and time where there is one)."""
+    timed = [F.coalesce(F.concat(F.lit("<time>"), "time", F.lit("</time>")), F.lit(""))] if "time" in points.columns else []
+    point = F.concat(F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('">'), *timed, F.lit("</trkpt>"))
     tracks = points.withColumn("p", F.struct("vidx", point.alias("x"))).groupBy("file", "track_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"]), "").alias("pts"))
     escaped = F.replace(F.replace(F.col("track_id"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     whole = tracks.withColumn("x", F.concat(F.lit("<trk><name>"), escaped, F.lit("</name><trkseg>"), "pts", F.lit("</trkseg></trk>")))

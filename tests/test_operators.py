@@ -63,7 +63,8 @@ def test_reveals_end_whole(spark):
     assert [shown.get((f, "t1")) for f in (1, 2)] == [3, 5] and shown[2, "t0"] if (2, "t0") in shown else True
     last = max(f for f, _ in shown)
     assert {k: v for (f, k), v in shown.items() if f == last} == {"t0": 10, "t1": 5, "t2": 3}
-    assert journeys.frame_counts(3, 10) == [0, 1, 2, 3] and journeys.frame_counts(100, 5) == [0, 25, 50, 75, 100]
+    plan = lambda n, most: [r.shown for r in journeys.frame_plan(spark.createDataFrame([(n,)], "n long"), most).orderBy("frame").collect()]
+    assert plan(3, 10) == [1, 2, 3] and plan(100, 5) == [25, 50, 75, 100] and plan(0, 5) == []
 
 
 def test_carry_annotations(spark):
