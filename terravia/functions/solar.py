@@ -84,3 +84,35 @@ def seasonal_days(days: Column, frames: int) -> Column:
     """array<struct<frame, day>>: days picked evenly over a sorted list, rounding half to even."""
     share = lambda k: k / (frames - 1) if frames > 1 else F.lit(1.0)
     return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.struct(k.alias("frame"), F.element_at(days, F.rint(share(k) * (F.size(days) - 1)).cast("int") + 1).alias("day")))
+
+
+def light(mode: Column, azimuth: Column, altitude: Column, usual_azimuth: Column, usual_altitude: Column) -> Column:
+    """struct<azimuth, altitude>: the journey's own sun where it has one, null where it should and has not, else the region's."""
+    own = F.when(azimuth.isNotNull() & altitude.isNotNull(), F.struct(azimuth.cast("double").alias("azimuth"), altitude.cast("double").alias("altitude")))
+    usual = F.struct(F.coalesce(usual_azimuth, F.lit(315.0)).alias("azimuth"), F.coalesce(usual_altitude, F.lit(45.0)).alias("altitude"))
+    return F.when(mode == "journey", own).otherwise(usual)
+
+
+def towards(azimuth: Column, altitude: Column) -> Column:
+    """struct<x, y, z>: the unit vector to the sun; x is east, y north."""
+    a, e = F.radians(azimuth), F.radians(altitude)
+    return F.struct((F.sin(a) * F.cos(e)).alias("x"), (F.cos(a) * F.cos(e)).alias("y"), F.sin(e).alias("z"))
+
+
+def yaw(tick: Column, most: float, ticks: int) -> Column:
+    """A slow turn to and fro, by the number of the tick."""
+    return most * F.sin(6.283185307179586 * tick / ticks)
+
+
+def metres_a_degree(lat: Column) -> Column:
+    """Of longitude."""
+    return 111320.0 * F.cos(F.radians(lat))
+
+
+def journey_light(anchors: DataFrame, key: str, hour: Column | None = None) -> DataFrame:
+    """key, available, azimuth, altitude: the sun over a journey at its highest point's time, or at an hour of its own day. anchors: key, lat, lon, t_max, summit_t, null times where nothing is timed."""
+    day = F.floor((F.col("t_max") + F.col("lon") * 240.0) / DAY_S) * DAY_S - F.col("lon") * 240.0
+    at = F.coalesce("summit_t", "t_max") if hour is None else F.coalesce(day + hour * 3600.0, F.coalesce("summit_t", "t_max"))
+    lit = with_position(anchors.withColumn("t_light", at), "t_light", "lat", "lon")
+    known = F.col("t_light").isNotNull()
+    return lit.select(key, known.alias("available"), F.when(known, F.col("sun_az")).alias("azimuth"), F.when(known, clamped(F.col("sun_alt"))).alias("altitude"))

@@ -94,3 +94,62 @@ def archive_names_ok(names: Column, folder: Column, allowed: Sequence[str]) -> C
 def same_sets(a: DataFrame, b: DataFrame) -> Column | bool:
     """Whether two tables hold the same rows, as sets."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def guarded(requests: DataFrame, known: DataFrame, regions: DataFrame) -> DataFrame:
+    """requests (request, session_id, format) with status and why: 404 where the session or its region is not there, 422 where it has no accepted sheet or the format is not one it has, else 200.
+
+    known: session_id, region_id, stamped, formats; regions: region_id.
+    """
+    there = regions.select("region_id", F.lit(True).alias("built"))
+    rows = requests.join(known, "session_id", "left").join(there, "region_id", "left")
+    why = (
+        F.when(F.col("region_id").isNull(), "no_session")
+        .when(F.col("built").isNull(), "no_region")
+        .when(~F.coalesce("stamped", F.lit(False)), "not_accepted")
+        .when(~F.coalesce(F.array_contains("formats", F.lower(F.col("format"))), F.lit(False)), "format")
+    )
+    status = F.when(why.isin("no_session", "no_region"), 404).when(why.isNotNull(), 422).otherwise(200)
+    return rows.select("request", status.alias("status"), why.alias("why"))
+
+
+def plate_check(files: DataFrame, plates: DataFrame, allow_mismatch: bool = False) -> DataFrame:
+    """file, verdict of files (file, region_id, version) against what is built (region_id, version): no_region, mismatch, or ok; versions that are unknown on either side are not compared."""
+    have = plates.select("region_id", F.col("version").alias("built"), F.lit(True).alias("there"))
+    other = F.col("version").isNotNull() & F.col("built").isNotNull() & (F.col("version") != F.col("built"))
+    verdict = F.when(F.col("there").isNull(), "no_region").when(other & F.lit(not allow_mismatch), "mismatch").otherwise("ok")
+    return files.join(have, "region_id", "left").select("file", verdict.alias("verdict"))
+
+
+def unique_ids(fresh: DataFrame, taken: DataFrame, most: int = 99) -> DataFrame:
+    """fresh (nth, slug) with id: the slug itself if it is free, else slug_2, slug_3 ... in order of nth; null when none is left. taken: id."""
+    number = F.when(F.col("id").rlike("_([2-9]|[1-9][0-9])$"), F.regexp_extract("id", "_([0-9]+)$", 1).cast("int"))
+    used = taken.select(F.explode(F.array(F.struct(F.col("id").alias("slug"), F.lit(1).alias("n")), F.struct(F.regexp_replace("id", "_[0-9]+$", "").alias("slug"), number.alias("n")))).alias("u"))
+    used = used.select("u.slug", "u.n").where("n IS NOT NULL").groupBy("slug").agg(F.collect_set("n").alias("used"))  # at most `most` numbers
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("nth"))
+    free = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: ~F.array_contains(F.coalesce("used", F.array().cast("array<int>")), n))
+    n = F.get(free, F.col("place") - 1)
+    rows = fresh.withColumn("place", place).join(used, "slug", "left")
+    return rows.select("nth", "slug", F.when(n == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("_"), n.cast("string"))).alias("id"))
+
+
+def safe_key(key: Column) -> Column:
+    """A nested key of a store in its plain form; null where it would leave the store. Parts are compared, not prefixes."""
+    parts = F.filter(F.split(key, "/"), lambda p: (p != "") & (p != "."))
+    # going up is allowed as long as it stays inside
+    walked = F.aggregate(
+        parts,
+        F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("good")),
+        lambda a, p: F.struct(
+            F.when((p == "..") & (F.size(a["at"]) > 0), F.slice(a["at"], F.lit(1), F.size(a["at"]) - 1)).when(p == "..", a["at"]).otherwise(F.concat(a["at"], F.array(p))).alias("at"),
+            (a["good"] & ((p != "..") | (F.size(a["at"]) > 0))).alias("good"),
+        ),
+        lambda a: F.when(a["good"] & (F.size(a["at"]) > 0), F.array_join(a["at"], "/")),
+    )
+    return F.when(~F.startswith(key, F.lit("/")), walked)
+
+
+def grouped_jobs(jobs: DataFrame) -> DataFrame:
+    """name, place, members of each group of jobs, groups in order of their first job, then the jobs without one, each by itself. jobs: seq, jid, name."""
+    groups = jobs.groupBy(F.col("name"), F.when(F.col("name").isNull(), F.col("jid")).alias("alone")).agg(F.min("seq").alias("first"), F.count("*").alias("members"))
+    return groups.select("name", "alone", "members", "first", F.row_number().over(Window.partitionBy(F.col("name").isNull()).orderBy("first")).alias("place"))

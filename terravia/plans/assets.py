@@ -260,3 +260,55 @@ def preset_match(spark, d):
 def preset_cross(spark, d):
     presets = spark.createDataFrame(PRESETS, "id string, w int, h int, ppi double")
     return fx.table(spark, d, "nation").join(F.broadcast(presets)).select("n_nationkey", "id", F.round(F.col("w") / F.col("ppi"), 4).alias("width_in"))
+
+
+@register(
+    "guarded_lookups",
+    """WITH s AS (SELECT c_custkey AS id, CASE WHEN c_nationkey % 6 = 5 THEN 99 ELSE c_nationkey % 6 END AS region_id, c_acctbal > 0 AS stamped FROM customer WHERE c_custkey % 5 > 0)
+  SELECT o_orderkey AS request, CASE WHEN why IN ('no_session', 'no_region') THEN 404 WHEN why IS NULL THEN 200 ELSE 422 END AS status, why FROM (
+   SELECT o_orderkey, CASE WHEN s.id IS NULL THEN 'no_session' WHEN r_regionkey IS NULL THEN 'no_region' WHEN NOT stamped THEN 'not_accepted' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'format' END AS why
+   FROM orders LEFT JOIN s ON o_custkey = s.id LEFT JOIN region ON r_regionkey = region_id)""",
+)
+def guarded_lookups(spark, d):
+    c = fx.table(spark, d, "customer").where("c_custkey % 5 > 0")
+    known = c.select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_nationkey") % 6 == 5, 99).otherwise(F.col("c_nationkey") % 6).alias("region_id"), (F.col("c_acctbal") > 0).alias("stamped"), F.array(F.lit("f"), F.lit("o")).alias("formats"))
+    requests = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_custkey").alias("session_id"), F.col("o_orderstatus").alias("format"))
+    return A.guarded(requests, known, fx.table(spark, d, "region").select(F.col("r_regionkey").alias("region_id")))
+
+
+@register("plate_check", "SELECT o_orderkey AS file, CASE WHEN o_orderkey % 7 > 4 THEN 'no_region' WHEN o_orderkey % 3 = 1 AND o_orderkey % 7 <> 2 THEN 'mismatch' ELSE 'ok' END AS verdict FROM orders")
+def plate_check(spark, d):
+    k = F.col("o_orderkey")
+    files = fx.table(spark, d, "orders").select(k.alias("file"), (k % 7).cast("int").alias("region_id"), F.when(k % 3 == 0, "v").when(k % 3 == 1, "w").alias("version"))
+    plates = fx.table(spark, d, "region").select(F.col("r_regionkey").alias("region_id"), F.when(F.col("r_regionkey") != 2, "v").alias("version"))
+    return A.plate_check(files, plates)
+
+
+@register(
+    "unique_ids",
+    """WITH f AS (SELECT p_partkey AS nth, lower(p_brand) || p_size % 10 AS slug, row_number() OVER (PARTITION BY lower(p_brand) || p_size % 10 ORDER BY p_partkey) AS k FROM part)
+  SELECT nth, CASE WHEN k > 98 THEN NULL WHEN k = 1 THEN slug ELSE slug || '_' || CASE WHEN k < 3 THEN k ELSE k + 1 END END AS id FROM f""",
+)
+def unique_ids(spark, d):
+    """The third name of every slug is taken already. The table is read whole; nth is its key."""
+    fresh = fx.table(spark, d, "part").select(F.col("p_partkey").alias("nth"), F.concat(F.lower("p_brand"), (F.col("p_size") % 10).cast("string")).alias("slug"))
+    return A.unique_ids(fresh, fresh.select(F.concat("slug", F.lit("_3")).alias("id")).distinct()).select("nth", "id")
+
+
+_KEYS = ("a/b.png", "a//./b.png", "a/../b.png", "../b.png", "a/../../b.png", "/etc/x", "", "..", "a/..")
+
+
+@register("safe_keys", "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'a/b.png' WHEN 1 THEN 'a/b.png' WHEN 2 THEN 'b.png' END AS key FROM part")
+def safe_keys(spark, d):
+    key = F.get(F.array(*map(F.lit, _KEYS)), (F.col("p_partkey") % 9).cast("int"))
+    return fx.table(spark, d, "part").select("p_partkey", A.safe_key(key).alias("key"))
+
+
+@register(
+    "grouped_jobs",
+    """WITH j AS (SELECT o_orderkey AS jid, o_orderkey AS seq, CASE WHEN o_custkey % 3 > 0 THEN 'kit' || o_custkey END AS name FROM orders), g AS (SELECT name, CASE WHEN name IS NULL THEN jid END AS alone, count(*) AS members, min(seq) AS first FROM j GROUP BY 1, 2)
+  SELECT name, alone, members, CAST(row_number() OVER (PARTITION BY name IS NULL ORDER BY first) AS INTEGER) AS place FROM g""",
+)
+def grouped_jobs(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("jid"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("kit"), F.col("o_custkey").cast("string"))).alias("name"))
+    return A.grouped_jobs(o).select("name", "alone", "members", "place")

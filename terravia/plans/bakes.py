@@ -99,3 +99,16 @@ def lonlat_boxes(spark, d):
     lon, lat = lonlat((F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2, 10)
     wide = (F.col("east") - F.col("west")) * 111320.0 * F.cos(F.radians(lat))
     return b.select("region_id", (lon.between(F.col("west"), F.col("east")) & lat.between(F.col("south"), F.col("north")) & (F.abs(wide / 22000.0 - 1) < 0.1)).alias("holds"))
+
+
+@register(
+    "waters_baked",
+    oracle("fx_points", body="""b AS (SELECT track_id, count(*) AS n FROM fx_points WHERE event_id % 19 <> 0 GROUP BY track_id) SELECT length(track_id) % 3 AS part, count(*) AS features FROM fx_points JOIN b USING (track_id) WHERE vidx = 0 AND length(track_id) % 3 <> 2 AND n > 1
+   AND track_id IN (SELECT track_id FROM (SELECT track_id, event_id % 7 AS a, event_id % 3 AS b FROM fx_points WHERE event_id % 19 <> 0) GROUP BY track_id HAVING count(DISTINCT a * 10 + b) > 1) GROUP BY 1"""),
+)
+def waters_baked(spark, d):
+    """Features by their part, of the lakes and reservoirs; those that come to one place are gone."""
+    p = _lonlat_points(spark, d)
+    part = F.length("track_id") % 3
+    f = p.select(F.col("track_id").alias("feature"), part.alias("part"), F.lit(None).cast("string").alias("name"), F.when(part == 0, "390").when(part == 1, "Reservoir").otherwise("361").alias("ftype"), "vidx", "lon", "lat")
+    return B.waters(f, 10).groupBy("part").agg(F.count_distinct("feature").alias("features"))

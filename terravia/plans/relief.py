@@ -148,3 +148,21 @@ def lifted_points(spark, d):
 @register("shaded_relief")
 def shaded_relief(spark, d):
     return E.shaded_relief(fx.filled_raster(spark, d), 5000.0, -30000.0, 30000.0, work_res_m=10000.0)
+
+
+@register(
+    "sheet_view",
+    oracle("fx_raster", body="""px AS (SELECT r AS row, c AS col, 100 + (r + 0.5::DOUBLE) * 2.5::DOUBLE - 0.5::DOUBLE AS fr, 10 + (c + 0.5::DOUBLE) * 1.25::DOUBLE - 0.5::DOUBLE AS fc FROM (SELECT unnest(range(-2, 44)) AS r), (SELECT unnest(range(-2, 34)) AS c)),
+  k AS (SELECT row, col, fr, fc, floor(fr) + a AS rr, floor(fc) + b AS cc FROM px, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+  m AS (SELECT k.row, k.col, sum((1 - abs(fr - rr)) * (1 - abs(fc - cc)) * v) / nullif(sum((1 - abs(fr - rr)) * (1 - abs(fc - cc))), 0) AS v FROM k JOIN fx_raster f ON f.row = rr AND f.col = cc WHERE v IS NOT NULL GROUP BY k.row, k.col)
+  SELECT row, col, round(v + 1e-5::DOUBLE, 2) AS v FROM px LEFT JOIN m USING (row, col)"""),
+)
+def sheet_view(spark, d):
+    """A crop of a hundred rows and forty columns at forty by thirty-two pixels, with its margin and two rows more to the south."""
+    return E.view(fx.raster(spark, d), (100.0, 10.0, 200.0, 50.0), 32, 40, 0.05, 2).withColumn("v", F.round(F.col("v") + 1e-5, 2))
+
+
+@register("finite_envelope")
+def finite_envelope(spark, d):
+    cells = fx.raster(spark, d)
+    return E.finite_envelope(cells.withColumn("v", F.when((F.col("row") >= 7) & (F.col("col") < 60), F.coalesce("v", F.lit(0.0)))))

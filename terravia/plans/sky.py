@@ -179,3 +179,28 @@ def seasonal_days(spark, d):
 @register("local_hours", oracle("fx_points", body=_LL + " SELECT event_id, round(((t + lon * 240) - floor((t + lon * 240) / 86400) * 86400) / 3600, 4) AS hour, round(t / 86400 + 2440587.5::DOUBLE + 1e-8::DOUBLE, 4) AS jd FROM ll"))
 def local_hours(spark, d):
     return _lonlat(spark, d).select("event_id", F.round(S.local_hour(F.col("t"), F.col("lon")), 4).alias("hour"), F.round(S.julian_day(F.col("t")) + 1e-8, 4).alias("jd"))
+
+
+@register(
+    "journey_light",
+    oracle("fx_users", body="""pl AS (SELECT track_id, CASE WHEN CAST(track_id AS INTEGER) % 4 > 0 THEN max(t) END AS tt, 40.5::DOUBLE AS lat, -121.5::DOUBLE AS lon FROM fx_users GROUP BY track_id), """ + _sun("tt", "lat", "lon", "pl", "track_id, tt") + """
+  SELECT track_id, tt IS NOT NULL AS available, CASE WHEN tt IS NOT NULL THEN round(az, 4) END AS azimuth, CASE WHEN tt IS NOT NULL THEN round(least(greatest(alt, 8), 80), 4) END AS altitude FROM sun"""),
+)
+def journey_light(spark, d):
+    """The sun at the end of each recording; a quarter of them have no times."""
+    a = fx.points(spark, d, by_user=True).groupBy("track_id").agg(F.max("t").alias("t")).select("track_id", F.when(F.col("track_id").cast("int") % 4 > 0, F.col("t")).alias("t_max"), F.lit(40.5).alias("lat"), F.lit(-121.5).alias("lon"), F.lit(None).cast("double").alias("summit_t"))
+    done = S.journey_light(a, "track_id")
+    return done.select("track_id", "available", F.round("azimuth", 4).alias("azimuth"), F.round("altitude", 4).alias("altitude"))
+
+
+@register(
+    "sun_vectors",
+    """SELECT o_orderkey AS k, round(sin(radians(a)) * cos(radians(e)), 6) + 0.0::DOUBLE AS x, round(cos(radians(a)) * cos(radians(e)), 6) + 0.0::DOUBLE AS y, round(sin(radians(e)), 6) AS z, round(3.0::DOUBLE * sin(6.283185307179586::DOUBLE * (o_orderkey % 100) / 100), 6) + 0.0::DOUBLE AS yaw, round(111320.0::DOUBLE * cos(radians(e)), 3) AS m_per_deg
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 360 AS DOUBLE) ELSE 315.0::DOUBLE END AS a, CASE WHEN o_orderkey % 2 = 0 THEN CAST(8 + o_orderkey % 70 AS DOUBLE) ELSE 45.0::DOUBLE END AS e FROM orders)""",
+)
+def sun_vectors(spark, d):
+    k = F.col("o_orderkey")
+    sun = S.light(F.when(k % 2 == 0, "journey").otherwise("archival"), k % 360, 8 + k % 70, F.lit(None).cast("double"), F.lit(None).cast("double"))
+    o = fx.table(spark, d, "orders").select(k.alias("k"), sun.alias("s")).withColumn("v", S.towards(F.col("s.azimuth"), F.col("s.altitude")))
+    r = lambda c: F.round(c, 6) + 0.0
+    return o.select("k", r("v.x").alias("x"), r("v.y").alias("y"), F.round("v.z", 6).alias("z"), r(S.yaw(F.col("k") % 100, 3.0, 100)).alias("yaw"), F.round(S.metres_a_degree(F.col("s.altitude")), 3).alias("m_per_deg"))

@@ -62,14 +62,28 @@ def job_states(events: DataFrame, ttl_ms: int = 86_400_000, late: str = "1 hour"
     return rows.groupBy("jid").applyInPandasWithState(step, "jid long, state string, updates long", "at long, eid long, name string, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Parts of an accumulated table, by a hash of the key.
+PARTS = 256
+
+
 def accumulate(stream: DataFrame, path: str, checkpoint: str):
-    """Append to a table what a stream brings that the table does not hold, by content key; runs until the stream is drained."""
+    """Append to a table what a stream brings that the table does not hold, by content key; runs until the stream is drained.
+
+    The table lies in PARTS folders by a hash of the key (column part), and a batch looks
+    only into those that its own keys fall in.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["key"])
-        known = spark.read.schema(batch.schema).option("ignoreMissingFiles", True).parquet(path).select("key") if _exists(spark, path) else None
-        (fresh if known is None else fresh.join(known, "key", "left_anti")).write.mode("append").parquet(path)
+        fresh = batch.dropDuplicates(["key"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).persist()
+        parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most PARTS numbers
+        if parts and _exists(spark, path):
+            known = spark.read.schema(fresh.schema).option("ignoreMissingFiles", True).parquet(path).where(F.col("part").isin(parts)).select("part", "key")
+            new = fresh.join(known, ["part", "key"], "left_anti")
+        else:
+            new = fresh
+        new.write.mode("append").partitionBy("part").parquet(path)
+        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

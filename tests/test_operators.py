@@ -169,7 +169,69 @@ def test_paths_go_through_the_whole_network(spark):
 
 def test_paths_of_many_hops(spark):
     chain = spark.createDataFrame([(str(i), f"n{i}", f"n{i + 1}", "trail", 1) for i in range(66)], "eid string, src string, dst string, class string, len_m long")
-    assert graph.distances(chain, "n0").agg(F.max("hops")).first()[0] == 66
+    reached = graph.distances(chain, "n0")
+    assert reached.agg(F.max("hops")).first()[0] == 66
+    assert [r.eid for r in graph.path(reached, "n66").orderBy("nth").collect()] == [str(i) for i in range(66)]
+
+
+def test_trip_shapes(spark):
+    schema = "eid string, src string, dst string, class string, len_m long"
+    ring = spark.createDataFrame([("1", "a", "b", "trail", 10), ("2", "b", "c", "trail", 10), ("3", "c", "d", "trail", 11), ("4", "d", "a", "trail", 11)], schema)
+    loop = graph.trip(ring, "a", "c")
+    assert [(r.leg, r.nth, r.eid, r.shape) for r in loop.orderBy("leg", "nth").collect()] == [(0, 1, "1", "loop"), (0, 2, "2", "loop"), (1, 1, "3", "loop"), (1, 2, "4", "loop")]
+    line = spark.createDataFrame([("1", "a", "b", "4wd", 10), ("2", "b", "c", "road", 10)], schema)
+    there_and_back = graph.trip(line, "a", "c")
+    assert [(r.leg, r.nth, r.eid, r.shape) for r in there_and_back.orderBy("leg", "nth").collect()] == [(0, 1, "1", "4wd"), (0, 2, "2", "4wd"), (1, 1, "2", "4wd"), (1, 2, "1", "4wd")]
+
+
+def test_fill_is_the_euclidean_nearest(spark):
+    rng = np.random.default_rng(2)
+    z = np.where(rng.random((14, 11)) < 0.15, rng.integers(1, 99, (14, 11)).astype(float), np.nan)
+    z[:, 4] = np.nan
+    z[6, :] = np.nan
+    cells = spark.createDataFrame([(i, j, None if np.isnan(z[i, j]) else float(z[i, j])) for i in range(14) for j in range(11)], "row long, col long, v double")
+    some = [(i, j) for i in range(14) for j in range(11) if not np.isnan(z[i, j])]
+    want = {(i, j): z[min(some, key=lambda p: ((p[0] - i) ** 2 + (p[1] - j) ** 2, p))] for i in range(14) for j in range(11)}
+    assert {(r.row, r.col): r.filled for r in raster.fill_nodata(cells).collect()} == want
+    assert {r.filled for r in raster.fill_nodata(cells.withColumn("v", F.lit(None).cast("double"))).collect()} == {0.0}
+
+
+def test_order_statistics_of_ties_and_extremes(spark):
+    values = [5.0] * 50 + [1e308, -1e308, 0.0, 1e-300, 5.0000001]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert raster.order_statistics(df, range(len(values)), 4) == sorted(values)
+    p = raster.percentiles(df, [0.0, 0.5, 1.0]).first()
+    assert tuple(p) == (-1e308, 5.0, 1e308)
+    assert tuple(raster.percentiles(df.limit(0), [0.5]).first()) == (None,)
+
+
+def test_a_shadow_falls_away_from_the_sun(spark):
+    """A tower throws its shadow to the far side, whatever the azimuth."""
+    cells = spark.createDataFrame([(i, j, 50.0 if (i, j) == (10, 10) else 0.0) for i in range(21) for j in range(21)], "row long, col long, v double")
+    for azimuth in (0.0, 45.0, 112.5, 180.0, 200.0, 270.0, 333.0):
+        dark = [(r.row - 10, r.col - 10) for r in raster.cast_shadow(cells, 10.0, azimuth, 45.0).where("depth > 0").collect()]
+        a = math.radians(azimuth)
+        assert dark and all(-math.sin(a) * c + math.cos(a) * r > 0 for r, c in dark)
+
+
+def test_reveal_by_clock_is_common_to_all_tracks(spark):
+    rows = [("a", "d", i, float(i), 0.0, float(60 * i), 0.0, i) for i in range(5)] + [("b", "d", i, float(i), 1.0, float(90_000 + 60 * i), 0.0, i) for i in range(5)] + [("c", None, i, 0.0, 0.0, None, 0.0, i) for i in range(3)]
+    shown = {(r.frame, r.track_id): r.shown for r in journeys.reveal_by_clock(spark.createDataFrame(rows, PTS), 4).collect()}
+    assert {f: shown.get((f, "c")) for f in range(1, 5)} == {1: 3, 2: 3, 3: 3, 4: 3}
+    assert shown[4, "a"] == shown[4, "b"] == 5 and (1, "b") not in shown and shown[1, "a"] == 5
+
+
+def test_no_task_numbers_most_of_the_undated_journeys(spark):
+    points = spark.range(3000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("track_id"), F.lit(None).cast("string").alias("day"), F.lit(0).cast("long").alias("vidx"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (F.col("id") * 5000.0).alias("t"), F.lit(0.0).alias("ele"), F.col("id").alias("event_id"))
+    ranked = journeys.numbered(journeys.journey_groups(points)).collect()
+    assert sorted(r.nth for r in ranked) == list(range(1, 3001)) and {r.journey: r.nth for r in ranked}["__anon-t17"] == 18
+
+
+def test_regions_met_on_a_grid(spark):
+    boxes = spark.createDataFrame([("r", -5.0, -5.0, 50_001.0, 30_000.0), ("s", 0.0, 0.0, 0.0, 0.0)], "region_id string, min_x double, min_y double, max_x double, max_y double")
+    points = spark.createDataFrame([("a", 0.0, 0.0), ("a", 50_001.0, 30_000.0), ("b", 50_002.0, 0.0), ("c", -5.0, -5.0)], "track_id string, x double, y double")
+    assert dict(places.in_bounds(points, boxes).collect()) == {"r": 3, "s": 1}
+    assert dict(places.outside(points, boxes).collect()) == {"r": 1, "s": 3}
 
 
 def test_projection_control_and_range(spark):

@@ -100,3 +100,52 @@ def test_catalogue_and_assets(spark, tmp_path):
     assert D.playas(spark, str(root)).first().name == "P" and D.datasets(spark, str(root)).first().datasets == ["Survey"]
     edges = G.from_ways(D.ways(spark, f"{root}/r1/net.json")).orderBy("eid").collect()
     assert [(e.src, e.dst, e.len_m) for e in edges] == [("0.0,0.0", "3.0,4.0", 5.0), ("3.0,4.0", "3.0,8.0", 4.0)]
+
+
+def test_kmz_members_that_cannot_be_read_give_no_row(spark, tmp_path):
+    import io
+    import zipfile
+
+    def packed(method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.writestr("doc.kml", "<kml><Placemark><LineString><coordinates>1,2 3,4</coordinates></LineString></Placemark></kml>" * 20)
+        return out.getvalue()
+
+    good = packed()
+    at = good.index(b"doc.kml") + 7
+    encrypted = bytearray(good)
+    for mark, offset in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        encrypted[encrypted.index(mark) + offset] |= 1
+    unknown = bytearray(good)
+    for mark, offset in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)):
+        unknown[unknown.index(mark) + offset] = 99
+    broken = good[:at] + bytes(len(good[at : at + 20])) + good[at + 20 :]
+    path = write(tmp_path / "z", good__kmz=good, encrypted__kmz=bytes(encrypted), unknown__kmz=bytes(unknown), broken__kmz=broken, cut__kmz=good[:40], lzma__kmz=packed(zipfile.ZIP_LZMA))
+    files = T.read_files(spark, path)
+    assert {r.file.rsplit("/", 1)[-1] for r in T.open_kmz(files).collect()} == {"good.kmz", "lzma.kmz"}
+
+
+def test_kml_geometry_anywhere_in_a_placemark(spark):
+    text = """<kml xmlns:gx="u"><Document><!-- <Placemark><Point><coordinates>9,9</coordinates></Point></Placemark> --><Folder>
+      <Placemark><name> Camp </name><Point><coordinates> 1.5 , 2.5 ,7 </coordinates></Point></Placemark>
+      <Placemark><MultiGeometry><LineString><coordinates>1,2 3,4
+5,x</coordinates></LineString><LineString
+><coordinates>6,7,8 9,10,11</coordinates></LineString><Point><coordinates>4,5</coordinates></Point></MultiGeometry></Placemark>
+      <Placemark><gx:Track><when>2024-01-01T00:00:00Z</when><when>2024-01-01T00:01:00Z</when><gx:coord>1 2 3</gx:coord><gx:coord>4 5 6</gx:coord></gx:Track></Placemark></Folder></Document></kml>"""
+    texts = spark.createDataFrame([("f", text), ("g", "<!DOCTYPE x>" + text), ("h", "no xml"), ("i", None)], "file string, text string")
+    points = T.kml_points(texts).orderBy("seg", "pidx").collect()
+    assert [(p.lon, p.lat, p.ele) for p in points] == [(1.0, 2.0, None), (3.0, 4.0, None), (5.0, None, None), (6.0, 7.0, 8.0), (9.0, 10.0, 11.0), (1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+    assert [p.time for p in points][-1] == "2024-01-01T00:01:00Z" and {p.file for p in points} == {"f"}
+    assert sorted((w.lon, w.lat, w.label) for w in T.kml_waypoints(texts).collect()) == [(1.5, 2.5, "Camp"), (4.0, 5.0, "")]
+
+
+def test_ingest_counts_and_days(spark, tmp_path):
+    point = lambda lat, lon, time="": f'<trkpt lat="{lat}" lon="{lon}">{f"<time>{time}</time>" if time else ""}</trkpt>'
+    gpx = "<gpx><trk><name>day</name><trkseg>" + point(40, -121) + point(40.001, -121, "2024-06-01T23:59:00Z") + point(40.3, -121.2) + point(40, 150) + "</trkseg></trk><trk><trkseg>" + point(40, 150) + point(40, 151) + "</trkseg></trk></gpx>"
+    tracks, counts = T.ingest(spark, write(tmp_path / "i", a__gpx=gpx), 10)
+    (c,) = counts.collect()
+    assert (c.points, c.kept, c.dropped, c.tracks, c.dropped_tracks) == (6, 3, 3, 2, 1)
+    rows = tracks.orderBy("vidx").collect()
+    assert {r.track_id for r in rows} == {"day-0"} and {r.day for r in rows} == {"2024-06-01"} and [r.vidx for r in rows] == list(range(len(rows))) and len(rows) >= 2
+    assert 400_000 < rows[0].x < 600_000 and 4_400_000 < rows[0].y < 4_500_000
