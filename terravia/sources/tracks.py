@@ -104,7 +104,7 @@ def gpx_waypoints(texts: DataFrame) -> DataFrame:
 _BARE = r"<(/?)[A-Za-z0-9_]+:([A-Za-z0-9_]+)"
 #: Comments go, and so does the rest of the document around the elements that carry geometry.
 _COMMENT = r"(?s)<!--.*?-->"
-_ELEMENT = r"(?s)<(?:Placemark|Track)[\s>].*?</(?:Placemark|Track)\s*>"
+_ELEMENT = r"(?s)<(Placemark|Track)[\s>].*?</\1\s*>"
 _LINE = "STRUCT<coordinates: STRING>"
 _TRACK = "STRUCT<when: ARRAY<STRING>, coord: ARRAY<STRING>>"
 _MANY = f"STRUCT<LineString: ARRAY<{_LINE}>, Track: ARRAY<{_TRACK}>, Point: ARRAY<{_LINE}>>"

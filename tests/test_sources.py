@@ -148,4 +148,4 @@ def test_ingest_counts_and_days(spark, tmp_path):
     assert (c.points, c.kept, c.dropped, c.tracks, c.dropped_tracks) == (6, 3, 3, 2, 1)
     rows = tracks.orderBy("vidx").collect()
     assert {r.track_id for r in rows} == {"day-0"} and {r.day for r in rows} == {"2024-06-01"} and [r.vidx for r in rows] == list(range(len(rows))) and len(rows) >= 2
-    assert 400_000 < rows[0].x < 600_000 and 4_400_000 < rows[0].y < 4_500_000
+    assert 650_000 < rows[0].x < 680_000 and 4_400_000 < rows[0].y < 4_500_000
