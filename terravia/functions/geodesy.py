@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS 84 and the Krüger series to the third order
@@ -112,3 +112,25 @@ def snapped_count(low: Column, high: Column, res_m: Column | float, inset_m: flo
     """Whole cells between two edges moved inwards and snapped to the resolution."""
     a, b = F.ceil((low + inset_m) / res_m), F.floor((high - inset_m) / res_m)
     return F.greatest(F.lit(0), b - a)
+
+
+def ordered_box(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column, Column]:
+    """A box whatever corners it was drawn from."""
+    return F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1)
+
+
+def target_grid(boxes: DataFrame, key: str, zone: int, res_m: float, samples: int = 41, inset_m: float = 500.0) -> DataFrame:
+    """key, x0, y0, x1, y1, cols, rows: the grid in metres that the edges of a box in degrees (w, s, e, n) enclose, moved inwards and snapped to the resolution."""
+    along = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    c = F.col
+    at = lambda a, b: c(a) + (c(b) - c(a)) * c("k") / (samples - 1)
+    sides = F.explode(F.array(*(F.struct(lon.alias("lon"), lat.alias("lat")) for lon, lat in ((at("w", "e"), c("s")), (at("w", "e"), c("n")), (c("w"), at("s", "n")), (c("e"), at("s", "n"))))))
+    edge = boxes.withColumn("k", along).withColumn("p", sides)
+    x, y = utm(c("p.lon"), c("p.lat"), zone)
+    # a side's own extreme bounds the grid: the western edge by its easternmost point, and so on
+    west, east, south, north = c("p.lon") == c("w"), c("p.lon") == c("e"), c("p.lat") == c("s"), c("p.lat") == c("n")
+    span = edge.withColumns({"x": x, "y": y}).groupBy(key).agg(F.max(F.when(west, c("x"))).alias("lx"), F.min(F.when(east, c("x"))).alias("hx"), F.max(F.when(south, c("y"))).alias("ly"), F.min(F.when(north, c("y"))).alias("hy"))
+    up = lambda v: F.ceil((c(v) + inset_m) / res_m) * res_m
+    down = lambda v: F.floor((c(v) - inset_m) / res_m) * res_m
+    boxed = span.select(key, up("lx").alias("x0"), up("ly").alias("y0"), down("hx").alias("x1"), down("hy").alias("y1"))
+    return boxed.withColumns({"cols": F.greatest(F.lit(0), F.bround((c("x1") - c("x0")) / res_m)).cast("long"), "rows": F.greatest(F.lit(0), F.bround((c("y1") - c("y0")) / res_m)).cast("long")})

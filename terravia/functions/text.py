@@ -78,3 +78,16 @@ def search(keys: Column, query: str) -> Column:
 
 def links(html: Column, attribute: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf'{attribute}="([^"]*)"'), F.lit(1))
+
+
+def finite_number(text: Column) -> Column:
+    """A number that is one; null for anything else, infinities and NaN included."""
+    n = text.try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+
+
+def sizes(text: Column, most: int) -> Column:
+    """array<struct<w, h>> of a list such as 1080x1350,1200x630; null unless every part is a size of 1 to most a side."""
+    parts = F.transform(F.split(F.lower(F.regexp_replace(text, r"\s+", "")), ","), lambda p: F.struct(F.regexp_extract(p, "^([0-9]{1,6})x([0-9]{1,6})$", 1).try_cast("int").alias("w"), F.regexp_extract(p, "^([0-9]{1,6})x([0-9]{1,6})$", 2).try_cast("int").alias("h")))
+    good = F.forall(parts, lambda s: F.coalesce(s["w"].between(1, most) & s["h"].between(1, most), F.lit(False)))
+    return F.when(good, parts)

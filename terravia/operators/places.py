@@ -8,6 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravia.operators.assets import first_of_each
 from terravia.shared import kept
 
 SPACING_M = 6000.0
@@ -264,3 +265,20 @@ def annotated(spots: DataFrame, group: str, labels: tuple[str, ...], icons: tupl
     turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("__k"), F.lit(len(values))) + 1).cast("int"))
     fill = lambda c, values: F.when(F.coalesce(F.col(c), F.lit("")) == "", turn(values)).otherwise(F.col(c))
     return spots.withColumn("__k", place).withColumns({"label": fill("label", labels), "icon": fill("icon", icons)}).drop("__k")
+
+
+def best_of_name(rows: DataFrame, name: str, rank: str, order: str) -> DataFrame:
+    """The row of each name with the highest rank, the first of equals."""
+    return first_of_each(rows.withColumn("__rank", -F.col(rank)), [name], ["__rank", order]).drop("__rank")
+
+
+def destinations(features: DataFrame, vertices: DataFrame, within_m: float = 2000.0) -> DataFrame:
+    """name, rank, node, dist_m: named features that lie by the network, at their nearest vertex, one of each name. features: seq, name, rank, x, y; vertices: node, x, y."""
+    near = nearest(features.select(F.col("seq").alias("id"), "x", "y"), vertices.select(F.col("node").alias("place"), "x", "y"), within_m)
+    met = features.join(near, F.col("seq") == F.col("id")).select("seq", "name", "rank", F.col("place").alias("node"), "dist_m")
+    return best_of_name(met, "name", "rank", "seq").select("name", "rank", "node", "dist_m")
+
+
+def in_first_order(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """key, place: each key once, where it first stands."""
+    return rows.groupBy(key).agg(F.min(place).alias(place))

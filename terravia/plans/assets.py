@@ -312,3 +312,14 @@ def safe_keys(spark, d):
 def grouped_jobs(spark, d):
     o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("jid"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("kit"), F.col("o_custkey").cast("string"))).alias("name"))
     return A.grouped_jobs(o).select("name", "alone", "members", "place")
+
+
+@register(
+    "parsed_values",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN -200.0::DOUBLE END AS n, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS sizes, CASE p_partkey % 6 WHEN 0 THEN 630 WHEN 1 THEN 1350 END AS last_h FROM part""",
+)
+def parsed_values(spark, d):
+    pick = lambda *values: F.get(F.array(*(F.lit(v).cast("string") for v in values)), (F.col("p_partkey") % 6).cast("int"))
+    n, s = pick("1.5", "-2e2", "nan", "Infinity", "1,5", None), pick("1080x1350, 1200x630", "1080X1350", "0x5", "5000x5", "12x", None)
+    rows = fx.table(spark, d, "part").select("p_partkey", T.finite_number(n).alias("n"), T.sizes(s, 2160).alias("s"))
+    return rows.select("p_partkey", "n", F.when(F.col("s").isNotNull(), F.size("s")).alias("sizes"), F.element_at("s", -1)["h"].alias("last_h"))

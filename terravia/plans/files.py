@@ -1,5 +1,6 @@
 """Queries that write files into the shared folder and read them back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
@@ -19,10 +20,11 @@ def _placed(spark, d):
     return p.select(F.concat(F.lit("f"), F.substring("track_id", -2, 2)).alias("file"), "track_id", "vidx", "event_id", "t", F.round(-124.0 + (i % 600) / 100.0, 2).alias("lon"), F.round(38.0 + (i % 500) / 100.0, 2).alias("lat"))
 
 
-def _written(texts, name, suffix=""):
-    """One text a file; the files lie in a folder of their own and are named by Spark."""
+def _written(texts, name):
+    """One text a file: there are as many as a month has days, and each is dealt to a partition of its own."""
     path = fresh_path(texts.sparkSession, name)
-    texts.select("text").repartition(max(1, texts.count())).write.option("lineSep", "\n").text(path)
+    numbered = texts.withColumn("n", F.row_number().over(Window.orderBy("file")) - 1)
+    numbered.repartitionById(max(1, texts.count()), F.col("n")).select("text").write.option("lineSep", "\n").text(path)
     return path
 
 

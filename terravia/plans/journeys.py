@@ -270,3 +270,29 @@ def point_at(spark, d):
     p = _users(spark, d)
     wanted = p.select("track_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select("track_id", (F.col("k") * 100000.0 - 50000.0).alias("s"))
     return J.points_at(p, wanted).select("track_id", ((F.col("s") + 50000.0) / 100000.0).cast("long").alias("k"), F.round("x", 1).alias("px"), F.round("y", 1).alias("py"), F.round("angle", 6).alias("angle"))
+
+
+@register(
+    "smoothed_path",
+    oracle(
+        "fx_users",
+        body="""seg AS (SELECT track_id, vidx, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, max(vidx) OVER (PARTITION BY track_id) - 1 AS last FROM fx_users WINDOW w AS (PARTITION BY track_id ORDER BY vidx)),
+  parts AS (SELECT *, greatest(1, CAST(trunc(sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) / 9000.0::DOUBLE) AS BIGINT)) AS n FROM seg WHERE x1 IS NOT NULL),
+  d AS (SELECT *, unnest(range(0, n + CASE WHEN vidx = last THEN 1 ELSE 0 END)) AS k FROM parts),
+  e AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY vidx, k) - 1 AS vidx, CASE WHEN k = n THEN x1 ELSE x + k * ((x1 - x) / n) END AS px, CASE WHEN k = n THEN y1 ELSE y + k * ((y1 - y) / n) END AS py FROM d)
+  SELECT track_id, vidx, round(avg(px) OVER w, 3) AS sx, round(avg(py) OVER w, 3) AS sy FROM e WINDOW w AS (PARTITION BY track_id ORDER BY vidx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+    ),
+)
+def smoothed_path(spark, d):
+    return J.smoothed(_users(spark, d), 9000.0, 36000.0).withColumns({"sx": F.round("sx", 3), "sy": F.round("sy", 3)})
+
+
+@register(
+    "stats_lines",
+    """SELECT o_orderkey AS k, CASE WHEN e >= 2 THEN 'Edition ' || e || ' - ' ELSE '' END || y || ' - 1:' || format('{:,}', s) || CASE WHEN dy > 0 THEN ' - ' || dy || CASE WHEN dy = 1 THEN ' day' ELSE ' days' END ELSE '' END || ' - ' || format('{:,}', CAST(mi AS BIGINT)) || ' mi' AS line
+  FROM (SELECT o_orderkey, o_orderkey % 4 AS e, strftime(o_orderdate, '%Y') AS y, CAST(round_even((1000 + o_orderkey * 37) / pow(10.0::DOUBLE, floor(log10(1000 + o_orderkey * 37)) - 1), 0) * pow(10.0::DOUBLE, floor(log10(1000 + o_orderkey * 37)) - 1) AS BIGINT) AS s, o_orderkey % 3 AS dy, 1 + o_orderkey % 5000 AS mi FROM orders)""",
+)
+def stats_lines(spark, d):
+    k = F.col("o_orderkey")
+    o = fx.table(spark, d, "orders")
+    return o.select(k.alias("k"), J.stats_line(k % 4, F.date_format("o_orderdate", "yyyy"), (1000 + k * 37).cast("double"), k % 3, (1 + k % 5000).cast("double")).alias("line"))

@@ -231,3 +231,23 @@ def edition_spots(spark, d):
     spots = part.select("p_partkey", "p_brand", F.col("p_partkey").alias("nth"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).otherwise("").alias("label"), F.when(F.col("p_partkey") % 3 > 0, "flag").alias("icon"))
     done = P.annotated(spots, "p_brand", ("one", "two"), ("peak", "camp", "star"))
     return P.occurrences(done, part.select(F.col("p_type").alias("name"))).select("p_partkey", "label", "icon", "weight")
+
+
+@register(
+    "destinations",
+    oracle("fx_points", body="""f AS (SELECT event_id AS seq, 'N' || event_id % 40 AS name, event_id % 7 AS rank, x, y FROM fx_points WHERE day IS NULL), v AS (SELECT event_id AS node, x, y FROM fx_points WHERE day IS NOT NULL),
+  m AS (SELECT seq, name, rank, node, (f.x - v.x) * (f.x - v.x) + (f.y - v.y) * (f.y - v.y) AS d2 FROM f, v),
+  n AS (SELECT seq, name, rank, first(node ORDER BY d2, node) AS node, min(d2) AS d2 FROM m WHERE d2 <= 4000000 GROUP BY seq, name, rank),
+  b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank DESC, seq) AS k FROM n)
+  SELECT name, rank, node, round(sqrt(d2), 3) AS dist_m FROM b WHERE k = 1"""),
+)
+def destinations(spark, d):
+    p = fx.points(spark, d)
+    i = F.col("event_id")
+    f = p.where("day IS NULL").select(i.alias("seq"), F.concat(F.lit("N"), (i % 40).cast("string")).alias("name"), (i % 7).alias("rank"), "x", "y")
+    return P.destinations(f, p.where("day IS NOT NULL").select(i.alias("node"), "x", "y")).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@register("first_order", "SELECT p_type, min(p_partkey) AS p_partkey FROM part GROUP BY p_type")
+def first_order(spark, d):
+    return P.in_first_order(fx.table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey")

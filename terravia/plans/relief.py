@@ -166,3 +166,18 @@ def sheet_view(spark, d):
 def finite_envelope(spark, d):
     cells = fx.raster(spark, d)
     return E.finite_envelope(cells.withColumn("v", F.when((F.col("row") >= 7) & (F.col("col") < 60), F.coalesce("v", F.lit(0.0)))))
+
+
+@register(
+    "probe_grid",
+    oracle("fx_raster", body="""g AS (SELECT i, j, CAST(floor(-20 + (i + 0.5::DOUBLE) * 5.0::DOUBLE) AS BIGINT) AS row, CAST(floor(3 + (j + 0.5::DOUBLE) * 1.25::DOUBLE) AS BIGINT) AS col FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j))
+  SELECT i, j, v FROM g LEFT JOIN fx_raster USING (row, col)"""),
+)
+def probe_grid(spark, d):
+    return E.probe(fx.raster(spark, d), (-20.0, 3.0, 300.0, 83.0), 64)
+
+
+@register("overview", oracle("fx_raster", body="""q AS (SELECT quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM fx_raster)
+  SELECT row, col, CAST(floor(least(greatest((coalesce(v, a) - a) / (b - a), 0), 1) * 255 + 1e-9::DOUBLE) AS INTEGER) AS grey FROM fx_raster, q"""))
+def overview(spark, d):
+    return E.overview(fx.raster(spark, d))

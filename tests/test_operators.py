@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
 from terravia.functions import geodesy, solar, text
-from terravia.operators import assets, graph, journeys, places, raster
+from terravia.operators import assets, graph, journeys, places, raster, relief
 from terravia.plans import network
 from terravia.plans import places as plans_places
 from tests.conftest import SF, SMALL
@@ -274,3 +274,49 @@ def test_native_plans(spark):
     for df in (journeys.visits(fx.points(spark, SF), fx.BOUNDS), raster.hillshade(fx.filled_raster(spark, SF), 100.0), assets.verify(fx.assets(spark, SF), fx.assets(spark, SF))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_recovered_times_are_of_the_first_visit(spark):
+    points = track(spark, ("d", [(0, 0), (5, 9), (9, 0), (5, 9), (0, 0)]))
+    simple = journeys.simplify(points, 1.0)
+    got = {r.vidx: r.t0 for r in journeys.recover_times(simple, points).collect()}
+    assert got == {0: 0.0, 1: 60.0, 2: 120.0, 3: 60.0, 4: 0.0}
+    moved = simple.withColumn("x", F.when(F.col("vidx") == 2, 99.0).otherwise(F.col("x")))
+    assert {r.vidx: r.t0 for r in journeys.recover_times(moved, points).collect()}[2] is None
+
+
+def test_finite_envelope_peels_the_worst_edge(spark):
+    good = np.ones((12, 10), dtype=bool)
+    good[:2, :] = False
+    good[:, 9] = False
+    good[5, 4] = False
+    good[11, :5] = False
+    cells = spark.createDataFrame([(100 + i, 7 + j, 1.0 if good[i, j] else None) for i in range(12) for j in range(10)], "row long, col long, v double")
+    assert tuple(relief.finite_envelope(cells).first()) == (102, 111, 7, 16)
+    assert tuple(relief.finite_envelope(cells.withColumn("v", F.lit(1.0))).first()) == (100, 112, 7, 17)
+    assert relief.finite_envelope(cells.limit(0)).count() == 0
+
+
+def test_shaded_relief_is_in_range_and_follows_the_light(spark):
+    """A ridge is brighter on the side of the sun."""
+    cells = spark.createDataFrame([(i, j, 30.0 * (10 - abs(j - 10))) for i in range(16) for j in range(21)], "row long, col long, v double")
+    rows = {(r.row, r.col): r for r in relief.shaded_relief(cells, 30.0, 0.0, 300.0, azimuth=270).collect()}
+    assert len(rows) == 16 * 21 and all(0 <= c <= 255 for r in rows.values() for c in (r.r, r.g, r.b))
+    assert rows[8, 6].r > rows[8, 14].r
+
+
+def test_wide_blur_keeps_level_ground_level(spark):
+    cells = spark.createDataFrame([(i, j, 5.0) for i in range(24) for j in range(24)], "row long, col long, v double")
+    assert {round(r.blurred, 9) for r in relief.wide_gaussian(cells, 9.0).collect()} == {5.0}
+
+
+def test_target_grid_lies_inside_its_box(spark):
+    box = spark.createDataFrame([("r", -121.6, 40.2, -120.9, 40.7), ("tiny", -121.0, 40.0, -120.999, 40.001)], "id string, w double, s double, e double, n double")
+    r = {x.id: x for x in geodesy.target_grid(box, "id", 10, 10.0).collect()}["r"]
+    assert r.x0 % 10 == r.y0 % 10 == r.x1 % 10 == r.y1 % 10 == 0 and (r.cols, r.rows) == ((r.x1 - r.x0) / 10, (r.y1 - r.y0) / 10)
+    corners = spark.createDataFrame([(r.x0, r.y0), (r.x1, r.y0), (r.x0, r.y1), (r.x1, r.y1)], "x double, y double")
+    lon, lat = geodesy.lonlat(F.col("x"), F.col("y"), 10)
+    for c in corners.select(lon.alias("lon"), lat.alias("lat")).collect():
+        assert -121.6 < c.lon < -120.9 and 40.2 < c.lat < 40.7
+    tiny = {x.id: x for x in geodesy.target_grid(box, "id", 10, 10.0).collect()}["tiny"]
+    assert (tiny.cols, tiny.rows) == (0, 0)
