@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravia.shared import fresh_path, kept  # noqa: F401  the operators take them from here
+
 #: What a word is: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,33 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, named by spark.checkpoint.dir.
-
-    Where it is unset and the session is local, a temporary folder is set; on a
-    cluster without the setting this is an error, as no machine-local folder would do.
-    """
-    context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='terravia-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return spark.conf.get("spark.checkpoint.dir", None) or found
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; later steps read it from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def discard(path: str) -> None:
     """Remove a folder of intermediate rows that nothing reads any more."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terravia.llm import fingerprint, langid, nearcopies, packing, pii, sentencepiece, simhash
+from terravia.llm import fingerprint, langid, nearcopies, packing, pii, quality, sentencepiece, simhash
 from tests.conftest import SF, SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string"
@@ -630,3 +630,46 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     whole = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted(whole) == sorted(packed)
+
+
+def brute_quality(text):
+    """(kept, cleaned) by the rules, line by line."""
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    every, good, lost = words(text), [], 0
+    for line in text.split("\n"):
+        n = len(words(line))
+        bars = len(re.findall(quality.SEPARATOR, line))
+        fails = n > 0 and (
+            n < 4 and not re.search(quality.CLOSED, line) or 2 * len(re.findall(quality.SYMBOLS, line)) > n or 3 * line.count("!!") > n
+            or 4 * bars >= max(n, 8) or n <= quality.BOILERPLATE_WORDS and bool(re.search(quality.BOILERPLATE, line))
+        )
+        lost += n if fails else 0
+        good += [] if fails else [line]
+    windows = [tuple(every[i : i + 8]) for i in range(len(every) - 7)]
+    counts = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 8)}
+    base_failed = len(every) < 20 or 100 * len(repeated) > 30 * len(every)
+    return not base_failed and not lost > 0.5 * len(every), "\n".join(good)
+
+
+def test_pipeline_brute_force(spark):
+    """All five stages over again in plain Python, each row and each pair looked at on its own."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [r.asDict() for r in docs.orderBy("doc_id").collect()]
+    judged = [(r, brute_quality(r["text"] or "")) for r in rows]
+    rows = [{**r, "text": cleaned, "n_chars": len(cleaned)} for r, (stays, cleaned) in judged if stays]
+    left = spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)
+    encoders = langid.Encoders(langid.fit(left.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
+    rows = [{**r, "lang": lang} for r in rows for lang, _, rejected in [encoders.classify(r["text"])] if not rejected]
+    component = brute_near_copies([(r["doc_id"], r["text"]) for r in rows])
+    assert len(component) == len(rows)
+    rows = [r for r in rows if component[r["doc_id"]] == r["doc_id"]]
+    spans = brute_spans([r["text"] for r in rows])
+    rows = [{**r, "text": brute_mask(r["text"], x) if x else r["text"]} for r, x in zip(rows, spans, strict=True)]
+    assert any(spans) and len(rows) < docs.count()
+    lengths = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for r in rows}
+    got = corpus_pipeline.run(spark, SMALL).withColumnRenamed("n_tokens", "length").collect()
+    valid(got, lengths)
+    assert {(r.doc_id, r.piece): (r.bin_id, r.bin_offset) for r in got} == brute_pack(lengths)

@@ -42,6 +42,24 @@ def test_quality_stage_cleans(spark):
     assert (row.doc_id, row.text, row.n_chars, row.quality) == (1, good, len(good), "x")
 
 
+def test_quality_clashing_names_and_closing_marks(spark):
+    docs = odd(spark).withColumnsRenamed({"source": "__n", "quality": "__words"})
+    done = quality.assess(docs, into="q")
+    assert [c for c in done.columns if c != "q"] == docs.columns and {r["__words"] for r in done.collect()} == {"clash"}
+    assert quality.stage(docs).columns == docs.columns
+    lines = ["这是一个没有空格的句子。", "これは文です！", "यह एक वाक्य है।", "هل هذا سؤال؟", "menu entry"]
+    found = quality.assess(docs.limit(0).select("doc_id", "text").unionByName(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"))).select("doc_id", "quality.failed_lines").collect()
+    assert [r.failed_lines for r in sorted(found)] == [0, 0, 0, 0, 1]
+
+
+def test_quality_of_a_long_line_and_many_lines(spark):
+    """Ten megabytes without a space, and a hundred thousand lines."""
+    docs = spark.createDataFrame([(1, "x" * 10_000_000), (2, "one two three four five.\n" * 100_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.op2(docs).collect()}
+    assert (rows[1].n_words, rows[1].word_chars, rows[1].kept) == (1, 10_000_000, False)
+    assert (rows[2].n_words, rows[2].n_dup_lines, rows[2].n_repeat_words, rows[2].base_failed) == (500_000, 99_999, 500_000, True)
+
+
 def test_quality_is_native(spark):
     plan = quality.op2(odd(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
@@ -70,6 +88,13 @@ def test_chat_tricky_texts(spark):
     assert chat.op7(talks.limit(0)).count() == 1
 
 
+def test_chat_of_many_turns(spark):
+    """Ten thousand turns in one conversation; positions are those of each turn's own text."""
+    talks = spark.range(10_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    (row,) = chat.format_chat(talks.withColumn("parts", F.array(chat.text_part(F.col("text"))))).collect()
+    assert [row.formatted[s.start : s.end] for s in row.loss_mask] == [f"t{i}" for i in range(1, 10_000, 2)]
+
+
 def test_chat_attachments(spark):
     part = lambda kind, **k: (kind, k.get("text"), k.get("uri"), k.get("width"), k.get("height"), k.get("seconds"), k.get("pages"))
     rows = [(1, 0, "user", [part("text", text="see "), part("image", uri="a.png", width=56, height=29), part("text", text=" and "), part("audio", uri="b.wav", seconds=2.0)]), (1, 1, "assistant", [part("document", uri="c.pdf", pages=2), part("text", text="ok")])]
