@@ -36,15 +36,16 @@ def gradient(cells: DataFrame, v: str = "v") -> DataFrame:
 
 
 def slope_aspect(cells: DataFrame, res_m: float, z_factor: float = 1.0) -> DataFrame:
+    """slope, counted from the vertical (level ground has half pi), and aspect, the bearing of the way down."""
     g = gradient(cells)
     zx, zy = F.col("dx") * (z_factor / res_m), F.col("dy") * (z_factor / res_m)
-    return g.withColumn("slope", F.lit(pi / 2) - F.atan(F.lit(1.0) / F.greatest(F.hypot(zx, zy), F.lit(1e-12)))).withColumn("aspect", F.atan2(-zx, zy))
+    return g.withColumn("slope", F.lit(pi / 2) - F.atan(F.hypot(zx, zy))).withColumn("aspect", F.atan2(-zx, zy))
 
 
 def lambert(azimuth: float, altitude: float) -> Column:
     """Shade of a sloped cell, from its slope and aspect columns."""
-    alt, az = radians(altitude), radians((360.0 - azimuth + 90.0) % 360.0)
-    lit = sin(alt) * F.cos("slope") + cos(alt) * F.sin("slope") * F.cos(F.lit(az) - F.col("aspect"))
+    alt, az = radians(altitude), radians(azimuth)
+    lit = sin(alt) * F.sin("slope") + cos(alt) * F.cos("slope") * F.cos(F.lit(az) - F.col("aspect"))
     return F.least(F.greatest(lit, F.lit(0.0)), F.lit(1.0))
 
 

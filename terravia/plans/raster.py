@@ -12,11 +12,11 @@ _DIFF = """CASE WHEN lag({c}) OVER {w} IS NULL AND lead({c}) OVER {w} IS NULL TH
   WHEN lead({c}) OVER {w} IS NULL THEN {v} - lag({v}) OVER {w} ELSE (lead({v}) OVER {w} - lag({v}) OVER {w}) / 2 END"""
 _W = "WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)"
 GRAD = f"gr AS (SELECT *, {_DIFF.format(c='col', w='r', v='v')} AS dx, {_DIFF.format(c='row', w='c', v='v')} AS dy FROM fx_filled {_W})"
-SLOPE = GRAD + ", sl AS (SELECT *, pi() / 2 - atan(1.0::DOUBLE / greatest(sqrt(dx * dx / 10000.0::DOUBLE + dy * dy / 10000.0::DOUBLE), 1e-12::DOUBLE)) AS slope, atan2(-dx / 100.0::DOUBLE, dy / 100.0::DOUBLE) AS aspect FROM gr)"
+SLOPE = GRAD + ", sl AS (SELECT *, pi() / 2 - atan(sqrt(dx * dx / 10000.0::DOUBLE + dy * dy / 10000.0::DOUBLE)) AS slope, atan2(-dx / 100.0::DOUBLE, dy / 100.0::DOUBLE) AS aspect FROM gr)"
 
 
 def _lambert(az, alt=45):
-    return f"least(greatest(sin(radians({alt})) * cos(slope) + cos(radians({alt})) * sin(slope) * cos(radians({(360 - az + 90) % 360}) - aspect), 0), 1)"
+    return f"least(greatest(sin(radians({alt})) * sin(slope) + cos(radians({alt})) * cos(slope) * cos(radians({az}) - aspect), 0), 1)"
 
 
 def _filled(spark, d):

@@ -320,3 +320,12 @@ def test_target_grid_lies_inside_its_box(spark):
         assert -121.6 < c.lon < -120.9 and 40.2 < c.lat < 40.7
     tiny = {x.id: x for x in geodesy.target_grid(box, "id", 10, 10.0).collect()}["tiny"]
     assert (tiny.cols, tiny.rows) == (0, 0)
+
+
+def test_slopes_that_face_the_sun_are_the_brightest(spark):
+    """A cone, lit from each quarter: the brightest of its four sides is the one towards the sun."""
+    cells = spark.createDataFrame([(i, j, -float(math.hypot(i - 10, j - 10))) for i in range(21) for j in range(21)], "row long, col long, v double")
+    sides = {0.0: (4, 10), 90.0: (10, 16), 180.0: (16, 10), 270.0: (10, 4)}
+    for azimuth, side in sides.items():
+        shade = {(r.row, r.col): r.shade for r in raster.hillshade(cells, 1.0, azimuth).collect() if (r.row, r.col) in sides.values()}
+        assert max(shade, key=shade.get) == side
