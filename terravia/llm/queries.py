@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravia.llm import chat, fingerprint, langid, packing, pii, quality, sentencepiece, simhash, urlfilter, warc
+from terravia.llm import chat, fingerprint, langid, lexical, packing, pii, quality, sentencepiece, simhash, urlfilter, warc
 from terravia.llm.common import table
 
 _QUERIES = {
@@ -24,8 +24,9 @@ _QUERIES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, t=t, f=f: f(table(spark, sf_dir, t))) for name, (t, f) in _QUERIES.items()}
+    found = {name: (lambda spark, sf_dir, t=t, f=f: f(table(spark, sf_dir, t))) for name, (t, f) in _QUERIES.items()}
+    return found | {"op11_lexical_search": lexical.op11}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op5_warc": warc.ORACLE, "op7_chat_format": chat.ORACLE, "op8_url_filter": urlfilter.oracle()}
+    return {"op2_quality_rules": quality.ORACLE, "op5_warc": warc.ORACLE, "op7_chat_format": chat.ORACLE, "op8_url_filter": urlfilter.oracle(), "op11_lexical_search": lexical.ORACLE}
