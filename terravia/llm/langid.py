@@ -8,7 +8,7 @@ prediction is marked as rejected.
 Parts of excerpts that are not in the language of their label are left out.
 
 The dictionaries are fitted on a bounded sample: at most `PER_LANG` texts of a language
-(the ones with the smallest hash of the text), `EXCERPT` characters from the middle of
+(the ones with the smallest hash of the text, of those with one excerpt the first), `EXCERPT` characters from the middle of
 each, of which the first DICT_BYTES of a language are its dictionary. Prediction covers every text from end to end. Before either, texts are lower-cased
 and every run of other characters than letters becomes a space. Long texts are encoded
 in pieces of CHUNK bytes, each against the dictionary, so that a text's own beginning
@@ -16,7 +16,7 @@ does not outweigh it.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and is
 rejected. Without labelled texts every prediction is `und`. Ties go to the language with
-more labelled texts, then to the smaller name, with score 0. The order of rows, repeated
+more different labelled texts, then to the smaller name, with score 0. The order of rows, repeated
 rows and columns of other names have no influence on a row's result.
 """
 
@@ -49,21 +49,22 @@ def _plain(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
-    """(language, dictionary) by falling number of labelled texts. labelled: doc_id, text, lang.
+    """(language, dictionary) by falling number of different labelled texts. labelled: doc_id, text, lang.
 
     What reaches the driver is at most per_lang excerpts a language, and their counts.
     """
-    labelled = labelled.where(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    # of different texts, estimated from sketches, on which copies have no influence
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return []
     at = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
-    # about four times the rows that are wanted pass a threshold on their hash, however many rows there are
+    # about four times the texts that are wanted pass a threshold on their hash, however many there are
     shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(BUCKETS, -(-4 * per_lang * BUCKETS // n)))))
-    hashed = labelled.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(BUCKETS)) < shares[F.col("lang")])
-    cut = hashed.select("lang", "h", F.substring(F.col("text"), at, F.lit(excerpt)).alias("excerpt"))
-    first = cut.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))).where(F.col("nth") <= per_lang)
+    hashed = labelled.where(F.pmod("h", F.lit(BUCKETS)) < shares[F.col("lang")])
+    # copies become one before they are shuffled, so what is left of a language is bounded
+    once = hashed.select("lang", "h", F.substring(F.col("text"), at, F.lit(excerpt)).alias("excerpt")).groupBy("lang", "excerpt").agg(F.min("h").alias("h"))
+    first = once.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))).where(F.col("nth") <= per_lang)
     parts: dict[str, list[bytes]] = {}
     for row in first.orderBy("lang", "nth").toLocalIterator():
         parts.setdefault(row["lang"], []).append(_plain(row["excerpt"]))

@@ -6,20 +6,21 @@ from the whole corpus, for protected entities of three levels: the value itself,
 group (an e-mail's domain, half an IP address, a card's issuer, a phone number without
 its last four digits) and its kind. With N documents, n(c) that contain the entity c, n(t)
 that contain the term t and n(c,t) where t stands within REACH words of c, t gives
-log2(N p / n(c)) bits about c, where p = n(c,t) / n(t) * d / (d + PRIOR) bounds the share
-of t's documents that hold c from below: d is in how many different texts the pair was
-seen, so exact copies add no evidence and a single mention counts for little. The
-disclosure is the share of that in c's own information log2(N / n(c)). Entities that only one
-text contains are judged by their group and kind. Near an entity, a term whose disclosure
-at any level reaches GENERALISE is replaced by its kind ([NAME], [NUMBER] or [TERM]); from
-REMOVE on it is removed. Documents without a protected entity are left as they are.
+log2(N p / n(c)) bits about c, where p is the lower limit of Wilson's confidence interval for n(c,t) / n(t).
+Its evidence is d, the number of different texts that have the pair, so exact copies add
+none, and a pair that fewer than LEAST_TEXTS of them have is none: one mention, or two, can be chance, and the
+rarer an entity the more such chances would pass. The
+disclosure is the share of those bits in c's own information log2(N / n(c)). Entities that only one
+text contains are judged by their group and kind. A term whose disclosure of
+anything reaches GENERALISE gives it away wherever it stands: in every document, outside the base spans, it
+is replaced by its kind ([NAME], [NUMBER] or [TERM]); from REMOVE on it is removed.
 
 DataFrame functions only. Positions are found by cutting a text at its matches; patterns
 are written with possessive quantifiers, so that long runs neither backtrack nor recurse,
 and positions come from running sums (`running`) and are looked up by halving, so that a
 list of addresses takes little more than time in proportion to its length. Shuffles
-carry terms and positions, no texts, but in `sanitise`, where only the texts that can
-hold an entity are joined with their spans. Counts are aggregated before each shuffle, and
+carry terms and positions; texts are joined with what is to be marked in them, and only
+those that can hold something: an entity, or one of the terms. Counts are aggregated before each shuffle, and
 pairs are limited to the words near an entity, so a group of copies or a frequent entity
 makes rows in proportion to its mentions; each join has one row a key on its other side.
 
@@ -31,6 +32,8 @@ names pass through `sanitise`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +52,10 @@ TERM = r"\p{L}[\p{L}\p{M}\p{N}_]++"
 
 REACH = 6
 GENERALISE, REMOVE = 0.6, 0.85
-#: So many texts without a pair are set against those that have it.
-PRIOR = 3
+#: Different texts that must have a pair, and the standard errors that the confidence limit lies below the estimate.
+LEAST_TEXTS, ERRORS = 3, 1.96
+#: Disclosing terms that are broadcast at most; beyond, they meet the words of all texts by a shuffle.
+BROADCAST_TERMS = 50_000
 #: Code points of a text that are looked through to cut a piece out of it.
 BLOCK = 1024
 
@@ -181,40 +186,68 @@ def levels(entity: Column) -> Column:
     return F.array(entity, F.concat(kind, F.lit(" of "), group), kind)
 
 
+def lower_limit(share: Column, hits: Column, errors: float = ERRORS) -> Column:
+    """The lower limit of Wilson's interval for a share that was seen in `hits` cases and not in hits / share - hits others."""
+    n, z2 = hits / share, errors * errors
+    return (share + z2 / (2 * n) - errors * F.sqrt((share * (1 - share) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """The columns of docs but the text, and term: each word of a text once."""
+    return docs.select(*(c for c in docs.columns if c != "text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure for the pairs that reach the threshold. found: as of found_spans(docs)."""
     some = found.where(F.size("base") > 0)
     # text, since lists of texts are made distinct by hashing and lists of structs are not
     joint = F.flatten(F.transform("near", lambda w: F.transform(levels(w["entity"]), lambda x: F.concat(x, F.lit("\0"), w["term"]))))
     pairs = some.select("key", F.explode(F.array_distinct(joint)).alias("p")).groupBy("p", "key").agg(F.count("*").alias("n"))
-    together = pairs.groupBy("p").agg(F.sum("n").alias("n_ct"), F.count("*").alias("d"))
+    together = pairs.groupBy("p").agg(F.sum("n").alias("n_ct"), F.count("*").alias("d")).where(F.col("d") >= LEAST_TEXTS)
     together = together.select(F.substring_index("p", "\0", 1).alias("entity"), F.substring_index("p", "\0", -1).alias("term"), "n_ct", "d")
     entities = some.select("key", F.explode(F.array_distinct(F.flatten(F.transform("base", lambda s: levels(s["entity"]))))).alias("entity"))
     entities = entities.groupBy("entity").agg(F.count("*").alias("n_c"), F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").drop("a", "b")
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = words_of(docs.select("text")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.select(F.lit(1)).groupBy().agg(F.count("*").alias("n"))
     # of kinds there are as many as KINDS; the others are met by their key, so that no task holds all pairs of a kind
     kind = F.col("entity").isin(*KINDS)
     counted = together.where(kind).join(F.broadcast(entities.where(kind)), "entity").unionByName(together.where(~kind).join(entities.where(~kind), "entity"))
     scored = counted.join(terms, "term").join(F.broadcast(total))  # one row
-    p = F.col("n_ct") / F.col("n_t") * (F.col("d") / (F.col("d") + PRIOR))
+    p = lower_limit(F.col("n_ct") / F.col("n_t"), F.col("d"))
     share = F.log2(F.col("n") * p / F.col("n_c")) / F.log2(F.col("n") / F.col("n_c"))
     return scored.where("n_c < n").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def all_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, key, base, added for each row of docs. added: array<struct<start, kind, end, name>>, name `term` or `removed`."""
+def marks(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """term, name: each term that discloses something, with what becomes of it, `term` or `removed`. found: as of found_spans(docs)."""
+    name = F.when(F.max("disclosure") >= remove, "removed").otherwise("term")
+    return disclosing(docs, found, generalise).groupBy("term").agg(name.alias("name"))
+
+
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, key, added: array<struct<start, kind, end, name>> of the terms' occurrences outside the base spans, for the texts that have some; once for equal rows. terms: as of marks()."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    sent = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    having = words_of(rows).join(sent, "term").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "name"))).alias("names"))
+    having = having.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "names")
+    held = rows.dropDuplicates(["doc_id", "key"]).join(having, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).drop("d", "k")
+    held = held.withColumn("one", merged(base_spans(F.col("text")))).withColumn("blocks", in_blocks(F.col("text")))
+    held = held.withColumn("words", matches(F.when(F.size("one") == 0, F.col("text")).otherwise(replaced(F.col("blocks"), F.col("one"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))), TERM))
+    named = F.transform("words", lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), F.col("names")[F.lower(m["value"])].alias("name")))
+    added = held.select("doc_id", "key", F.filter(named, lambda m: m["name"].isNotNull()).alias("added"))
+    return added.where(F.size("added") > 0)
+
+
+def all_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, bool]:
+    """doc_id, key, base, added for each row of docs, and whether any term is marked. added: array<struct<start, kind, end, name>>, name `term` or `removed`."""
     found = kept(found_spans(docs))
-    pairs = disclosing(docs, found, generalise)
-    some = found.where(F.size("near") > 0)
-    uses = some.select("doc_id", "key", F.explode("near").alias("w")).select("doc_id", "key", "w.term", "w.start", "w.end", F.explode(levels(F.col("w.entity"))).alias("entity"))
-    action = F.when(F.max("disclosure") >= remove, "removed").otherwise("term")
-    hits = uses.join(pairs, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(action.alias("name"))
-    added = hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "name"))).alias("added"))
-    added = added.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added")
+    terms = kept(marks(docs, found, generalise, remove))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    joined = some.drop("near").join(added, some["doc_id"].eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "base", F.coalesce("added", none).alias("added"))
-    return joined.unionByName(found.where(F.size("near") == 0).select("doc_id", "key", "base", none.alias("added")))
+    if terms.isEmpty():
+        return found.select("doc_id", "key", "base", none.alias("added")), False
+    added = kept(occurrences(docs, terms)).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added")
+    joined = found.join(added, found["doc_id"].eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    return joined.select("doc_id", "key", "base", F.coalesce("added", none).alias("added")), True
 
 
 def _listed(spans: Column) -> Column:
@@ -227,12 +260,16 @@ def _joint(base: Column, added: Column) -> Column:
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    spans = all_spans(docs)
+    spans, _ = all_spans(docs)
     named = lambda kind: F.size(F.filter("base", lambda s: s["name"] == kind))
     counts = [named(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(_joint(F.col("base"), F.col("added"))).alias("spans"))
 
 
+def in_blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
 def piece(blocks: Column, start: Column, end: Column) -> Column:
     """The text from start to end; blocks: the text in blocks of BLOCK code points."""
     first = F.floor(start / BLOCK).cast("int")
@@ -240,6 +277,14 @@ def piece(blocks: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substring(some, start - first * BLOCK + 1, end - start)).otherwise("")
 
 
+def replaced(blocks: Column, spans: Column, shown: Callable[[Column], Column]) -> Column:
+    """A text (in blocks) with shown(span) in place of each span. spans: as of merged()."""
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    parts = F.transform(spans, lambda s, i: F.concat(piece(blocks, before(i), s["start"]), shown(s)))
+    tail = piece(blocks, before(F.size(spans)), F.size(blocks) * BLOCK)
+    return F.concat(F.array_join(parts, ""), tail)
+
+
 def mask(blocks: Column, spans: Column) -> Column:
     """A text (in blocks) with each span replaced: base kinds by their name, terms by their kind, removed terms by nothing. spans: as of merged()."""
 
@@ -248,10 +293,7 @@ def mask(blocks: Column, spans: Column) -> Column:
         kind = F.when(first.rlike(r"^\p{N}"), "[NUMBER]").when(first.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
         return F.when(s["name"] == "removed", "").when(s["name"] == "term", kind).otherwise(F.concat(F.lit("["), F.upper(s["name"]), F.lit("]")))
 
-    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-    parts = F.transform(spans, lambda s, i: F.concat(piece(blocks, before(i), s["start"]), shown(s)))
-    tail = piece(blocks, before(F.size(spans)), F.size(blocks) * BLOCK)
-    return F.concat(F.array_join(parts, ""), tail)
+    return replaced(blocks, spans, shown)
 
 
 #: Every entity has one of these.
@@ -259,14 +301,15 @@ MAY_HOLD = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){11}"
 
 
 def sanitise(docs: DataFrame, into: str = "text") -> DataFrame:
-    """docs with the spans masked in column `into`. Texts that cannot hold an entity are not shuffled."""
+    """docs with the spans masked in column `into`. Where no term is marked, texts that cannot hold an entity are not shuffled."""
     d, k, found, blocks = unused(docs, "d", "k", "found", "blocks")
     one = merged(_joint(F.col("base"), F.col("added")))
-    spans = all_spans(docs).where(F.size("base") > 0).select(F.col("doc_id").alias(d), F.col("key").alias(k), one.alias(found)).dropDuplicates([d, k])
-    may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+    spans, any_term = all_spans(docs)
+    spans = spans.where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias(d), F.col("key").alias(k), one.alias(found)).dropDuplicates([d, k])
+    may = F.lit(True) if any_term else F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
     held = docs.where(may)
     joined = held.join(spans, held["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(held["text"]) == F.col(k)), "left")
-    joined = joined.withColumn(blocks, F.when(F.col(found).isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    joined = joined.withColumn(blocks, F.when(F.col(found).isNotNull(), in_blocks(F.col("text"))))
     masked = joined.withColumn(into, F.when(F.col(found).isNull(), F.col("text")).otherwise(mask(F.col(blocks), F.col(found))))
     return masked.drop(d, k, found, blocks).unionByName(docs.where(~may).withColumn(into, F.col("text")))
 
