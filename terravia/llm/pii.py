@@ -224,18 +224,23 @@ def marks(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, rem
     return disclosing(docs, found, generalise).groupBy("term").agg(name.alias("name"))
 
 
+def _named_words(text: Column, names: Column) -> Column:
+    """array<struct<start, kind, end, name>>: the words outside the base spans that names (a map) knows. Each part is bound, so that it is computed once a text."""
+    gap = lambda s: F.repeat(F.lit(" "), s["end"] - s["start"])
+    clear = lambda one: F.when(F.size(one) == 0, text).otherwise(bound(in_blocks(text), lambda blocks: replaced(blocks, one, gap)))
+    known = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), names[F.lower(m["value"])].alias("name"))
+    words = bound(base_spans(text), lambda base: bound(merged(base), lambda one: bound(clear(one), lambda t: matches(t, TERM))))
+    return F.filter(F.transform(words, known), lambda m: m["name"].isNotNull())
+
+
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, key, added: array<struct<start, kind, end, name>> of the terms' occurrences outside the base spans, for the texts that have some; once for equal rows. terms: as of marks()."""
+    """doc_id, key, added: array<struct<start, kind, end, name>> of the terms' occurrences outside the base spans, for the texts that have such words; once for equal rows. terms: as of marks()."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     sent = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     having = words_of(rows).join(sent, "term").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "name"))).alias("names"))
-    having = having.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "names")
-    held = rows.dropDuplicates(["doc_id", "key"]).join(having, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).drop("d", "k")
-    held = held.withColumn("one", merged(base_spans(F.col("text")))).withColumn("blocks", in_blocks(F.col("text")))
-    held = held.withColumn("words", matches(F.when(F.size("one") == 0, F.col("text")).otherwise(replaced(F.col("blocks"), F.col("one"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))), TERM))
-    named = F.transform("words", lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), F.col("names")[F.lower(m["value"])].alias("name")))
-    added = held.select("doc_id", "key", F.filter(named, lambda m: m["name"].isNotNull()).alias("added"))
-    return added.where(F.size("added") > 0)
+    having = kept(having.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "names"))
+    held = rows.join(having, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).drop("d", "k").dropDuplicates(["doc_id", "key"])
+    return held.select("doc_id", "key", _named_words(F.col("text"), F.col("names")).alias("added"))
 
 
 def all_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, bool]:
