@@ -6,30 +6,55 @@ from terravia import fixtures as fx
 from terravia.catalog import register
 from terravia.fixtures import oracle
 from terravia.operators import graph as G
+from terravia.operators import routing as R
+
+
+OUTING = R.WEIGHTS["outing"]
+
+
+def farthest(spark, d) -> str:
+    """The vertex that is dearest to reach from S1."""
+    return R.distances(fx.edges(spark, d), "S1", OUTING).agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
 
 
 @register("shortest_paths")
 def shortest_paths(spark, d):
-    return G.distances(fx.edges(spark, d), "S1", G.WEIGHTS).select("node", "cost")
+    return R.distances(fx.edges(spark, d), "S1", OUTING).withColumn("cost", F.round("cost", 6))
 
 
 @register("shortest_path_edges")
 def shortest_path_edges(spark, d):
-    edges = fx.edges(spark, d)
-    reached = G.distances(edges, "S1", G.WEIGHTS)
-    last = reached.agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
-    return G.path(reached, last)
+    wanted = spark.createDataFrame([("far", "S1", farthest(spark, d))], "trip string, start string, goal string")
+    return R.cheapest_ways(fx.edges(spark, d), wanted, OUTING).select("nth", "eid", "src", "dst")
+
+
+def nation_trips(spark, d):
+    """A trip for each nation, from its first supplier to its last; every seventh goes to a place that is nowhere."""
+    per = fx.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("a"), F.max("s_suppkey").alias("b"))
+    k = F.col("n_nationkey")
+    shape = F.element_at(F.array(*map(F.lit, R.SHAPES)), (k % 3 + 1).cast("int"))
+    of = lambda c: F.concat(F.lit("S"), F.coalesce(c, F.lit(1)).cast("string"))
+    rows = fx.table(spark, d, "nation").join(per, k == F.col("s_nationkey"), "left")
+    return rows.select(F.col("n_name").alias("trip"), of("a").alias("start"), F.when(k % 7 == 3, F.lit("nowhere")).otherwise(of("b")).alias("goal"), shape.alias("shape"))
 
 
 @register("loop_share")
 def loop_share(spark, d):
-    """How much of the way back equals the way out, when the edges of the way out cost more."""
-    edges = fx.edges(spark, d)
-    reached = G.distances(edges, "S1", G.WEIGHTS)
-    last = reached.agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
-    out = G.path(reached, last)
-    back = G.path(G.distances(edges, last, G.WEIGHTS, out.select("eid", F.lit(4.0).alias("factor"))), "S1")
-    return G.shared_share(out, back)
+    """How much of the way out each nation's trip takes again on a way back that avoids it; 0 where start and goal are one."""
+    loops = nation_trips(spark, d).withColumn("shape", F.lit("loop"))
+    return R.trips(fx.edges(spark, d), loops)[0].select("trip", F.round("shared", 6).alias("share"))
+
+
+@register("trip_shape")
+def trip_shape(spark, d):
+    """How each nation's trip came out."""
+    summary, _ = R.trips(fx.edges(spark, d), nation_trips(spark, d))
+    return summary.select("trip", "reachable", "shape", F.round("shared", 6).alias("shared"), F.round("share_4wd", 6).alias("share_4wd"), F.round("length_m", 3).alias("length_m"))
+
+
+@register("trip_legs")
+def trip_legs(spark, d):
+    return R.trips(fx.edges(spark, d), nation_trips(spark, d))[1]
 
 
 @register("road_vertices", oracle("fx_edges", body="SELECT DISTINCT node FROM (SELECT src AS node FROM fx_edges WHERE class = 'road' UNION ALL SELECT dst FROM fx_edges WHERE class = 'road')"))
@@ -61,14 +86,23 @@ def network_edges(spark, d):
     return G.from_ways(ways, -3).select("eid", F.round("len_m", 3).alias("len_m"))
 
 
-@register("trip_shape")
-def trip_shape(spark, d):
-    edges = fx.edges(spark, d)
-    last = G.distances(edges, "S1", G.WEIGHTS).agg(F.max_by("node", F.struct("cost", "node")).alias("n")).first()["n"]
-    return G.trip(edges, "S1", last, G.WEIGHTS)
+_BUDGET = "\n  ".join(f"s{k} AS (SELECT CASE WHEN n > 18000 THEN s * 1.02::DOUBLE * n / 18000 ELSE s END AS s FROM (SELECT s, sum(least(4200, greatest(2, CAST(floor(length_m / s) AS BIGINT)))) AS n FROM lengths, s{k - 1} GROUP BY s))," for k in range(1, 5))
 
 
-@register("trips_in_budget", "SELECT o_custkey, day, seq FROM (SELECT *, sum(points) OVER (ORDER BY day, seq ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS day, o_custkey AS seq, count(*) AS points FROM orders GROUP BY o_custkey)) WHERE total <= 400")
+@register(
+    "trips_in_budget",
+    f"""WITH lengths AS (SELECT o_custkey AS trip, sum(o_totalprice) AS length_m FROM orders GROUP BY o_custkey), s0 AS (SELECT 15.0::DOUBLE AS s),
+  {_BUDGET}
+  points AS (SELECT trip, least(4200, greatest(2, CAST(floor(length_m / s) AS INTEGER))) AS n_points, s FROM lengths, s4)
+  SELECT trip, n_points, round(s, 3) AS spacing FROM points""",
+)
 def trips_in_budget(spark, d):
-    trips = fx.table(spark, d, "orders").groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("day"), F.count("*").alias("points")).withColumn("seq", F.col("o_custkey"))
-    return G.within_budget(trips, 400).select("o_custkey", "day", "seq")
+    """A customer's orders are a trip of as many metres: all trips stay, set coarser together."""
+    lengths = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("trip")).agg(F.sum("o_totalprice").alias("length_m"))
+    spacing, sized = R.within_budget(lengths, R.LEAST_SPACING_M)
+    return sized.select("trip", "n_points", F.lit(round(spacing, 3)).alias("spacing"))
+
+
+@register("trip_spacing", oracle("fx_specs", body="SELECT k, greatest(15.0::DOUBLE, native_m * 1.5::DOUBLE) AS spacing_m FROM fx_specs"))
+def trip_spacing(spark, d):
+    return fx.specs(spark, d).select("k", R.spacing_m(F.col("native_m")).alias("spacing_m"))

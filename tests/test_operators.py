@@ -1,6 +1,5 @@
 """Operators on literal rows, and properties that hold whatever the rows."""
 
-import heapq
 import math
 
 import numpy as np
@@ -9,8 +8,7 @@ from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
 from terravia.functions import geodesy, solar, text
-from terravia.operators import assets, graph, journeys, places, raster, relief
-from terravia.plans import network
+from terravia.operators import assets, journeys, places, raster, relief
 from terravia.plans import places as plans_places
 from tests.conftest import SF, SMALL
 
@@ -125,65 +123,6 @@ def test_pass_registry(spark):
     assert passes.apply(cells, {"add": True}).first().v == 3.0 and passes.names("finish") == ["double"]
 
 
-def test_shortest_path_takes_the_cheaper_of_parallel_edges(spark):
-    rows = [("1", "a", "b", "road", 10), ("2", "a", "b", "trail", 10), ("3", "b", "c", "trail", 5), ("4", "a", "c", "road", 6), ("5", "x", "y", "trail", 1)]
-    edges = spark.createDataFrame(rows, "eid string, src string, dst string, class string, len_m long")
-    reached = graph.distances(edges, "c", graph.WEIGHTS)
-    assert {r.node: (r.cost, r.eid) for r in reached.collect()} == {"c": (0.0, None), "b": (5.0, "3"), "a": (15.0, "2")}
-    assert [(r.nth, r.eid) for r in graph.path(reached, "a").orderBy("nth").collect()] == [(1, "3"), (2, "2")]
-    assert graph.path(reached, "x").count() == 0
-    punished = graph.distances(edges, "c", graph.WEIGHTS, spark.createDataFrame([("2", 10.0)], "eid string, factor double"))
-    assert {r.node: r.eid for r in punished.collect()}["a"] == "4"
-
-
-def dijkstra(rows, source, factors=()):
-    """node: cost, over edges travelled both ways."""
-    out, best, heap = {}, {}, [(0.0, source)]
-    for r in rows:
-        c = r["len_m"] * graph.WEIGHTS[r["class"]] * dict(factors).get(r["eid"], 1.0)
-        for a, b in ((r["src"], r["dst"]), (r["dst"], r["src"])):
-            out.setdefault(a, []).append((b, c))
-    while heap:
-        cost, node = heapq.heappop(heap)
-        if node not in best:
-            best[node] = cost
-            for b, c in out.get(node, []):
-                heapq.heappush(heap, (cost + c, b))
-    return best
-
-
-def test_paths_go_through_the_whole_network(spark):
-    rows = {r["eid"]: r for r in fx.edges(spark, SMALL).collect()}
-    want = dijkstra(rows.values(), "S1")
-    cost, last = max((c, n) for n, c in want.items())
-    assert {r.node: r.cost for r in graph.distances(fx.edges(spark, SMALL), "S1", graph.WEIGHTS).collect()} == want
-    cost_of = lambda way, f=1.0, hit=(): sum(rows[r.eid]["len_m"] * graph.WEIGHTS[rows[r.eid]["class"]] * (f if r.eid in hit else 1.0) for r in way)
-    out = network.shortest_path_edges(spark, SMALL).collect()
-    assert cost_of(out) == cost and last in {max(out, key=lambda r: r.nth).dst}
-    used = {r.eid for r in out}
-    reached = graph.distances(fx.edges(spark, SMALL), last, graph.WEIGHTS, spark.createDataFrame([(e, 4.0) for e in used], "eid string, factor double"))
-    back = graph.path(reached, "S1").collect()
-    assert cost_of(back, 4.0, used) == dijkstra(rows.values(), last, [(e, 4.0) for e in used])["S1"]
-    assert network.loop_share(spark, SMALL).first().share == len(used & {r.eid for r in back}) / len(used)
-
-
-def test_paths_of_many_hops(spark):
-    chain = spark.createDataFrame([(str(i), f"n{i}", f"n{i + 1}", "trail", 1) for i in range(66)], "eid string, src string, dst string, class string, len_m long")
-    reached = graph.distances(chain, "n0")
-    assert reached.agg(F.max("hops")).first()[0] == 66
-    assert [r.eid for r in graph.path(reached, "n66").orderBy("nth").collect()] == [str(i) for i in range(66)]
-
-
-def test_trip_shapes(spark):
-    schema = "eid string, src string, dst string, class string, len_m long"
-    ring = spark.createDataFrame([("1", "a", "b", "trail", 10), ("2", "b", "c", "trail", 10), ("3", "c", "d", "trail", 11), ("4", "d", "a", "trail", 11)], schema)
-    loop = graph.trip(ring, "a", "c")
-    assert [(r.leg, r.nth, r.eid, r.shape) for r in loop.orderBy("leg", "nth").collect()] == [(0, 1, "1", "loop"), (0, 2, "2", "loop"), (1, 1, "3", "loop"), (1, 2, "4", "loop")]
-    line = spark.createDataFrame([("1", "a", "b", "4wd", 10), ("2", "b", "c", "road", 10)], schema)
-    there_and_back = graph.trip(line, "a", "c")
-    assert [(r.leg, r.nth, r.eid, r.shape) for r in there_and_back.orderBy("leg", "nth").collect()] == [(0, 1, "1", "4wd"), (0, 2, "2", "4wd"), (1, 1, "2", "4wd"), (1, 2, "1", "4wd")]
-
-
 def test_fill_is_the_euclidean_nearest(spark):
     rng = np.random.default_rng(2)
     z = np.where(rng.random((14, 11)) < 0.15, rng.integers(1, 99, (14, 11)).astype(float), np.nan)
