@@ -94,7 +94,28 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"x1": x1, "y1": y1})
 
 
+def lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """poly, ring, vidx, x, y: a pentagon for each part, some with a hole and some with a neighbour that shares an edge, most of them off the raster."""
+    n = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(n.alias("n"), ((n * 37) % 128 / 2.0).alias("cx"), ((n * 53) % 4000 / 2.0).alias("cy"), (1 + n % 4).cast("double").alias("a"), (1 + n % 6).cast("double").alias("b"))
+    cx, cy, a, b = (F.col(c) for c in ("cx", "cy", "a", "b"))
+    ring = lambda poly, nth, *corners: F.struct(poly.alias("poly"), F.lit(nth).alias("ring"), F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners)).alias("v"))
+    own, twin = F.col("n") * 2, F.col("n") * 2 + 1
+    rings = F.array(
+        ring(own, 0, (cx - a, cy - b), (cx + a, cy - b + 0.5), (cx + a + 1, cy + b), (cx, cy + b + 1.5), (cx - a, cy + b)),
+        F.when(F.col("n") % 3 == 0, ring(own, 1, (cx - 0.5, cy - 0.5), (cx - 0.5, cy + 0.5), (cx + 0.5, cy + 0.5), (cx + 0.5, cy - 0.5))),
+        F.when(F.col("n") % 5 == 0, ring(twin, 0, (cx - a, cy - b), (cx - a, cy + b), (cx - a - 2, cy + b), (cx - a - 2, cy - b))),
+    )
+    each = rows.select(F.explode(rings).alias("r")).where("r IS NOT NULL").select("r.poly", "r.ring", F.posexplode("r.v").alias("vidx", "p"))
+    return each.select("poly", "ring", "vidx", "p.x", "p.y")
+
+
 SQL = {
+    "fx_lakes": """fx_lakes AS (SELECT poly, ring, unnest(range(len(v))) AS vidx, unnest(v)[1] AS x, unnest(v)[2] AS y FROM (
+      SELECT n * 2 AS poly, 0 AS ring, [[cx - a, cy - b], [cx + a, cy - b + 0.5], [cx + a + 1, cy + b], [cx, cy + b + 1.5], [cx - a, cy + b]] AS v FROM lake_centres UNION ALL
+      SELECT n * 2, 1, [[cx - 0.5, cy - 0.5], [cx - 0.5, cy + 0.5], [cx + 0.5, cy + 0.5], [cx + 0.5, cy - 0.5]] FROM lake_centres WHERE n % 3 = 0 UNION ALL
+      SELECT n * 2 + 1, 0, [[cx - a, cy - b], [cx - a, cy + b], [cx - a - 2, cy + b], [cx - a - 2, cy - b]] FROM lake_centres WHERE n % 5 = 0))""",
+    "lake_centres": """lake_centres AS (SELECT p_partkey AS n, (p_partkey * 37) % 128 / 2.0::DOUBLE AS cx, (p_partkey * 53) % 4000 / 2.0::DOUBLE AS cy, CAST(1 + p_partkey % 4 AS DOUBLE) AS a, CAST(1 + p_partkey % 6 AS DOUBLE) AS b FROM part)""",
     "fx_specs": """fx_specs AS (SELECT *, CASE WHEN k % 31 = 0 THEN 'nan'::DOUBLE WHEN k % 67 = 0 THEN x0 - 1 ELSE x0 + print_w * ((5 + k % 9) * 300.0::DOUBLE) END AS x1, y0 + print_h * ((5 + k % 9) * 300.0::DOUBLE) * CASE WHEN k % 7 = 0 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END AS y1 FROM (
       SELECT o_orderkey AS k, CAST(664030 + (o_orderkey * 37) % 20000 AS DOUBLE) AS x0, CAST(4447820 + (o_orderkey * 53) % 20000 AS DOUBLE) AS y0, CAST(6 + o_orderkey % 20 AS DOUBLE) AS print_w, CAST(8 + o_orderkey % 25 AS DOUBLE) AS print_h,
         (o_orderkey % 5) * 0.125::DOUBLE AS bleed, CASE WHEN o_orderkey % 41 = 0 THEN 'poster' WHEN o_orderkey % 4 = 3 THEN 'wallpaper' ELSE 'print' END AS kind, CAST(60 + o_orderkey % 600 AS DOUBLE) AS ppi,
@@ -123,7 +144,8 @@ SQL = {
 
 def oracle(*views: str, body: str, recursive: bool = False) -> str:
     """SQL of the named views and a body that may go on with further views after a comma, or start with SELECT."""
-    names = [v for name in views for v in (["fx_raster", name] if name == "fx_filled" else [name])]
+    needs = {"fx_filled": "fx_raster", "fx_lakes": "lake_centres"}
+    names = [v for name in views for v in ([needs[name], name] if name in needs else [name])]
     head = ", ".join(SQL[v] for v in dict.fromkeys(names))
     body = body.strip()
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}{', ' if not body.upper().startswith('SELECT') else ' '}{body}"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from math import ceil, cos, floor, pi, radians, sin, tan
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,26 +147,69 @@ def _last(place: Column, key: str, at: str, down: bool = False) -> Column:
     return F.last(place, ignorenulls=True).over(order)
 
 
+def _nearest_columns(cols: np.ndarray, heights: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted column the index of the best place, by (column distance)^2 + height, then row, then column. Columns ascend.
+
+    Only places that are on the lower envelope of their parabolas anywhere can be best; those that
+    touch it in one point are kept for the sake of ties.
+    """
+    hull: list[int] = []
+    begins: list[float] = []  # where each one gets as low as the one before
+
+    def meets(a: int, b: int) -> float:
+        ca, cb = int(cols[a]), int(cols[b])
+        return (cb * cb + int(heights[b]) - ca * ca - int(heights[a])) / (2 * (cb - ca))
+
+    for i in range(len(cols)):
+        at = -np.inf
+        while hull and (at := meets(hull[-1], i)) < begins[-1]:
+            hull.pop()
+            begins.pop()
+            at = -np.inf
+        hull.append(i)
+        begins.append(at)
+    places, starts = np.array(hull), np.array(begins)
+    last = np.searchsorted(starts, wanted, side="right") - 1
+    best = places[last]
+    for k in np.flatnonzero(starts[last] == wanted):
+        tied, low = [best[k]], last[k]
+        while low > 0 and starts[low] == wanted[k]:
+            low -= 1
+            tied.append(places[low])
+        best[k] = min(tied, key=lambda i: (rows[i], cols[i]))
+    return best
+
+
 def nearest_data(cells: DataFrame) -> DataFrame:
     """row, col, nearest, d2 for every cell: the value of the nearest cell that has one, by squared distance, then smaller row, then column; null if there is none.
 
-    First the nearest along each column, then, for cells without data, the least of the
-    squares over the columns of the row that are no further off than the best found so far.
+    First the nearest along each column; then, in each row that has cells without data, the lower envelope of
+    the parabolas over its columns, in time linear in the row's length. A row of the raster is a group.
     """
     up, under = (_last(F.when(F.col("v").isNotNull(), F.struct(F.col("row").alias("p"), "v")), "col", "row", d) for d in (False, True))
     first = cells.select("row", "col", "v", up.alias("a"), under.alias("b"))
     upper = F.col("b").isNull() | (F.col("row") - F.col("a.p") <= F.col("b.p") - F.col("row"))
-    flat = first.select("row", "col", "v", F.when(upper, F.col("a")).otherwise(F.col("b")).alias("n")).withColumn("g", F.abs(F.col("row") - F.col("n.p")))
-    side = F.when(F.col("v").isNotNull(), F.col("col"))
-    span = Window.partitionBy("row")
-    flat = flat.withColumns({"left": _last(side, "row", "col"), "right": _last(side, "row", "col", True), "low": F.min("col").over(span), "high": F.max("col").over(span)})
-    bound = F.coalesce(F.least("g", F.col("col") - F.col("left"), F.col("right") - F.col("col")), F.col("high") - F.col("low"))
-    missing = flat.where("v IS NULL").select("row", "col", F.explode(F.sequence(F.greatest(F.col("low"), F.col("col") - bound), F.least(F.col("high"), F.col("col") + bound))).alias("c"))
-    around = flat.where("n IS NOT NULL").select("row", F.col("col").alias("c"), "n", "g")
-    d2 = (F.col("c") - F.col("col")) * (F.col("c") - F.col("col")) + F.col("g") * F.col("g")
-    best = missing.join(around, ["row", "c"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), F.col("n.p").alias("p"), "c", F.col("n.v").alias("v"))).alias("m"))
-    found = flat.where("v IS NULL").select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.col("m.v").alias("nearest"), F.col("m.d2").alias("d2"))
-    return flat.where("v IS NOT NULL").select("row", "col", F.col("v").alias("nearest"), F.lit(0).cast("long").alias("d2")).unionByName(found)
+    near = F.when(upper, F.col("a")).otherwise(F.col("b"))
+    lacks = F.max(F.col("v").isNull()).over(Window.partitionBy("row"))
+    flat = first.select("row", "col", "v", near["p"].alias("p"), near["v"].alias("w"), lacks.alias("lacks"))
+    whole = flat.where(~F.col("lacks")).select("row", "col", F.col("v").alias("nearest"), F.lit(0).cast("long").alias("d2"))
+
+    def fill(row: pd.DataFrame) -> pd.DataFrame:
+        row = row.sort_values("col", ignore_index=True)
+        some = row[row["p"].notna()]
+        out = row[["row", "col"]].assign(nearest=row["v"], d2=pd.array([None] * len(row), dtype="Int64"))
+        if len(some):
+            cols, high = some["col"].to_numpy(np.int64), some["p"].to_numpy(np.float64).astype(np.int64)
+            off = high - int(row["row"].iloc[0])
+            wanted = row["col"].to_numpy(np.int64)
+            best = _nearest_columns(cols, off * off, high, wanted)
+            out["nearest"] = some["w"].to_numpy()[best]
+            out["d2"] = (cols[best] - wanted) ** 2 + (off * off)[best]
+        return out
+
+    kind = dict(cells.dtypes)["v"]
+    holes = flat.where("lacks").groupBy("row").applyInPandas(fill, f"row long, col long, nearest {kind}, d2 long")
+    return whole.unionByName(holes)
 
 
 def fill_nodata(cells: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from terravia.catalog import register
 from terravia.fixtures import oracle
 from terravia.operators import raster as R
 from terravia.operators import relief as E
+from terravia.operators.polygons import mask
 
 _U = lambda x: f"least(greatest({x}, 0), 1)"
 _NORM = f"nm AS (SELECT row, col, v, {_U('(v + 30000.0::DOUBLE) / (60000.0::DOUBLE + 1e-9::DOUBLE)')} AS norm FROM fx_filled)"
@@ -112,6 +113,29 @@ def lake_depth(spark, d):
     return E.lake_depth(fx.filled_raster(spark, d).withColumn("water", water), 200.0).withColumn("depth", F.round("depth", 6))
 
 
+#: Each cell's middle against each edge: an odd number of crossings to its left is inside.
+_WATER = """e AS (SELECT poly, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x1, coalesce(lead(y) OVER w, first(y) OVER w) AS y1 FROM fx_lakes
+    WINDOW w AS (PARTITION BY poly, ring ORDER BY vidx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  u AS (SELECT poly, least(y, y1) AS ya, greatest(y, y1) AS yb, CASE WHEN y < y1 THEN x ELSE x1 END AS xa, CASE WHEN y < y1 THEN x1 ELSE x END AS xb FROM e WHERE y <> y1),
+  inside AS (SELECT row, col, poly FROM fx_raster JOIN u ON row + 0.5 >= ya AND row + 0.5 < yb WHERE xa + (row + 0.5::DOUBLE - ya) * (xb - xa) / (yb - ya) <= col + 0.5 GROUP BY row, col, poly HAVING count(*) % 2 = 1),
+  w AS (SELECT DISTINCT row, col FROM inside)"""
+
+
+@register("lake_mask", oracle("fx_raster", "fx_lakes", body=_WATER + " SELECT row, col, (row, col) IN (SELECT (row, col) FROM w) AS water FROM fx_raster"))
+def lake_mask(spark, d):
+    return mask(fx.raster(spark, d), fx.lakes(spark, d)).select("row", "col", "water")
+
+
+@register(
+    "lake_depth_of_rings",
+    oracle("fx_raster", "fx_lakes", body=_WATER + """, s AS (SELECT row AS r, col AS c FROM fx_raster WHERE (row, col) NOT IN (SELECT (row, col) FROM w)),
+  d AS (SELECT row, col, min((row - r) * (row - r) + (col - c) * (col - c)) AS d2 FROM w JOIN s ON r BETWEEN row - 40 AND row + 40 GROUP BY row, col)
+  SELECT row, col, round(pow(least(1, sqrt(d2) * 200 / 900.0::DOUBLE), 0.75::DOUBLE), 6) AS depth FROM d"""),
+)
+def lake_depth_of_rings(spark, d):
+    return E.lakes(fx.raster(spark, d), fx.lakes(spark, d), 200.0).withColumn("depth", F.round("depth", 6))
+
+
 _LIFT = """wn AS (SELECT target, col, max(row) AS winner FROM (SELECT row, col, unnest(range(lo, hi + 1)) AS target FROM (SELECT *, greatest(lo, coalesce(lead(lo) OVER (PARTITION BY col ORDER BY row), lo + 1) - 1) AS hi FROM (SELECT row, col, CAST(round_even(row - 0.0005::DOUBLE * v, 0) AS BIGINT) AS lo FROM fx_filled))) GROUP BY target, col)"""
 
 

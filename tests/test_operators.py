@@ -224,18 +224,6 @@ def test_recovered_times_are_of_the_first_visit(spark):
     assert {r.vidx: r.t0 for r in journeys.recover_times(moved, points).collect()}[2] is None
 
 
-def test_finite_envelope_peels_the_worst_edge(spark):
-    good = np.ones((12, 10), dtype=bool)
-    good[:2, :] = False
-    good[:, 9] = False
-    good[5, 4] = False
-    good[11, :5] = False
-    cells = spark.createDataFrame([(100 + i, 7 + j, 1.0 if good[i, j] else None) for i in range(12) for j in range(10)], "row long, col long, v double")
-    assert tuple(relief.finite_envelope(cells).first()) == (102, 111, 7, 16)
-    assert tuple(relief.finite_envelope(cells.withColumn("v", F.lit(1.0))).first()) == (100, 112, 7, 17)
-    assert relief.finite_envelope(cells.limit(0)).count() == 0
-
-
 def test_shaded_relief_is_in_range_and_follows_the_light(spark):
     """A ridge is brighter on the side of the sun."""
     cells = spark.createDataFrame([(i, j, 30.0 * (10 - abs(j - 10))) for i in range(16) for j in range(21)], "row long, col long, v double")
