@@ -120,17 +120,20 @@ def ordered_box(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column,
 
 
 def target_grid(boxes: DataFrame, key: str, zone: int, res_m: float, samples: int = 41, inset_m: float = 500.0) -> DataFrame:
-    """key, x0, y0, x1, y1, cols, rows: the grid in metres that the edges of a box in degrees (w, s, e, n) enclose, moved inwards and snapped to the resolution."""
+    """key, x0, y0, x1, y1, cols, rows: the grid in metres of a box in degrees (w, s, e, n).
+
+    The edges are projected at `samples` points each, as they curve; their extremes, moved inwards, bound the grid; its lower left corner is
+    rounded to the resolution, half to even, and it has as many whole cells as fit from there, none in a box that is too small.
+    """
     along = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     c = F.col
-    at = lambda a, b: c(a) + (c(b) - c(a)) * c("k") / (samples - 1)
+    at = lambda a, b: c(a) + (c(b) - c(a)) * c("k__") / (samples - 1)
     sides = F.explode(F.array(*(F.struct(lon.alias("lon"), lat.alias("lat")) for lon, lat in ((at("w", "e"), c("s")), (at("w", "e"), c("n")), (c("w"), at("s", "n")), (c("e"), at("s", "n"))))))
-    edge = boxes.withColumn("k", along).withColumn("p", sides)
-    x, y = utm(c("p.lon"), c("p.lat"), zone)
-    # a side's own extreme bounds the grid: the western edge by its easternmost point, and so on
-    west, east, south, north = c("p.lon") == c("w"), c("p.lon") == c("e"), c("p.lat") == c("s"), c("p.lat") == c("n")
-    span = edge.withColumns({"x": x, "y": y}).groupBy(key).agg(F.max(F.when(west, c("x"))).alias("lx"), F.min(F.when(east, c("x"))).alias("hx"), F.max(F.when(south, c("y"))).alias("ly"), F.min(F.when(north, c("y"))).alias("hy"))
-    up = lambda v: F.ceil((c(v) + inset_m) / res_m) * res_m
-    down = lambda v: F.floor((c(v) - inset_m) / res_m) * res_m
-    boxed = span.select(key, up("lx").alias("x0"), up("ly").alias("y0"), down("hx").alias("x1"), down("hy").alias("y1"))
-    return boxed.withColumns({"cols": F.greatest(F.lit(0), F.bround((c("x1") - c("x0")) / res_m)).cast("long"), "rows": F.greatest(F.lit(0), F.bround((c("y1") - c("y0")) / res_m)).cast("long")})
+    edge = boxes.select(key, "w", "s", "e", "n").withColumn("k__", along).withColumn("p__", sides)
+    x, y = utm(c("p__.lon"), c("p__.lat"), zone)
+    span = edge.withColumns({"x__": F.round(x, 3), "y__": F.round(y, 3)}).groupBy(key).agg(F.min("x__").alias("lx"), F.max("x__").alias("hx"), F.min("y__").alias("ly"), F.max("y__").alias("hy"))
+    snapped = lambda v: F.rint((c(v) + inset_m) / res_m) * res_m
+    cornered = span.withColumns({"x0": snapped("lx"), "y0": snapped("ly")})
+    fit = lambda high, low: F.greatest(F.lit(0), F.floor((c(high) - inset_m - c(low)) / res_m)).cast("long")
+    counted = cornered.withColumns({"cols": fit("hx", "x0"), "rows": fit("hy", "y0")})
+    return counted.select(key, "x0", "y0", (c("x0") + c("cols") * res_m).alias("x1"), (c("y0") + c("rows") * res_m).alias("y1"), "cols", "rows")

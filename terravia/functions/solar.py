@@ -109,10 +109,25 @@ def metres_a_degree(lat: Column) -> Column:
     return 111320.0 * F.cos(F.radians(lat))
 
 
+def clock_hour(t: Column, lon: Column) -> Column:
+    """Hour of the sun's own day, by whole seconds, to three places."""
+    return F.round(F.floor(F.pmod(t + lon * 240.0, F.lit(DAY_S))) / 3600.0, 3)
+
+
 def journey_light(anchors: DataFrame, key: str, hour: Column | None = None) -> DataFrame:
-    """key, available, azimuth, altitude: the sun over a journey at its highest point's time, or at an hour of its own day. anchors: key, lat, lon, t_max, summit_t, null times where nothing is timed."""
-    day = F.floor((F.col("t_max") + F.col("lon") * 240.0) / DAY_S) * DAY_S - F.col("lon") * 240.0
-    at = F.coalesce("summit_t", "t_max") if hour is None else F.coalesce(day + hour * 3600.0, F.coalesce("summit_t", "t_max"))
-    lit = with_position(anchors.withColumn("t_light", at), "t_light", "lat", "lon")
+    """key, available, azimuth, altitude, hour: the sun over a journey.
+
+    anchors: key, lat, lon, last_day (yyyy-MM-dd, null where nothing is timed), summit_t. The moment is the given hour of the
+    sun's own day on the last day; without one, when the highest point was reached; without that, the golden hour of the last day. A journey
+    without a day has no light. hour is that of the moment.
+    """
+    day = F.datediff(F.to_date("last_day"), F.to_date(F.lit("1970-01-01"))) * DAY_S
+    asked = F.lit(None).cast("double") if hour is None else hour.cast("double")
+    placed = anchors.withColumns({"__midnight": day, "__asked": day + asked * 3600.0 - F.col("lon") * 240.0})
+    unknown = placed.where(F.col("last_day").isNotNull() & F.col("__asked").isNull() & F.col("summit_t").isNull())
+    golden = golden_hour(unknown, key, "__midnight", "lat", "lon")
+    at = F.when(F.col("last_day").isNotNull(), F.coalesce("__asked", F.col("summit_t").cast("double"), "golden_t"))
+    lit = with_position(placed.join(golden, key, "left").withColumn("t_light", at), "t_light", "lat", "lon")
     known = F.col("t_light").isNotNull()
-    return lit.select(key, known.alias("available"), F.when(known, F.col("sun_az")).alias("azimuth"), F.when(known, clamped(F.col("sun_alt"))).alias("altitude"))
+    turned = F.pmod(F.col("sun_az"), F.lit(360.0))
+    return lit.select(key, known.alias("available"), F.when(known, turned).alias("azimuth"), F.when(known, clamped(F.col("sun_alt"))).alias("altitude"), F.when(known, clock_hour(F.col("t_light"), F.col("lon"))).alias("hour"))

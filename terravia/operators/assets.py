@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravia.operators.journeys import with_sum_before
+
 
 def content_key(day: Column, coords: Column) -> Column:
     """Identity of a recording: its day and its coordinates as text."""
@@ -26,9 +30,25 @@ def new_only(arrived: DataFrame, known: DataFrame, keys: Sequence[str], order: S
 
 
 def bundle_digest(assets: DataFrame, length: int = 12) -> DataFrame:
-    """bundle, digest: of the sorted name:sha lines."""
-    lines = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha")))
-    return assets.groupBy("bundle").agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, length).alias("digest"))
+    """bundle, digest: of the sorted name:sha lines. Lines are sorted by Spark and hashed as they come, so a bundle of any size takes no memory; a digest over all of its lines in order is made in one go, by one task a bundle."""
+    lines = assets.select("bundle", F.concat_ws(":", "name", "sha").alias("line")).repartition("bundle").sortWithinPartitions("bundle", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda b, h: pa.RecordBatch.from_pydict({"bundle": pa.array([b], kind), "digest": [h.hexdigest()[:length]]})
+        held, hashed, kind = None, None, pa.string()
+        for batch in batches:
+            kind = batch.schema.field("bundle").type
+            for bundle, line in zip(batch.column("bundle").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if hashed is None or bundle != held:
+                    if hashed is not None:
+                        yield made(held, hashed)
+                    held, hashed = bundle, hashlib.sha256(line.encode())
+                else:
+                    hashed.update(b"\n" + line.encode())
+        if hashed is not None:
+            yield made(held, hashed)
+
+    return lines.mapInArrow(run, f"bundle {dict(assets.dtypes)['bundle']}, digest string")
 
 
 def verify(listed: DataFrame, found: DataFrame) -> DataFrame:
@@ -47,6 +67,17 @@ def merge_index(fresh: DataFrame, prior: DataFrame) -> DataFrame:
     return f.join(p, "name", "full").select("name", both.alias("assets"), F.coalesce("ft", "pt").alias("terrain"))
 
 
+def merged_assets(fresh: DataFrame, prior: DataFrame) -> DataFrame:
+    """name, asset: what both sides have (name, asset), once; as rows, however many a name has."""
+    return fresh.select("name", "asset").union(prior.select("name", "asset")).distinct()
+
+
+def merged_terrain(fresh: DataFrame, prior: DataFrame) -> DataFrame:
+    """name, terrain: the prior one only where the fresh side has none. fresh, prior: name, terrain, a row a name."""
+    f, p = fresh.select("name", F.col("terrain").alias("ft")), prior.select("name", F.col("terrain").alias("pt"))
+    return f.join(p, "name", "full").select("name", F.coalesce("ft", "pt").alias("terrain"))
+
+
 def latest(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The newest record of each key; a maximum of structs, combined before the shuffle."""
     rest = [c for c in log.columns if c != key]
@@ -150,6 +181,9 @@ def safe_key(key: Column) -> Column:
 
 
 def grouped_jobs(jobs: DataFrame) -> DataFrame:
-    """name, place, members of each group of jobs, groups in order of their first job, then the jobs without one, each by itself. jobs: seq, jid, name."""
+    """name, alone, members, first, place: groups of jobs, numbered in order of their first job, then jobs without a group, each by itself and numbered anew. jobs: seq, jid, name; seq tells jobs apart."""
     groups = jobs.groupBy(F.col("name"), F.when(F.col("name").isNull(), F.col("jid")).alias("alone")).agg(F.min("seq").alias("first"), F.count("*").alias("members"))
-    return groups.select("name", "alone", "members", "first", F.row_number().over(Window.partitionBy(F.col("name").isNull()).orderBy("first")).alias("place"))
+    single = F.col("name").isNull()
+    before = with_sum_before(groups, [single, "first"], F.lit(1), "before")
+    named = before.where(~single).count()
+    return before.select("name", "alone", "members", "first", (F.col("before") + 1 - F.when(single, named).otherwise(0)).cast("int").alias("place"))

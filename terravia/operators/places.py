@@ -240,16 +240,65 @@ def label_candidates(features: DataFrame, width: float, height: float, ranks: di
     return placed.where(~is_line).unionByName(placed.where(is_line).join(longest, ["kind", "name", "id"], "left_semi").select(placed.columns))
 
 
+def longest_runs(features: DataFrame, width: float, height: float) -> DataFrame:
+    """name, id, first, n, x, y: of the features that share a name, the longest run of successive vertices on the sheet, and its middle vertex.
+
+    features: id, name, vidx, x, y in pixels of the sheet. A feature that leaves the sheet and comes back has several runs. Of equal runs that of the
+    smaller id, then the earlier, is taken; blank names give nothing.
+    """
+    named = features.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).where("name <> ''")
+    on = F.coalesce(F.col("x").between(0, width) & F.col("y").between(0, height), F.lit(False))
+    order = Window.partitionBy("id").orderBy("vidx")
+    # where the sheet is entered an island begins; the running sum of the beginnings tells islands apart
+    enters = (on & ~F.coalesce(F.lag(on).over(order), F.lit(False))).cast("int")
+    islands = named.withColumns({"on": on, "island": F.sum(enters).over(order)}).where("on")
+    placed = islands.withColumns({"place": F.row_number().over(Window.partitionBy("id", "island").orderBy("vidx")), "n": F.count("*").over(Window.partitionBy("id", "island"))})
+    middle = placed.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select("name", "id", "island", "n", "x", "y")
+    starts = placed.where("place = 1").select("id", "island", F.col("vidx").alias("first"))
+    best = middle.join(starts, ["id", "island"]).groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("less"), "id", "first", "n", "x", "y")).alias("m"))
+    return best.select("name", "m.id", "m.first", "m.n", "m.x", "m.y")
+
+
+# The sheet that furniture is sized for (square inches) and how far it may shrink or grow; inches of the lower left corner that title and compass take,
+# of the height profile's inset and of the clear air above the corner's stack, and of the keyline's inset; the profile's width in its heights.
+SHEET_IN2, FURNITURE_SCALE = 18.0 * 24.0, (0.75, 2.0)
+CORNER_IN, PROFILE_INSET_IN, PROFILE_GAP_IN, KEYLINE_IN, PROFILE_ASPECT = (3.4, 2.5), 0.35, 0.16, 0.25, 3.4
+
+
+def furniture_scale(print_w: Column, print_h: Column, knob: Column) -> Column:
+    """How much larger than on the standard sheet furniture is drawn: by the side, within bounds, times the owner's choice."""
+    return F.least(F.greatest(F.sqrt(print_w * print_h / SHEET_IN2), F.lit(FURNITURE_SCALE[0])), F.lit(FURNITURE_SCALE[1])) * knob
+
+
+def profile_rect(trim: tuple[Column, Column, Column, Column], dpi: Column, scale: Column, height_in: Column, stack_top: Column) -> tuple[Column, Column, Column, Column]:
+    """The height profile's rectangle: above the furniture in the corner (whose top is given), no higher than the keyline allows."""
+    x0, y0, x1, y1 = trim
+    unit = dpi * scale
+    inset, gap = F.rint(PROFILE_INSET_IN * unit), F.rint(PROFILE_GAP_IN * unit)
+    base = F.least(y1 - inset, stack_top - gap)
+    ceiling = y0 + F.rint(KEYLINE_IN * dpi) + F.greatest(F.lit(1.0), F.rint(0.05 * unit))
+    high = F.greatest(F.lit(1.0), F.least(F.greatest(F.lit(1.0), F.rint(height_in * dpi * scale)), base - ceiling))
+    return x0 + inset, base - high, x0 + inset + F.least(x1 - x0 - 2 * inset, F.rint(high * PROFILE_ASPECT)), base
+
+
 def keep_outs(sheets: DataFrame, key: str) -> DataFrame:
-    """key, part, x0, y0, x1, y1: the boxes of a sheet's furniture that names must keep out of. sheets: key, width, height, trim, and has_title, has_profile, has_bar with their heights."""
-    box = lambda part, has, x0, y0, x1, y1: F.when(F.col(has), F.struct(F.lit(part).alias("part"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+    """key, part, x0, y0, x1, y1: the rectangles that names must keep out of.
+
+    sheets: key, width, height (pixels of the sheet), trim (pixels that are cut off on each side), dpi, print_w, print_h (inches), furniture (the owner's scale), has_title,
+    has_compass, top_clear, bottom_clear (shares of the height), has_profile, profile_in, and stack_top (where the furniture in the lower left corner
+    ends, null where there is none). The corner is kept for title or compass; the clear bands span the whole sheet.
+    """
     c = F.col
-    left, right, bottom = c("trim"), c("width") - c("trim"), c("height") - c("trim")
-    stacked = F.coalesce(F.when(c("has_profile"), c("profile_h")), F.lit(0.0))
+    box = lambda part, has, x0, y0, x1, y1: F.when(has, F.struct(F.lit(part).alias("part"), *(v.cast("double").alias(n) for v, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1")))))
+    scale = furniture_scale(c("print_w"), c("print_h"), c("furniture"))
+    left, top, right, bottom = c("trim"), c("trim"), c("width") - c("trim"), c("height") - c("trim")
+    zero = F.lit(0.0)
+    px0, py0, px1, py1 = profile_rect((left, top, right, bottom), c("dpi"), scale, c("profile_in"), F.coalesce(c("stack_top"), bottom))
     boxes = F.array(
-        box("title", "has_title", left, bottom - stacked - c("title_h"), right, bottom - stacked),
-        box("profile", "has_profile", left, bottom - c("profile_h"), right, bottom),
-        box("bar", "has_bar", left, c("trim"), left + c("bar_w"), c("trim") + c("bar_h")),
+        box("corner", c("has_title") | c("has_compass"), left, bottom - F.rint(CORNER_IN[1] * scale * c("dpi")), left + F.rint(CORNER_IN[0] * scale * c("dpi")), bottom),
+        box("top", c("top_clear") > 0, zero, zero, c("width"), F.rint(c("top_clear") * c("height"))),
+        box("bottom", c("bottom_clear") > 0, zero, c("height") - F.rint(c("bottom_clear") * c("height")), c("width"), c("height")),
+        box("profile", c("has_profile"), px0, py0, px1, py1),
     )
     return sheets.select(key, F.explode(F.filter(boxes, lambda b: b.isNotNull())).alias("b")).select(key, "b.*")
 

@@ -45,22 +45,27 @@ def slope_aspect(cells: DataFrame, res_m: float, z_factor: float = 1.0) -> DataF
 
 
 def lambert(azimuth: float, altitude: float) -> Column:
-    """Shade of a sloped cell, from its slope and aspect columns."""
+    """Shade of a sloped cell, from its slope and aspect columns; null next to a cell without data."""
     alt, az = radians(altitude), radians(azimuth)
     lit = sin(alt) * F.sin("slope") + cos(alt) * F.cos("slope") * F.cos(F.lit(az) - F.col("aspect"))
-    return F.least(F.greatest(lit, F.lit(0.0)), F.lit(1.0))
+    return F.when(lit.isNotNull(), F.least(F.greatest(lit, F.lit(0.0)), F.lit(1.0)))
 
 
-def hillshade(cells: DataFrame, res_m: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    return slope_aspect(cells, res_m).withColumn("shade", lambert(azimuth, altitude))
+def hillshade(cells: DataFrame, res_m: float, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
+    return slope_aspect(cells, res_m, z_factor).withColumn("shade", lambert(azimuth, altitude))
 
 
-def multidirectional(cells: DataFrame, res_m: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """Light from the sun and, weaker, from four directions beside and across it (fixed values)."""
-    lights = ((0.0, 1.0), (-45.0, 0.5), (45.0, 0.5), (-90.0, 0.25), (90.0, 0.25))
-    total = sum(w for _, w in lights)
-    mixed = sum((lambert(azimuth + turn, altitude) * w for turn, w in lights), F.lit(0.0))
-    return slope_aspect(cells, res_m).withColumn("shade", mixed / total)
+# The turn from the sun's bearing and the weight of each light.
+LIGHTS = ((0.0, 1.0), (-45.0, 0.5), (45.0, 0.5), (-90.0, 0.25), (90.0, 0.25))
+
+
+def many_lights(azimuth: float, altitude: float) -> Column:
+    """Shade of a sloped cell by the sun and, weaker, from four directions beside and across it."""
+    return sum((lambert(azimuth + turn, altitude) * w for turn, w in LIGHTS), F.lit(0.0)) / sum(w for _, w in LIGHTS)
+
+
+def multidirectional(cells: DataFrame, res_m: float, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
+    return slope_aspect(cells, res_m, z_factor).withColumn("shade", many_lights(azimuth, altitude))
 
 
 def cast_shadow(cells: DataFrame, res_m: float, azimuth: float = 270, altitude: float = 45.0, ramp_m: float = 40.0) -> DataFrame:
@@ -102,7 +107,7 @@ def contours(cells: DataFrame, interval: float) -> DataFrame:
 
 def contour_interval(range_m: Column, ground_m_per_in: Column, share: float = 0.02, most_lines: int = 40) -> Column:
     """The finest usual interval that neither the scale nor the relief forbids."""
-    usual = [5, 10, 20, 25, 50, 100, 200, 250, 500, 1000]
+    usual = [5, 10, 20, 25, 50, 100, 200, 250, 500, 1000]  # fixed values: metres
     good = F.filter(F.array(*map(F.lit, usual)), lambda iv: (iv >= share * ground_m_per_in) & (range_m / iv <= most_lines))
     return F.coalesce(F.get(good, F.lit(0)), F.lit(2000))
 
@@ -131,7 +136,11 @@ def gaussian(cells: DataFrame, sigma: float, into: str = "blurred") -> DataFrame
     return first.withColumn(into, F.when(d > 0, n / d)).drop("__n", "__d", "__n1", "__d1")
 
 
-def sky_occlusion(cells: DataFrame, res_m: float, radii: Sequence[tuple[int, float]] = ((1, 0.5), (4, 0.3), (16, 0.2))) -> DataFrame:
+# Radii in cells of the working grid, with their weights.
+SKY_RADII = ((1, 0.5), (4, 0.3), (16, 0.2))
+
+
+def sky_occlusion(cells: DataFrame, res_m: float, radii: Sequence[tuple[int, float]] = SKY_RADII) -> DataFrame:
     """How deep a cell lies below the mean around it, over several radii."""
     out, total = cells, F.lit(0.0)
     for radius, weight in radii:
@@ -236,6 +245,18 @@ def class_tint(cells: DataFrame, tints: dict[int, tuple[int, int, int]], code: s
     return cells.withColumn("tint", table[F.col(code)]).withColumn("weight", F.col("tint").isNotNull().cast("int"))
 
 
+def blurred_tint(cells: DataFrame, sigma: float) -> DataFrame:
+    """cells (tint, weight as of class_tint) with both blurred: a tint is the mean of the tints around by weight, and the weight the share of them, so classes fade into each other and do not bleed into ground that has none."""
+    out = cells
+    for c in "rgb":
+        # where the weight is 0 there is no tint to spread
+        part = out.withColumn("v", F.when(F.col("weight") > 0, F.col(f"tint.{c}") * F.col("weight")).otherwise(0.0))
+        out = gaussian(part.drop(f"__{c}"), sigma, f"__{c}").drop("v")
+    out = gaussian(out.withColumn("v", F.col("weight").cast("double")), sigma, "__w").drop("v")
+    tint = F.struct(*((F.col(f"__{c}") / (F.col("__w") + 1e-6)).alias(c) for c in "rgb"))
+    return out.withColumns({"tint": tint, "weight": F.least(F.greatest(F.col("__w"), F.lit(0.0)), F.lit(1.0))}).drop("__r", "__g", "__b", "__w")
+
+
 def sample_nearest(points: DataFrame, cells: DataFrame, row: Column, col: Column) -> DataFrame:
     """points with the v of the cell they fall in, null outside the raster."""
     keyed = points.withColumns({"row": F.floor(row).cast("long"), "col": F.floor(col).cast("long")})

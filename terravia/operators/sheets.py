@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from terravia.functions.geodesy import refit_crop
 from terravia.operators.assets import Rule, first_error
@@ -223,11 +224,28 @@ def manifest(version: int, engine: str, build: Column, region: Column, spec: Col
     )
 
 
-def parsed(text: Column, schema: str, defaults: dict[str, Column]) -> Column:
-    """A struct read from JSON of an older or newer writer: fields it lacks are filled in, fields that are unknown are left out; null where it is no JSON."""
-    found = F.from_json(text, schema)
-    names = [part.strip().split(" ")[0].rstrip(":") for part in schema.split(",")]
-    return F.when(found.isNotNull() & F.try_parse_json(text).isNotNull(), F.struct(*(F.coalesce(found[n], defaults[n]).alias(n) if n in defaults else found[n].alias(n) for n in names)))
+def parsed(text: Column, schema: str | StructType, defaults: dict[str, Column]) -> Column:
+    """A struct read from JSON of an older or newer writer, nested as the schema is: fields it lacks are filled in from defaults (by path, `spec.edition`), fields that are unknown are left out; null where it is no JSON object.
+
+    A field of another type is null, and so filled in, without harm to the others; a struct that is missing stays null.
+    """
+    kind = schema if isinstance(schema, StructType) else _struct(schema)
+    found = F.from_json(text, kind)
+
+    def filled(value: Column, kind: DataType, path: str) -> Column:
+        if isinstance(kind, StructType):
+            fields = [filled(value[f.name], f.dataType, f"{path}.{f.name}".lstrip(".")).alias(f.name) for f in kind.fields]
+            made = F.struct(*fields)
+            return F.when(value.isNotNull(), made) if path else made
+        return F.coalesce(value, defaults[path]) if path in defaults else value
+
+    whole = F.try_parse_json(text)
+    return F.when(found.isNotNull() & (F.schema_of_variant(whole).startswith("OBJECT")), filled(found, kind, ""))
+
+
+def _struct(ddl: str) -> StructType:
+    """The type of a list of columns; types may be nested and have commas of their own."""
+    return StructType.fromDDL(ddl)
 
 
 def nan_to_null(values: Column) -> Column:
@@ -239,6 +257,14 @@ def null_to_nan(values: Column) -> Column:
     return F.transform(values, lambda v: F.coalesce(v, F.lit(float("nan"))))
 
 
-def caption(region: Column, edition: Column, names: Column) -> Column:
-    """Region in capitals, the edition from the second on, and up to four names."""
-    return F.concat_ws(" - ", F.upper(F.replace(region, F.lit("_"), F.lit(" "))), F.when(edition >= 2, F.concat(F.lit("Edition "), edition.cast("string"))), F.when(F.size(names) > 0, F.array_join(F.slice(names, 1, 4), ", ")))
+def caption(title: Column, region: Column, edition: Column) -> Column:
+    """The title, else the region, in capitals, and the edition, the first where none is given; null without either name or with an edition that is no number."""
+    spaces = " \t\n\r\f\v"
+    name = F.coalesce(F.when(F.trim(title, F.lit(spaces)) != "", F.trim(title, F.lit(spaces))), F.when(region != "", region))
+    number = F.when(edition.isNull() | (edition.cast("string") == "") | (edition.cast("string") == "0"), F.lit(1)).otherwise(edition.try_cast("int"))
+    return F.concat(F.replace(F.upper(name), F.lit("_"), F.lit(" ")), F.lit(" — EDITION "), number.cast("string"))
+
+
+def place_list(region: Column, names: Column, most: int = 4) -> Column:
+    """A region and up to `most` names in it, as alternative text."""
+    return F.concat_ws(" - ", F.replace(region, F.lit("_"), F.lit(" ")), F.when(F.size(names) > 0, F.array_join(F.slice(names, 1, most), ", ")))

@@ -70,11 +70,11 @@ def asset_drift(spark, d):
   SELECT coalesce(f.name, p.name) AS name, len(list_distinct(list_concat(coalesce(f.assets, []), coalesce(p.assets, [])))) AS n, coalesce(f.terrain, p.terrain) AS terrain FROM f FULL JOIN p ON f.name = p.name"""),
 )
 def index_merge(spark, d):
-    a = fx.assets(spark, d)
-    side = lambda rows, terrain: rows.groupBy(F.col("bundle").alias("name")).agg(F.collect_list("name").alias("assets"), terrain.alias("terrain"))
-    fresh = side(a.where("bytes >= 500 AND bundle <> 'src3'"), F.when(F.max("seq") % 2 == 0, "dem"))
-    prior = side(a.where("(bytes IS NULL OR bytes < 2000) AND bundle <> 'src5'"), F.max(F.lit("old")))
-    return A.merge_index(fresh, prior).select("name", F.size("assets").cast("long").alias("n"), "terrain")
+    a = fx.assets(spark, d).withColumnsRenamed({"name": "asset", "bundle": "name"})
+    f, p = a.where("bytes >= 500 AND name <> 'src3'"), a.where("(bytes IS NULL OR bytes < 2000) AND name <> 'src5'")
+    each = lambda rows, terrain: rows.groupBy("name").agg(terrain.alias("terrain"))
+    terrain = A.merged_terrain(each(f, F.when(F.max("seq") % 2 == 0, "dem")), each(p, F.max(F.lit("old"))))
+    return A.merged_assets(f, p).groupBy("name").agg(F.count("*").alias("n")).join(terrain, "name").select("name", "n", "terrain")
 
 
 @register("session_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")

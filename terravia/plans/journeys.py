@@ -289,10 +289,14 @@ def smoothed_path(spark, d):
 
 @register(
     "stats_lines",
-    """SELECT o_orderkey AS k, CASE WHEN e >= 2 THEN 'Edition ' || e || ' - ' ELSE '' END || y || ' - 1:' || format('{:,}', s) || CASE WHEN dy > 0 THEN ' - ' || dy || CASE WHEN dy = 1 THEN ' day' ELSE ' days' END ELSE '' END || ' - ' || format('{:,}', CAST(mi AS BIGINT)) || ' mi' AS line
-  FROM (SELECT o_orderkey, o_orderkey % 4 AS e, strftime(o_orderdate, '%Y') AS y, CAST(round_even((1000 + o_orderkey * 37) / pow(10.0::DOUBLE, floor(log10(1000 + o_orderkey * 37)) - 1), 0) * pow(10.0::DOUBLE, floor(log10(1000 + o_orderkey * 37)) - 1) AS BIGINT) AS s, o_orderkey % 3 AS dy, 1 + o_orderkey % 5000 AS mi FROM orders)""",
+    """SELECT o_orderkey AS k, array_to_string(list_filter([CASE WHEN e >= 2 THEN 'EDITION ' || e END, CASE WHEN e >= 2 AND y <> '' THEN y END, CASE WHEN r > 0 THEN '~1:' || format('{:,}', CAST(round_even(r / m, 0) * m AS BIGINT)) END,
+    CASE WHEN o > 0 THEN 'PLAN OBLIQUE' END, CASE WHEN dy = 1 THEN '1 DAY' WHEN dy > 1 THEN dy || ' DAYS' END, CASE WHEN mi > 0 THEN CAST(round_even(mi, 0) AS BIGINT) || ' MI' END], lambda p: p IS NOT NULL), ' · ') AS line
+  FROM (SELECT *, pow(10.0::DOUBLE, greatest(0, floor(log10(greatest(r, 1e-9::DOUBLE))) - 1)) AS m FROM (SELECT o_orderkey, o_orderkey % 4 AS e, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y') END AS y,
+    CASE WHEN o_orderkey % 11 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE + o_orderkey * 37 END AS r, o_orderkey % 5 - 2 AS o, o_orderkey % 3 AS dy, (o_orderkey % 5000) / 2.0::DOUBLE AS mi FROM orders))""",
 )
 def stats_lines(spark, d):
     k = F.col("o_orderkey")
     o = fx.table(spark, d, "orders")
-    return o.select(k.alias("k"), J.stats_line(k % 4, F.date_format("o_orderdate", "yyyy"), (1000 + k * 37).cast("double"), k % 3, (1 + k % 5000).cast("double")).alias("line"))
+    years = F.when(k % 7 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy"))
+    ratio = F.when(k % 11 == 0, 0.0).otherwise(0.5 + k * 37)
+    return o.select(k.alias("k"), J.stats_line(k % 4, years, ratio, k % 3, (k % 5000) / 2.0, k % 5 - 2).alias("line"))

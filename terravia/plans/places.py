@@ -1,5 +1,6 @@
 """Queries on places and regions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
@@ -209,14 +210,39 @@ def label_candidates(spark, d):
     return P.label_candidates(f, 1000.0, 1200.0, RANKS).withColumns({"x": F.round("x", 3), "y": F.round("y", 3)})
 
 
+@register(
+    "river_runs",
+    oracle("fx_points", body="""f AS (SELECT CAST(split_part(track_id, '-', 1) AS INTEGER) AS id, 'R' || CAST(split_part(track_id, '-', 1) AS INTEGER) % 20 AS name, row_number() OVER (PARTITION BY split_part(track_id, '-', 1) ORDER BY t, event_id) - 1 AS vidx, (x - 664030) / 40 AS x, (4525010 - y) / 40 AS y FROM fx_points),
+  o AS (SELECT *, x BETWEEN 0 AND 1300 AND y BETWEEN 300 AND 1900 AS on_sheet FROM f), i AS (SELECT *, vidx - row_number() OVER (PARTITION BY id ORDER BY vidx) AS island FROM o WHERE on_sheet),
+  g AS (SELECT id, name, island, min(vidx) AS first, count(*) AS n, list(x ORDER BY vidx) AS xs, list(y ORDER BY vidx) AS ys FROM i GROUP BY id, name, island),
+  k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, id, first) AS nth FROM g)
+  SELECT name, id, first, n, round(xs[n // 2 + 1], 3) AS x, round(ys[n // 2 + 1], 3) AS y FROM k WHERE nth = 1"""),
+)
+def river_runs(spark, d):
+    """Each user's vertices are a river that leaves the sheet and comes back; some twenty names."""
+    u = F.substring_index("track_id", "-", 1).cast("int")
+    order = Window.partitionBy("id").orderBy("t", "event_id")
+    f = fx.points(spark, d).select(u.alias("id"), F.concat(F.lit("R"), (u % 20).cast("string")).alias("name"), "t", "event_id", ((F.col("x") - 664030) / 40).alias("x"), ((4525010 - F.col("y")) / 40).alias("y"))
+    f = f.withColumn("vidx", (F.row_number().over(order) - 1).cast("long")).withColumn("y", F.when(F.col("y") >= 300, F.col("y")).otherwise(-1.0))
+    return P.longest_runs(f, 1300.0, 1900.0).select("name", "id", "first", "n", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @register(
     "label_keep_outs",
-    oracle("fx_specs", body="""s AS (SELECT k, print_w * 300 AS w, print_h * 300 AS h, bleed * 300 AS t, k % 2 = 0 AS ti, k % 3 = 0 AS pr, k % 5 = 0 AS ba FROM fx_specs)
-  SELECT k, 'title' AS part, t AS x0, h - t - CASE WHEN pr THEN 90.0::DOUBLE ELSE 0 END - 120.0::DOUBLE AS y0, w - t AS x1, h - t - CASE WHEN pr THEN 90.0::DOUBLE ELSE 0 END AS y1 FROM s WHERE ti
-  UNION ALL SELECT k, 'profile', t, h - t - 90.0::DOUBLE, w - t, h - t FROM s WHERE pr UNION ALL SELECT k, 'bar', t, t, t + 200.0::DOUBLE, t + 30.0::DOUBLE FROM s WHERE ba"""),
+    oracle("fx_specs", body="""s AS (SELECT k, print_w, print_h, print_w * 300 AS w, print_h * 300 AS h, bleed * 300 AS t, 300.0::DOUBLE AS dpi, least(greatest(sqrt(print_w * print_h / 432.0::DOUBLE), 0.75::DOUBLE), 2.0::DOUBLE) * (0.5::DOUBLE + k % 3 / 2.0::DOUBLE) AS fs,
+    k % 2 = 0 AS ti, k % 5 = 0 AS co, k % 3 = 0 AS pr, top_clear AS tc, (k % 4) / 20.0::DOUBLE AS bc, 1.0::DOUBLE + k % 2 AS ph, CASE WHEN k % 2 = 0 OR k % 5 = 0 THEN print_h * 300 - bleed * 300 - 400 END AS st FROM fx_specs),
+  p AS (SELECT *, round_even(0.35::DOUBLE * dpi * fs, 0) AS ins, least(h - t - round_even(0.35::DOUBLE * dpi * fs, 0), coalesce(st, h - t) - round_even(0.16::DOUBLE * dpi * fs, 0)) AS y1, t + round_even(0.25::DOUBLE * dpi, 0) + greatest(1, round_even(0.05::DOUBLE * dpi * fs, 0)) AS top FROM s WHERE pr),
+  q AS (SELECT *, greatest(1, least(greatest(1, round_even(ph * dpi * fs, 0)), y1 - top)) AS hh FROM p)
+  SELECT k, 'corner' AS part, t AS x0, h - t - round_even(2.5::DOUBLE * fs * dpi, 0) AS y0, t + round_even(3.4::DOUBLE * fs * dpi, 0) AS x1, h - t AS y1 FROM s WHERE ti OR co
+  UNION ALL SELECT k, 'top', 0, 0, w, round_even(tc * h, 0) FROM s WHERE tc > 0 UNION ALL SELECT k, 'bottom', 0, h - round_even(bc * h, 0), w, h FROM s WHERE bc > 0
+  UNION ALL SELECT k, 'profile', t + ins, y1 - hh, t + ins + least(w - 2 * t - 2 * ins, round_even(hh * 3.4::DOUBLE, 0)), y1 FROM q"""),
 )
 def label_keep_outs(spark, d):
-    s = fx.specs(spark, d).select("k", (F.col("print_w") * 300).alias("width"), (F.col("print_h") * 300).alias("height"), (F.col("bleed") * 300).alias("trim"), (F.col("k") % 2 == 0).alias("has_title"), (F.col("k") % 3 == 0).alias("has_profile"), (F.col("k") % 5 == 0).alias("has_bar"), F.lit(120.0).alias("title_h"), F.lit(90.0).alias("profile_h"), F.lit(200.0).alias("bar_w"), F.lit(30.0).alias("bar_h"))
+    k, high, trim = F.col("k"), F.col("print_h") * 300, F.col("bleed") * 300
+    s = fx.specs(spark, d).select(
+        "k", "print_w", "print_h", (F.col("print_w") * 300).alias("width"), high.alias("height"), trim.alias("trim"), F.lit(300.0).alias("dpi"), (0.5 + k % 3 / 2.0).alias("furniture"), (k % 2 == 0).alias("has_title"), (k % 5 == 0).alias("has_compass"),
+        (k % 3 == 0).alias("has_profile"), F.col("top_clear"), ((k % 4) / 20.0).alias("bottom_clear"), (1.0 + k % 2).alias("profile_in"), F.when((k % 2 == 0) | (k % 5 == 0), high - trim - 400).alias("stack_top"),
+    )
     return P.keep_outs(s, "k")
 
 

@@ -171,7 +171,50 @@ def lifted_points(spark, d):
 
 @register("shaded_relief")
 def shaded_relief(spark, d):
-    return E.shaded_relief(fx.filled_raster(spark, d), 5000.0, -30000.0, 30000.0, work_res_m=10000.0)
+    return E.shaded_relief(
+        fx.raster(spark, d), 5000.0, -30000.0, 30000.0, depth=0.6, shadow=0.8, sun=(250.0, 30.0), golden=0.5, soft=0.35, haze_knob=0.2, radius=2.0, valley_radius=6.0, work_res_m=10000.0
+    )
+
+
+@register(
+    "height_field",
+    oracle("fx_raster", body=f"""l AS (SELECT row, col, (0.2126::DOUBLE * (row * 7 % 256) + 0.7152::DOUBLE * (col * 4) + 0.0722::DOUBLE * ((row + col) % 200)) / 255.0::DOUBLE AS l FROM fx_raster),
+  p AS (SELECT quantile_cont(l, {E.LUMINANCE_SHARES[0]}::DOUBLE) AS a, quantile_cont(l, {E.LUMINANCE_SHARES[1]}::DOUBLE) AS b FROM l)
+  SELECT row, col, round(least(greatest((l - a) / greatest(b - a, 1e-6::DOUBLE), 0), 1), 6) AS height FROM l, p"""),
+)
+def height_field(spark, d):
+    cells = fx.raster(spark, d).select("row", "col", (F.col("row") * 7 % 256).alias("r"), (F.col("col") * 4).alias("g"), ((F.col("row") + F.col("col")) % 200).alias("b"))
+    return E.height_field(cells).select("row", "col", F.round("height", 6).alias("height"))
+
+
+_CLASSES = {1: (120, 140, 90), 2: (60, 90, 70), 4: (200, 180, 140)}
+_KERNEL = [2.718281828459045 ** (-0.5 * (k / 1.2) ** 2) for k in range(5)]
+
+
+def _blur(value: str, source: str, axis: str, into: str) -> str:
+    """One pass of the kernel along an axis, over the cells that are there."""
+    w = " + ".join(f"coalesce(lag({value}, {k}) OVER w * {_KERNEL[k]!r}::DOUBLE, 0) + coalesce(lead({value}, {k}) OVER w * {_KERNEL[k]!r}::DOUBLE, 0)" for k in range(1, 5))
+    n = " + ".join(f"(CASE WHEN lag(1, {k}) OVER w IS NULL THEN 0 ELSE {_KERNEL[k]!r}::DOUBLE END) + (CASE WHEN lead(1, {k}) OVER w IS NULL THEN 0 ELSE {_KERNEL[k]!r}::DOUBLE END)" for k in range(1, 5))
+    part, order = ("row", "col") if axis == "row" else ("col", "row")
+    return f"({value} + {w}) / (1.0::DOUBLE + {n}) AS {into}"
+
+
+_TINTED = " ".join(f"WHEN {c} THEN [{', '.join(f'{v}.0::DOUBLE' for v in rgb)}]" for c, rgb in _CLASSES.items())
+
+
+@register(
+    "blurred_cover",
+    oracle("fx_raster", body=f"""c AS (SELECT row, col, CASE (row // 5 + col // 7) % 6 {_TINTED} END AS t FROM fx_raster),
+  p AS (SELECT row, col, coalesce(t[1], 0.0::DOUBLE) AS r, coalesce(t[2], 0.0::DOUBLE) AS g, coalesce(t[3], 0.0::DOUBLE) AS b, CASE WHEN t IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS w0 FROM c),
+  x AS (SELECT row, col, {', '.join(_blur(v, 'p', 'row', f'{v}x') for v in ('r', 'g', 'b', 'w0'))} FROM p WINDOW w AS (PARTITION BY row ORDER BY col)),
+  y AS (SELECT row, col, {', '.join(_blur(f'{v}x', 'x', 'col', f'{v}y') for v in ('r', 'g', 'b', 'w0'))} FROM x WINDOW w AS (PARTITION BY col ORDER BY row))
+  SELECT row, col, round(ry / (w0y + 1e-6::DOUBLE), 5) AS r, round(gy / (w0y + 1e-6::DOUBLE), 5) AS g, round(by_ / (w0y + 1e-6::DOUBLE), 5) AS b, round(w0y, 6) AS weight FROM y""".replace("AS by,", "AS by_,")),
+)
+def blurred_cover(spark, d):
+    code = (F.floor(F.col("row") / 5) + F.floor(F.col("col") / 7)) % 6
+    tinted = R.class_tint(fx.raster(spark, d).select("row", "col", code.cast("int").alias("code")), _CLASSES)
+    out = R.blurred_tint(tinted, 1.2)
+    return out.select("row", "col", *(F.round(f"tint.{c}", 5).alias(c) for c in "rgb"), F.round("weight", 6).alias("weight"))
 
 
 @register(

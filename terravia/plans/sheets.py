@@ -176,10 +176,24 @@ def preset_refit(spark, d):
 
 @register(
     "captions",
-    """WITH n AS (SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS names FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey)
-  SELECT r_regionkey, upper(r_name) || CASE WHEN r_regionkey >= 2 THEN ' - Edition ' || r_regionkey ELSE '' END || CASE WHEN len(names) > 0 THEN ' - ' || array_to_string(names[1:4], ', ') ELSE '' END AS caption FROM region LEFT JOIN n ON r_regionkey = n_regionkey""",
+    """SELECT o_orderkey AS k, upper(replace(name, '_', ' ')) || ' — EDITION ' || CASE WHEN ed IS NULL OR ed IN ('', '0') THEN '1' ELSE CAST(TRY_CAST(ed AS INTEGER) AS VARCHAR) END AS caption
+  FROM (SELECT o_orderkey, coalesce(nullif(trim(CASE o_orderkey % 4 WHEN 0 THEN '  Lassen_' || o_orderpriority || ' ' WHEN 1 THEN '   ' WHEN 2 THEN NULL ELSE '' END), ''), nullif(CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'tushar_' || o_orderstatus END, '')) AS name,
+    CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN 'two' ELSE CAST(o_orderkey % 9 AS VARCHAR) END AS ed FROM orders)""",
 )
 def captions(spark, d):
+    k = F.col("o_orderkey")
+    title = F.when(k % 4 == 0, F.concat(F.lit("  Lassen_"), "o_orderpriority", F.lit(" "))).when(k % 4 == 1, "   ").when(k % 4 == 3, "")
+    region = F.when(k % 5 == 1, "").when(k % 5 > 1, F.concat(F.lit("tushar_"), "o_orderstatus"))
+    edition = F.when(k % 6 == 1, "").when(k % 6 == 2, "0").when(k % 6 == 3, "two").when(k % 6 > 3, (k % 9).cast("string"))
+    return fx.table(spark, d, "orders").select(k.alias("k"), S.caption(title, region, edition).alias("caption"))
+
+
+@register(
+    "place_lists",
+    """WITH n AS (SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS names FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey)
+  SELECT r_regionkey, r_name || CASE WHEN len(names) > 0 THEN ' - ' || array_to_string(names[1:4], ', ') ELSE '' END AS places FROM region LEFT JOIN n ON r_regionkey = n_regionkey""",
+)
+def place_lists(spark, d):
     names = fx.table(spark, d, "nation").where("n_nationkey % 2 = 0").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]).alias("names"))
     r = fx.table(spark, d, "region").join(names, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return r.select("r_regionkey", S.caption(F.col("r_name"), F.col("r_regionkey"), F.coalesce("names", F.array().cast("array<string>"))).alias("caption"))
+    return r.select("r_regionkey", S.place_list(F.col("r_name"), F.coalesce("names", F.array().cast("array<string>"))).alias("places"))

@@ -1,5 +1,7 @@
 """Queries on geodesy and the sun."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
@@ -137,6 +139,25 @@ def solar_positions(spark, d):
     return s.select("event_id", F.round("sun_az", 5).alias("azimuth"), F.round("sun_alt", 5).alias("altitude"))
 
 
+_EDGE = """bx AS (SELECT n_nationkey AS k, -123.9::DOUBLE + n_nationkey * 0.05::DOUBLE AS w, 36.0::DOUBLE + n_nationkey * 0.4::DOUBLE AS s, -123.9::DOUBLE + n_nationkey * 0.05::DOUBLE + (1 + n_nationkey % 5) * 0.3::DOUBLE AS e, 36.0::DOUBLE + n_nationkey * 0.4::DOUBLE + (n_nationkey % 4) * 0.25::DOUBLE AS n FROM nation),
+  ed AS (SELECT k, unnest([1, 2, 3, 4]) AS side, w, s, e, n FROM bx),
+  ll AS (SELECT k * 1000 + side * 100 + i AS event_id, 0 AS t, CASE side WHEN 3 THEN w WHEN 4 THEN e ELSE w + (e - w) * i / 40 END AS lon, CASE side WHEN 1 THEN s WHEN 2 THEN n ELSE s + (n - s) * i / 40 END AS lat FROM ed, (SELECT unnest(range(0, 41)) AS i))"""
+
+
+@register(
+    "target_grid",
+    f"""WITH {_EDGE}, {_series().replace("SELECT event_id, round(", ", gx AS (SELECT event_id, round(", 1)}),
+  sp AS (SELECT event_id // 1000 AS k, min(x) + 500 AS lx, max(x) - 500 AS hx, min(y) + 500 AS ly, max(y) - 500 AS hy FROM gx GROUP BY 1),
+  sn AS (SELECT k, round_even(lx / 10, 0) * 10 AS x0, round_even(ly / 10, 0) * 10 AS y0, hx, hy FROM sp)
+  SELECT k, x0, y0, CAST(greatest(0, floor((hx - x0) / 10)) AS BIGINT) AS cols, CAST(greatest(0, floor((hy - y0) / 10)) AS BIGINT) AS rows FROM sn""",
+)
+def target_grid(spark, d):
+    k = F.col("n_nationkey")
+    w, s = -123.9 + k * 0.05, 36.0 + k * 0.4
+    boxes = fx.table(spark, d, "nation").select(k.alias("k"), w.alias("w"), s.alias("s"), (w + (1 + k % 5) * 0.3).alias("e"), (s + (k % 4) * 0.25).alias("n"))
+    return G.target_grid(boxes, "k", 10, 10.0).select(F.col("k").cast("long").alias("k"), "x0", "y0", "cols", "rows")
+
+
 @register(
     "golden_hour",
     oracle(
@@ -183,14 +204,29 @@ def local_hours(spark, d):
 
 @register(
     "journey_light",
-    oracle("fx_users", body="""pl AS (SELECT track_id, CASE WHEN CAST(track_id AS INTEGER) % 4 > 0 THEN max(t) END AS tt, 40.5::DOUBLE AS lat, -121.5::DOUBLE AS lon FROM fx_users GROUP BY track_id), """ + _sun("tt", "lat", "lon", "pl", "track_id, tt") + """
-  SELECT track_id, tt IS NOT NULL AS available, CASE WHEN tt IS NOT NULL THEN round(az, 4) END AS azimuth, CASE WHEN tt IS NOT NULL THEN round(least(greatest(alt, 8), 80), 4) END AS altitude FROM sun"""),
+    oracle(
+        "fx_users",
+        body="""an AS (SELECT track_id, CAST(track_id AS INTEGER) AS u, max(t) AS tt, arg_max(t, ele * 1e7::DOUBLE - vidx) AS st, 30.0::DOUBLE + CAST(track_id AS INTEGER) % 25 AS lat, -123.0::DOUBLE + CAST(track_id AS INTEGER) % 6 AS lon FROM fx_users GROUP BY track_id),
+  da AS (SELECT *, CASE WHEN u % 4 > 0 THEN floor(tt / 86400.0::DOUBLE) * 86400 END AS midnight, CASE WHEN u % 3 = 0 THEN st END AS summit, CASE WHEN u % 5 = 0 THEN u % 24 + 0.25::DOUBLE END AS asked FROM an),
+  mi AS (SELECT track_id, lat, lon, minute, midnight - lon * 240 + minute * 60 AS tm FROM da, (SELECT unnest(range(0, 1441)) AS minute) WHERE midnight IS NOT NULL), """
+        + _sun("tm", "lat", "lon", "mi", "track_id, minute, tm").replace("sun AS", "day_sun AS")
+        + """,
+  pr AS (SELECT *, lag(alt) OVER (PARTITION BY track_id ORDER BY minute) AS before FROM day_sun),
+  go AS (SELECT track_id, coalesce(min(tm) FILTER (minute > 60 AND before >= 12 AND alt < 12), first(tm ORDER BY alt DESC, minute)) AS golden FROM pr GROUP BY track_id),
+  mo AS (SELECT track_id, lat, lon, CASE WHEN midnight IS NOT NULL THEN coalesce(midnight + asked * 3600 - lon * 240, summit, golden) END AS tx FROM da LEFT JOIN go USING (track_id)), """
+        + re.sub(r"\bs(\d)\b", r"z\1", _sun("tx", "lat", "lon", "mo", "track_id, lon, tx"))
+        + """
+  SELECT track_id, tx IS NOT NULL AS available, CASE WHEN tx IS NOT NULL THEN round(az, 4) END AS azimuth, CASE WHEN tx IS NOT NULL THEN round(least(greatest(alt, 8), 80), 4) END AS altitude,
+    CASE WHEN tx IS NOT NULL THEN round(floor((tx + lon * 240) - floor((tx + lon * 240) / 86400) * 86400) / 3600, 3) END AS hour FROM sun""",
+    ),
 )
 def journey_light(spark, d):
-    """The sun at the end of each recording; a quarter of them have no times."""
-    a = fx.points(spark, d, by_user=True).groupBy("track_id").agg(F.max("t").alias("t")).select("track_id", F.when(F.col("track_id").cast("int") % 4 > 0, F.col("t")).alias("t_max"), F.lit(40.5).alias("lat"), F.lit(-121.5).alias("lon"), F.lit(None).cast("double").alias("summit_t"))
-    done = S.journey_light(a, "track_id")
-    return done.select("track_id", "available", F.round("azimuth", 4).alias("azimuth"), F.round("altitude", 4).alias("altitude"))
+    """Each recording: a quarter without times, a third with a highest point, a fifth at an hour that is asked for, the rest at the golden hour of its last day."""
+    u = F.col("track_id").cast("int")
+    a = fx.points(spark, d, by_user=True).groupBy("track_id").agg(F.max("t").alias("t"), F.max_by("t", F.col("ele") * 1e7 - F.col("vidx")).alias("st"))
+    a = a.select("track_id", F.when(u % 4 > 0, F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd")).alias("last_day"), F.when(u % 3 == 0, F.col("st")).alias("summit_t"), (30.0 + u % 25).alias("lat"), (-123.0 + u % 6).alias("lon"))
+    done = S.journey_light(a, "track_id", F.when(u % 5 == 0, u % 24 + 0.25))
+    return done.select("track_id", "available", F.round("azimuth", 4).alias("azimuth"), F.round("altitude", 4).alias("altitude"), "hour")
 
 
 @register(

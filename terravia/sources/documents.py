@@ -15,6 +15,8 @@ REGION_SCHEMA = """id STRING, name STRING, crs STRING, bounds ARRAY<DOUBLE>, ove
 SOURCES_SCHEMA = "id STRING, built STRING, fetch_bbox_4326 ARRAY<DOUBLE>, crs STRING, rebuild STRING, assets MAP<STRING, STRUCT<sha256: STRING, bytes: BIGINT>>, sources ARRAY<STRUCT<dataset: STRING, via: STRING, license: STRING>>"
 LABELS_SCHEMA = "crs STRING, features ARRAY<STRUCT<name: STRING, kind: STRING, rank: INT, coords: ARRAY<ARRAY<DOUBLE>>>>"
 PLAYA_SCHEMA = "crs STRING, playas ARRAY<STRUCT<coords: ARRAY<ARRAY<DOUBLE>>, name: STRING>>"
+HYDRO_SCHEMA = "crs STRING, lakes ARRAY<STRUCT<coords: ARRAY<ARRAY<DOUBLE>>, name: STRING>>, rivers ARRAY<STRUCT<coords: ARRAY<ARRAY<DOUBLE>>, order: INT, name: STRING>>"
+MANIFEST = SOURCES_SCHEMA
 WAYS_SCHEMA = "ways ARRAY<STRUCT<class: STRING, coords: ARRAY<ARRAY<DOUBLE>>>>"
 
 
@@ -61,6 +63,29 @@ def playas(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("folder").alias("region_id"), F.explode("playas").alias("p")).select("region_id", "p.*")
 
 
+def hydro(spark: SparkSession, root: str) -> DataFrame:
+    """region_id, kind (lake, river), nth, name, order (null for lakes), coords; a region without the file has no rows."""
+    found = _json(spark, f"{root}/*/hydro.json", HYDRO_SCHEMA)
+    of = lambda kind, many, order: found.select(F.col("folder").alias("region_id"), F.posexplode(many).alias("nth", "f")).select("region_id", F.lit(kind).alias("kind"), "nth", F.coalesce("f.name", F.lit("")).alias("name"), order.alias("order"), "f.coords")
+    return of("lake", "lakes", F.lit(None).cast("int")).unionByName(of("river", "rivers", F.col("f.order")))
+
+
+def with_asset(rows: DataFrame, source: tuple[str, str, str]) -> DataFrame:
+    """rows whose manifest (JSON) has an asset (name, sha, bytes) set and a source (dataset, via, license) entered, unless one of that dataset is there.
+
+    Doing it again changes nothing but the asset's hash and size. The other fields of a manifest stay; no JSON stays as it is.
+    """
+    m = F.from_json("manifest", MANIFEST)
+    kind = "map<string,struct<sha256:string,bytes:bigint>>"
+    others = F.map_filter(F.coalesce("__m.assets", F.create_map().cast(kind)), lambda k, _: k != F.col("name"))
+    assets = F.map_concat(others, F.create_map(F.col("name"), F.struct(F.col("sha").alias("sha256"), F.col("bytes").cast("long").alias("bytes"))))
+    known = F.coalesce("__m.sources", F.array().cast("array<struct<dataset:string,via:string,license:string>>"))
+    entry = F.struct(*(F.lit(v).alias(n) for n, v in zip(("dataset", "via", "license"), source, strict=True)))
+    sources = F.when(F.exists(known, lambda s: F.contains(s["dataset"], F.lit(source[0]))), known).otherwise(F.concat(known, F.array(entry)))
+    folded = F.to_json(F.col("__m").withField("assets", assets).withField("sources", sources))
+    return rows.withColumn("__m", m).withColumn("manifest", F.when(F.try_parse_json("manifest").isNull(), F.col("manifest")).otherwise(folded)).drop("__m")
+
+
 def ways(spark: SparkSession, path: str) -> DataFrame:
     """way, vidx, x, y, class of a cached network."""
     found = _json(spark, path, WAYS_SCHEMA).select("folder", F.posexplode("ways").alias("i", "w"))

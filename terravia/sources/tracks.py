@@ -203,16 +203,32 @@ def ingest(spark: SparkSession, path: str, zone: int, tolerance_m: float = 15.0)
 
 
 def extent(points: DataFrame) -> DataFrame:
-    """One row: the box of all points, the number of files, and the name of the first track of the first file."""
-    name = F.min_by(F.regexp_replace("track_id", "-[0-9]+$", ""), F.struct("file", "track_id"))
-    return points.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.count_distinct("file").alias("files"), name.alias("name"))
+    """One row: the box of all points and the number of files."""
+    return points.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.count_distinct("file").alias("files"))
+
+
+def upload_name(texts: DataFrame) -> DataFrame:
+    """One row, name: that of the first GPX file (by name) that has one: the file's own, else its first track's, else its first route's; null if none has. texts: file, text."""
+    parsed = texts.select("file", F.from_xml("text", GPX_SCHEMA).alias("g"))
+    first = lambda names: F.get(F.filter(F.transform(names, lambda n: F.trim(F.coalesce(n, F.lit("")))), lambda n: n != ""), F.lit(0))
+    own = F.trim(F.col("g.metadata.name"))
+    named = parsed.select("file", F.coalesce(F.when(own != "", own), first(F.col("g.trk.name")), first(F.col("g.rte.name"))).alias("name"))
+    return named.agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("file"))).alias("name"))
+
+
+def read_extent(spark: SparkSession, path: str) -> DataFrame:
+    """One row of what a set of files covers, and its name: west, south, east, north, files, name. A file that is broken counts for nothing and stops nothing."""
+    gpx = read_files(spark, path).where(sniff(F.col("content"), F.col("file")) == "gpx").select("file", F.decode("content", "UTF-8").alias("text"))
+    return extent(read_tracks(spark, path)).join(F.broadcast(upload_name(gpx)))  # one row by one row
 
 
 def to_gpx(points: DataFrame) -> DataFrame:
-    """file, text: GPX of the tracks of each file (track_id, vidx, lon, lat, and time where there is one)."""
+    """file, text: GPX of the tracks of each file (track_id, vidx, lon, lat, time where there is one, and title, the file's own name, where that is). A file is a row, so it should hold what an upload holds."""
     timed = [F.coalesce(F.concat(F.lit("<time>"), "time", F.lit("</time>")), F.lit(""))] if "time" in points.columns else []
     point = F.concat(F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('">'), *timed, F.lit("</trkpt>"))
-    tracks = points.withColumn("p", F.struct("vidx", point.alias("x"))).groupBy("file", "track_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"]), "").alias("pts"))
+    kept = [F.max("title").alias("title")] if "title" in points.columns else []
+    tracks = points.withColumn("p", F.struct("vidx", point.alias("x"))).groupBy("file", "track_id").agg(*kept, F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"]), "").alias("pts"))
     escaped = F.replace(F.replace(F.col("track_id"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     whole = tracks.withColumn("x", F.concat(F.lit("<trk><name>"), escaped, F.lit("</name><trkseg>"), "pts", F.lit("</trkseg></trk>")))
-    return whole.groupBy("file").agg(F.concat(F.lit('<gpx version="1.1" creator="terravia">'), F.array_join(F.array_sort(F.collect_list("x")), ""), F.lit("</gpx>")).alias("text"))
+    title = F.coalesce(F.concat(F.lit("<metadata><name>"), F.max("title"), F.lit("</name></metadata>")), F.lit("")) if "title" in points.columns else F.lit("")
+    return whole.groupBy("file").agg(F.concat(F.lit('<gpx version="1.1" creator="terravia">'), title, F.array_join(F.array_sort(F.collect_list("x")), ""), F.lit("</gpx>")).alias("text"))

@@ -1,6 +1,7 @@
 """Operators on literal rows, and properties that hold whatever the rows."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
 from terravia.functions import geodesy, solar, text
-from terravia.operators import assets, journeys, places, raster, relief
+from terravia.operators import assets, journeys, places, raster, relief, sheets
 from terravia.plans import places as plans_places
 from tests.conftest import SF, SMALL
 
@@ -224,12 +225,148 @@ def test_recovered_times_are_of_the_first_visit(spark):
     assert {r.vidx: r.t0 for r in journeys.recover_times(moved, points).collect()}[2] is None
 
 
-def test_shaded_relief_is_in_range_and_follows_the_light(spark):
-    """A ridge is brighter on the side of the sun."""
-    cells = spark.createDataFrame([(i, j, 30.0 * (10 - abs(j - 10))) for i in range(16) for j in range(21)], "row long, col long, v double")
-    rows = {(r.row, r.col): r for r in relief.shaded_relief(cells, 30.0, 0.0, 300.0, azimuth=270).collect()}
+def blur(z, sigma):
+    """The library's Gaussian: truncated, normalised over the cells that are there."""
+    reach = max(1, round(3 * sigma))
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    one = lambda a: np.apply_along_axis(lambda v: np.convolve(np.pad(v, reach), w, "valid"), 1, a)
+    two = lambda a: one(one(a).T).T
+    return two(z) / two(np.ones_like(z))
+
+
+def plain_relief(z, res, low, high, shadow, occlusion, depth, z_factor, s, sun, golden, soft, knob, radius, valley_radius):
+    """The stated formulas on arrays; shadow and occlusion are given."""
+    clip = lambda a: np.clip(a, 0, 1)
+    norm = clip((z - low) / (high - low + 1e-9))
+    xs = [t for t, _ in relief.HEIGHT_STOPS]
+    img = np.stack([np.interp(norm, xs, [c[k] for _, c in relief.HEIGHT_STOPS]) * 0.94 + relief.PAPER[k] * 0.06 for k in range(3)], -1) / 255
+    fine = lambda r: (z - blur(z, r)) / (4 * (np.std(z - blur(z, r)) + 1e-9))
+    tex = clip(0.5 + fine(radius))
+    if depth:
+        many = sum(w * clip(0.5 + fine(radius * t)) for t, w in relief.OCTAVES) / sum(w for _, w in relief.OCTAVES)
+        tex = clip(tex + 0.85 * depth * (many - 0.5))
+    deep = np.clip(blur(z, valley_radius) - z, 0, None)
+    val = clip(deep / (np.percentile(deep, 99) + 1e-9))
+    gy, gx = np.gradient(z * z_factor, res)
+    slope, aspect = np.pi / 2 - np.arctan(np.hypot(gx, gy)), np.arctan2(-gx, gy)
+    lamb = lambda az, alt: clip(np.sin(np.radians(alt)) * np.sin(slope) + np.cos(np.radians(alt)) * np.cos(slope) * np.cos(np.radians(az) - aspect))
+    lights = sum(w * lamb(315 + t, 45) for t, w in raster.LIGHTS) / 2.5
+    share = 1 - (1 - 0.55 * min(depth, 1)) * (1 - soft)
+    light = (0.26 + 0.74 * (lamb(315, 45) ** 1.1 * (1 - share) + lights**1.1 * share)) * (1 - 0.3 * val)
+    if s:
+        light = np.maximum(light * (1 - 0.45 * s * shadow) * (1 - 0.22 * s * occlusion), 0.12)
+    img = img * light[..., None]
+    tint = lambda img, w, c: img * (1 - w + np.array(c) * w)
+    if s:
+        img = tint(img, (0.65 * s * shadow)[..., None], (0.86, 0.94, 1.10))
+    if golden and sun:
+        shone = lamb(*sun)
+        lit, shade = shone**1.4, 1 - shone
+        if s:
+            lit, shade = lit * (1 - shadow), np.maximum(shade, np.maximum(shadow, occlusion))
+        img = tint(tint(img, (0.5 * golden * lit)[..., None], (1.14, 1.02, 0.82)), (0.45 * golden * shade)[..., None], (0.88, 0.94, 1.12))
+    img = img * (1 + 0.35 * (tex - 0.5))[..., None]
+    haze = np.array(relief.HAZE) / 255
+    if depth:
+        w = (0.18 * depth * clip(1 - norm) ** 1.5)[..., None]
+        img = img * (1 - w) + haze * w
+        w = (0.55 * depth * clip((0.16 - norm) / 0.16) * clip(1 - np.abs(tex - 0.5) * 4))[..., None]
+        img = img * (1 - w) + np.array(relief.SALT) / 255 * w
+    if knob:
+        w = (0.30 * knob * clip(1 - norm) ** 1.5)[..., None]
+        img = img * (1 - w) + haze * w
+    c = clip(img)
+    c = c * 0.7 + c * c * (3 - 2 * c) * 0.3
+    y = (c @ [0.299, 0.587, 0.114])[..., None]
+    return (clip((c - y) * 1.2 + y) * 255).astype(int)
+
+
+@pytest.mark.parametrize("knobs", [{}, {"depth": 0.8, "soft": 0.5, "z_factor": 2.0}, {"shadow": 0.9, "sun": (240.0, 25.0), "golden": 0.7, "depth": 0.5, "haze_knob": 0.4}])
+def test_shaded_relief_is_the_stated_composition(spark, knobs):
+    rng = np.random.default_rng(8)
+    z = blur(rng.normal(size=(20, 24)), 1.5) * 400 + 300
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(20) for j in range(24)], "row long, col long, v double")
+    low, high = float(z.min()), float(z.max())
+    rows = {(r.row, r.col): (r.r, r.g, r.b) for r in relief.shaded_relief(cells, 30.0, low, high, radius=1.0, valley_radius=2.0, **knobs).collect()}
+    got = np.array([[rows[i, j] for j in range(24)] for i in range(20)])
+    dark = {(r.row, r.col): (r.shadow, r.occlusion) for r in relief.shadow_terms(cells, 30.0, 30.0, *knobs.get("sun", (315.0, 45.0)), knobs.get("z_factor", 1.0)).collect()}
+    shadow, occlusion = (np.array([[dark[i, j][k] for j in range(24)] for i in range(20)]) for k in (0, 1))
+    k = {"depth": 0.0, "z_factor": 1.0, "sun": None, "golden": 0.0, "soft": 0.0} | knobs
+    want = plain_relief(z, 30.0, low, high, shadow, occlusion, k["depth"], k["z_factor"], k.get("shadow", 0.0), k["sun"], k["golden"], k["soft"], k.get("haze_knob", 0.0), 1.0, 2.0)
+    assert np.abs(got - want).max() <= 1 and (got == want).mean() > 0.98
+
+
+def test_shaded_relief_follows_the_light_and_fills_holes(spark):
+    """A ridge is brighter on the side of the sun; heights count z_factor times."""
+    cells = spark.createDataFrame([(i, j, None if (i, j) == (3, 3) else 30.0 * (10 - abs(j - 10))) for i in range(16) for j in range(21)], "row long, col long, v double")
+    rows = {(r.row, r.col): r for r in relief.shaded_relief(cells, 30.0, 0.0, 300.0, azimuth=270, radius=1.0, valley_radius=2.0).collect()}
     assert len(rows) == 16 * 21 and all(0 <= c <= 255 for r in rows.values() for c in (r.r, r.g, r.b))
     assert rows[8, 6].r > rows[8, 14].r
+    flat = {(r.row, r.col): r for r in relief.shaded_relief(cells, 30.0, 0.0, 300.0, azimuth=270, z_factor=0.0, radius=1.0, valley_radius=2.0).collect()}
+    assert abs(flat[8, 6].r - flat[8, 14].r) <= 1
+
+
+def test_points_at_are_as_of_the_next_end(spark):
+    """Against a search along each track, with repeated points, ends and tracks of one point."""
+    rng = np.random.default_rng(4)
+    tracks = [("d", [(0, 0), (0, 0), (3, 4), (3, 4), (3, 4), (9, 12), (9, 12)]), ("d", [(float(x), float(y)) for x, y in rng.integers(0, 9, (30, 2))]), ("d", [(1, 1)]), ("d", [(2, 2), (2, 2)])]
+    points = track(spark, *tracks)
+    wanted = [(f"t{k}", s) for k in range(5) for s in (-1.0, 0.0, 2.5, 5.0, 5.0, 7.0, 15.0, 1e9)]
+    got = {(r.track_id, r.s): (r.x, r.y, r.angle) for r in journeys.points_at(points, spark.createDataFrame(wanted, "track_id string, s double")).collect()}
+    want = {}
+    for k, (_, pts) in enumerate(tracks):
+        cum = [0.0]
+        for a, b in zip(pts, pts[1:], strict=False):
+            cum.append(cum[-1] + math.hypot(b[0] - a[0], b[1] - a[1]))
+        for _, s in (w for w in wanted if w[0] == f"t{k}" and len(pts) > 1):
+            at = min(max(s, 0.0), cum[-1])
+            i = next(i for i in range(len(pts) - 1) if cum[i + 1] >= at)
+            (xa, ya), (xb, yb) = pts[i], pts[i + 1]
+            u = (at - cum[i]) / (cum[i + 1] - cum[i]) if cum[i + 1] > cum[i] else 0.0
+            want[f"t{k}", s] = (xa + (xb - xa) * u, ya + (yb - ya) * u, math.atan2(yb - ya, xb - xa))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    plan = journeys.points_at(points, spark.createDataFrame(wanted, "track_id string, s double"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Join") == 1, "the only join is with one row a track"
+
+
+def test_sums_before_are_dealt_in_ranges(spark):
+    """Names with one beginning, and all of one day, are dealt to many tasks."""
+    rows = spark.range(5000).select(F.concat(F.lit("track-2024-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("track_id"), F.lit("2024-01-01").alias("day"), F.col("id"))
+    done = journeys.with_sum_before(rows.repartition(7), ["day", "track_id"], F.lit(2), "before")
+    assert all(r.before == 2 * r.id for r in done.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    dealt = rows.repartitionByRange("day", "track_id").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) >= 3 and max(r["count"] for r in dealt) < 2 * 5000 / len(dealt)
+
+
+def test_bundle_digest_streams(spark):
+    import hashlib
+
+    rows = [(b, f"n{i}", f"s{i * 7 % 11}") for b, n in (("big", 3000), ("one", 1), (None, 4)) for i in range(n)]
+    got = {r.bundle: r.digest for r in assets.bundle_digest(spark.createDataFrame(rows, "bundle string, name string, sha string").repartition(5)).collect()}
+    want = {b: hashlib.sha256("\n".join(sorted(f"{n}:{s}" for x, n, s in rows if x == b)).encode()).hexdigest()[:12] for b in ("big", "one", None)}
+    assert got == want
+    assert assets.bundle_digest(spark.createDataFrame([], "bundle string, name string, sha string")).count() == 0
+
+
+def test_rivers_by_their_longest_run(spark):
+    rows = [(1, "R", i, x, 5.0) for i, x in enumerate([1, 2, -5, 3, 4, 5, -9, 6])] + [(2, "R", i, float(i), 5.0) for i in range(3)] + [(3, "S", 0, -1.0, 5.0), (4, " ", 0, 1.0, 1.0), (5, "T", 0, None, 5.0), (5, "T", 1, 2.0, 5.0)]
+    features = spark.createDataFrame([(a, b, c, None if d is None else float(d), e) for a, b, c, d, e in rows], "id long, name string, vidx long, x double, y double")
+    got = {r.name: (r.id, r.first, r.n, r.x) for r in places.longest_runs(features, 10.0, 10.0).collect()}
+    assert got == {"R": (1, 3, 3, 4.0), "T": (5, 1, 1, 2.0)}
+
+
+def test_nested_documents_are_read(spark):
+    schema = "version INT, edition INT, spec STRUCT<title: STRING, crop: ARRAY<DOUBLE>, film: STRUCT<frames: INT, step_ms: INT>, tracks: ARRAY<STRUCT<id: STRING, at: DECIMAL(10,2)>>>"
+    defaults = {"edition": F.lit(1), "spec.title": F.lit(""), "spec.film.step_ms": F.lit(120)}
+    texts = ['{"version": 1, "spec": {"crop": [1, 2], "film": {"frames": 9}, "new": 1, "tracks": [{"id": "a", "at": 1.25, "x": 0}]}}', '{"version": "one", "edition": 3, "spec": {"title": 5}}', '{"spec": 4}', "{}", "[1]", "no", None, "3"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in rows.select("i", sheets.parsed(F.col("t"), schema, defaults).alias("s")).collect()}
+    assert got[0].asDict(True)["spec"] == {"title": "", "crop": [1.0, 2.0], "film": {"frames": 9, "step_ms": 120}, "tracks": [{"id": "a", "at": Decimal("1.25")}]} and got[0].edition == 1
+    assert (got[1].version, got[1].edition, got[1].spec.title, got[1].spec.film) == (None, 3, "5", None)
+    assert (got[2].edition, got[2].spec) == (1, None) and (got[3].edition, got[3].spec) == (1, None)
+    assert [got[i] for i in (4, 5, 6, 7)] == [None] * 4
 
 
 def test_wide_blur_keeps_level_ground_level(spark):
@@ -237,16 +374,18 @@ def test_wide_blur_keeps_level_ground_level(spark):
     assert {round(r.blurred, 9) for r in relief.wide_gaussian(cells, 9.0).collect()} == {5.0}
 
 
-def test_target_grid_lies_inside_its_box(spark):
+def test_target_grid_bounds_all_edges(spark):
     box = spark.createDataFrame([("r", -121.6, 40.2, -120.9, 40.7), ("tiny", -121.0, 40.0, -120.999, 40.001)], "id string, w double, s double, e double, n double")
-    r = {x.id: x for x in geodesy.target_grid(box, "id", 10, 10.0).collect()}["r"]
-    assert r.x0 % 10 == r.y0 % 10 == r.x1 % 10 == r.y1 % 10 == 0 and (r.cols, r.rows) == ((r.x1 - r.x0) / 10, (r.y1 - r.y0) / 10)
-    corners = spark.createDataFrame([(r.x0, r.y0), (r.x1, r.y0), (r.x0, r.y1), (r.x1, r.y1)], "x double, y double")
-    lon, lat = geodesy.lonlat(F.col("x"), F.col("y"), 10)
-    for c in corners.select(lon.alias("lon"), lat.alias("lat")).collect():
-        assert -121.6 < c.lon < -120.9 and 40.2 < c.lat < 40.7
-    tiny = {x.id: x for x in geodesy.target_grid(box, "id", 10, 10.0).collect()}["tiny"]
-    assert (tiny.cols, tiny.rows) == (0, 0)
+    r = {x.id: x for x in geodesy.target_grid(box, "id", 10, 10.0).collect()}
+    g = r["r"]
+    assert g.x0 % 10 == g.y0 % 10 == 0 and (g.x1, g.y1) == (g.x0 + 10 * g.cols, g.y0 + 10 * g.rows)
+    edge = [(-121.6 + 0.7 * i / 40, lat) for i in range(41) for lat in (40.2, 40.7)] + [(lon, 40.2 + 0.5 * i / 40) for i in range(41) for lon in (-121.6, -120.9)]
+    x, y = geodesy.utm(F.col("lon"), F.col("lat"), 10)
+    at = spark.createDataFrame(edge, "lon double, lat double").select(x.alias("x"), y.alias("y")).collect()
+    xs, ys = [p.x for p in at], [p.y for p in at]
+    assert abs(g.x0 - min(xs) - 500) <= 5 and abs(g.y0 - min(ys) - 500) <= 5
+    assert 0 <= max(xs) - 500 - g.x1 < 10 and 0 <= max(ys) - 500 - g.y1 < 10
+    assert (r["tiny"].cols, r["tiny"].rows) == (0, 0)
 
 
 def test_slopes_that_face_the_sun_are_the_brightest(spark):
