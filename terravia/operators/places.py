@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravia.operators.assets import first_of_each
+from terravia.operators.splitgrid import met
 from terravia.shared import kept
 
 SPACING_M = 6000.0
@@ -27,18 +28,9 @@ def inside(x: Column, y: Column, r: str = "") -> Column:
     return x.between(F.col(f"{r}min_x"), F.col(f"{r}max_x")) & y.between(F.col(f"{r}min_y"), F.col(f"{r}max_y"))
 
 
-def _celled(regions: DataFrame, cell_m: float) -> DataFrame:
-    """regions once for each cell of a grid that they reach into."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_m), F.floor(F.col(b) / cell_m)))
-    return regions.withColumn("cx", span("min_x", "max_x")).withColumn("cy", span("min_y", "max_y"))
-
-
 def matched(points: DataFrame, regions: DataFrame, cell_m: float = REGION_CELL_M) -> DataFrame:
-    """points with each region that they lie in. They meet by an equality join on the cells of a grid."""
-    cell = lambda c: F.floor(F.col(c) / cell_m)
-    boxes = _celled(regions.select("region_id", "min_x", "min_y", "max_x", "max_y"), cell_m)
-    keyed = points.withColumns({"cx": cell("x"), "cy": cell("y")})
-    return keyed.join(boxes, ["cx", "cy"]).where(inside(F.col("x"), F.col("y"))).drop("cx", "cy", "min_x", "min_y", "max_x", "max_y")
+    """points with each region that they lie in. They meet by an equality join on the cells of a grid, crowded ones split."""
+    return met(points, regions.select("region_id", "min_x", "min_y", "max_x", "max_y"), cell_m)
 
 
 def in_bounds(points: DataFrame, regions: DataFrame) -> DataFrame:
@@ -108,17 +100,13 @@ def hotspots(cells: DataFrame, bounds: tuple[float, float, float, float], cell_m
 def nearest(points: DataFrame, places: DataFrame, within_m: float) -> DataFrame:
     """id, place, dist_m: each point's nearest place within the radius, ties to the smaller place.
 
-    Places are sent to the nine cells around them of a grid as wide as the radius, and
-    meet the points by an equality join on the cell; the minimum is taken by point.
+    A place is a box as wide as the radius reaches, which the points in it meet on a grid whose crowded cells are
+    split; the minimum is taken by point.
     """
-    cell = lambda c: F.floor(F.col(c) / within_m).cast("long")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = places.select("place", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("cx"), cell("y").alias("cy"))
-    spread = spread.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("place", "px", "py", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    keyed = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    boxes = places.select("place", F.col("x").alias("px"), F.col("y").alias("py"), *((F.col(c) + sign * within_m).alias(f"{end}_{c}") for end, sign in (("min", -1), ("max", 1)) for c in "xy"))
     d2 = distance2(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
-    met = keyed.join(spread, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= within_m * within_m)
-    return met.groupBy("id").agg(F.min_by("place", F.struct("d2", "place")).alias("place"), F.sqrt(F.min("d2")).alias("dist_m"))
+    near = met(points.select("id", "x", "y"), boxes, within_m).withColumn("d2", d2).where(F.col("d2") <= within_m * within_m)
+    return near.groupBy("id").agg(F.min_by("place", F.struct("d2", "place")).alias("place"), F.sqrt(F.min("d2")).alias("dist_m"))
 
 
 def carry_annotations(old: DataFrame, new: DataFrame, key: str, within_m: float = CARRY_M) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries on journeys."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravia import fixtures as fx
@@ -142,9 +143,15 @@ def reveal_by_time(spark, d):
     return J.reveal_by_time(_users(spark, d))
 
 
-@register("frame_durations", "SELECT CAST(frame AS INTEGER) AS frame, CASE WHEN frame = 39 THEN 2500 WHEN frame = 0 THEN 600 ELSE 220 END AS ms FROM (SELECT unnest(range(0, 40)) AS frame)")
+@register(
+    "frame_durations",
+    "SELECT o_custkey, CAST(row_number() OVER w - 1 AS INTEGER) AS frame, CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY o_custkey) THEN 2500 WHEN row_number() OVER w = 1 THEN 600 ELSE 220 END AS ms FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+)
 def frame_durations(spark, d):
-    return spark.range(40).select(F.col("id").cast("int").alias("frame")).select("frame", J.durations(40, 220, 2500, 600).alias("ms"))
+    """A customer's orders are the frames of a film."""
+    per = Window.partitionBy("o_custkey")
+    frames = fx.table(spark, d, "orders").select("o_custkey", (F.row_number().over(per.orderBy("o_orderkey")) - 1).cast("int").alias("frame"), F.count("*").over(per).alias("n"))
+    return frames.select("o_custkey", "frame", J.durations(F.col("n"), 220, 2500, 600).alias("ms"))
 
 
 @register("film_ticks", "SELECT order_key, ms, CAST(unnest(range(1, greatest(1, CAST(round_even(ms / 40.0::DOUBLE, 0) AS INTEGER)) + 1)) AS INTEGER) AS tick FROM (SELECT o_orderkey AS order_key, CAST((o_orderkey * 37) % 500 AS INTEGER) AS ms FROM orders)")

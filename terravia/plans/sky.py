@@ -90,6 +90,26 @@ def build_plan(spark, d):
 _CROP = "cr AS (SELECT event_id, x - 500 - (event_id % 40) * 100 AS x0, y - 400 - (event_id % 30) * 100 AS y0, x + 500 + (event_id % 40) * 100 AS x1, y + 400 + (event_id % 30) * 100 AS y1 FROM fx_points)"
 
 
+@register(
+    "from_pixels",
+    oracle("fx_points", body="SELECT event_id, round(664030 + (event_id % 1124) / 1124.0::DOUBLE * 62000, 3) AS x, round(4525010 - (event_id % 1400) / 1400.0::DOUBLE * 77190, 3) AS y FROM fx_points"),
+)
+def from_pixels(spark, d):
+    i = F.col("event_id")
+    x, y = G.from_pixels((i % 1124).cast("double"), (i % 1400).cast("double"), tuple(map(F.lit, fx.BOUNDS)), 1124, 1400)
+    return fx.points(spark, d).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@register(
+    "ordered_boxes",
+    oracle("fx_points", body="SELECT event_id, least(x, 700000 + vidx) AS x0, least(y, 4480000.0::DOUBLE) AS y0, greatest(x, 700000 + vidx) AS x1, greatest(y, 4480000.0::DOUBLE) AS y1 FROM fx_points"),
+)
+def ordered_boxes(spark, d):
+    """Boxes drawn from any corner."""
+    box = G.ordered_box(F.col("x"), F.col("y"), (F.col("vidx") + 700000).cast("double"), F.lit(4480000.0))
+    return fx.points(spark, d).select("event_id", *(v.alias(n) for v, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
+
+
 @register(
     "refit_crop",
     oracle("fx_points", body=_CROP + """, w AS (SELECT event_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, least(least(greatest(sqrt(greatest((x1 - x0) * (y1 - y0), 1) * 0.75::DOUBLE), 3000 * (1 + 1e-6::DOUBLE)), 62000), 77190 * 0.75::DOUBLE) AS w FROM cr),
