@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("journeys", "places", "raster", "sky", "assets", "network", "lifecycle", "stars", "sheets", "bakes", "relief", "tiles", "files", "stores")
+MODULES: tuple[str, ...] = ("journeys", "places", "raster", "sky", "assets", "network", "lifecycle", "stars", "sheets", "bakes", "relief", "tiles", "files", "stores", "compositions")
 
 
 def load_all() -> None:
