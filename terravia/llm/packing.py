@@ -15,7 +15,8 @@ of which there are no more values than the longest length has tokens.
 
 Defined cases: a null or empty text has length `extra` (its end mark). A key that
 repeats, or is null, makes pieces of its own; hashing the length as well spreads such
-rows no further than their lengths differ. Ties: equal lengths are packed by key, then
+rows no further than their lengths differ, so a shard is packed in runs of at most MOST_HELD pieces, each into
+bins of its own, and no more is held however many rows are alike. Keys are of any type. Ties: equal lengths are packed by key, then
 piece. Empty tables give no bins.
 """
 
@@ -34,6 +35,8 @@ from terravia.llm.common import WORD
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 FIXED, QUADRATIC = 256, 16384
 ROWS_A_SHARD = 16384
+#: Pieces of a shard that are packed together at most; a shard of unlike rows has fewer.
+MOST_HELD = 1 << 18
 
 
 def cost(capacity: int) -> float:
@@ -94,14 +97,15 @@ class Packer:
         return [self.capacities[bisect_left(self.capacities, u)] for u in self.used]
 
 
-def _pack_shard(shard: pd.DataFrame, capacities: Sequence[int]) -> pd.DataFrame:
+def _pack_shard(shard: pd.DataFrame, capacities: Sequence[int], begun: int = 0) -> pd.DataFrame:
+    """The pieces with their bins, numbered from `begun` on."""
     lengths = shard["length"].to_numpy()
     packer = Packer(capacities, lengths)
     placed = [packer.place(n) for n in lengths.tolist()]
     sizes = packer.final()
     bins = np.array([b for b, _ in placed], dtype=np.int64)
     return shard.assign(
-        bin_id=(shard["shard"].to_numpy().astype(np.int64) << 32) | bins,
+        bin_id=(shard["shard"].to_numpy().astype(np.int64) << 32) | (bins + begun),
         bin_offset=np.array([o for _, o in placed], dtype=np.int64),
         capacity=np.array(sizes, dtype=np.int64)[bins],
     ).drop(columns="shard")
@@ -110,7 +114,7 @@ def _pack_shard(shard: pd.DataFrame, capacities: Sequence[int]) -> pd.DataFrame:
 def pack(lengths: DataFrame, key: str = "doc_id", length: str = "length", capacities: Sequence[int] = LENGTHS, shards: int | None = None) -> DataFrame:
     """key, piece, length, bin_id, bin_offset, capacity for every piece. lengths: key, length (1 at least)."""
     most = max(capacities)
-    rows = lengths.select(F.col(key).cast("long").alias(key), F.greatest(F.lit(1), F.col(length)).cast("long").alias("length"))
+    rows = lengths.select(F.col(key), F.greatest(F.lit(1), F.col(length)).cast("long").alias("length"))
     if shards is None:
         shards = max(1, -(-lengths.count() // ROWS_A_SHARD))
     cut = rows.select(key, "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {most}"))).alias("piece"))
@@ -120,16 +124,36 @@ def pack(lengths: DataFrame, key: str = "doc_id", length: str = "length", capaci
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        size = begun = 0
+        shard = None
+
+        def packed() -> pd.DataFrame:
+            nonlocal held, size, begun
+            done = _pack_shard(pd.concat(held, ignore_index=True), capacities, begun)
+            begun = int((done["bin_id"] & 0xFFFFFFFF).max()) + 1
+            held, size = [], 0
+            return done
+
         for frame in frames:
-            for _, part in frame.groupby("shard", sort=False):
-                if held and held[0]["shard"].iloc[0] != part["shard"].iloc[0]:
-                    yield _pack_shard(pd.concat(held, ignore_index=True), capacities)
-                    held = []
-                held.append(part)
+            for number, part in frame.groupby("shard", sort=False):
+                if number != shard:
+                    if held:
+                        yield packed()
+                    shard, begun = number, 0
+                while len(part):
+                    fits = part.iloc[: MOST_HELD - size]
+                    held.append(fits)
+                    size += len(fits)
+                    part = part.iloc[len(fits) :]
+                    if size >= MOST_HELD:
+                        yield packed()
         if held:
-            yield _pack_shard(pd.concat(held, ignore_index=True), capacities)
+            yield packed()
 
-    return ordered.mapInPandas(run, f"`{key}` long, piece long, length long, bin_id long, bin_offset long, capacity long")
+    # keys travel as text: beside nulls, numbers would become floating
+    kind = rows.schema[key].dataType
+    told = ordered.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"`{key}` string, piece long, length long, bin_id long, bin_offset long, capacity long")
+    return told.withColumn(key, F.col(key).cast(kind))
 
 
 def n_tokens(text: Column, extra: int = 1) -> Column:

@@ -679,6 +679,21 @@ def test_packing_shards_and_odd_rows(spark):
     assert packing.op9(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_packing_holds_little_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_HELD", 40)
+    big = (1 << 60) + 1
+    rows = packing.pack(spark.createDataFrame([(None, 100)] * 300 + [(big, 9000)], "doc_id long, length long"), shards=2).collect()
+    assert len(rows) == 302 and {x.doc_id for x in rows} == {None, big}
+    bins = defaultdict(list)
+    for x in rows:
+        bins[x.bin_id].append((x.bin_offset, x.length, x.capacity))
+    for pieces in bins.values():
+        ends = [0, *(o + n for o, n, _ in sorted(pieces))]
+        assert [o for o, _, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= pieces[0][2]
+    named = packing.pack(spark.createDataFrame([("a", 5), ("b", 7)], "name string, length long"), key="name").collect()
+    assert sorted((x.name, x.length) for x in named) == [("a", 5), ("b", 7)]
+
+
 # -- pipeline
 
 
