@@ -57,24 +57,25 @@ def ways(elements: DataFrame, zone: int) -> DataFrame:
 
 
 def bake(features: DataFrame, zone: int, keep: Column, tolerance_m: float = 30.0) -> DataFrame:
-    """feature, part, name, vidx, x, y of the features that stay, simplified. features: feature, part, name, vidx, lon, lat and what `keep` needs."""
-    named = features.where(keep).select("feature", "part", F.coalesce("name", F.lit("")).alias("name"), "vidx", "lon", "lat")
+    """feature, part, name, vidx, x, y (and stream_order, where features have one) of the features that stay, simplified. features: feature, part, name, vidx, lon, lat and what `keep` needs."""
+    order = [F.coalesce("stream_order", F.lit(0)).alias("stream_order")] if "stream_order" in features.columns else []
+    named = features.where(keep).select("feature", "part", F.coalesce("name", F.lit("")).alias("name"), *order, "vidx", "lon", "lat")
     flat = projected(named, zone, ["feature", "part"])
     keyed = flat.withColumn("track_id", F.concat_ws("-", F.col("feature").cast("string"), F.col("part").cast("string")))
     return simplify(keyed, tolerance_m).drop("track_id")
 
 
-def waters(features: DataFrame, zone: int) -> DataFrame:
-    return bake(features, zone, is_water(F.col("ftype")))
+def waters(features: DataFrame, zone: int, tolerance_m: float = 30.0) -> DataFrame:
+    return bake(features, zone, is_water(F.col("ftype")), tolerance_m)
 
 
-def dry_lakes(features: DataFrame, zone: int) -> DataFrame:
-    return bake(features, zone, is_dry_lake(F.col("ftype")))
+def dry_lakes(features: DataFrame, zone: int, tolerance_m: float = 30.0) -> DataFrame:
+    return bake(features, zone, is_dry_lake(F.col("ftype")), tolerance_m)
 
 
-def rivers(features: DataFrame, zone: int, least_order: int = 3) -> DataFrame:
+def rivers(features: DataFrame, zone: int, least_order: int = 3, tolerance_m: float = 30.0) -> DataFrame:
     """Of flow lines those of the order or above; a line without one has order 0."""
-    return bake(features, zone, F.coalesce(F.col("stream_order"), F.lit(0)) >= least_order)
+    return bake(features, zone, F.coalesce(F.col("stream_order"), F.lit(0)) >= least_order, tolerance_m)
 
 
 def landforms(features: DataFrame) -> DataFrame:

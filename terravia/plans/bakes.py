@@ -6,6 +6,7 @@ from terravia import fixtures as fx
 from terravia.catalog import register
 from terravia.fixtures import oracle
 from terravia.operators import bakes as B
+from terravia.plans.sky import _series
 
 _CODES = ("390", "436", "361", "LakePond ", "reservoir", "Playa", "SwampMarsh", None, "12")
 
@@ -112,3 +113,28 @@ def waters_baked(spark, d):
     part = F.length("track_id") % 3
     f = p.select(F.col("track_id").alias("feature"), part.alias("part"), F.lit(None).cast("string").alias("name"), F.when(part == 0, "390").when(part == 1, "Reservoir").otherwise("361").alias("ftype"), "vidx", "lon", "lat")
     return B.waters(f, 10).groupBy("part").agg(F.count_distinct("feature").alias("features"))
+
+
+_PLACE = "-123.9::DOUBLE + ((event_id * 7919) % 5003) / 2000.0::DOUBLE AS lon, 36.0::DOUBLE + ((event_id * 104729) % 4001) / 1000.0::DOUBLE AS lat"
+
+
+@register(
+    "hydro_baked",
+    oracle(
+        "fx_points",
+        body=f"""ll AS (SELECT event_id, t, {_PLACE} FROM fx_points), {_series().replace("SELECT event_id, round(", ", gx AS (SELECT event_id, round(", 1)}),
+  f AS (SELECT CAST(split_part(track_id, '-', 1) AS INTEGER) AS feature, CAST(right(track_id, 2) AS INTEGER) AS part, vidx, gx.x, gx.y, count(*) OVER (PARTITION BY track_id) AS n FROM fx_points JOIN gx USING (event_id))
+  SELECT CASE WHEN feature % 2 = 1 THEN 'river' WHEN feature % 6 = 4 THEN 'playa' ELSE 'lake' END AS kind, feature, part, 'w' || feature AS name, CASE WHEN feature % 2 = 1 THEN feature % 5 END AS stream_order, vidx, round(x, 1) AS x, round(y, 1) AS y FROM f
+  WHERE n > 1 AND (feature % 2 = 0 OR feature % 5 >= 3)""",
+    ),
+)
+def hydro_baked(spark, d):
+    """Users as waters, a day of theirs a part: lakes, dry lakes, and rivers of the third order and up, all vertices in metres: nothing is simplified away here, which SQL could not follow."""
+    i, u = F.col("event_id"), F.substring_index("track_id", "-", 1).cast("int")
+    p = fx.points(spark, d).select(u.alias("feature"), F.substring("track_id", -2, 2).cast("int").alias("part"), F.concat(F.lit("w"), u.cast("string")).alias("name"), "vidx", (-123.9 + (i * 7919) % 5003 / 2000.0).alias("lon"), (36.0 + (i * 104729) % 4001 / 1000.0).alias("lat"))
+    code = F.when(F.col("feature") % 6 == 4, " playa ").when(F.col("feature") % 6 == 2, "Reservoir").otherwise("390")
+    areas = p.where("feature % 2 = 0").withColumn("ftype", code)
+    lines = p.where("feature % 2 = 1").withColumn("stream_order", F.col("feature") % 5)
+    out = lambda kind, rows, order: rows.select(F.lit(kind).alias("kind"), "feature", "part", "name", order.cast("int").alias("stream_order"), "vidx", F.round(F.round("x", 3), 1).alias("x"), F.round(F.round("y", 3), 1).alias("y"))
+    none = F.lit(None)
+    return out("lake", B.waters(areas, 10, 0.001), none).unionByName(out("playa", B.dry_lakes(areas, 10, 0.001), none)).unionByName(out("river", B.rivers(lines, 10, tolerance_m=0.001), F.col("stream_order")))

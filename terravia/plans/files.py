@@ -1,12 +1,20 @@
 """Queries that write files into the shared folder and read them back."""
 
+import io
+import struct
+import zipfile
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from terravia import fixtures as fx
 from terravia.catalog import register
 from terravia.fixtures import oracle
 from terravia.functions.geodesy import lonlat
-from terravia.shared import fresh_path
+from terravia.shared import discard, fresh_path, kept
+from terravia.sources import blobs, documents
 from terravia.sources import tracks as T
 
 _STEP = "(event_id % 600) / 100.0::DOUBLE"
@@ -87,3 +95,63 @@ def upload_extent(spark, d):
     p = _placed(spark, d).withColumn("title", F.when(u % 4 == 1, F.concat(F.lit("walks of "), "file")).when(u % 4 == 2, F.lit("  ")))
     many = p.groupBy("track_id").count().where("count > 1").select("track_id")
     return T.read_extent(spark, _written(T.to_gpx(p.join(many, "track_id", "left_semi")), "gpx"))
+
+
+@F.pandas_udf(BinaryType())
+def _zipped(name: pd.Series, text: pd.Series) -> pd.Series:
+    """An archive with the text under a name, after another member."""
+
+    def one(name: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("images/readme.txt", "no track")
+            z.writestr(name, text)
+        return out.getvalue()
+
+    return pd.Series([one(n, t) for n, t in zip(name, text, strict=True)])
+
+
+@register(
+    "kmz_read",
+    oracle("fx_points", body=_PLACED + " SELECT lon, lat, count(*) AS n FROM big WHERE CAST(split_part(track_id, '-', 1) AS INTEGER) % 5 < 3 GROUP BY lon, lat"),
+)
+def kmz_read(spark, d):
+    """Each user's tracks in an archive; a fifth of them hold no KML, a fifth are broken off in the middle."""
+    root = fresh_path(spark, "kmz")
+    u = F.col("file").cast("int") % 5
+    name = F.when(u == 3, "notes.txt").when(u == 1, "a/other.kml").otherwise("doc.kml")
+    packed = _kml(spark, d).withColumn("content", _zipped(name, F.col("text")))
+    content = F.when(u == 4, F.substring("content", 1, 60)).otherwise(F.col("content"))
+    blobs.write(packed.select(F.concat("file", F.lit(".kmz")).alias("key"), content.alias("content")), root)
+    out = kept(T.read_tracks(spark, root).where("ele = 7").groupBy("lon", "lat").agg(F.count("*").alias("n")))
+    discard(root)
+    return out
+
+
+@F.pandas_udf(BinaryType())
+def _png(kind: pd.Series, text: pd.Series) -> pd.Series:
+    """An image file of one grey pixel that carries a text, plain, packed, or not at all."""
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    def one(kind: int, text: str) -> bytes:
+        carried = {0: lambda: chunk(b"tEXt", b"plate\0" + text.encode("latin-1")), 1: lambda: chunk(b"zTXt", b"plate\0\0" + zlib.compress(text.encode())), 2: lambda: b"", 3: lambda: chunk(b"tEXt", b"plate\0{}")}[kind]()
+        return documents.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + carried + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+    return pd.Series([one(k, t) for k, t in zip(kind, text, strict=True)])
+
+
+@register("png_manifests", "SELECT o_custkey AS id, count(*) AS orders, 'EPSG:' || CAST(o_custkey % 100 AS VARCHAR) AS crs FROM orders WHERE o_custkey % 4 < 2 GROUP BY o_custkey")
+def png_manifests(spark, d):
+    """A picture for each customer that orders; half of them carry a manifest with a composition, some of those packed."""
+    root = fresh_path(spark, "png")
+    per = fx.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    k = F.col("o_custkey")
+    text = F.concat(F.lit('{"id":'), k.cast("string"), F.lit(',"spec":{"orders":'), F.col("n").cast("string"), F.lit(',"crs":"EPSG:'), (k % 100).cast("string"), F.lit('"}}'))
+    blobs.write(per.select(F.concat(k.cast("string"), F.lit(".png")).alias("key"), _png((k % 4).cast("int"), text).alias("content")), root)
+    m = documents.manifests(spark, root, "plate")
+    get = lambda path, kind: F.try_variant_get("manifest", path, kind)
+    out = kept(m.select(get("$.id", "bigint").alias("id"), get("$.spec.orders", "bigint").alias("orders"), get("$.spec.crs", "string").alias("crs")))
+    discard(root)
+    return out

@@ -307,3 +307,27 @@ def stats_lines(spark, d):
     years = F.when(k % 7 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy"))
     ratio = F.when(k % 11 == 0, 0.0).otherwise(0.5 + k * 37)
     return o.select(k.alias("k"), J.stats_line(k % 4, years, ratio, k % 3, (k % 5000) / 2.0, k % 5 - 2).alias("line"))
+
+
+def _hash(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 6))::BIGINT / 16777216.0::DOUBLE)"
+
+
+_SWAY = " + ".join(f"sin(6.283185307179586::DOUBLE * ({k} * cum / 30000.0::DOUBLE + {_hash(f"track_id || '/w{k}/5'")})) / {k}" for k in (1, 2, 3))
+
+
+@register(
+    "recorded_tracks",
+    oracle("fx_users", body=f"""s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, vidx AS i FROM fx_users WINDOW w AS (PARTITION BY track_id ORDER BY vidx)),
+  l AS (SELECT *, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) AS len FROM s WHERE x1 IS NOT NULL), c AS (SELECT *, sum(len) OVER w AS c1, sum(len) OVER w - len AS c0 FROM l WINDOW w AS (PARTITION BY track_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+  e AS (SELECT *, unnest(range(CAST(ceil(c0 / 10000.0::DOUBLE) AS BIGINT), CAST(ceil(c1 / 10000.0::DOUBLE) AS BIGINT))) AS k FROM c WHERE c1 > c0),
+  p AS (SELECT track_id, k AS vidx, x + (x1 - x) * ((k * 10000.0::DOUBLE - c0) / (c1 - c0)) AS x, y + (y1 - y) * ((k * 10000.0::DOUBLE - c0) / (c1 - c0)) AS y FROM e),
+  q AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS st FROM p WINDOW w AS (PARTITION BY track_id ORDER BY vidx)),
+  r AS (SELECT *, sum(st) OVER (PARTITION BY track_id ORDER BY vidx ROWS UNBOUNDED PRECEDING) AS cum, sum(st) OVER (PARTITION BY track_id) AS total FROM q),
+  o AS (SELECT *, CASE WHEN total > 0 THEN 800 * 4 * (cum / total) * (1 - cum / total) * ({_SWAY}) ELSE 0 END AS off, 40 * sqrt(-2 * ln(1 - {_hash("track_id || '/' || vidx || '/r/5'")})) AS ra, 6.283185307179586::DOUBLE * {_hash("track_id || '/' || vidx || '/a/5'")} AS an, sqrt(dx * dx + dy * dy) AS ln_ FROM r)
+  SELECT track_id, vidx, round(x - CASE WHEN ln_ > 0 THEN dy / ln_ ELSE 0 END * off + ra * cos(an), 2) AS x, round(y + CASE WHEN ln_ > 0 THEN dx / ln_ ELSE 0 END * off + ra * sin(an), 2) AS y FROM o"""),
+)
+def recorded_tracks(spark, d):
+    """Each user's way as a device that samples every ten kilometres might have recorded it."""
+    done = J.recorded(_users(spark, d), 10_000.0, 800.0, 30_000.0, 3, 40.0, 5)
+    return done.select("track_id", "vidx", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
