@@ -89,6 +89,28 @@ def literal_tokens(pattern: str) -> set[str]:
     return found
 
 
+#: Rules that are read from a table at most; they go to every task.
+MOST_RULES = 100_000
+
+
+def rules_of(table: DataFrame) -> tuple[tuple[HostRule, ...], tuple[PatternRule, ...]]:
+    """Host and pattern rules from a table: verdict (allow, block), and either host with path (null: any) or pattern. A host that is there twice with one path is an error, as is a row that is neither."""
+    rows = table.select("verdict", "host", "path", "pattern").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    hosts, patterns = [], []
+    for r in rows:
+        if r["verdict"] not in ("allow", "block") or (r["host"] is None) == (r["pattern"] is None):
+            raise ValueError(f"no rule: {r.asDict()}")
+        if r["host"] is None:
+            patterns.append(PatternRule(r["verdict"], r["pattern"]))
+        else:
+            hosts.append(HostRule(r["verdict"], r["host"].lower(), r["path"] or "/"))
+    if len({h.name for h in hosts}) < len(hosts):
+        raise ValueError("two rules for one host and path")
+    return tuple(sorted(hosts, key=lambda h: h.name)), tuple(sorted(patterns, key=lambda p: (p.pattern, p.verdict)))
+
+
 def token_counts(urls: DataFrame, url: str, rules: tuple[PatternRule, ...]) -> dict[str, int]:
     """In how many places of all the URLs each literal token of the rules occurs; no more entries than the rules have tokens."""
     wanted = sorted(set().union(*(literal_tokens(r.pattern) for r in rules)) if rules else ())

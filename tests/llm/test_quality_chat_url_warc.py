@@ -133,6 +133,20 @@ def test_url_index_fetches_what_all_rules_would(spark):
     assert sum(len(v) for v in f.filed.values()) >= len(urlfilter.PATTERN_RULES) - len(f.always)
 
 
+def test_url_rules_from_a_table(spark):
+    schema = "verdict string, host string, path string, pattern string"
+    rows = [(r.verdict, r.host, r.path, None) for r in urlfilter.HOST_RULES] + [(r.verdict, None, None, r.pattern) for r in urlfilter.PATTERN_RULES]
+    hosts, patterns = urlfilter.rules_of(spark.createDataFrame(rows, schema))
+    assert set(hosts) == set(urlfilter.HOST_RULES) and set(patterns) == set(urlfilter.PATTERN_RULES)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    assert sorted(urlfilter.judge(pages, hosts=hosts, patterns=patterns).collect()) == sorted(urlfilter.judge(pages).collect())
+    for bad in (("maybe", "x.org", "/", None), ("allow", None, None, None), ("allow", "x.org", None, "y")):
+        with pytest.raises(ValueError, match="no rule"):
+            urlfilter.rules_of(spark.createDataFrame([bad], schema))
+    with pytest.raises(ValueError, match="two rules"):
+        urlfilter.rules_of(spark.createDataFrame([("allow", "x.org", None, None), ("block", "X.org", "/", None)], schema))
+
+
 def test_warc_oracle(spark):
     same(warc.op5(spark.read.parquet(f"{SF}/pages.parquet")), duck(), warc.ORACLE)
 
