@@ -63,6 +63,12 @@ def from_pixels(px: Column, py: Column, box: tuple[Column, Column, Column, Colum
     return x0 + px / width * (x1 - x0), y1 - py / height * (y1 - y0)
 
 
+def sheet_pixels(x: Column, y: Column, crop: tuple[Column, Column, Column, Column], width: Column | int, height: Column | int, pad_x: Column | int = 0, pad_y: Column | int = 0) -> tuple[Column, Column]:
+    """Metres to pixels of a sheet that shows the crop inside a margin: the crop's upper left corner is (pad_x, pad_y), and width and height are the crop's own, without the margin."""
+    px, py = to_pixels(x, y, crop, width, height)
+    return px + pad_x, py + pad_y
+
+
 def padded_box(w: Column, s: Column, e: Column, n: Column, share: float = 0.20, least_m: float = 3000.0) -> tuple[Column, Column, Column, Column]:
     """A box grown on each side by a share of its span, a distance at least."""
     squeeze = F.greatest(F.lit(0.2), F.cos(F.radians((s + n) / 2)))

@@ -122,9 +122,9 @@ def archive_names_ok(names: Column, folder: Column, allowed: Sequence[str]) -> C
     return inside & (F.size(F.array_distinct(names)) == F.size(names)) & F.array_contains(names, F.concat(folder, F.lit("/sources.json")))
 
 
-def same_sets(a: DataFrame, b: DataFrame) -> Column | bool:
-    """Whether two tables hold the same rows, as sets."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def same_sets(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, as sets: repeats do not count, order of rows does not either, and nulls are equal."""
+    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
 
 
 def guarded(requests: DataFrame, known: DataFrame, regions: DataFrame) -> DataFrame:

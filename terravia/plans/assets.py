@@ -323,3 +323,30 @@ def parsed_values(spark, d):
     n, s = pick("1.5", "-2e2", "nan", "Infinity", "1,5", None), pick("1080x1350, 1200x630", "1080X1350", "0x5", "5000x5", "12x", None)
     rows = fx.table(spark, d, "part").select("p_partkey", T.finite_number(n).alias("n"), T.sizes(s, 2160).alias("s"))
     return rows.select("p_partkey", "n", F.when(F.col("s").isNotNull(), F.size("s")).alias("sizes"), F.element_at("s", -1)["h"].alias("last_h"))
+
+
+@register(
+    "archive_names",
+    """SELECT p_partkey, p_partkey % 6 IN (0, 5) AS ok FROM part""",
+)
+def archive_names(spark, d):
+    """Member lists of archives: whole, short of the sources, with a repeat, from elsewhere, climbing out, and with the heights."""
+    k = F.col("p_partkey")
+    folder = F.concat(F.lit("r"), (k % 9).cast("string"))
+    at = lambda *names: F.array(*(F.concat(folder, F.lit("/"), F.lit(n)) for n in names))
+    lists = F.array(at("sources.json"), at("dem.tif"), at("sources.json", "dem.tif", "dem.tif"), F.concat(at("sources.json"), F.array(F.lit("elsewhere/dem.tif"))), at("sources.json", "../etc"), at("sources.json", "dem.tif"))
+    names = F.get(lists, (k % 6).cast("int"))
+    return fx.table(spark, d, "part").select("p_partkey", A.archive_names_ok(names, folder, ["dem.tif", "sources.json"]).alias("ok"))
+
+
+@register(
+    "same_sets",
+    """WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem), b AS (SELECT s_suppkey AS k FROM supplier), c AS (SELECT DISTINCT o_custkey AS k FROM orders), e AS (SELECT c_custkey AS k FROM customer)
+  SELECT 'suppliers' AS what, (SELECT count(*) FROM a ANTI JOIN b USING (k)) + (SELECT count(*) FROM b ANTI JOIN a USING (k)) = 0 AS same
+  UNION ALL SELECT 'customers', (SELECT count(*) FROM c ANTI JOIN e USING (k)) + (SELECT count(*) FROM e ANTI JOIN c USING (k)) = 0""",
+)
+def same_sets(spark, d):
+    """Whether those that lines and orders name are those that there are; names are repeated there."""
+    named = lambda t, c: fx.table(spark, d, t).select(F.col(c).cast("long").alias("k"))
+    rows = [("suppliers", A.same_sets(named("lineitem", "l_suppkey"), named("supplier", "s_suppkey"))), ("customers", A.same_sets(named("orders", "o_custkey"), named("customer", "c_custkey")))]
+    return spark.createDataFrame(rows, "what string, same boolean")

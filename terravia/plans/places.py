@@ -122,16 +122,17 @@ def trailhead_topk(spark, d):
     return P.trailheads(pts, (690000.0, 4480000.0), (695030.0, 4486415.0), 9000.0).select("id", "x", "y", F.round("d", 3).alias("d"))
 
 
-_LABELS = """lab AS (SELECT p_brand AS sheet, p_name || '#' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN 'river' WHEN 1 THEN 'lake' ELSE 'peak' END AS kind, p_size AS rank,
+_LABELS = """lab AS (SELECT p_partkey // 80 AS sheet, p_name || '#' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN 'river' WHEN 1 THEN 'lake' ELSE 'peak' END AS kind, p_size AS rank,
    CAST((p_partkey * 7919) % 1000 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 1000 AS DOUBLE) AS y, 8.0::DOUBLE * length(p_name) AS w, 14.0::DOUBLE AS h FROM part),
  held AS (SELECT *, row_number() OVER (PARTITION BY sheet, kind ORDER BY rank DESC, name) <= CASE kind WHEN 'lake' THEN 2 WHEN 'river' THEN 1 ELSE 0 END AS held FROM lab),
  ord AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY held DESC, rank DESC, name) AS nth FROM held)"""
 
 
 def _label_rows(spark, d):
+    """Eighty names a sheet: a map has so many, however many maps there are."""
     kind = F.when(F.col("p_size") % 4 == 0, "river").when(F.col("p_size") % 4 == 1, "lake").otherwise("peak")
     return fx.table(spark, d, "part").select(
-        F.col("p_brand").alias("sheet"), F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("name"), kind.alias("kind"), F.col("p_size").alias("rank"),
+        F.floor(F.col("p_partkey") / 80).alias("sheet"), F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("name"), kind.alias("kind"), F.col("p_size").alias("rank"),
         ((F.col("p_partkey") * 7919) % 1000).cast("double").alias("x"), ((F.col("p_partkey") * 104729) % 1000).cast("double").alias("y"), (8.0 * F.length("p_name")).alias("w"), F.lit(14.0).alias("h"),
     )
 

@@ -100,6 +100,17 @@ def from_pixels(spark, d):
     return fx.points(spark, d).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+@register(
+    "sheet_pixels",
+    oracle("fx_points", body="SELECT event_id, round((x - 670000) / 20000 * 900 + 54, 4) AS px, round((4500000 - y) / 30000 * 1350 + 81, 4) AS py FROM fx_points"),
+)
+def sheet_pixels(spark, d):
+    """A crop of twenty by thirty kilometres with its margin of six hundredths."""
+    crop = tuple(map(F.lit, (670000.0, 4470000.0, 690000.0, 4500000.0)))
+    px, py = G.sheet_pixels(F.col("x"), F.col("y"), crop, 900, 1350, 54, 81)
+    return fx.points(spark, d).select("event_id", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
+
+
 @register(
     "ordered_boxes",
     oracle("fx_points", body="SELECT event_id, least(x, 700000 + vidx) AS x0, least(y, 4480000.0::DOUBLE) AS y0, greatest(x, 700000 + vidx) AS x1, greatest(y, 4480000.0::DOUBLE) AS y1 FROM fx_points"),

@@ -152,3 +152,20 @@ def files_verified(spark, d):
     out = kept(A.verify(listed, documents.found_assets(spark, root)))
     discard(root)
     return out
+
+
+@register(
+    "plate_cards",
+    """SELECT DISTINCT 'p' || (page_id % 40) AS region_id, page_id % 40 < 25 AND page_id % 40 % 3 <> 0 AS rendered FROM pages WHERE page_id % 5 <> 4""",
+)
+def plate_cards(spark, d):
+    """Pages show cards of forty plates; an index knows some of them, and of these some as built."""
+    root = fresh_path(spark, "farm")
+    k = F.col("page_id") % 40
+    pages = fx.table(spark, d, "pages").select(F.when(F.col("page_id") % 5 != 4, F.concat(F.coalesce("html", F.lit("")), F.lit('<a data-plate="p'), k.cast("string"), F.lit('"></a><b data-plate=""></b>'))).otherwise("").alias("html"))
+    entry = lambda i: F.concat(F.lit('"p'), i.cast("string"), F.lit('":{"glb":"'), F.when(i % 3 != 0, "x.glb").otherwise(""), F.lit('","more":1}'))
+    index = fx.table(spark, d, "region").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), entry), ","), F.lit("}")).alias("content"))
+    blobs.write(index.select(F.lit("index.json").alias("key"), "content"), root)
+    out = kept(documents.cards(pages, documents.farm_index(spark, f"{root}/index.json")))
+    discard(root)
+    return out

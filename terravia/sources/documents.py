@@ -86,6 +86,19 @@ def with_asset(rows: DataFrame, source: tuple[str, str, str]) -> DataFrame:
     return rows.withColumn("__m", m).withColumn("manifest", F.when(F.try_parse_json("manifest").isNull(), F.col("manifest")).otherwise(folded)).drop("__m")
 
 
+def farm_index(spark: SparkSession, path: str) -> DataFrame:
+    """region_id, rendered: the entries of an index of what is built, an object of regions; none where the file is absent or is no object."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("text"))
+    entries = F.from_json("text", "MAP<STRING, STRUCT<glb: STRING>>")
+    return files.select(F.explode(entries).alias("region_id", "e")).select("region_id", (F.coalesce("e.glb", F.lit("")) != "").alias("rendered"))
+
+
+def cards(pages: DataFrame, index: DataFrame, html: str = "html") -> DataFrame:
+    """region_id, rendered: each plate that some page shows a card of, once, and whether it is built."""
+    shown = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit('data-plate="([^"]+)"'), F.lit(1))).alias("region_id")).distinct()
+    return shown.join(index, "region_id", "left").select("region_id", F.coalesce("rendered", F.lit(False)).alias("rendered"))
+
+
 def ways(spark: SparkSession, path: str) -> DataFrame:
     """way, vidx, x, y, class of a cached network."""
     found = _json(spark, path, WAYS_SCHEMA).select("folder", F.posexplode("ways").alias("i", "w"))

@@ -204,6 +204,24 @@ def test_rules_report_the_first_break(spark):
     assert {r.id: r.e for r in rows.select("id", assets.first_error(rules).alias("e")).collect()} == {1: None, 2: "finite", 3: "positive"}
 
 
+def test_same_sets(spark):
+    of = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    assert assets.same_sets(of(1, 2, 2, None), of(None, 2, 1, 1)) and assets.same_sets(of(), of())
+    assert not assets.same_sets(of(1), of(1, None)) and not assets.same_sets(of(1, 2), of(1))
+
+
+def test_sun_of_a_journey(spark):
+    rows = [("none", 40.0, -121.0, None, None), ("summit", 40.0, -121.0, "2024-06-21", 1719000000.0), ("day", 40.0, -121.0, "2024-06-21", None), ("north", 80.0, 0.0, "2024-12-21", None)]
+    a = spark.createDataFrame(rows, "id string, lat double, lon double, last_day string, summit_t double")
+    got = {r.id: r for r in solar.journey_light(a, "id").collect()}
+    assert not got["none"].available and got["none"].azimuth is None and got["none"].hour is None
+    assert got["summit"].hour == round((1719000000 - 121 * 240) % 86400 / 3600, 3)
+    assert 17 < got["day"].hour < 19.5 and 11 < got["day"].altitude < 12.2 and got["day"].azimuth > 270, "the evening's golden hour"
+    assert got["north"].altitude == 8.0 and abs(got["north"].hour - 12) < 0.2, "where the sun never stands so high, its highest"
+    at = {r.id: r for r in solar.journey_light(a, "id", F.lit(9.5)).collect()}
+    assert at["summit"].hour == at["day"].hour == 9.5 and not at["none"].available
+
+
 def test_archive_names(spark):
     ok = lambda names: spark.createDataFrame([(names, "r")], "n array<string>, f string").select(assets.archive_names_ok(F.col("n"), F.col("f"), ["dem.tif", "sources.json"]).alias("v")).first().v
     assert ok(["r/dem.tif", "r/sources.json"])
