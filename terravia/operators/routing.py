@@ -31,8 +31,8 @@ WEIGHTS = {
     "4wd_day": {"trail": 2.5, "4wd": 0.5, "road": 1.0},
 }
 MOST_SHARED, TURNED_PENALTY, LEAST_4WD = 0.35, 4.0, 0.4
-#: Points of all trips, points of a trip, metres between points at least, and printed pixels between them.
-MOST_POINTS, MOST_TRIP_POINTS, LEAST_SPACING_M, SPACING_PX = 18_000, 4_200, 15.0, 1.5
+#: Points of all trips, points of a trip, metres between points at least, printed pixels between them, and by how much more than in proportion a spacing grows that is too fine.
+MOST_POINTS, MOST_TRIP_POINTS, LEAST_SPACING_M, SPACING_PX, COARSER = 18_000, 4_200, 15.0, 1.5, 1.02
 SHAPES = ("out_and_back", "loop", "4wd")
 
 REACHED = "trip string, node string, cost double, prev string, via string, chain string, hops int"
@@ -68,6 +68,16 @@ class Network:
         return sum((F.col(m) * weights[c] for m, c in zip(_metres(self.classes), self.classes, strict=True)), F.lit(0.0))
 
 
+def uncontracted(edges: DataFrame) -> Network:
+    """The network with each edge a step, for searches that want every vertex."""
+    edges = edges.where("src <> dst").select("eid", "src", "dst", "class", F.col("len_m").cast("double").alias("len_m"))
+    classes = sorted(r["class"] for r in edges.select("class").distinct().collect())
+    metres = [F.when(F.col("class") == c, F.col("len_m")).otherwise(0.0).alias(m) for m, c in zip(_metres(classes), classes, strict=True)]
+    one = lambda sign, a, b: edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.concat("eid", F.lit(sign)).alias("via"), F.col("eid").alias("chain"), F.lit(1).alias("edges"), *metres)
+    steps = one("+", "src", "dst").unionByName(one("-", "dst", "src"))
+    return Network(steps.select(F.col("chain").alias("eid"), "src", "dst", F.col("via").alias("last"), F.lit(1).alias("left")), steps, classes)
+
+
 def contract(edges: DataFrame, keep: DataFrame) -> Network:
     """The network of edges (eid, src, dst, class, len_m) travelled both ways; vertices in keep (node) are never inside a chain.
 
@@ -200,8 +210,7 @@ def edges_of(net: Network, steps: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, source: str, weights: dict[str, float] | None = None) -> DataFrame:
     """node, cost: of the cheapest way from source to every vertex within reach, those inside chains included."""
     one = edges.sparkSession.createDataFrame([("", source)], "trip string, node string")
-    every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))  # no vertex is contracted away
-    return search(contract(edges, every), one, weights).select("node", "cost")
+    return search(uncontracted(edges), one, weights).select("node", "cost")
 
 
 def cheapest_ways(edges: DataFrame, wanted: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -283,5 +292,5 @@ def within_budget(lengths: DataFrame, spacing: float, most: int = MOST_POINTS, r
         n = total(spacing)
         if n <= most:
             break
-        spacing *= 1.02 * n / most
+        spacing *= COARSER * n / most
     return spacing, lengths.withColumn("n_points", F.when(F.col("length_m").isNotNull(), n_points(F.col("length_m"), spacing)))

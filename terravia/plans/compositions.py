@@ -17,7 +17,7 @@ def _full(spark, d):
     tracks = F.array(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), point), F.array(point(F.lit(9)), point(F.lit(10))))
     photo = F.when(k % 3 == 0, F.concat(F.lit("/srv/"), k.cast("string"))).otherwise(F.concat(F.lit(S.PHOTO), F.base64(F.encode(k.cast("string"), "UTF-8"))))
     spot = F.struct((k * 1.5).alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("weight"), F.lit('say "hé" \\ there').alias("label"), F.lit("flag").alias("icon"), photo.alias("photo"))
-    rows = fx.specs(spark, d).withColumns({"region_id": F.lit("lassen"), "crs": F.lit("EPSG:32610"), "tracks": tracks, "spots": F.array(spot)})
+    rows = fx.specs(spark, d).withColumns({"region_id": F.lit("hills"), "crs": F.lit("EPSG:32610"), "tracks": tracks, "spots": F.array(spot)})
     # JSON has no NaN
     return rows.withColumn("x1", F.when(~F.isnan("x1"), F.col("x1")))
 

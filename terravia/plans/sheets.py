@@ -177,13 +177,13 @@ def preset_refit(spark, d):
 @register(
     "captions",
     """SELECT o_orderkey AS k, upper(replace(name, '_', ' ')) || ' — EDITION ' || CASE WHEN ed IS NULL OR ed IN ('', '0') THEN '1' ELSE CAST(TRY_CAST(ed AS INTEGER) AS VARCHAR) END AS caption
-  FROM (SELECT o_orderkey, coalesce(nullif(trim(CASE o_orderkey % 4 WHEN 0 THEN '  Lassen_' || o_orderpriority || ' ' WHEN 1 THEN '   ' WHEN 2 THEN NULL ELSE '' END), ''), nullif(CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'tushar_' || o_orderstatus END, '')) AS name,
+  FROM (SELECT o_orderkey, coalesce(nullif(trim(CASE o_orderkey % 4 WHEN 0 THEN '  High_' || o_orderpriority || ' ' WHEN 1 THEN '   ' WHEN 2 THEN NULL ELSE '' END), ''), nullif(CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'dry_' || o_orderstatus END, '')) AS name,
     CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN 'two' ELSE CAST(o_orderkey % 9 AS VARCHAR) END AS ed FROM orders)""",
 )
 def captions(spark, d):
     k = F.col("o_orderkey")
-    title = F.when(k % 4 == 0, F.concat(F.lit("  Lassen_"), "o_orderpriority", F.lit(" "))).when(k % 4 == 1, "   ").when(k % 4 == 3, "")
-    region = F.when(k % 5 == 1, "").when(k % 5 > 1, F.concat(F.lit("tushar_"), "o_orderstatus"))
+    title = F.when(k % 4 == 0, F.concat(F.lit("  High_"), "o_orderpriority", F.lit(" "))).when(k % 4 == 1, "   ").when(k % 4 == 3, "")
+    region = F.when(k % 5 == 1, "").when(k % 5 > 1, F.concat(F.lit("dry_"), "o_orderstatus"))
     edition = F.when(k % 6 == 1, "").when(k % 6 == 2, "0").when(k % 6 == 3, "two").when(k % 6 > 3, (k % 9).cast("string"))
     return fx.table(spark, d, "orders").select(k.alias("k"), S.caption(title, region, edition).alias("caption"))
 
