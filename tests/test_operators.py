@@ -413,3 +413,17 @@ def test_slopes_that_face_the_sun_are_the_brightest(spark):
     for azimuth, side in sides.items():
         shade = {(r.row, r.col): r.shade for r in raster.hillshade(cells, 1.0, azimuth).collect() if (r.row, r.col) in sides.values()}
         assert max(shade, key=shade.get) == side
+
+
+def test_zone_of_a_padded_box_whose_middle_is_on_the_border(spark, tmp_path):
+    """lon -120 exactly: the order of the sum decides, as in the SQL; sf0.01 has no such event."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from terravia import catalog
+    from tests.conftest import duck, same
+
+    events = duck("/root/testdata/sf0.1").sql("SELECT * FROM events WHERE event_id IN (21295, 25495, 33895, 35700, 300)").df()
+    pq.write_table(pa.Table.from_pandas(events, preserve_index=False), tmp_path / "events.parquet", coerce_timestamps="us")
+    plan = catalog.entries()["bbox_plan"]
+    same(plan.query(spark, str(tmp_path)), duck(str(tmp_path)), plan.oracle)
