@@ -11,7 +11,7 @@ from terravia import fixtures as fx
 from terravia.functions import geodesy, solar, text
 from terravia.operators import assets, journeys, places, raster, relief, sheets
 from terravia.plans import places as plans_places
-from tests.conftest import SF, SMALL
+from tests.conftest import SF, SMALL, duck
 
 PTS = "track_id string, day string, vidx long, x double, y double, t double, ele double, event_id long"
 
@@ -421,9 +421,25 @@ def test_zone_of_a_padded_box_whose_middle_is_on_the_border(spark, tmp_path):
     import pyarrow.parquet as pq
 
     from terravia import catalog
-    from tests.conftest import duck, same
+    from tests.conftest import same
 
     events = duck("/root/testdata/sf0.1").sql("SELECT * FROM events WHERE event_id IN (21295, 25495, 33895, 35700, 300)").df()
     pq.write_table(pa.Table.from_pandas(events, preserve_index=False), tmp_path / "events.parquet", coerce_timestamps="us")
     plan = catalog.entries()["bbox_plan"]
     same(plan.query(spark, str(tmp_path)), duck(str(tmp_path)), plan.oracle)
+
+
+def test_aspect_on_the_cut_has_the_side_of_the_sql(spark):
+    """Three rows that fall along rows only: dx is 0.0, or -0.0 where a negative zero lies on the right."""
+    import pandas as pd
+
+    from terravia.plans.raster import RES, SLOPE
+
+    flat = [(r, c, 300.0 - 100.0 * r) for r in range(3) for c in range(3)]
+    signed = [(r, c + 10, (-0.0 if c == 2 else 0.0) if r == 1 else 100.0 * (1 - r)) for r in range(3) for c in range(3)]
+    cells = flat + signed
+    got = {(r.row, r.col): r.aspect for r in raster.slope_aspect(spark.createDataFrame(cells, "row long, col long, v double"), RES).collect()}
+    con = duck(fx_filled=pd.DataFrame(cells, columns=["row", "col", "v"]))
+    want = {(r, c): a for r, c, a in con.sql(f"WITH {SLOPE} SELECT row, col, aspect FROM sl").fetchall()}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert got[1, 1] == -math.pi and got[1, 11] == math.pi
