@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil
+from math import ceil, floor, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravia.operators.assets import first_of_each
 from terravia.operators.splitgrid import met
-from terravia.shared import kept
+from terravia.shared import Scratch, kept
 
 SPACING_M = 6000.0
 #: Cells of the grid on which points meet regions; a region of ordinary size reaches into some tens.
 REGION_CELL_M = 20000.0
 CARRY_M = 6000.0
 SAME_PLACE_M = 400.0
+#: Pairs of a point and a place that a round of the search for the nearest compares, for each point on average.
+MEET = 16
 
 
 def distance2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -97,16 +99,53 @@ def hotspots(cells: DataFrame, bounds: tuple[float, float, float, float], cell_m
     return ordered.select(F.posexplode(chosen).alias("rank", "s")).select((F.col("rank") + 1).alias("rank"), "s.gy", "s.gx", "s.visits", "s.x", "s.y")
 
 
+def _radius(points: DataFrame, spots: DataFrame, widest: float, least: float, pairs: int) -> float:
+    """The widest of widest, widest / 2, widest / 4 ... at which points and spots that meet on a grid make no more pairs; least at least."""
+    radius = widest
+    while radius / 2 >= least:
+        cell = lambda c: F.floor(F.col(c) / (2 * radius))  # noqa: E731, B023
+        counted = lambda rows, x, y, n: rows.groupBy(cell(x).alias("cx"), cell(y).alias("cy")).agg(F.count("*").cast("double").alias(n))  # noqa: E731, B023
+        met_now = counted(points, "x", "y", "n").join(counted(spots, "px", "py", "m"), ["cx", "cy"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0.0
+        # a place reaches into four cells of twice the radius
+        if 4 * met_now <= pairs:
+            break
+        halvings = max(1, ceil(log2(4 * met_now / pairs) / 2))
+        radius = max(radius / 2**halvings, widest / 2 ** floor(log2(widest / least)))
+    return radius
+
+
 def nearest(points: DataFrame, places: DataFrame, within_m: float) -> DataFrame:
     """id, place, dist_m: each point's nearest place within the radius, ties to the smaller place.
 
-    A place is a box as wide as the radius reaches, which the points in it meet on a grid whose crowded cells are
-    split; the minimum is taken by point.
+    In rounds of growing radius, the last of which is within_m: a point that has places within a radius has its nearest among them, and
+    leaves. A round takes the widest radius at which there are no more than MEET pairs for each point, and at
+    least twice the one before; so what is compared grows with the points, not with their square.
     """
-    boxes = places.select("place", F.col("x").alias("px"), F.col("y").alias("py"), *((F.col(c) + sign * within_m).alias(f"{end}_{c}") for end, sign in (("min", -1), ("max", 1)) for c in "xy"))
-    d2 = distance2(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
-    near = met(points.select("id", "x", "y"), boxes, within_m).withColumn("d2", d2).where(F.col("d2") <= within_m * within_m)
-    return near.groupBy("id").agg(F.min_by("place", F.struct("d2", "place")).alias("place"), F.sqrt(F.min("d2")).alias("dist_m"))
+    scratch = Scratch(points.sparkSession, "nearest")
+    # of places on one spot the smallest is the nearest
+    spots = scratch.put("spots", places.groupBy(F.col("x").alias("px"), F.col("y").alias("py")).agg(F.min("place").alias("place")))
+    left = scratch.put("left", points.select("id", "x", "y"))
+    n_left, n_spots = left.count(), spots.count()
+    pairs = MEET * max(1, n_left)
+    radius = within_m / 2**40
+    while True:
+        radius = _radius(left, spots, within_m, 2 * radius, pairs)
+        cell = lambda c: F.floor(c / (2 * radius))  # noqa: E731, B023
+        inside_one = lambda rows, x, y: rows.withColumns({"cx": cell(F.col(x)), "cy": cell(F.col(y))})  # noqa: E731, B023
+        reached = lambda c: F.explode(F.sequence(cell(F.col(c) - radius * 1.0001), cell(F.col(c) + radius * 1.0001)))  # noqa: E731, B023
+        all_within = lambda rows, x, y: rows.withColumn("cx", reached(x)).withColumn("cy", reached(y))  # noqa: E731, B023
+        # the smaller side goes to all cells within reach
+        one, many = (inside_one, all_within) if n_spots <= n_left else (all_within, inside_one)
+        near = one(left, "x", "y").join(many(spots, "px", "py"), ["cx", "cy"]).withColumn("d2", distance2(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).where(F.col("d2") <= radius * radius)
+        first = near.groupBy("id").agg(F.min(F.struct("d2", "place")).alias("m")).select("id", "m.place", F.sqrt("m.d2").alias("dist_m"))
+        done = scratch.put("done", first)
+        scratch.append("found", done)
+        if radius >= within_m:
+            break
+        left = scratch.put("left", left.join(done.select(F.col("id").alias("done_id")), F.col("id").eqNullSafe(F.col("done_id")), "left_anti"))
+        n_left = left.count()
+    scratch.clear()
+    return scratch.appended("found", first)
 
 
 def carry_annotations(old: DataFrame, new: DataFrame, key: str, within_m: float = CARRY_M) -> DataFrame:

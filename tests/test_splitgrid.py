@@ -68,3 +68,20 @@ def test_nearest_in_a_crowd(spark):
 def test_no_points(spark):
     none = spark.createDataFrame([], "id long, x double, y double")
     assert splitgrid.met(none, spark.createDataFrame(boxes(), BOXES), 20_000.0).count() == 0
+
+
+def test_nearest_compares_no_square_of_crowded_places(spark):
+    """All within the radius of all: a round compares MEET pairs a point at most, and the result is that of all pairs."""
+    import duckdb
+
+    points = spark.range(4000).selectExpr("id", "CAST((id * 7919) % 1000 AS DOUBLE) AS x", "CAST((id * 104729) % 997 AS DOUBLE) AS y")
+    spots = points.selectExpr("id AS place", "x + 0.5 AS x", "y AS y").where("place % 3 > 0")
+    radius = places._radius(points, spots.withColumnsRenamed({"x": "px", "y": "py"}), 2000.0, 1e-6, places.MEET * 4000)
+    cell = lambda v: F.floor(v / (2 * radius))
+    a, b = points.select(cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")), spots.select(cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
+    assert 4 * a.join(b, ["cx", "cy"]).count() <= places.MEET * 4000
+    con = duckdb.connect()
+    con.register("a", points.toPandas())
+    con.register("b", spots.toPandas())
+    want = con.sql("SELECT id, first(place ORDER BY d2, place) FROM (SELECT id, place, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM a, b) GROUP BY id").fetchall()
+    assert sorted((r.id, r.place) for r in places.nearest(points, spots, 2000.0).collect()) == sorted(want)
