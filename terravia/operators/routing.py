@@ -16,6 +16,7 @@ Ties go to the vertex that was found first, of those found in one round to the s
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +36,6 @@ MOST_SHARED, TURNED_PENALTY, LEAST_4WD = 0.35, 4.0, 0.4
 MOST_POINTS, MOST_TRIP_POINTS, LEAST_SPACING_M, SPACING_PX, COARSER = 18_000, 4_200, 15.0, 1.5, 1.02
 SHAPES = ("out_and_back", "loop", "4wd")
 
-REACHED = "trip string, node string, cost double, prev string, via string, chain string, hops int"
-
 
 def _metres(classes: list[str]) -> list[str]:
     return [f"m_{i}" for i in range(len(classes))]
@@ -68,10 +67,18 @@ class Network:
         return sum((F.col(m) * weights[c] for m, c in zip(_metres(self.classes), self.classes, strict=True)), F.lit(0.0))
 
 
+def _read_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """The edges between different vertices, written once as everything below reads them several times, and their classes."""
+    once = scratch.put("edges", edges.where("src <> dst").select("eid", "src", "dst", "class", F.col("len_m").cast("double").alias("len_m")))
+    return once, sorted(r["class"] for r in once.select("class").distinct().collect())
+
+
 def uncontracted(edges: DataFrame) -> Network:
     """The network with each edge a step, for searches that want every vertex."""
-    edges = edges.where("src <> dst").select("eid", "src", "dst", "class", F.col("len_m").cast("double").alias("len_m"))
-    classes = sorted(r["class"] for r in edges.select("class").distinct().collect())
+    return _each_a_step(*_read_once(edges, Scratch(edges.sparkSession, "network")))
+
+
+def _each_a_step(edges: DataFrame, classes: list[str]) -> Network:
     metres = [F.when(F.col("class") == c, F.col("len_m")).otherwise(0.0).alias(m) for m, c in zip(_metres(classes), classes, strict=True)]
     one = lambda sign, a, b: edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.concat("eid", F.lit(sign)).alias("via"), F.col("eid").alias("chain"), F.lit(1).alias("edges"), *metres)
     steps = one("+", "src", "dst").unionByName(one("-", "dst", "src"))
@@ -83,100 +90,136 @@ def contract(edges: DataFrame, keep: DataFrame) -> Network:
 
     Edges from a vertex to itself and rings that no vertex of keep and no crossing touches are on no cheapest way.
     """
-    spark = edges.sparkSession
-    edges = edges.where("src <> dst").select("eid", "src", "dst", "class", F.col("len_m").cast("double").alias("len_m"))
-    classes = sorted(r["class"] for r in edges.select("class").distinct().collect())
+    scratch = Scratch(edges.sparkSession, "contract")
+    edges, classes = _read_once(edges, scratch)
     arc = lambda sign, a, b: edges.select(F.concat("eid", F.lit(sign)).alias("arc"), "eid", F.col(a).alias("src"), F.col(b).alias("dst"), "class", "len_m")
-    scratch = Scratch(spark, "contract")
-    arcs = scratch.put("arcs", arc("+", "src", "dst").unionByName(arc("-", "dst", "src")))
+    arcs = arc("+", "src", "dst").unionByName(arc("-", "dst", "src"))
     inner = arcs.groupBy("src").agg(F.count("*").alias("n")).where("n = 2").select(F.col("src").alias("node")).join(keep.select("node").distinct(), "node", "left_anti")
     inner = scratch.put("inner", inner)
+    if inner.isEmpty():
+        return _each_a_step(edges, classes)
     out = arcs.join(inner, arcs["src"] == inner["node"]).select(F.col("src").alias("at"), F.col("arc").alias("next"), F.col("eid").alias("next_eid"))
+    out = scratch.put("out", out)
     metres = [F.when(F.col("class") == c, F.col("len_m")).otherwise(0.0).alias(m) for m, c in zip(_metres(classes), classes, strict=True)]
     first = arcs.join(out, (arcs["dst"] == out["at"]) & (arcs["eid"] != out["next_eid"]), "left")
-    state = first.select("arc", F.col("dst").alias("end"), "next", F.col("arc").alias("last"), F.lit(1).alias("left"), *metres)
-    done, open_ = state.where("next IS NULL"), state.where("next IS NOT NULL")
-    scratch.append("done", done)
-    open_ = scratch.put("open", open_)
+    own = ["arc", "eid", "src", "dst"]
+    state = first.select(*own, F.col("dst").alias("end"), "next", F.col("arc").alias("last"), F.lit(1).alias("left"), *metres)
+    open_ = scratch.put("open", state)
+    scratch.append("done", open_.where("next IS NULL"))
+    open_ = scratch.put("open", open_.where("next IS NOT NULL"))
     # those whose chain is not followed to its end yet are joined to all: after k rounds each knows 2^k edges ahead
-    for _ in range(max(1, arcs.count()).bit_length() + 1):
+    for _ in range(max(1, open_.count()).bit_length() + 1):
         if open_.isEmpty():
             break
-        ahead = scratch.appended("done", state).unionByName(open_).select(*(F.col(c).alias(f"a_{c}") for c in state.columns))
+        ahead = scratch.appended("done", state).unionByName(open_).select(*(F.col(c).alias(f"a_{c}") for c in ["arc", "end", "next", "last", "left", *_metres(classes)]))
         met = open_.join(ahead, F.col("next") == F.col("a_arc"))
         sums = [(F.col(c) + F.col(f"a_{c}")).alias(c) for c in ["left", *_metres(classes)]]
-        further = met.select("arc", F.col("a_end").alias("end"), F.col("a_next").alias("next"), F.col("a_last").alias("last"), *sums)
+        further = met.select(*own, F.col("a_end").alias("end"), F.col("a_next").alias("next"), F.col("a_last").alias("last"), *sums)
         further = scratch.put("further", further)
         scratch.append("done", further.where("next IS NULL"))
         open_ = scratch.put("open", further.where("next IS NOT NULL"))
-    ended = scratch.appended("done", state).join(arcs.select("arc", "eid", "src", F.col("dst").alias("at")), "arc")
-    ended = kept(ended)
+    ended = scratch.appended("done", state)
     heads = ended.join(inner, ended["src"] == inner["node"], "left_anti").where("src <> end")
     last_eid = F.expr("substring(last, 1, length(last) - 1)")
     steps = heads.select("src", F.col("end").alias("dst"), F.col("last").alias("via"), F.least("eid", last_eid).alias("chain"), F.col("left").alias("edges"), *_metres(classes))
-    steps = kept(steps)
+    scratch.append("steps", steps)
     scratch.clear()
-    return Network(ended.select("eid", "src", F.col("at").alias("dst"), "last", "left"), steps, classes)
+    return Network(ended.select("eid", "src", "dst", "last", "left"), scratch.appended("steps", steps), classes)
+
+
+def _paid(steps: DataFrame, penalties: DataFrame | None) -> DataFrame:
+    """steps (trip, chain, c), with c as the trip pays it."""
+    if penalties is None:
+        return steps
+    factor = penalties.withColumnsRenamed({"trip": "p_trip", "chain": "p_chain"})
+    met = steps.join(factor, (F.col("trip") == F.col("p_trip")) & (F.col("chain") == F.col("p_chain")), "left")
+    return met.withColumn("c", F.col("c") * F.coalesce("factor", F.lit(1.0))).drop("p_trip", "p_chain", "factor")
+
+
+def _largest(penalties: DataFrame | None) -> DataFrame | None:
+    return None if penalties is None else penalties.groupBy("trip", "chain").agg(F.max("factor").alias("factor"))
 
 
 def search(net: Network, starts: DataFrame, weights: dict[str, float] | None = None, goals: DataFrame | None = None, penalties: DataFrame | None = None, width: float | None = None) -> DataFrame:
-    """trip, node, cost, prev, via, chain, hops: the cheapest way from each search's start to the vertices within reach, or until its goals are settled.
+    """trip, node, cost, prev, hops: the cheapest way from each search's start to the vertices within reach, or until its goals are settled.
 
+    Once all goals of a search have been met, nothing dearer than the dearest of them is followed; a goal that is no vertex of the network is not waited for.
     starts, goals: trip, node. penalties: trip, chain, factor. width: of a bucket of cost; at least the dearest step's.
     """
     spark = starts.sparkSession
     scratch = Scratch(spark, "search")
-    costed = net.steps.select("src", "dst", "via", "chain", net.costs(weights).alias("c"))
-    if penalties is None:  # of parallel steps the cheapest is enough
-        costed = costed.groupBy("src", "dst").agg(F.min(F.struct("c", "via", "chain")).alias("s")).select("src", "dst", "s.*")
-    costed = scratch.put("steps", costed)
+    costed = scratch.put("steps", net.steps.select("src", "dst", *(["chain"] if penalties is not None else []), net.costs(weights).alias("c")))
     dearest = costed.agg(F.max("c")).first()[0] or 0.0
     if penalties is not None:
-        penalties = scratch.put("penalties", penalties.groupBy("trip", "chain").agg(F.max("factor").alias("factor")))
+        penalties = scratch.put("penalties", _largest(penalties))
         dearest *= penalties.agg(F.greatest(F.lit(1.0), F.max("factor"))).first()[0] or 1.0
     # a little wider, so that a rounded sum cannot skip a bucket
     width = max(width or 0.0, dearest * (1 + 1e-9)) or 1.0
-    first = starts.select("trip", "node", F.lit(0.0).alias("cost"), *(F.lit(None).cast("string").alias(c) for c in ("prev", "via", "chain")), F.lit(0).alias("hops")).distinct()
+    first = starts.select("trip", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("prev"), F.lit(0).alias("hops")).distinct()
     tentative = scratch.put("tentative", first.withColumn("fresh", F.lit(1)))
-    empty = spark.createDataFrame([], REACHED)
-    left = None if goals is None else scratch.put("left", goals.select("trip", "node").distinct())
+    empty = first.where("false")
+    left = bounds = None
+    if goals is not None:
+        goals = scratch.put("goals", goals.select("trip", "node").distinct())
+        there = costed.join(goals.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("node")).union(tentative.select("node")).distinct()
+        left = scratch.put("left", goals.join(there, "node", "left_semi").select("trip", "node"))
     recent = empty.select("trip", "node")
     scratch.append("settled", empty)
-    while True:
-        low = tentative.agg(F.min("cost")).first()[0]
+
+    def within(rows: DataFrame) -> DataFrame:
+        """rows that may still be on a way to a goal: trip, cost."""
+        if bounds is None:
+            return rows
+        return rows.join(bounds, "trip").where("bound IS NULL OR cost <= bound").drop("bound")
+
+    def bounded() -> DataFrame | None:
+        """trip, bound: what the dearest goal costs at most, null while one is not met; trips without goals to settle are gone."""
+        if left is None:
+            return None
+        met = left.join(tentative.select("trip", "node", "cost"), ["trip", "node"], "left").groupBy("trip")
+        return scratch.put("bounds", met.agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("bound")))
+
+    def lowest() -> tuple[float | None, float | None]:
+        """What the cheapest tentative vertex costs, and the cheapest of those that are to be gone on from."""
+        return tuple(within(tentative).agg(F.min("cost"), F.min(F.when(F.col("fresh") == 1, F.col("cost")))).first())
+
+    while left is None or not left.isEmpty():
+        bounds = bounded()
+        low, fresh = lowest()
         if low is None:
             break
         limit = (low // width + 1) * width
-        while True:
-            front = tentative.where((F.col("cost") < limit) & (F.col("fresh") == 1))
-            if front.isEmpty():
-                break
-            moved = front.join(costed, front["node"] == costed["src"])
-            paid = F.col("c")
-            if penalties is not None:
-                factor = penalties.withColumnsRenamed({"trip": "p_trip", "chain": "p_chain"})
-                moved = moved.drop(front["via"], front["chain"]).join(factor, (F.col("trip") == F.col("p_trip")) & (F.col("chain") == F.col("p_chain")), "left")
-                paid = F.col("c") * F.coalesce("factor", F.lit(1.0))
-            made = moved.select("trip", F.col("dst").alias("node"), (F.col("cost") + paid).alias("cost"), F.col("src").alias("prev"), costed["via"].alias("via"), costed["chain"].alias("chain"), (F.col("hops") + 1).alias("hops"), F.lit(1).alias("fresh"))
+        while fresh is not None and fresh < limit:
+            front = within(tentative.where((F.col("cost") < limit) & (F.col("fresh") == 1)))
+            moved = _paid(front.join(costed, front["node"] == costed["src"]), penalties)
+            made = within(moved.select("trip", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("prev"), (F.col("hops") + 1).alias("hops"), F.lit(1).alias("fresh")))
             # settled vertices are met again only from the bucket before
             made = made.join(recent, ["trip", "node"], "left_anti")
             gone = (F.col("cost") < limit) & (F.col("fresh") == 1)
-            both = tentative.withColumn("fresh", F.when(gone, 0).otherwise(F.col("fresh"))).unionByName(made)
+            both = within(tentative).withColumn("fresh", F.when(gone, 0).otherwise(F.col("fresh"))).unionByName(made)
             # `old` goes before what is found again at the same cost
-            order = F.struct("cost", F.when(F.col("prev").isNull(), 0).otherwise(F.col("fresh")).alias("old"), "prev", "via", "chain", "hops", "fresh")
-            tentative = scratch.put("tentative", both.groupBy("trip", "node").agg(F.min(order).alias("m")).select("trip", "node", *(f"m.{c}" for c in ("cost", "prev", "via", "chain", "hops", "fresh"))))
-        settled = scratch.put("bucket", tentative.where(F.col("cost") < limit).drop("fresh"))
+            order = F.struct("cost", F.when(F.col("prev").isNull(), 0).otherwise(F.col("fresh")).alias("old"), "prev", "hops", "fresh")
+            tentative = scratch.put("tentative", both.groupBy("trip", "node").agg(F.min(order).alias("m")).select("trip", "node", *(f"m.{c}" for c in ("cost", "prev", "hops", "fresh"))))
+            bounds = bounded()
+            low, fresh = lowest()
+        settled = scratch.put("bucket", within(tentative.where(F.col("cost") < limit)).drop("fresh").select("trip", "node", "cost", "prev", "hops"))
         scratch.append("settled", settled)
         recent = settled.select("trip", "node")
-        tentative = scratch.put("tentative", tentative.where(F.col("cost") >= limit))
         if left is not None:
             left = scratch.put("left", left.join(recent, ["trip", "node"], "left_anti"))
-            if left.isEmpty():
-                break
+        tentative = scratch.put("tentative", tentative.where(F.col("cost") >= limit))
     scratch.clear()
     return scratch.appended("settled", empty)
 
 
+def named(net: Network, way: DataFrame, weights: dict[str, float] | None = None, penalties: DataFrame | None = None) -> DataFrame:
+    """way (rows of a search) with via and chain: of parallel steps the cheapest, then the smallest."""
+    of = net.steps.select(F.col("src").alias("prev"), F.col("dst").alias("node"), "via", "chain", net.costs(weights).alias("c"))
+    priced = _paid(way.join(of, ["prev", "node"]), _largest(penalties))
+    one = priced.groupBy("trip", "node").agg(F.min(F.struct("c", "via", "chain")).alias("s"))
+    return kept(way.join(one, ["trip", "node"]).select(*way.columns, "s.via", "s.chain"))
+
+
 def steps_back(reached: DataFrame, goals: DataFrame) -> DataFrame:
     """The rows of reached that are on the way to each search's goal (trip, node), the start's left out; none for goals that are out of reach.
 
@@ -213,11 +256,19 @@ def distances(edges: DataFrame, source: str, weights: dict[str, float] | None =
     return search(uncontracted(edges), one, weights).select("node", "cost")
 
 
+def farthest_way(edges: DataFrame, source: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """nth, eid, src, dst: the cheapest way from source to the vertex that is dearest to reach; one search finds both."""
+    net = uncontracted(edges)
+    reached = search(net, edges.sparkSession.createDataFrame([("", source)], "trip string, node string"), weights)
+    last = reached.groupBy("trip").agg(F.max_by("node", F.struct("cost", "node")).alias("node"))
+    return edges_of(net, named(net, steps_back(reached, last), weights)).select("nth", "eid", "src", "dst")
+
+
 def cheapest_ways(edges: DataFrame, wanted: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """trip, nth, eid, src, dst: the cheapest way of each wanted trip (trip, start, goal); none where the goal is out of reach."""
     starts, goals = wanted.select("trip", F.col("start").alias("node")), wanted.select("trip", F.col("goal").alias("node"))
     net = contract(edges, starts.union(goals).select("node"))
-    return edges_of(net, steps_back(search(net, starts, weights, goals), goals))
+    return edges_of(net, named(net, steps_back(search(net, starts, weights, goals), goals), weights))
 
 
 def trips(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,19 +288,21 @@ def trips(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts, goals = at("start").join(known, "node", "left_semi"), at("goal")
     reached = search(net, starts, WEIGHTS["outing"], goals)
     found = kept(reached.join(goals, ["trip", "node"]).select("trip"))
-    out = steps_back(reached, goals)
+    out = named(net, steps_back(reached, goals), WEIGHTS["outing"])
     pieces = net.steps.select("via", "edges", net.metres().alias("m"), net.metres_of("4wd").alias("m4"))
     of = lambda kind: wanted.where(F.col("shape") == kind).join(found, "trip", "left_semi")
     # loops
     loops = of("loop")
     dear = out.join(loops, "trip", "left_semi").select("trip", "chain", F.lit(TURNED_PENALTY).alias("factor"))
-    back = steps_back(search(net, at("goal", loops), WEIGHTS["outing"], at("start", loops), dear), at("start", loops))
+    home = lambda: named(net, steps_back(search(net, at("goal", loops), WEIGHTS["outing"], at("start", loops), dear), at("start", loops)), WEIGHTS["outing"], dear)
+    # 4wd ways, looked for at the same time
+    rough = of("4wd")
+    apart = lambda: named(net, steps_back(search(net, at("start", rough), WEIGHTS["4wd_day"], at("goal", rough)), at("goal", rough)), WEIGHTS["4wd_day"])
+    with ThreadPoolExecutor(2) as pool:
+        back, own = (run.result() for run in [pool.submit(home), pool.submit(apart)])
     sized = lambda rows: rows.join(pieces, "via")
     n_out = sized(out).groupBy("trip").agg(F.sum("edges").alias("n_out"), F.sum("m").alias("m_out"))
     common = sized(back).join(out.select("trip", "chain").distinct(), ["trip", "chain"], "left_semi").groupBy("trip").agg(F.sum("edges").alias("n_common"))
-    # 4wd ways
-    rough = of("4wd")
-    own = steps_back(search(net, at("start", rough), WEIGHTS["4wd_day"], at("goal", rough)), at("goal", rough))
     shares = sized(own).groupBy("trip").agg((F.sum("m4") / F.sum("m")).alias("share_4wd"), F.sum("m").alias("m_own"))
     m_back = sized(back).groupBy("trip").agg(F.sum("m").alias("m_back"))
     joined = reduce(lambda a, b: a.join(b, "trip", "left"), [found.withColumn("reachable", F.lit(True)), n_out, common, shares, m_back], wanted)

@@ -251,3 +251,18 @@ def test_whole_network_queries(spark):
             assert back == out[::-1]
         if x["shape"] == "4wd":
             assert x.share_4wd == pytest.approx(sum(size[e] for e in out if kind[e] == "4wd") / sum(size[e] for e in out), abs=1e-6)
+
+
+def test_a_search_follows_nothing_dearer_than_its_goals(spark):
+    """All vertices lie in one bucket of cost; a goal that is no vertex is not looked for everywhere."""
+    rows = [(f"{i}-{j}", f"s{i}", f"p{j}", "trail", 1 if i + j < 2 else 50 + i + j) for i in range(5) for j in range(5)]
+    edges = spark.createDataFrame(rows, EDGES)
+    starts = spark.createDataFrame([("near", "s0"), ("none", "s0")], "trip string, node string")
+    goals = spark.createDataFrame([("near", "s1"), ("none", "nowhere")], "trip string, node string")
+    net = R.contract(edges, starts.union(goals).select("node"))
+    got = {(r.trip, r.node): r.cost for r in R.search(net, starts, None, goals).collect()}
+    assert got == {("near", "s0"): 0.0, ("near", "p0"): 1.0, ("near", "p1"): 1.0, ("near", "s1"): 2.0}
+    last = R.farthest_way(edges, "s0").orderBy("nth").collect()
+    costs = {n: c for n, (c, _, _) in dijkstra(rows, "s0", {"trail": 1.0}).items()}
+    end = max(costs, key=lambda n: (costs[n], n))
+    assert way_cost(rows, checked_way(rows, last, "s0", end), {"trail": 1.0}) == costs[end]
