@@ -24,8 +24,8 @@ def shortest_paths(spark, d):
 
 @register("shortest_path_edges")
 def shortest_path_edges(spark, d):
-    wanted = spark.createDataFrame([("far", "S1", farthest(spark, d))], "trip string, start string, goal string")
-    return R.cheapest_ways(fx.edges(spark, d), wanted, OUTING).select("nth", "eid", "src", "dst")
+    """The way from S1 to the vertex that is dearest to reach."""
+    return R.farthest_way(fx.edges(spark, d), "S1", OUTING)
 
 
 def nation_trips(spark, d):
