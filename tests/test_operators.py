@@ -34,6 +34,27 @@ def test_hotspots_are_spaced_and_greedy(spark):
     assert places.hotspots(cells.limit(0), (0.0, 0.0, 20000.0, 1000.0)).count() == 0
 
 
+def test_simplify_takes_many_tracks_at_once(spark):
+    """Batches of rows end anywhere in a track; no track is a group of its own for Python."""
+    rows = [(t, v, float(v), float((v * t * 7) % 5)) for t in range(30) for v in range(t % 9 + 1)] + [(None, v, float(v), 0.0) for v in range(4)]
+    points = spark.createDataFrame(rows, "track_id long, vidx long, x double, y double")
+    want = []
+    for t in [*range(30), None]:
+        mine = [r for r in rows if r[0] == t]
+        stays = journeys._kept(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), 1.0) if len(mine) > 2 else [True] * len(mine)
+        want += [r for r, k in zip(mine, stays, strict=True) if k]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in ("1", "4", before):
+            spark.conf.set(size, n)
+            kept = journeys.simplify(points, 1.0)
+            assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set(size, before)
+    assert "MapInArrow" in kept._jdf.queryExecution().toString() and "InPandas" not in kept._jdf.queryExecution().toString()
+
+
 def test_simplify_properties(spark):
     points = fx.points(spark, SF, by_user=True).where("track_id < '130'")
     kept = journeys.simplify(points, 15000.0)
