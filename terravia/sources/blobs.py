@@ -21,11 +21,14 @@ def write(rows: DataFrame, root: str) -> int:
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = fs.FileSystem.from_uri(root)
+        made_dirs = set()
         for batch in batches:
             for key, content in zip(batch["key"], batch["content"], strict=True):
                 path = f"{base}/{key}"
                 folder, _, name = path.rpartition("/")
-                system.create_dir(folder, recursive=True)
+                if folder not in made_dirs:
+                    system.create_dir(folder, recursive=True)
+                    made_dirs.add(folder)
                 draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
                 with system.open_output_stream(draft) as out:
                     out.write(bytes(content))
@@ -33,5 +36,7 @@ def write(rows: DataFrame, root: str) -> int:
             yield pd.DataFrame({"n": [len(batch)]})
 
     key = F.coalesce(safe_key(F.col("key")), F.raise_error(F.concat(F.lit("key leaves the store: "), F.coalesce("key", F.lit("null")))))
-    made = rows.select(key.alias("key"), F.col("content").cast("binary").alias("content")).mapInPandas(put, "n long")
+    keyed = rows.select(key.alias("key"), F.col("content").cast("binary").alias("content"))
+    # little content makes many files: a fixed count keeps small partitions from being merged into one task
+    made = keyed.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(put, "n long")
     return made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
