@@ -149,3 +149,12 @@ def test_ingest_counts_and_days(spark, tmp_path):
     rows = tracks.orderBy("vidx").collect()
     assert {r.track_id for r in rows} == {"day-0"} and {r.day for r in rows} == {"2024-06-01"} and [r.vidx for r in rows] == list(range(len(rows))) and len(rows) >= 2
     assert 650_000 < rows[0].x < 680_000 and 4_400_000 < rows[0].y < 4_500_000
+
+
+def test_files_are_opened_once(spark, tmp_path, monkeypatch):
+    """Whatever reads the parsed rows again, no plan goes back to the files under the path."""
+    line = lambda a: f'<trkpt lat="{a}" lon="-121"/><trkpt lat="{a + 1}" lon="-121"/>'
+    one = f'<gpx><trk><name>n</name><trkseg>{line(40)}</trkseg><trkseg><trkpt lat="1" lon="2"/></trkseg><trkseg>{line(41)}</trkseg></trk></gpx>'
+    back = T.read_tracks(spark, write(tmp_path / "o", a__gpx=one, b__gpx=one))
+    assert sorted((r.file[-5:], r.track_id, r.pidx, r.lat) for r in back.collect()) == [(f, f"n-{k}", i, 40.0 + k + i) for f in ("a.gpx", "b.gpx") for k in (0, 1) for i in (0, 1)]
+    assert "binaryFile" not in back._jdf.queryExecution().toString()
