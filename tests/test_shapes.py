@@ -103,6 +103,33 @@ def test_nearest_data_makes_no_more_rows_than_cells(spark):
     assert done.agg(F.count("*"), F.max("d2"), F.min("nearest")).first() == (40_000, 19_994**2 + 1, 1.0)
 
 
+@pytest.mark.parametrize("wide", [True, False])
+def test_rows_are_searched_many_at_a_time(spark, wide):
+    """Rows of the raster are no groups of their own; a row wider than a batch, and than the cells looked at, is whole; columns may have gaps, and other columns are carried."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        rng = np.random.default_rng(6)
+        shape = (4, 400) if wide else (60, 10)
+        z = np.where(rng.random(shape) < (0.004 if wide else 0.1), rng.integers(1, 99, shape).astype(float), np.nan)
+        z[0, 0] = 7.0
+        step = 1 if wide else 3
+        cells = spark.createDataFrame([(i, j * step, None if np.isnan(z[i, j]) else int(z[i, j]) + 2**60, f"{i}/{j}") for i in range(shape[0]) for j in range(shape[1])], "row long, col long, v long, name string")
+        gapped = np.full((shape[0], shape[1] * step), np.nan)
+        gapped[:, ::step] = z
+        want = {(i, j): (int(gapped[a, b]) + 2**60, d2, f"{i}/{j // step}") for (i, j), (d2, a, b) in nearest(gapped).items() if j % step == 0}
+        done = raster.nearest_data(cells, "name")
+        assert "FlatMapGroups" not in done._jdf.queryExecution().executedPlan().toString()
+        assert {(r.row, r.col): (r.nearest, r.d2, r.name) for r in done.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_depth_leaves_out_what_is_not_known_to_be_water(spark):
+    cells = spark.createDataFrame([(0, 0, False), (0, 1, True), (0, 2, None), (0, 3, True)], "row long, col long, water boolean")
+    rows = {r.col: r.depth for r in relief.lake_depth(cells, 90.0).collect()}
+    assert rows.keys() == {1, 3} and rows[1] == pytest.approx(0.1**0.75) and rows[3] == pytest.approx(0.3**0.75)
+
+
 def brute_envelope(good, share, scale, height, width):
     """Edges taken off one by one from an array."""
     a, b, c, d = 0, good.shape[0], 0, good.shape[1]
