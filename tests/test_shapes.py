@@ -103,6 +103,49 @@ def test_nearest_data_makes_no_more_rows_than_cells(spark):
     assert done.agg(F.count("*"), F.max("d2"), F.min("nearest")).first() == (40_000, 19_994**2 + 1, 1.0)
 
 
+@pytest.mark.parametrize("batch", [3, 40, 10_000])
+def test_blur_takes_lines_as_streams(spark, batch):
+    """No window a weight, and the same sums, in the same order, however lines are cut into batches; cells may be missing and carry other columns."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rng = np.random.default_rng(8)
+        z = np.where(rng.random((9, 23)) < 0.8, rng.normal(0, 50, (9, 23)), np.nan)
+        at = [(i, j) for i in range(9) for j in range(23) if (i + j) % 11]
+        cells = spark.createDataFrame([(i, j, None if np.isnan(z[i, j]) else float(z[i, j]), [i, j]) for i, j in at], CELLS + ", name array<int>")
+        weights = [2.718281828459045 ** (-0.5 * (k / 1.4) ** 2) for k in range(5)]
+
+        def along(values, line, place):
+            out = {}
+            for one in {c[line] for c in at}:
+                cells_of = sorted((c for c in at if c[line] == one), key=lambda c: c[place])
+                for n, c in enumerate(cells_of):
+                    total = 0.0
+                    for k in range(-4, 5):
+                        total += (values[cells_of[n - k]] if 0 <= n - k < len(cells_of) else 0.0) * weights[abs(k)]
+                    out[c] = total
+            return out
+
+        parts = [{c: 0.0 if np.isnan(z[c]) else float(z[c]) for c in at}, {c: float(not np.isnan(z[c])) for c in at}]
+        num, den = (along(along(p, 0, 1), 1, 0) for p in parts)
+        done = raster.gaussian(cells, 1.4)
+        assert "Window" not in done._jdf.queryExecution().executedPlan().toString()
+        assert {(r.row, r.col): (r.blurred, r.name) for r in done.collect()} == {c: (num[c] / den[c] if den[c] > 0 else None, list(c)) for c in at}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_reading_back_is_the_bilinear_sample(spark):
+    """Of every cell, off the grid's ends and beside holes as well, with one row a cell on the way."""
+    rng = np.random.default_rng(9)
+    grid = spark.createDataFrame([(i, j, None if (i * 5 + j) % 7 == 0 or i == 3 else float(rng.normal())) for i in range(6) for j in range(5)], CELLS)
+    cells = spark.createDataFrame([(i, j, "x") for i in range(-4, 22) for j in range(19)], "row long, col long, name string")
+    points = cells.select(F.struct("row", "col").alias("at"), ((F.col("row") + 0.5) / 3 - 0.5).alias("fr"), ((F.col("col") + 0.5) / 3 - 0.5).alias("fc"))
+    want = {tuple(r.at): r.z for r in raster.sample_bilinear(points, grid, "at").collect() if r.z is not None}
+    got = {(r.row, r.col): r.v for r in raster.read_back(cells, grid, 3, ["v"]).collect()}
+    assert len(got) == 26 * 19 and {k for k, v in got.items() if v is not None} == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
 @pytest.mark.parametrize("wide", [True, False])
 def test_rows_are_searched_many_at_a_time(spark, wide):
     """Rows of the raster are no groups of their own; a row wider than a batch, and than the cells looked at, is whole; columns may have gaps, and other columns are carried."""
