@@ -37,9 +37,15 @@ def road_vertices(edges: DataFrame, kind: str = "road") -> DataFrame:
 
 
 def edge_of_pair(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """src, dst, eid: the first edge between two vertices, either way."""
-    first = both_ways(edges.select("eid", "src", "dst")).groupBy("src", "dst").agg(F.min("eid").alias("eid"))
-    return pairs.join(first, ["src", "dst"], "left")
+    """src, dst, eid: the first edge between two vertices, either way.
+
+    An edge is one row, under its two ends in order. Rows are dealt before they are grouped, so that no task sorts them while it still holds what they were made from.
+    """
+    both = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    ends = {"__a": F.when(both, F.least("src", "dst")), "__b": F.when(both, F.greatest("src", "dst"))}
+    dealt = edges.select("eid", *(c.alias(n) for n, c in ends.items())).repartition("__a", "__b")
+    first = dealt.groupBy("__a", "__b").agg(F.min("eid").alias("eid"))
+    return pairs.withColumns(ends).join(first, ["__a", "__b"], "left").select(*pairs.columns, "eid")
 
 
 def class_counts(edges: DataFrame, kinds: tuple[str, ...] = ("road", "4wd", "trail")) -> DataFrame:

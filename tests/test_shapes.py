@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravia.operators import polygons, raster, relief
+from terravia.operators import graph, polygons, raster, relief
 
 RINGS = "poly long, ring int, vidx int, x double, y double"
 CELLS = "row long, col long, v double"
@@ -212,3 +212,14 @@ def test_finite_envelope_on_a_probe(spark):
     assert relief.finite_envelope(cells.limit(0)).count() == 0
     row0, row1, col0, col1 = relief.finite_envelope(cells.withColumn("v", F.lit(None).cast("double"))).first()
     assert row1 <= row0 or col1 <= col0, "nothing is left of a raster without data"
+
+
+def test_edge_of_pair_takes_each_edge_once(spark):
+    """Either way, of parallel edges the first, loops and ends that are not known too; no edge becomes two rows, and none is sorted before it is dealt."""
+    edges = spark.createDataFrame([("e3", "a", "b"), ("e2", "b", "a"), ("e9", "a", "a"), ("e4", "c", None), ("e5", "c", "c")], "eid string, src string, dst string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "a"), ("a", "a"), ("c", None), (None, "c"), ("a", "c")], "src string, dst string")
+    done = graph.edge_of_pair(edges, pairs)
+    assert "Union" not in done._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple(x or "" for x in r)
+    want = [("a", "b", "e2"), ("b", "a", "e2"), ("b", "a", "e2"), ("a", "a", "e9"), ("c", None, None), (None, "c", None), ("a", "c", None)]
+    assert sorted((tuple(r) for r in done.collect()), key=key) == sorted(want, key=key)
