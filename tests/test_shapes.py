@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravia.operators import graph, polygons, raster, relief
+from terravia.operators import bakes, graph, polygons, raster, relief
 
 RINGS = "poly long, ring int, vidx int, x double, y double"
 CELLS = "row long, col long, v double"
@@ -223,3 +223,14 @@ def test_edge_of_pair_takes_each_edge_once(spark):
     key = lambda r: tuple(x or "" for x in r)
     want = [("a", "b", "e2"), ("b", "a", "e2"), ("b", "a", "e2"), ("a", "a", "e9"), ("c", None, None), (None, "c", None), ("a", "c", None)]
     assert sorted((tuple(r) for r in done.collect()), key=key) == sorted(want, key=key)
+
+
+def test_places_are_worked_out_once(spark):
+    """Vertices that are nowhere and repeats around them are left out, and no filter projects again."""
+    lons = [-121.0, None, -121.0, float("nan"), -121.0, -120.0, 100.0, -121.0]
+    rows = spark.createDataFrame([(1, i, lon, 40.0) for i, lon in enumerate(lons)] + [(2, 0, -121.0, 40.0), (2, 1, None, 40.0)], "way long, vidx long, lon double, lat double")
+    done = bakes.projected(rows, 10, ["way"], 1)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("ATANH" in line.upper() and "Filter" in line for line in plan.splitlines())
+    got = sorted((r.way, r.vidx, r.x) for r in done.collect())
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (1, 2)] and got[0][2] == got[2][2] != got[1][2]
