@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from math import log2
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -546,6 +547,52 @@ def test_tokens_of_long_words_in_windows(tokenizer):
     assert not any(len(w) > sentencepiece.LONG for w in codec.known)
 
 
+def test_tokens_of_runs_of_spaces(tokenizer):
+    """No piece has 15 marks."""
+    codec = sentencepiece.Codec(sentencepiece.Vocabulary.read(sentencepiece.MODEL))
+    texts = [t for n in range(1, 70) for t in (" " * n, " " * n + "x", " " * n + "漢", "a" + " " * n + "the", "a" + " " * n)]
+    assert codec.encode_batch(texts) == tokenizer.encode(texts)
+    for n in (300, 9000):
+        assert codec.encode_batch(["a" + " " * n]) == [tokenizer.encode("a" + " " * n)]
+
+
+def test_tokens_of_short_words_together(tokenizer, monkeypatch):
+    """Neither a short word nor a pair of its pieces is looked at alone."""
+    vocabulary = sentencepiece.Vocabulary.read(sentencepiece.MODEL)
+    codec = sentencepiece.Codec(vocabulary)
+    monkeypatch.setattr(sentencepiece.Vocabulary, "compatible", None)
+    monkeypatch.setattr(codec, "_relax", None)
+    r = random.Random(8)
+    texts = ["".join(r.choices("ab é漢🙂\0\n,.theing", k=60)) for _ in range(800)]
+    assert codec.encode_batch(texts) == tokenizer.encode(texts)
+
+
+def test_tokens_pairs_that_share_a_place(monkeypatch):
+    monkeypatch.setattr(sentencepiece, "PAIR_BITS", 6)
+    vocabulary = sentencepiece.Vocabulary.read(sentencepiece.MODEL)
+    pairs, r = sentencepiece.Pairs(vocabulary), random.Random(9)
+    usable = [i for i, h in enumerate(vocabulary.halves) if h]
+    left, right = np.array(r.choices([*usable, *vocabulary.ids.values(), -1], k=3000)), np.array(r.choices(usable, k=3000))
+    left[left == vocabulary.ids["▁"]] = -1
+    left[[not vocabulary.halves[i] and len(vocabulary.pieces[i]) > 1 for i in left]] = -1
+    want = [vocabulary.compatible(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    assert 0 < sum(want) < 3000
+    for _ in range(2):
+        assert pairs.compatible(left, right).tolist() == want
+
+
+def test_tokens_of_columns_in_slices(tokenizer, monkeypatch):
+    monkeypatch.setattr(sentencepiece, "BATCH", 7)
+    codec = sentencepiece.Codec(sentencepiece.Vocabulary.read(sentencepiece.MODEL))
+    texts = ["cut off", None, "a  b the end of it ", "", "▁", None, "  c", "é漢 🙂 x" * 5, None]
+    column = pa.array(texts)[1:]
+    offsets, ids = codec.encode_array(column)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [tokenizer.encode(t or "") for t in texts[1:]]
+    assert codec.decode_array(offsets, ids).to_pylist() == [(t or "").replace("▁", " ") for t in texts[1:]]
+    half = np.array([codec.byte_ids[0xC3]], dtype=np.int32)
+    assert codec.decode_array(np.array([0, 0, 1], dtype=np.int32), half).to_pylist() == ["", "\ufffd"]
+
+
 def test_tokens_refuse_other_models(monkeypatch):
     """Unigram scores are no ranks."""
     import sentencepiece as library
