@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravia.sources import blobs
+
 REGION_SCHEMA = """id STRING, name STRING, crs STRING, bounds ARRAY<DOUBLE>, overview_size ARRAY<INT>, dem_path STRING, overview_path STRING,
   hydro_path STRING, native_resolution_m DOUBLE, elevation_min DOUBLE, elevation_max DOUBLE, light_azimuth DOUBLE, light_altitude DOUBLE, z_factor DOUBLE"""
 SOURCES_SCHEMA = "id STRING, built STRING, fetch_bbox_4326 ARRAY<DOUBLE>, crs STRING, rebuild STRING, assets MAP<STRING, STRUCT<sha256: STRING, bytes: BIGINT>>, sources ARRAY<STRUCT<dataset: STRING, via: STRING, license: STRING>>"
@@ -46,10 +49,10 @@ def datasets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def found_assets(spark: SparkSession, root: str) -> DataFrame:
-    """bundle, name, sha, bytes of the files that are there."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/*")
-    parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -2).alias("bundle"), F.element_at(parts, -1).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
+    """bundle, name, sha, bytes of the files that are there, empty ones too; a bundle is a folder. Files are hashed as streams."""
+    files = blobs.read(spark, root, lambda opened: hashlib.file_digest(opened, "sha256").hexdigest())
+    bundle = F.regexp_extract("key", "^(.+)/[^/]*$", 1)
+    return files.select(bundle.alias("bundle"), F.substring_index("key", "/", -1).alias("name"), F.col("value").alias("sha"), "bytes").where("bundle <> ''")
 
 
 def labels(spark: SparkSession, root: str) -> DataFrame:

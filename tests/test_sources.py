@@ -158,3 +158,28 @@ def test_files_are_opened_once(spark, tmp_path, monkeypatch):
     back = T.read_tracks(spark, write(tmp_path / "o", a__gpx=one, b__gpx=one))
     assert sorted((r.file[-5:], r.track_id, r.pidx, r.lat) for r in back.collect()) == [(f, f"n-{k}", i, 40.0 + k + i) for f in ("a.gpx", "b.gpx") for k in (0, 1) for i in (0, 1)]
     assert "binaryFile" not in back._jdf.queryExecution().toString()
+
+
+def odd_documents(tmp_path):
+    """A folder with a documents table of which some texts are null or empty."""
+    import pandas as pd
+
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    texts = [None if i % 4 == 1 else "" if i % 4 == 2 else f"text {i}" for i in range(1, 60)]
+    pd.DataFrame({"doc_id": range(1, 60), "text": texts, "lang": "en", "source": [f"src{i % 3}" for i in range(1, 60)], "n_chars": [len(t or "") for t in texts]}).to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+def test_files_without_a_byte_are_there(spark, tmp_path):
+    from terravia.plans import stores
+    from tests.conftest import duck, same
+
+    (tmp_path / "plates").mkdir()
+    write(tmp_path / "plates/a", x__txt=b"", y__txt=b"y")
+    found = {(r.bundle, r.name): r.bytes for r in D.found_assets(spark, str(tmp_path / "plates")).collect()}
+    assert found == {("a", "x.txt"): 0, ("a", "y.txt"): 1}
+    folder = odd_documents(tmp_path)
+    from terravia import catalog
+
+    same(stores.files_verified(spark, folder), duck(folder), catalog.entries()["files_verified"].oracle)
