@@ -150,7 +150,7 @@ def files_verified(spark, d):
     there = F.when(i % 5 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.coalesce("text", F.lit("")))
     blobs.write(t.where(i % 7 != 0).select(F.concat("source", F.lit("/"), name).alias("key"), there.alias("content")), root)
     out = kept(A.verify(listed, documents.found_assets(spark, root)))
-    discard(root)
+    blobs.remove(spark, root)
     return out
 
 

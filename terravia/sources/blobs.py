@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravia.operators.assets import safe_key
+from terravia.shared import discard
 
 #: Names that are no files of their own: what is being written, and Hadoop's checksums.
 NO_FILE = re.compile(r"\..*(-[0-9a-f]{32}|\.crc)")
@@ -116,3 +117,20 @@ def read(spark: SparkSession, root: str, told: Callable[[BinaryIO], str | None])
             yield batch.assign(value=pd.Series(values, dtype="object", index=batch.index))
 
     return _dealt(listed(spark, root)).mapInPandas(run, "key string, bytes long, value string")
+
+
+def remove(spark: SparkSession, root: str) -> None:
+    """Remove all files under root, dealt over the tasks one by one; then the folders, which are empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for key in batch["key"]:
+                try:
+                    system.delete_file(f"{base}/{key}")
+                except FileNotFoundError:
+                    pass  # by a task that is run again
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    _dealt(listed(spark, root)).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    discard(root)

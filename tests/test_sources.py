@@ -183,3 +183,19 @@ def test_files_without_a_byte_are_there(spark, tmp_path):
     from terravia import catalog
 
     same(stores.files_verified(spark, folder), duck(folder), catalog.entries()["files_verified"].oracle)
+
+
+def test_many_files_are_listed_and_removed_by_tasks(spark, tmp_path):
+    import os
+
+    from terravia.sources import blobs
+
+    rows = spark.range(2000).select(F.concat((F.col("id") % 3).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("key"), F.lit("x").alias("content"))
+    root = f"file://{tmp_path}/many"
+    blobs.write(rows, root)
+    (tmp_path / "many/0/.half-0123456789abcdef0123456789abcdef").write_text("being written")
+    found = D.found_assets(spark, root)
+    assert found.inputFiles() == [] and found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism, "no file is planned in the driver"
+    assert sorted((r.bundle, int(r.name)) for r in found.collect()) == sorted((str(i % 3), i) for i in range(2000))
+    blobs.remove(spark, root)
+    assert not os.path.exists(tmp_path / "many")
