@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,12 +133,7 @@ def png_text(data: bytes, keyword: str) -> str | None:
 
 
 def manifests(spark: SparkSession, path: str, keyword: str) -> DataFrame:
-    """file, manifest (variant): of each PNG that carries one with a spec."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"file": batch["file"], "text": [png_text(c, keyword) for c in batch["content"]]})
-
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    read = files.mapInPandas(run, "file string, text string").select("file", F.try_parse_json("text").alias("manifest"))
+    """file, manifest (variant): of each PNG under path, at any depth, that carries one with a spec."""
+    files = blobs.read(spark, path, lambda opened: png_text(opened.read(), keyword))
+    read = files.select(F.concat(F.lit(f"{path.rstrip('/')}/"), "key").alias("file"), F.try_parse_json("value").alias("manifest"))
     return read.where(F.expr("try_variant_get(manifest, '$.spec', 'variant') IS NOT NULL"))

@@ -199,3 +199,28 @@ def test_many_files_are_listed_and_removed_by_tasks(spark, tmp_path):
     assert sorted((r.bundle, int(r.name)) for r in found.collect()) == sorted((str(i % 3), i) for i in range(2000))
     blobs.remove(spark, root)
     assert not os.path.exists(tmp_path / "many")
+
+
+def test_pictures_are_dealt_over_folders_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    import os
+
+    import pandas as pd
+
+    from terravia.plans import files
+    from tests.conftest import duck, same
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/deep").mkdir()
+    path = write(tmp_path / "p/deep", a__png=png([(b"tEXt", b'manifest\0{"spec":1}')]))
+    found = D.manifests(spark, str(tmp_path / "p"), "manifest")
+    assert found.inputFiles() == [] and [r.file for r in found.collect()] == [f"{path}/a.png"], "no file is planned in the driver"
+    folder = tmp_path / "t"
+    folder.mkdir()
+    pd.DataFrame({"o_orderkey": range(5000), "o_custkey": range(5000)}).to_parquet(folder / "orders.parquet")
+    most = []
+    remove = files.blobs.remove
+    monkeypatch.setattr(files.blobs, "remove", lambda s, root: most.append(max(len(names) for _, _, names in os.walk(root.removeprefix("file://")))) or remove(s, root))
+    from terravia import catalog
+
+    same(files.png_manifests(spark, str(folder)), duck(folder), catalog.entries()["png_manifests"].oracle)
+    assert most == [1000], "pictures of one folder"
