@@ -11,7 +11,12 @@ way, so a settled vertex can only be met from its own bucket or the next, and on
 aside to tell. A search ends once its goals are settled. `ways` follows all goals back at once,
 again by pointer doubling. What reaches the driver are counts and costs of buckets.
 
-Ties go to the vertex that was found first, of those found in one round to the smaller previous vertex, then step.
+A search from one vertex to another is run from both ends at once (`between`), cheapest vertices first, and ends once
+no two vertices that are still to be gone on from can be on a cheaper way than the one that was found. Whether there is a way at all is
+told before, for all of them together (`linked`): each vertex is gone on from once, for whichever end met it first.
+
+Ties go to the vertex that was found first, of those found in one round to the smaller previous vertex, then step; from both
+ends to the way of fewer steps as they were found, then to the smaller vertex.
 """
 
 from __future__ import annotations
@@ -49,10 +54,13 @@ class Network:
     chain (the same in both directions), edges, and a column of metres for each class.
     """
 
-    def __init__(self, arcs: DataFrame, steps: DataFrame, classes: list[str]):
-        self.arcs, self.steps, self.classes = arcs, steps, classes
+    def __init__(self, arcs: DataFrame, steps: DataFrame, classes: list[str], plain: bool = False):
+        """plain: each edge is a step, and has its class and len_m besides."""
+        self.arcs, self.steps, self.classes, self.plain = arcs, steps, classes, plain
 
     def metres(self) -> Column:
+        if self.plain:
+            return F.col("len_m")
         return sum((F.col(m) for m in _metres(self.classes)), F.lit(0.0))
 
     def metres_of(self, kind: str) -> Column:
@@ -64,6 +72,8 @@ class Network:
             return self.metres()
         if missing := set(self.classes) - set(weights):
             raise ValueError(f"no weight for {sorted(missing)}")
+        if self.plain and self.classes:
+            return F.col("len_m") * reduce(lambda rest, c: F.when(F.col("class") == c, F.lit(weights[c])).otherwise(rest), self.classes[1:], F.lit(weights[self.classes[0]]))
         return sum((F.col(m) * weights[c] for m, c in zip(_metres(self.classes), self.classes, strict=True)), F.lit(0.0))
 
 
@@ -80,9 +90,9 @@ def uncontracted(edges: DataFrame) -> Network:
 
 def _each_a_step(edges: DataFrame, classes: list[str]) -> Network:
     metres = [F.when(F.col("class") == c, F.col("len_m")).otherwise(0.0).alias(m) for m, c in zip(_metres(classes), classes, strict=True)]
-    one = lambda sign, a, b: edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.concat("eid", F.lit(sign)).alias("via"), F.col("eid").alias("chain"), F.lit(1).alias("edges"), *metres)
+    one = lambda sign, a, b: edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.concat("eid", F.lit(sign)).alias("via"), F.col("eid").alias("chain"), F.lit(1).alias("edges"), "class", "len_m", *metres)
     steps = one("+", "src", "dst").unionByName(one("-", "dst", "src"))
-    return Network(steps.select(F.col("chain").alias("eid"), "src", "dst", F.col("via").alias("last"), F.lit(1).alias("left")), steps, classes)
+    return Network(steps.select(F.col("chain").alias("eid"), "src", "dst", F.col("via").alias("last"), F.lit(1).alias("left")), steps, classes, True)
 
 
 def contract(edges: DataFrame, keep: DataFrame) -> Network:
@@ -213,11 +223,11 @@ def search(net: Network, starts: DataFrame, weights: dict[str, float] | None = N
 
 
 def named(net: Network, way: DataFrame, weights: dict[str, float] | None = None, penalties: DataFrame | None = None) -> DataFrame:
-    """way (rows of a search) with via and chain: of parallel steps the cheapest, then the smallest."""
-    of = net.steps.select(F.col("src").alias("prev"), F.col("dst").alias("node"), "via", "chain", net.costs(weights).alias("c"))
+    """way (rows of a search) with via and chain, and the step's edges, metres (m) and metres of 4wd (m4): of parallel steps the cheapest, then the smallest."""
+    of = net.steps.select(F.col("src").alias("prev"), F.col("dst").alias("node"), "via", "chain", "edges", net.metres().alias("m"), net.metres_of("4wd").alias("m4"), net.costs(weights).alias("c"))
     priced = _paid(way.join(of, ["prev", "node"]), _largest(penalties))
-    one = priced.groupBy("trip", "node").agg(F.min(F.struct("c", "via", "chain")).alias("s"))
-    return kept(way.join(one, ["trip", "node"]).select(*way.columns, "s.via", "s.chain"))
+    one = priced.groupBy("trip", "node").agg(F.min(F.struct("c", "via", "chain", "edges", "m", "m4")).alias("s"))
+    return kept(way.join(one, ["trip", "node"]).select(*way.columns, "s.via", "s.chain", "s.edges", "s.m", "s.m4"))
 
 
 def steps_back(reached: DataFrame, goals: DataFrame) -> DataFrame:
@@ -243,8 +253,109 @@ def steps_back(reached: DataFrame, goals: DataFrame) -> DataFrame:
     return on_way
 
 
+#: Vertices that a search from both ends goes on from in its first round, for each trip and end, and how many times as many in the next.
+FIRST, MORE = 16, 8
+
+
+def linked(net: Network, wanted: DataFrame) -> DataFrame:
+    """trip of the wanted trips (trip, start, goal) between whose ends there is a way.
+
+    A vertex belongs to the end that met it first and is gone on from once, however many trips there are. Ends whose vertices meet are
+    one group; a trip is settled when its ends are in one group, or one of their groups has no vertex left to go on from.
+    """
+    scratch = Scratch(wanted.sparkSession, "linked")
+    # written, so that its size is known: a few vertices are looked up in the steps, which then need not be shuffled
+    ends = scratch.put("ends", wanted.select(F.col("start").alias("node")).union(wanted.select(F.col("goal").alias("node"))).distinct())
+    met = scratch.put("met", net.steps.select(F.col("src").alias("node")).join(ends, "node", "left_semi").distinct().select("node", F.col("node").alias("end"), F.lit(1).alias("fresh")))
+    group = scratch.put("group", met.select("end", F.col("end").alias("of")))
+    of = lambda end, name: group.select(F.col("end").alias(end), F.col("of").alias(name))
+    while True:
+        placed = wanted.join(of("start", "a"), "start").join(of("goal", "b"), "goal").select("trip", "a", "b")
+        alive = met.where("fresh = 1").join(group, "end").select("of").distinct()
+        apart = placed.where("a <> b").join(alive.withColumnRenamed("of", "a"), "a", "left_semi").join(alive.withColumnRenamed("of", "b"), "b", "left_semi")
+        asked = scratch.put("asked", apart.select(F.col("a").alias("of")).union(apart.select("b")).distinct())
+        if asked.isEmpty():
+            break
+        front = scratch.put("front", met.where("fresh = 1").join(group.join(asked, "of", "left_semi"), "end", "left_semi").select("node", "end"))
+        seen = scratch.put("seen", front.join(net.steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "end").distinct())
+        # a vertex that was met before stays with its end
+        rows = met.select("node", F.lit(0).alias("new"), "end", "fresh").unionByName(front.select("node", F.lit(0).alias("new"), "end", F.lit(0).alias("fresh"))).unionByName(seen.select("node", F.lit(1).alias("new"), "end", F.lit(1).alias("fresh")))
+        met = scratch.put("met", rows.groupBy("node").agg(F.min(F.struct("new", "end", "fresh")).alias("m")).select("node", "m.end", "m.fresh"))
+        touch = scratch.put("touch", seen.join(met.select("node", F.col("end").alias("other")), "node").where("end <> other").select("end", "other").distinct())
+        while True:
+            pairs = touch.join(of("end", "a"), "end").join(of("other", "b"), "other").where("a <> b")
+            lower = scratch.put("lower", pairs.groupBy(F.greatest("a", "b").alias("of")).agg(F.min(F.least("a", "b")).alias("to")))
+            if lower.isEmpty():
+                break
+            group = scratch.put("group", group.join(lower, "of", "left").select("end", F.coalesce("to", "of").alias("of")))
+    scratch.append("able", placed.where("a = b").select("trip"))
+    scratch.clear()
+    return scratch.appended("able", wanted.select("trip"))
+
+
+def between(net: Network, wanted: DataFrame, weights: dict[str, float] | None = None, penalties: DataFrame | None = None, sure: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(found, way) of the wanted trips (trip, start, goal): found: trip, of those whose goal is within reach. way: trip, prev, node, hops, the steps of a cheapest way, numbered in their order by hops.
+
+    sure: all of them are known to have a way.
+
+    Each round goes on from the cheapest vertices of each trip and end, more of them from round to round. With `best` the cheapest way that was found
+    so far, and `low` what the cheapest vertex of an end costs that is still to be gone on from: a cheaper way leaves the vertices of
+    both ends that were gone on from by one that was not, so it costs the sum of both `low` at least; and a vertex that costs `best` less the other end's `low` is on no cheaper way.
+    """
+    scratch = Scratch(wanted.sparkSession, "between")
+    able = wanted.select("trip") if sure else linked(net, wanted)
+    penalties = None if penalties is None else scratch.put("penalties", _largest(penalties))
+    steps = net.steps.select("src", "dst", *(["chain"] if penalties is not None else []), net.costs(weights).alias("c"))
+    key = ["trip", "side"]
+    at = lambda c, side: wanted.join(able, "trip", "left_semi").select("trip", F.lit(side).alias("side"), F.col(c).alias("node"))
+    state = at("start", 0).union(at("goal", 1)).select(*key, "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.lit(1).alias("fresh"))
+    state = scratch.put("state", state)
+
+    def met() -> DataFrame:
+        """trip, node, cost, hops: the vertices that both ends have reached, and the ways through them."""
+        one = lambda side: state.where(F.col("side") == side).select("trip", "node", F.col("cost").alias(f"cost_{side}"), F.col("hops").alias(f"hops_{side}"))
+        return one(0).join(one(1), ["trip", "node"]).select("trip", "node", (F.col("cost_0") + F.col("cost_1")).alias("cost"), (F.col("hops_0") + F.col("hops_1")).alias("hops"))
+
+    most = FIRST
+    while True:
+        low = lambda side: F.min(F.when((F.col("side") == side) & (F.col("fresh") == 1), F.col("cost"))).alias(f"low_{side}")
+        bounds = state.groupBy("trip").agg(low(0), low(1)).join(met().groupBy("trip").agg(F.min("cost").alias("best")), "trip", "left")
+        bounds = scratch.put("bounds", bounds.where("low_0 + low_1 < coalesce(best, double('Infinity'))"))
+        if bounds.isEmpty():
+            break
+        other = F.when(F.col("side") == 0, F.col("low_1")).otherwise(F.col("low_0"))
+        useful = state.where("fresh = 1").join(bounds, "trip").where(F.col("best").isNull() | (F.col("cost") + other < F.col("best")))
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("cost", "node"))
+        front = scratch.put("front", useful.withColumn("nth", nth).where(F.col("nth") <= most).select(*state.columns, "best"))
+        moved = _paid(front.join(steps, F.col("node") == F.col("src")), penalties).withColumn("cost", F.col("cost") + F.col("c")).where("best IS NULL OR cost < best")
+        made = moved.select(*key, F.col("dst").alias("node"), "cost", (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev"), F.lit(1).alias("fresh"))
+        gone = front.drop("best").withColumn("fresh", F.lit(0))
+        merged = state.unionByName(gone).unionByName(made).groupBy(*key, "node").agg(F.min(F.struct("cost", "hops", "prev")).alias("m"), F.min(F.struct("cost", "fresh")).alias("f"))
+        state = scratch.put("state", merged.select(*key, "node", "m.cost", "m.hops", "m.prev", "f.fresh"))
+        most *= MORE
+    spots = scratch.put("spots", met().groupBy("trip").agg(F.min(F.struct("cost", "hops", "node")).alias("m")).select("trip", "m.node"))
+    # a vertex may have become cheaper by a rounding after its neighbours were reached from it, so it may have more hops than they; what they cost is in order all the same
+    chain = scratch.put("chain", spots.select("trip", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "node"))
+    jump = scratch.put("jump", state.where("prev IS NOT NULL").select(*key, "node", F.col("prev").alias("up")))
+    while not jump.isEmpty():
+        chain = scratch.put("chain", chain.union(chain.join(jump, [*key, "node"]).select(*key, "up")))
+        jump = scratch.put("jump", jump.join(jump.select(*key, F.col("node").alias("up"), F.col("up").alias("next")), [*key, "up"]).select(*key, "node", F.col("next").alias("up")))
+    told = state.where("prev IS NOT NULL").join(chain, [*key, "node"], "left_semi")
+    turned, sign = F.col("side") == 1, F.when(F.col("side") == 1, -1).otherwise(1)
+    nth = F.row_number().over(Window.partitionBy("trip").orderBy("side", sign * F.col("cost"), sign * F.col("hops")))
+    way = told.select("trip", F.when(turned, F.col("node")).otherwise(F.col("prev")).alias("prev"), F.when(turned, F.col("prev")).otherwise(F.col("node")).alias("node"), nth.alias("hops"))
+    found = spots.select("trip")
+    scratch.append("way", way)
+    scratch.append("found", found)
+    scratch.clear()
+    return scratch.appended("found", found), scratch.appended("way", way)
+
+
 def edges_of(net: Network, steps: DataFrame) -> DataFrame:
     """trip, nth (from 1), eid, src, dst: the edges of ways given as of steps_back, in order."""
+    if net.plain:
+        nth = F.row_number().over(Window.partitionBy("trip").orderBy("hops"))
+        return steps.select("trip", nth.alias("nth"), F.col("chain").alias("eid"), F.col("prev").alias("src"), F.col("node").alias("dst"))
     inside = steps.select("trip", "hops", "via").join(net.arcs, F.col("via") == F.col("last"))
     order = Window.partitionBy("trip").orderBy("hops", F.desc("left"))
     return inside.withColumn("nth", F.row_number().over(order)).select("trip", "nth", "eid", "src", "dst")
@@ -266,9 +377,9 @@ def farthest_way(edges: DataFrame, source: str, weights: dict[str, float] | None
 
 def cheapest_ways(edges: DataFrame, wanted: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """trip, nth, eid, src, dst: the cheapest way of each wanted trip (trip, start, goal); none where the goal is out of reach."""
-    starts, goals = wanted.select("trip", F.col("start").alias("node")), wanted.select("trip", F.col("goal").alias("node"))
-    net = contract(edges, starts.union(goals).select("node"))
-    return edges_of(net, named(net, steps_back(search(net, starts, weights, goals), goals), weights))
+    wanted = kept(wanted.select("trip", "start", "goal"))
+    net = contract(edges, wanted.select(F.col("start").alias("node")).union(wanted.select("goal")))
+    return edges_of(net, named(net, between(net, wanted, weights)[1], weights))
 
 
 def trips(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,28 +394,23 @@ def trips(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     wanted = kept(wanted.select("trip", "start", "goal", "shape"))
     net = contract(edges, wanted.select(F.col("start").alias("node")).union(wanted.select("goal")))
-    known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    at = lambda c, rows=wanted: rows.select("trip", F.col(c).alias("node"))
-    starts, goals = at("start").join(known, "node", "left_semi"), at("goal")
-    reached = search(net, starts, WEIGHTS["outing"], goals)
-    found = kept(reached.join(goals, ["trip", "node"]).select("trip"))
-    out = named(net, steps_back(reached, goals), WEIGHTS["outing"])
-    pieces = net.steps.select("via", "edges", net.metres().alias("m"), net.metres_of("4wd").alias("m4"))
+    found, way = between(net, wanted, WEIGHTS["outing"])
+    out = named(net, way, WEIGHTS["outing"])
     of = lambda kind: wanted.where(F.col("shape") == kind).join(found, "trip", "left_semi")
     # loops
     loops = of("loop")
     dear = out.join(loops, "trip", "left_semi").select("trip", "chain", F.lit(TURNED_PENALTY).alias("factor"))
-    home = lambda: named(net, steps_back(search(net, at("goal", loops), WEIGHTS["outing"], at("start", loops), dear), at("start", loops)), WEIGHTS["outing"], dear)
+    back_of = loops.select("trip", F.col("goal").alias("start"), F.col("start").alias("goal"))
+    home = lambda: named(net, between(net, back_of, WEIGHTS["outing"], dear, sure=True)[1], WEIGHTS["outing"], dear)
     # 4wd ways, looked for at the same time
     rough = of("4wd")
-    apart = lambda: named(net, steps_back(search(net, at("start", rough), WEIGHTS["4wd_day"], at("goal", rough)), at("goal", rough)), WEIGHTS["4wd_day"])
+    apart = lambda: named(net, between(net, rough, WEIGHTS["4wd_day"], sure=True)[1], WEIGHTS["4wd_day"])
     with ThreadPoolExecutor(2) as pool:
         back, own = (run.result() for run in [pool.submit(home), pool.submit(apart)])
-    sized = lambda rows: rows.join(pieces, "via")
-    n_out = sized(out).groupBy("trip").agg(F.sum("edges").alias("n_out"), F.sum("m").alias("m_out"))
-    common = sized(back).join(out.select("trip", "chain").distinct(), ["trip", "chain"], "left_semi").groupBy("trip").agg(F.sum("edges").alias("n_common"))
-    shares = sized(own).groupBy("trip").agg((F.sum("m4") / F.sum("m")).alias("share_4wd"), F.sum("m").alias("m_own"))
-    m_back = sized(back).groupBy("trip").agg(F.sum("m").alias("m_back"))
+    n_out = out.groupBy("trip").agg(F.sum("edges").alias("n_out"), F.sum("m").alias("m_out"))
+    common = back.join(out.select("trip", "chain").distinct(), ["trip", "chain"], "left_semi").groupBy("trip").agg(F.sum("edges").alias("n_common"))
+    shares = own.groupBy("trip").agg((F.sum("m4") / F.sum("m")).alias("share_4wd"), F.sum("m").alias("m_own"))
+    m_back = back.groupBy("trip").agg(F.sum("m").alias("m_back"))
     joined = reduce(lambda a, b: a.join(b, "trip", "left"), [found.withColumn("reachable", F.lit(True)), n_out, common, shares, m_back], wanted)
     shared = F.when((F.col("shape") == "loop") & F.col("reachable"), F.coalesce(F.col("n_common") / F.col("n_out"), F.lit(0.0)))
     told = joined.withColumns({"reachable": F.coalesce("reachable", F.lit(False)), "shared": shared})

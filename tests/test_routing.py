@@ -266,3 +266,23 @@ def test_a_search_follows_nothing_dearer_than_its_goals(spark):
     costs = {n: c for n, (c, _, _) in dijkstra(rows, "s0", {"trail": 1.0}).items()}
     end = max(costs, key=lambda n: (costs[n], n))
     assert way_cost(rows, checked_way(rows, last, "s0", end), {"trail": 1.0}) == costs[end]
+
+
+def test_goals_out_of_reach_are_told_for_all_trips_together(spark, monkeypatch):
+    """Two parts of 24 vertices, and 30 trips from one to the other: no table has a row for each trip and vertex."""
+    rows = [(f"{part}{i}-{j}", f"{part}s{i}", f"{part}p{j}", "trail", 10 + i + 7 * j) for part in "ab" for i in range(12) for j in range(12)]
+    edges = spark.createDataFrame(rows, EDGES)
+    wanted = [(f"t{i}", f"as{i % 12}", f"bp{(i * 5) % 12}", R.SHAPES[i % 3]) for i in range(30)] + [("near", "as1", "as4", "loop"), ("same", "as2", "as2", "loop"), ("none", "as2", "nowhere", "loop")]
+    most = []
+    put = R.Scratch.put
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        if name not in ("edges", "steps", "seen", "touch"):
+            most.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(R.Scratch, "put", counted)
+    summary, _ = R.trips(edges, spark.createDataFrame(wanted, TRIPS))
+    assert sorted(r.trip for r in summary.where("reachable").collect()) == ["near", "same"]
+    assert max(most)[0] <= 2 * 24 + 2 * 24, max(most)
