@@ -286,3 +286,18 @@ def test_goals_out_of_reach_are_told_for_all_trips_together(spark, monkeypatch):
     summary, _ = R.trips(edges, spark.createDataFrame(wanted, TRIPS))
     assert sorted(r.trip for r in summary.where("reachable").collect()) == ["near", "same"]
     assert max(most)[0] <= 2 * 24 + 2 * 24, max(most)
+
+
+def one_ended(*args, **kwargs):
+    raise AssertionError("a trip is searched from both its ends")
+
+
+def test_loop_share_is_searched_from_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(R, "search", one_ended)
+    share = {r.trip: r.share for r in network.loop_share(spark, SMALL).collect()}
+    known = {n for r in fx.edges(spark, SMALL).select("src", "dst").collect() for n in r}
+    wanted = network.nation_trips(spark, SMALL).collect()
+    assert set(share) == {t.trip for t in wanted}
+    for t in wanted:
+        assert (share[t.trip] is None) == (t.goal not in known or t.start not in known)
+        assert share[t.trip] is None or 0 <= share[t.trip] <= 1 and (t.start != t.goal or share[t.trip] == 0)
