@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terravia import fixtures as fx
 from terravia.operators import routing as R
 from terravia.plans import network
-from tests.conftest import SMALL
+from tests.conftest import SF, SMALL
 
 EDGES = "eid string, src string, dst string, class string, len_m long"
 TRIPS = "trip string, start string, goal string, shape string"
@@ -301,3 +301,17 @@ def test_loop_share_is_searched_from_both_ends(spark, monkeypatch):
     for t in wanted:
         assert (share[t.trip] is None) == (t.goal not in known or t.start not in known)
         assert share[t.trip] is None or 0 <= share[t.trip] <= 1 and (t.start != t.goal or share[t.trip] == 0)
+
+
+def test_trip_legs_are_searched_from_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(R, "search", one_ended)
+    by = {r.eid: {r.src, r.dst} for r in fx.edges(spark, SF).collect()}
+    legs = network.trip_legs(spark, SF).collect()
+    wanted = {t.trip: t for t in network.nation_trips(spark, SF).collect()}
+    assert legs
+    for trip, leg in {(r.trip, r.leg) for r in legs}:
+        at, end = (wanted[trip].start, wanted[trip].goal)[:: -1 if leg else 1]
+        for r in sorted((r for r in legs if (r.trip, r.leg) == (trip, leg)), key=lambda r: r.nth):
+            assert r.src == at and {r.src, r.dst} == by[r.eid]
+            at = r.dst
+        assert at == end
